@@ -37,7 +37,7 @@ from . import common
 #: Fingerprints of a bucket that one task takes at once.
 BUCKET = 40_000
 #: Node pairs that the traversal holds at once.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 #: A pair of nodes with at most so many pairs of fingerprints below it is compared directly.
 DIRECT = 16
 SEED = 42
