@@ -197,8 +197,9 @@ class Reader:
         memo, own = self.memo, set(tokens)
         if len(memo) > MEMO_TOKENS:
             memo.clear()
-        for t in own - memo.keys():
-            memo[t] = self.token(t)
+        for t in own:
+            if t not in memo:
+                memo[t] = self.token(t)
         return set().union(*filter(None, map(memo.__getitem__, own))), len(tokens)
 
 
