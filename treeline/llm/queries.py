@@ -33,6 +33,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
+# Base 32 of the 160 bits: each 5 bits are a letter of the alphabet.
+OP3_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS sha, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages
+), bits AS (
+  SELECT page_id, body, least, array_to_string([rpad(lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0'), 4, '0') FOR c IN string_split(sha, '')], '') AS b FROM payloads
+)
+SELECT page_id, octet_length(body) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(16 * CAST(b[5*k+1] AS INT) + 8 * CAST(b[5*k+2] AS INT) + 4 * CAST(b[5*k+3] AS INT) + 2 * CAST(b[5*k+4] AS INT) + CAST(b[5*k+5] AS INT) AS INT), 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to
+FROM bits
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -45,6 +66,29 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_neargraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neargraph import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS start, vec_id AS node FROM embeddings
+  UNION
+  SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.node
+), least AS (SELECT start, min(node) AS component_id FROM reach GROUP BY start),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON start = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .unigram import token_counts
 
@@ -92,8 +136,8 @@ FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op4_toxicity, op5_langid, op7_token_counts, op8_pii, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op6_neargraph": OP6_SQL, "op9_decontaminate": OP9_SQL}
