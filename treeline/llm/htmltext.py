@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-TRAIN_PAGES = 900
-TREES, DEPTH, BINS, RATE = 70, 4, 32, 0.15
+TRAIN_PAGES = 1_200
+TREES, DEPTH, BINS, RATE = 80, 4, 32, 0.25
 
 # How HTML treats its elements.
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "select", "button", "audio", "video", "canvas", "noframes"}
@@ -354,6 +354,8 @@ class Maker:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        #: A page whose elements say by their names alone what they are.
+        self.bare = self.r.random() < 0.3
 
     def words(self, low: int, high: int) -> str:
         r, n = self.r, self.r.randint(low, high)
@@ -385,8 +387,9 @@ class Maker:
         return r.choice([" ", " | ", " &middot; "]).join(items) if form < 0.85 else "".join(f"<div>{i}</div>" for i in items)
 
     def box(self, kind: str, tags: list[str], inner: str) -> str:
-        tag = self.r.choice(tags)
-        return f"<{tag}{self.attrs(kind, 0, 0.04 if tag == 'div' else 0.5)}>{inner}</{tag}>"
+        bare = self.bare and tags[0] in ("nav", "header", "footer", "aside")
+        tag = tags[0] if bare else self.r.choice(tags)
+        return f"<{tag}{self.attrs(kind, 0, 0.95 if bare else 0.04 if tag == 'div' else 0.5)}>{inner}</{tag}>"
 
     def menu(self) -> str:
         return self.box("menu", ["nav", "nav", "div", "ul"], self.links(2, 12))
@@ -457,14 +460,14 @@ class Maker:
         parts = [f"<h1>{self.words(1, 12)}</h1>"] if r.random() < 0.9 else []
         if parts and r.random() < 0.15:
             parts = [f'<header data-t="1">{parts[0]}</header>']
-        for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14, 30])):
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 30])):
             parts.append(self.block())
             if r.random() < 0.05:
                 parts.append(r.choice([self.advert, self.advert, self.share, self.side, self.form, self.notice])())
         if r.random() < 0.15:
             parts.append(self.share())
         inner = "".join(parts)
-        tag = r.choice(["article", "article", "div", "main", "section"])
+        tag = "article" if self.bare else r.choice(["article", "article", "div", "main", "section"])
         if r.random() < 0.25:
             inner = f"<div{self.attrs('content', 1, 0.4)}>{inner}</div>"
         return f"<{tag}{self.attrs('content', 1, 0.75 if tag in ('article', 'main') else 0.08)}>{inner}</{tag}>"

@@ -350,3 +350,20 @@ def pseudonymize(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
         return common.record(schema, batch.column(0).cast(pa.int64()), texts, totals, kinds)
 
     return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "doc_id long, text string, n_found long, kinds string", setup=lambda: Permuter(key))
+
+
+def pseudonymize_rows(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+    """``docs`` with ``text`` replaced and ``n_chars``, if there, counted again; all other columns as they were."""
+    names = docs.columns
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batch: pa.RecordBatch, p: Permuter) -> pa.RecordBatch:
+        texts = [t if not t else pseudonyms(t, p) for t in batch.column(at).to_pylist()]
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        if size >= 0:
+            columns[size] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column(size).to_pylist(), strict=True)], batch.schema.field(size).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return common.arrow_map(plain, run, plain.schema, setup=lambda: Permuter(key)).toDF(*names)

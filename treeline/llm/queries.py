@@ -135,8 +135,14 @@ FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -227,3 +227,25 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, errors: int = 4) -> DataF
     joined = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
     named = common.settle(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, size: int = 4, errors: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of the least id; all columns as they were.
+
+    Of rows that repeat an id only that of the least text hash stays; of rows
+    without an id whose group has none, one of each text.
+    """
+    names = docs.columns
+    near = common.settle(near_duplicates(docs, size=size, errors=errors).select("doc_id", "component_id"))
+    ids = common.settle(near.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
+    chosen = lambda which: plain.join(ids.where(which).select("doc_id"), key.eqNullSafe(F.col("doc_id")), "left_semi")
+    once = chosen("n = 1 and doc_id is not null")
+    repeated = "n > 1 or doc_id is null"
+    if not ids.where(repeated).isEmpty():
+        row = F.struct(*plain.columns)
+        which = F.when(key.isNull(), F.xxhash64(text))
+        least = chosen(repeated).groupBy(key.alias("k"), which.alias("w")).agg(F.min_by(row, F.struct(F.xxhash64(text), text)).alias("row"))
+        once = once.unionByName(least.select("row.*"))
+    return once.toDF(*names)
