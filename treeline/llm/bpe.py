@@ -326,7 +326,11 @@ def count_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def publish_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the corpus' most frequent words and hand the file to every executor; returns its name."""
     spark = docs.sparkSession
-    top = count_words(docs, tokenizer_path).orderBy(F.desc("n"), "word").limit(words).select("word").toPandas()["word"]
+    # Counts are binned by eighths of powers of two, so that the driver learns from a few hundred rows which words to take.
+    counted = common.settle(count_words(docs, tokenizer_path).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")))
+    bins = counted.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")).toPandas()
+    whole = bins[bins["k"].cumsum() <= words]
+    top = counted.where(F.col("bin") >= int(whole["bin"].min())).select("word").toPandas()["word"] if len(whole) else []
     t = Tokenizer(tokenizer_path)
     data = compile_lexicon({w.encode("utf-8", "surrogatepass"): tuple(t.merge(w)) for w in top})
     place = common.scratch(spark, "lexicon")
