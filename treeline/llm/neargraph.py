@@ -41,9 +41,9 @@ from .simhash import forest
 class Settings:
     least: float = 0.95
     #: Degrees that a centroid may be farther than the nearest.
-    margin: float = 16.0
+    margin: float = 5.0
     #: Classes that one part of a shard holds.
-    shard: int = 4_000
+    shard: int = 3_000
     #: Bounds of the driver's work: centroids, and sampled rows a centroid.
     centroids: int = 2_048
     rows_each: int = 24
