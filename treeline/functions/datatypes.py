@@ -104,7 +104,7 @@ def duration(s: Column) -> Column:
     date, time = r"^-?P[^T]*?", r"T.*?"
     return F.struct(
         (minus * (n(rf"{date}([0-9]+)Y") * 12 + n(rf"{date}([0-9]+)M"))).cast("long").alias("months"), (minus * n(rf"{date}([0-9]+)D")).cast("long").alias("days"),
-        (minus * (n(rf"{time}([0-9]+)H") * 3600 + n(rf"{time}([0-9]+)M") * 60 + n(rf"{time}([0-9]+(?:\.[0-9]+)?)S"))).alias("seconds"),
+        (minus * (n(rf"{time}([0-9]+)H") * 3600 + n(rf"{time}([0-9]+)M") * 60 + n(rf"{time}([0-9]+(?:\.[0-9]+)?)S")) + 0.0).alias("seconds"),
     )
 
 
@@ -153,7 +153,7 @@ def canonical(s: Column, name: str) -> Column:
     if name == "decimal":
         plain = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
         dotted = F.when(plain.contains("."), F.regexp_replace(plain, r"0+$", "")).otherwise(F.concat(plain, F.lit(".")))
-        full = F.regexp_replace(F.regexp_replace(dotted, r"\.$", ".0"), r"^(-?)\.", "${1}0.")
+        full = F.regexp_replace(F.regexp_replace(F.regexp_replace(dotted, r"\.$", ".0"), r"^\.", "0."), r"^-\.", "-0.")
         return F.when(full == "-0.0", "0.0").otherwise(full)
     return t
 
