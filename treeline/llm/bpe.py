@@ -187,17 +187,18 @@ class Lexicon:
         state = np.zeros(n, np.int64)
         outputs: list[tuple[np.ndarray, np.ndarray]] = []
         alive = np.flatnonzero(size > 0)
-        state[size == 0] = -1
-        for step in range(int(size.max(initial=0))):
+        for step in range(int(size.max(initial=0)) if len(self.keys) else 0):
             alive = alive[(size[alive] > step) & (state[alive] >= 0)]
             if not len(alive):
                 break
             key = state[alive] * 256 + text[begin[alive] + step]
             edge = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[edge] == key if len(self.keys) else np.zeros(len(alive), bool)
+            ok = self.keys[edge] == key
             state[alive] = np.where(ok, self.target[edge], -1)
             said = self.output[edge[ok]]
             outputs.append((alive[ok][said > 0], said[said > 0]))
+        if not len(self.keys):
+            state[size > 0] = -1
         last = np.where(state >= 0, self.final[np.maximum(state, 0)], -1)
         found: list[list[bytes] | None] = [[] if x >= 0 else None for x in last.tolist()]
         start, pool = self.start, self.pool.tobytes()
@@ -210,7 +211,11 @@ class Lexicon:
 
 
 def compile_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
-    """The smallest automaton of the given words, with outputs as early as all words below allow."""
+    """The smallest automaton of the given words, with outputs as early as all words below allow.
+
+    Words of over ``LONG_WORD`` bytes are left out; they are merged when they occur.
+    """
+    entries = {w: o for w, o in entries.items() if len(w) <= LONG_WORD}
     ranges: dict[tuple[int, ...], int] = {(): 0}
     held: dict[tuple, int] = {}  # a state by what leaves it: equal right languages share it
     states: list[tuple] = []
@@ -291,16 +296,20 @@ class Coder:
 
     def decode(self, ids: bytes) -> str:
         """The tokenizer's decode() without a decoder: its token strings, a blank between each two."""
+        return self.decode_bytes(ids).decode("utf-8", "surrogatepass")
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        """The decoded text in UTF-8."""
         i = np.frombuffer(ids, "<u4").astype(np.int64)
         if not len(i):
-            return ""
+            return b""
         a, size = self.spelt_at[i], self.spelt_at[i + 1] - self.spelt_at[i]
         ends = np.cumsum(size + 1)
         out = np.full(int(ends[-1]), 32, np.uint8)
         begin = ends - size - 1
         place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         out[np.repeat(begin, size) + place] = self.spelt[np.repeat(a, size) + place]
-        return out[:-1].tobytes().decode("utf-8", "surrogatepass")
+        return out[:-1].tobytes()
 
 
 def count_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -357,10 +366,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = Fals
         ids = coder.encode(common.strings(batch.column(1)))
         digests, decoded = [], []
         for x in ids:
-            text = coder.decode(x)
-            digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+            text = coder.decode_bytes(x)
+            digests.append(hashlib.sha256(text).hexdigest())
             if keep_text:
-                decoded.append(text)
+                decoded.append(text.decode("utf-8", "surrogatepass"))
         more = [[np.frombuffer(x, "<i4") for x in ids]] * keep_ids + [decoded] * keep_text
         return common.record(schema, batch.column(0).cast(pa.int64()), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], digests, *more)
 
