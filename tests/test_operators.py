@@ -46,3 +46,51 @@ def test_pattern_equals_path(spark):
     n = markup.xml_nodes(spark.createDataFrame([(1, "<a><b><c/><b><c k='1'/></b></b><c/></a>")], "doc_id long, text string"))
     for pattern, path in (("b/c", "//b/c"), ("/a//c", "/a//c"), ("c/@k", "//c/@k"), ("b//c | a", "//b//c | /a"), ("/c", "/c")):
         assert {r.pre for r in nodes.matching(n, pattern).collect()} == {r.pre for r in XPath(n).select(path).collect()}
+
+
+def test_prompt_includes(tmp_path):
+    import pytest
+
+    from treeline.sources import files
+
+    (tmp_path / "a.md").write_text("top {{include: b.md}} {{include: c*.txt}}")
+    (tmp_path / "b.md").write_text("B")
+    (tmp_path / "c1.txt").write_text("C1")
+    (tmp_path / "c2.txt").write_text("C2")
+    assert files.expand_prompt(str(tmp_path / "a.md")) == 'top <file name="b.md">\nB\n</file> <file name="c1.txt">\nC1\n</file>\n<file name="c2.txt">\nC2\n</file>'
+    (tmp_path / "b.md").write_text("{{include: a.md}}")
+    with pytest.raises(ValueError):
+        files.expand_prompt(str(tmp_path / "a.md"))
+    assert files.find_config(str(tmp_path), "b.md") == str(tmp_path / "b.md") and files.find_config(str(tmp_path), "no-such-file-here") is None
+
+
+def test_source_tree_and_listing(spark, tmp_path):
+    import lzma
+
+    from treeline.sources import files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.c").write_text("int x;")
+    (tmp_path / "sub" / "b.h").write_text("int y;")
+    (tmp_path / "png.c").write_text("skipped")
+    (tmp_path / "notes.txt").write_text("no source")
+    (tmp_path / "z.xz").write_bytes(lzma.compress(b"packed"))
+    assert {r.text for r in files.source_files(spark, str(tmp_path)).collect()} == {"int x;", "int y;"} or "png" in str(tmp_path)
+    assert [r.path for r in files.listing(spark, str(tmp_path), (".c", ".h")).collect()] == ["a.c", "png.c", "sub/b.h"]
+    blob = spark.read.format("binaryFile").load(f"{tmp_path}/z.xz")
+    assert bytes(blob.select(files.expand_compressed(blob.content, blob.path).alias("b")).first().b) == b"packed"
+
+
+def test_toolbox_schema():
+    from treeline.operators.toolbox import Toolbox
+
+    box = Toolbox(context=5)
+
+    @box.register
+    def scaled(x: float, times: int = 2, *, ctx) -> float:
+        """x times."""
+        return x * times + ctx
+
+    schema = box.tools["scaled"].schema()
+    assert schema["parameters"]["required"] == ["x"] and schema["parameters"]["properties"]["times"] == {"type": "integer"} and schema["description"] == "x times."
+    assert box.call("scaled", {"x": 2}) == {"result": 9} and "error" in box.call("scaled", {"x": "2"})

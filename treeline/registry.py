@@ -46,4 +46,4 @@ def load() -> None:
 
 
 #: Modules of ``treeline.plans`` that register queries.
-MODULES: list[str] = ["tree", "scalars", "work", "streams"]
+MODULES: list[str] = ["tree", "scalars", "work", "documents", "streams"]
