@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.session import ship
+
 #: Rows handed to Python at a time. Texts may be long, so batches stay short.
 BATCH_ROWS = 512
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Set what the Arrow operators need: short batches, so that long texts fit."""
+    """Set what the Arrow operators need: short batches, so that long texts fit, and this package on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

@@ -8,7 +8,8 @@
    channel and model score. Plain tokens have a single path, themselves.
 3. A logistic regression over words and word beginnings of the restored text is
    fitted on at most ``TRAIN_ROWS`` labelled rows outside the held-out fifth,
-   chosen by hash, and scores every document.
+   chosen by hash, and scores every document. A text that holds a feature which
+   nearly only toxic rows had scores at least that feature's share.
 
 Labels, lang, source and doc_id are no inputs of a score. Documents are never
 shuffled: counts are summed before they leave a task, the training rows are
@@ -38,6 +39,8 @@ from . import common
 TRAIN_ROWS = 16_000
 FEATURES = 3_000
 MEMO_TOKENS = 200_000
+#: Least hashes by which copies among the training rows are found.
+SKETCHES = 4
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Symbols of the model: 0 a word's edge, 1 to 26 letters, 27 any other letter.
@@ -49,8 +52,10 @@ LOOKALIKES = {
 }
 #: Log costs of the channel: a look-alike, a letter said again, a sign put between letters, a look-alike put there, a sign that stands for itself.
 ALIKE, AGAIN, BETWEEN, STRAY, ITSELF = -1.0, -1.2, -1.5, -9.0, -8.0
-#: A feature must beat chance by so many nats on the training rows.
-GAIN = 10.0
+#: A feature must beat chance on the training rows by the logarithm of the number of features tried and so many nats more.
+GAIN = 1.0
+#: A feature of at least this share of toxic rows speaks for itself, whatever else a text holds.
+PURE = 0.99
 
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*·]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?![^\W_])")
 PLAIN = re.compile(r"[^\W\d_]+")
@@ -173,6 +178,8 @@ class Model:
     language: list
     numbers: dict[str, int]
     weights: np.ndarray
+    #: Smoothed share of toxic rows among those with the feature, 0 if it isn't pure.
+    shares: np.ndarray
     length: float
     bias: float
 
@@ -208,10 +215,31 @@ def held_out(ids: list[int | None]) -> list[bool]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``text, toxic`` of at most ``rows`` labelled documents outside the held-out fifth, chosen by hash."""
+    """``text, toxic`` of at most ``rows`` labelled documents outside the held-out fifth, chosen by hash, copies once."""
     known = common.pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return common.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows_ = common.settle(common.pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # Copies would make any word of theirs look telling, so of texts that share a sketch one is learned from.
+    schema = pa.schema([("doc_id", pa.int64()), *((f"m{k}", pa.int64()) for k in range(SKETCHES))])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = np.stack([sketch(t) for t in common.strings(batch.column(1))])
+        return common.record(schema, batch.column(0).cast(pa.int64()), *got.T)
+
+    ddl = "doc_id long" + "".join(f", m{k} long" for k in range(SKETCHES))
+    sketches = common.arrow_map(rows_.select("doc_id", "text"), run, ddl).toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    for k in range(SKETCHES):
+        sketches = sketches.drop_duplicates(f"m{k}")
+    kept = docs.sparkSession.createDataFrame([(int(i),) for i in sketches["doc_id"]], "doc_id long")
+    return rows_.dropDuplicates(["doc_id"]).join(F.broadcast(kept), "doc_id", "left_semi").select("text", "toxic")
+
+
+def sketch(text: str) -> np.ndarray:
+    """Least hashes of a text's runs of three tokens, as signed numbers: near copies share most of them."""
+    t = text.lower().split()
+    runs = [" ".join(t[k : k + 3]).encode("utf-8", "surrogatepass") for k in range(max(1, len(t) - 2))]
+    h = np.fromiter(map(zlib.crc32, runs), np.uint64, len(runs)) * np.uint64(0x9E3779B97F4A7C15)
+    return np.array([((h ^ (h >> np.uint64(29))) * np.uint64(2 * k + 0xBF58476D1CE4E5B9)).min() for k in range(SKETCHES)], np.uint64).view(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, size: int = FEATURES) -> Model:
@@ -222,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, size: int
     total, toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         share = toxic / total if total else 0.0
-        return Model(language, {}, np.zeros(0), 0.0, float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
+        return Model(language, {}, np.zeros(0), np.zeros(0), 0.0, float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
     held = spark.sparkContext.broadcast(language)
     pair = pa.schema([("feature", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
 
@@ -234,12 +262,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, size: int
         return common.record(pair, [f for f, _ in seen], [y for _, y in seen], list(seen.values()))
 
     tallied = common.arrow_map(train, tally, "feature string, toxic int, n long", setup=lambda: Reader(held.value, None))
-    by = tallied.groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("bad"), F.sum("n").alias("n")).where("bad >= 4")
+    by = common.settle(tallied.groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("bad"), F.sum("n").alias("n")))
+    least = GAIN + float(np.log(max(1, by.count())))
+    by = by.where("bad >= 4")
     # Log-likelihood ratio of the feature's share of toxic rows against the share of all, for features that speak for toxic.
     rate = toxic / total
     gain = F.expr(f"bad * ln(bad / n / {rate}D) + if(n > bad, (n - bad) * ln((n - bad) / n / {1 - rate}D), 0)")
-    ranked = by.withColumn("gain", F.round(gain, 6)).where((F.col("bad") > 1.5 * rate * F.col("n")) & (F.col("gain") >= GAIN))
-    numbers = {f: k for k, f in enumerate(distinct_features(ranked.orderBy(F.desc("gain"), "feature").limit(size).toPandas()))}
+    ranked = by.withColumn("gain", F.round(gain, 6)).where((F.col("bad") > 1.5 * rate * F.col("n")) & (F.col("gain") >= least))
+    chosen = ranked.orderBy(F.desc("gain"), "feature").limit(size).toPandas()
+    numbers = {f: k for k, f in enumerate(distinct_features(chosen))}
+    counted = chosen.set_index("feature").loc[list(numbers)]
+    shares = ((counted["bad"] + rate) / (counted["n"] + 1)).to_numpy(float)
+    shares[shares < PURE * (1 - 1 / (counted["n"].to_numpy(float) + 1))] = 0.0
     named = spark.sparkContext.broadcast(numbers)
     row = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("said", pa.list_(pa.int32()))])
 
@@ -250,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, size: int
     rows_ = common.arrow_map(train, featurize, "toxic int, n long, said array<int>", setup=lambda: Reader(held.value, named.value)).toPandas()
     rows_ = rows_.assign(key=[(int(t), int(n), tuple(map(int, s))) for t, n, s in zip(rows_["toxic"], rows_["n"], rows_["said"])]).sort_values("key")
     weights, length, bias = logistic([np.asarray(s, np.int64) for s in rows_["said"]], rows_["n"].to_numpy(float), rows_["toxic"].to_numpy(float), len(numbers))
-    return Model(language, numbers, weights, length, bias)
+    return Model(language, numbers, weights, shares, length, bias)
 
 
 def distinct_features(rows) -> list[str]:
@@ -284,7 +318,7 @@ def scores(texts: list[str], reader: Reader, model: Model) -> np.ndarray:
     for k, text in enumerate(texts):
         said, n = reader.text(text)
         z = model.bias + model.length * (np.log1p(n) / 4 - 1.5) + (model.weights[list(said)].sum() if said else 0.0)
-        out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        out[k] = max(1 / (1 + np.exp(-np.clip(z, -30, 30))), model.shares[list(said)].max(initial=0.0))
     return out
 
 
