@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treeline.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def shipped(fn: Query) -> Query:
+    """The query, with this package sent to the executors first."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(ship(spark), sf_dir)
+
+    return run
+
+
 @dataclass
 class Registry:
     """Named queries; the first of a name is kept, as its callers rely on it."""
@@ -27,7 +40,7 @@ class Registry:
 
     def queries(self) -> dict[str, Query]:
         load()
-        return {name: fn for name, (fn, _) in self.held.items()}
+        return {name: shipped(fn) for name, (fn, _) in self.held.items()}
 
     def oracle_sql(self) -> dict[str, str]:
         load()

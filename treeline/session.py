@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once an application, so that Python workers can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        path = os.path.join(tempfile.mkdtemp(prefix="treeline-"), "treeline-package.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(HERE):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(HERE)))
+        spark.sparkContext.addPyFile(path)
+    return spark
+
 
 def session(name: str = "treeline", master: str | None = None, **conf: str) -> SparkSession:
     """Adaptive execution on, UTC, and whatever ``conf`` says (dots written as double underscores)."""
@@ -12,7 +35,7 @@ def session(name: str = "treeline", master: str | None = None, **conf: str) -> S
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
