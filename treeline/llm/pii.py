@@ -59,6 +59,7 @@ _MONTH = "|".join(sorted(MONTH_OF, key=lambda m: (-len(m), m)))
 PATTERN = re.compile(
     rf"""
     (?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{{1,64}}@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9]))
+    |(?P<secret>(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|secret|token|api[_ \-]?key|access[_ \-]?key)["']?[ ]?[=:][ ]?["']?(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{{6,512}})
     |(?P<key>(?<![A-Za-z0-9_\-])(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xoxb-|xoxp-|AIza)[A-Za-z0-9_\-]{{16,255}}(?![A-Za-z0-9_\-]))
     |(?P<hex>(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{{32,512}}|[0-9A-F]{{32,512}})(?![0-9A-Za-z]))
     |(?P<iban>(?<![0-9A-Za-z])[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))
@@ -178,6 +179,13 @@ def email(p: Permuter, text: str) -> str | None:
     return f"{letters_and_digits(p, name, 'mailbox')}@{letters_and_digits(p, host, 'host')}.{top}"
 
 
+def secret(p: Permuter, text: str) -> str | None:
+    """A value after a name that says it is secret; hexadecimal ones link with those that stand alone."""
+    value = re.search(r"[A-Za-z0-9_+/\-]+$", text).group()
+    plain = re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) is not None
+    return text[: len(text) - len(value)] + ((hexadecimal(p, value) if plain else None) or letters_and_digits(p, value, "secret"))
+
+
 def key(p: Permuter, text: str) -> str | None:
     m = re.match("AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xoxb-|xoxp-|AIza", text)
     tail = text[m.end() :]
@@ -301,7 +309,7 @@ def number(p: Permuter, text: str) -> str | None:
 
 
 KINDS: dict[str, Callable[[Permuter, str], str | None]] = {
-    "email": email, "key": key, "hex": hexadecimal, "iban": iban, "ip": ip, "ip6": ip6, "iso": iso,
+    "email": email, "secret": secret, "key": key, "hex": hexadecimal, "iban": iban, "ip": ip, "ip6": ip6, "iso": iso,
     "day": day, "named": named, "first": first, "ssn": ssn, "phone": phone, "number": number,
 }
 
