@@ -94,3 +94,21 @@ def test_toolbox_schema():
     schema = box.tools["scaled"].schema()
     assert schema["parameters"]["required"] == ["x"] and schema["parameters"]["properties"]["times"] == {"type": "integer"} and schema["description"] == "x times."
     assert box.call("scaled", {"x": 2}) == {"result": 9} and "error" in box.call("scaled", {"x": "2"})
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.binary(max_size=60).flatmap(lambda b: st.just(b * 3 + b[:7])))
+def test_lz77_round_trip(data):
+    from treeline.operators import lz
+
+    store = lz.matches(data)
+    assert lz.expand(store) == data
+    at = [0, *lz.cuts(store), len(store)]
+    assert sum(lz.dynamic_bits(store[a:b]) for a, b in zip(at, at[1:])) <= lz.dynamic_bits(store)
+
+
+def test_block_cuts_follow_the_data():
+    from treeline.operators import lz
+
+    store = [(97 + k % 2, 0) for k in range(400)] + [(k % 200, 0) for k in range(400)]
+    assert lz.cuts(store) and min(abs(c - 400) for c in lz.cuts(store)) < 25 and lz.length_code(258) == (285, 0) and lz.distance_code(32768) == (29, 13)

@@ -463,3 +463,12 @@ def t16_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("k02_html_escape", "SELECT page_id, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe, regexp_extract(url, '^[a-z]+') AS scheme FROM pages")
 def k02_html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ops.escape_text(F.col("url")).alias("safe"), ft.uri(F.col("url"))["scheme"].alias("scheme"))
+
+
+@registry.add("w06_lz77", "SELECT p_partkey AS doc_id, true AS restored, true AS fewer, true AS split_no_worse FROM part")
+def w06_lz77(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LZ77 parses give back their input; cutting blocks never costs bits."""
+    from treeline.operators import lz
+
+    data = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.encode(F.repeat(F.concat("p_name", F.lit(" "), "p_type", F.lit("\n")), 3), "UTF-8").alias("data"))
+    return lz.parse(data).select("doc_id", "restored", (F.col("n_matches") > 0).alias("fewer"), (F.col("split_bits") <= F.col("bits")).alias("split_no_worse"))
