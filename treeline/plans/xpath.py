@@ -318,6 +318,8 @@ class Scope:
 
     df: DataFrame
     names: itertools.count = field(default_factory=itertools.count)
+    #: Whether the rows are all documents, so that paths from the root need no join to find them.
+    top: bool = False
 
     def attach(self, found: DataFrame, *columns: tuple[str, Column]) -> list[Column]:
         """Aggregate ``found(doc_id, o, ...)`` by origin and join it to the rows; returns the new columns."""
@@ -341,7 +343,7 @@ class XPath:
 
     def select(self, expression: str, context: DataFrame | None = None) -> DataFrame:
         """The distinct nodes that a node-set expression finds in each document (or below each context node)."""
-        scope = Scope(context if context is not None else self.roots())
+        scope = Scope(context if context is not None else self.roots(), top=context is None)
         got = self.compile(parse(expression), scope)
         if got.kind != "set":
             raise XPathError(f"{expression!r} is no node-set")
@@ -349,7 +351,7 @@ class XPath:
 
     def value(self, expression: str, kind: str = "string", context: DataFrame | None = None) -> DataFrame:
         """``doc_id, pre, result`` for each context node (each document): the expression cast to ``kind``."""
-        scope = Scope(context if context is not None else self.roots())
+        scope = Scope(context if context is not None else self.roots(), top=context is None)
         got = self.compile(parse(expression), scope)
         column = {"string": self.string, "number": self.number, "boolean": self.boolean}[kind](got, scope)
         return scope.df.select("doc_id", "pre", column.alias("result"))
@@ -513,6 +515,11 @@ class XPath:
     def path(self, expr: Path, scope: Scope) -> DataFrame:
         if expr.start == "context":
             rows = scope.df.select(*NODE, F.col("pre").alias("o"))
+        elif expr.start == "root" and scope.top and expr.steps:
+            rows, steps = self.from_top(rewrite(expr.steps))
+            for step in steps:
+                rows = self.step_from(rows, step)
+            return rows
         elif expr.start == "root":
             tops = self.roots()
             rows = scope.df.select("doc_id", F.col("pre").alias("o")).join(tops, "doc_id").select(*NODE, "o")
@@ -527,6 +534,28 @@ class XPath:
             rows = self.step_from(rows, step)
         return rows
 
+    def from_top(self, steps: tuple) -> tuple[DataFrame, tuple]:
+        """The first step or two from the documents by filters alone: a document is at 0 and holds all its nodes."""
+        step, rest = steps[0], steps[1:]
+        n = self.nodes.withColumn("o", F.lit(0).cast("long"))
+        tree, above = ~F.col("kind").isin("attr", "ns"), F.lit(0).cast("long")
+        if step == Step("descendant-or-self", ("node",)) and rest and rest[0].axis in ("child", "attribute"):
+            # Children, or attributes, of any node: each has its parent as context.
+            step, rest = rest[0], rest[1:]
+            above = F.col("parent")
+            held = F.col("parent").isNotNull() & (tree if step.axis == "child" else F.col("kind") == "attr")
+        elif step.axis == "child":
+            held = (F.col("parent") == 0) & tree
+        elif step.axis == "descendant":
+            held = F.col("parent").isNotNull() & tree
+        else:
+            rows = self.roots().withColumn("o", F.col("pre"))
+            return rows.select(*NODE, "o"), steps
+        found = n.where(held & self.node_test(step)).withColumn("c", above)
+        for p in step.predicates:
+            found = self.filter(found, p, ["doc_id", "o", "c"], reverse=False)
+        return found.select("o", *NODE), rest
+
     def walk(self, rows: DataFrame, step: Step, scope: Scope) -> DataFrame:
         return self.step_from(rows.select(*NODE, F.col("pre").alias("o")), step)
 
@@ -539,7 +568,7 @@ class XPath:
         else:
             pre, end, parent = F.col("pre"), F.col("end"), F.col("parent")
             cp, ce, cparent = F.col("c_pre"), F.col("c_end"), F.col("c_parent")
-            tree, sibling = F.col("kind") != "attr", F.col("c_kind") != "attr"
+            tree, sibling = ~F.col("kind").isin("attr", "ns"), ~F.col("c_kind").isin("attr", "ns")
             on = {
                 "child": (parent == cp) & tree,
                 "parent": pre == cparent,
