@@ -67,6 +67,18 @@ def test_removal(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_several_passes_remove_rows_by_their_own_hits(spark, monkeypatch):
+    rows_ = [*DOCS, (None, "clean without an id"), (4, "clean with the id of a contaminated row"), (None, None)]
+    docs = spark.createDataFrame([(*d, 1, "q") for d in rows_], "doc_id long, text string, n_hit int, Items string")
+    items = frames(spark)[1]
+    want = sorted((d for d, s in zip(rows_, slow(rows_, ITEMS), strict=True) if not s[5]), key=str)
+    for most in (2_000_000, 20):
+        monkeypatch.setattr(dc, "PASS_WORDS", most)
+        out = dc.decontaminate(docs, items)
+        assert (len(dc.indexes(items, 13)) > 1) == (most == 20) and out.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
+
+
 def test_spans_are_cut(spark):
     docs, items = frames(spark)
     cleaned = {r.doc_id: r.cleaned for r in dc.contamination(docs, items, spans=True).collect()}

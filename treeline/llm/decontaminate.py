@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import common
 
@@ -187,21 +188,34 @@ def cleaned(text: str, hit: np.ndarray) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all columns as they were.
 
-    One pass without a shuffle; a benchmark of several passes removes by doc_id.
+    Each row goes by its own hits, without a shuffle; a benchmark of several
+    passes takes the rows and their hits from pass to pass.
     """
     names, at = docs.columns, docs.columns.index("text")
-    found = indexes(benchmark, window)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    if len(found) > 1:
-        bad = contamination(docs, benchmark, window=window, share=share).where("contaminated").select("doc_id").distinct()
-        return plain.join(bad, plain[f"c{names.index('doc_id')}"].eqNullSafe(bad.doc_id), "left_anti").toDF(*names)
-
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cut = [words(t) for t in common.strings(batch.column(at))]
-        begin, hit, _ = found[0].value.scan(cut)
-        total = np.concatenate(([0], np.cumsum(hit)))
-        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
-        n_hit = total[begin[:-1] + n_words] - total[begin[:-1]]
-        return batch.filter(pa.array(~((n_hit > 0) & (share * n_hit >= n_words))))
-
-    return common.arrow_map(plain, keep, plain.schema).toDF(*names)
+    numbered = [f"c{i}" for i in range(len(names))]
+
+    def scan(index, final: bool):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cut = [words(t) for t in common.strings(batch.column(at))]
+            begin, hit, _ = index.value.scan(cut)
+            n_words = np.fromiter(map(len, cut), np.int64, len(cut))
+            ends = begin[:-1] + n_words
+            held = batch.columns[: len(names)]
+            if batch.num_columns > len(names):  # what earlier passes found
+                for old, a, b in zip(batch.column(len(names)).to_pylist(), begin, ends):
+                    hit[a:b] |= np.unpackbits(np.frombuffer(old, np.uint8), count=b - a).astype(bool)
+            if not final:
+                return pa.RecordBatch.from_arrays([*held, pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(begin, ends)], pa.binary())], names=[*numbered, "hits"])
+            total = np.concatenate(([0], np.cumsum(hit)))
+            n_hit = total[ends] - total[begin[:-1]]
+            kept = pa.RecordBatch.from_arrays(held, names=numbered)
+            return kept.filter(pa.array(~((n_hit > 0) & (share * n_hit >= n_words))))
+
+        return run
+
+    rows = plain = docs.toDF(*numbered)
+    noted = StructType([*plain.schema.fields, StructField("hits", BinaryType())])
+    *first, end = indexes(benchmark, window)
+    for index in first:
+        rows = common.settle(common.arrow_map(rows, scan(index, False), noted))
+    return common.arrow_map(rows, scan(end, True), plain.schema).toDF(*names)
