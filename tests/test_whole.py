@@ -37,3 +37,10 @@ def test_layers_in_several_blocks(spark, monkeypatch):
     n = spark.createDataFrame([(x,) for x in "abcdefg"] + [(None,)], "node string")
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("d", "z"), ("e", "f"), ("f", "e"), ("g", "f"), ("g", "g")], "src string, dst string")
     assert {r.node: r.depth for r in graph.layers(n, e).collect()} == {"a": 0, None: 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 4, "g": 4}
+
+
+def test_files_are_whole_up_to_50000_characters(spark, tmp_path):
+    texts = ["a", "", None, "b" * 5_001, "c" * 50_000, "é" * 50_001]
+    d = written(spark, tmp_path, documents=([(k, t, "x1") for k, t in enumerate(texts)] + [(9, "d", "x2")], "doc_id long, text string, source string"))
+    want = dict(enumerate(texts)) | {5: "é" * 50_000 + "\n\n... [File truncated for analysis] ..."}
+    assert {r.doc_id: r.content for r in registry.queries()["s24_collect_files"](spark, d).collect()} == want

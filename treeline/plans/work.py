@@ -187,9 +187,9 @@ def k09_repomap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("s24_collect_files", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN left(text, 5000) || '... (truncated)' ELSE text END AS content FROM documents WHERE ends_with(source, '1')")
 def s24_collect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a suffix, long ones cut with a mark (the cut is the feature)."""
+    """Files of a suffix, those over 50,000 characters cut with a mark (the cut is the feature)."""
     d = table(spark, sf_dir, "documents").where(F.endswith("source", F.lit("1")))
-    return d.select("doc_id", F.when(F.length("text") > 5000, F.concat(F.substring("text", 1, 5000), F.lit("... (truncated)"))).otherwise(F.col("text")).alias("content"))
+    return d.select("doc_id", F.when(F.length("text") > 50_000, F.concat(F.substring("text", 1, 50_000), F.lit("\n\n... [File truncated for analysis] ..."))).otherwise(F.col("text")).alias("content"))
 
 
 # ---- logs ---------------------------------------------------------------------------------------------------------
