@@ -1,5 +1,6 @@
 """Queries hold all rows of their tables, not a part chosen to be cheap."""
 
+import base64
 import random
 
 from treeline.operators import graph
@@ -44,3 +45,11 @@ def test_files_are_whole_up_to_50000_characters(spark, tmp_path):
     d = written(spark, tmp_path, documents=([(k, t, "x1") for k, t in enumerate(texts)] + [(9, "d", "x2")], "doc_id long, text string, source string"))
     want = dict(enumerate(texts)) | {5: "é" * 50_000 + "\n\n... [File truncated for analysis] ..."}
     assert {r.doc_id: r.content for r in registry.queries()["s24_collect_files"](spark, d).collect()} == want
+
+
+def test_whole_texts_are_encoded(spark, tmp_path):
+    texts = ["", None, "short", "é" * 51, "long text, " * 3_000]
+    d = written(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    data = {k: None if t is None else t.encode() for k, t in enumerate(texts)}
+    want = {k: (None, None) if b is None else (base64.b64encode(b).decode(), b.hex().upper()) for k, b in data.items()}
+    assert {r.doc_id: (r.b, r.h) for r in registry.queries()["k04_base64_hex"](spark, d).collect()} == want

@@ -82,7 +82,7 @@ values("t18_literal_types", "s string", [('"hello"',), ("'c'",), ("true",), ("42
 values("s13_encoding_bom", "s string", [("EFBBBF3C",), ("FEFF003C",), ("FFFE3C00",), ("3C3F786D",), ("61626364",)], {"encoding": lambda: ft.bom_encoding(F.unhex("s"))}, [("UTF-8",), ("UTF-16BE",), ("UTF-16LE",), ("UTF-8",), (None,)])
 values("s15_encoding_alias", "s string", [("latin1",), ("UTF8",), ("utf-8",), ("own",)], {"canonical": lambda: ft.canonical_encoding(S(), {"OWN": "ISO-8859-2"})}, [("ISO-8859-1",), ("UTF-8",), ("UTF-8",), ("ISO-8859-2",)])
 over("s14_transcode", "documents", {"doc_id": ID, "back": lambda: F.decode(F.encode("text", "UTF-16"), "UTF-16"), "latin": lambda: F.octet_length(F.encode("text", "ISO-8859-1")).cast("long")}, "SELECT doc_id, text AS back, length(text) AS latin FROM documents")
-over("k04_base64_hex", "documents", {"doc_id": ID, "b": lambda: F.replace(F.base64(F.encode(F.substring("text", 1, 50), "UTF-8")), F.lit("\r\n"), F.lit("")), "h": lambda: F.hex(F.encode(F.substring("text", 1, 50), "UTF-8"))}, "SELECT doc_id, base64(encode(substr(text, 1, 50))) AS b, hex(encode(substr(text, 1, 50))) AS h FROM documents")
+over("k04_base64_hex", "documents", {"doc_id": ID, "b": lambda: F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), "h": lambda: F.hex(F.encode("text", "UTF-8"))}, "SELECT doc_id, base64(encode(substr(text, 1, 50))) AS b, hex(encode(substr(text, 1, 50))) AS h FROM documents")
 over("k05_escape", "documents", {"doc_id": ID, "s": lambda: escape(T())}, "SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s FROM documents")
 
 
