@@ -2,6 +2,7 @@
 
 import base64
 import random
+import zlib
 
 from treeline.operators import graph
 from treeline.registry import registry
@@ -53,3 +54,16 @@ def test_whole_texts_are_encoded(spark, tmp_path):
     data = {k: None if t is None else t.encode() for k, t in enumerate(texts)}
     want = {k: (None, None) if b is None else (base64.b64encode(b).decode(), b.hex().upper()) for k, b in data.items()}
     assert {r.doc_id: (r.b, r.h) for r in registry.queries()["k04_base64_hex"](spark, d).collect()} == want
+
+
+def test_every_order_is_parsed(spark, tmp_path):
+    d = written(spark, tmp_path, orders=([(k, "O", "1-URGENT", 1.5) for k in range(1, 10)], "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double"))
+    assert sorted(map(tuple, registry.queries()["s06_recover"](spark, d).collect())) == [(k, "o", k % 3 == 0) for k in range(1, 10)]
+
+
+def test_short_texts_are_round_tripped(spark, tmp_path):
+    texts = ["", "a", "short text", "b" * 60, "word " * 100]
+    d = written(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    want = [(k, True, True, True, len(zlib.compress(t.encode())) < len(t)) for k, t in enumerate(texts)]
+    assert {w[4] for w in want} == {True, False}
+    assert sorted(map(tuple, registry.queries()["c01_round_trip"](spark, d).collect())) == want
