@@ -97,3 +97,13 @@ def test_keep_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
     assert got == sorted([(3, "same words here again"), (8, "quite another text of its own"), (None, "no id at all in this one")], key=str)
+
+
+def test_keep_one_of_each_group_when_ids_repeat(spark):
+    near, far, other = "same words here again", "quite another text of its own", "and one that is like no other"
+    rows = [(5, near), (5, far), (5, far), (7, other), (3, "Same words here AGAIN"), (9, "first of an id twice"), (9, "second text, which is unlike"), (None, "No id in this one"), (None, "no id in this ONE")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str)
+    assert got == sorted([(3, near), (5, far), (7, other), (9, rows[5][1]), (9, rows[6][1].lower()), (None, "no id in this one")], key=str)

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -209,12 +210,8 @@ def link_buckets(fps: DataFrame, errors: int) -> DataFrame:
     return units.mapInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 4, errors: int = 4) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``.
-
-    ``fingerprint`` is 16 lowercase hex digits; ``component_id`` the smallest
-    doc_id reachable over links, the row's own included.
-    """
+def grouped(docs: DataFrame, size: int, errors: int) -> DataFrame:
+    """``doc_id, fp, root, component_id`` for every row of ``docs``; ``root`` is a fingerprint of the row's component, ``component_id`` its least doc_id."""
     rows = common.settle(fingerprints(docs, size))
     classes = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     wide = classes.sparkSession
@@ -224,28 +221,50 @@ def near_duplicates(docs: DataFrame, *, size: int = 4, errors: int = 4) -> DataF
     roots = common.components(edges)
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
-    named = common.settle(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = linked.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    named = common.settle(classes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 4, errors: int = 4) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``.
+
+    ``fingerprint`` is 16 lowercase hex digits; ``component_id`` the smallest
+    doc_id reachable over links, the row's own included.
+    """
+    return grouped(docs, size, errors).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, size: int = 4, errors: int = 4) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the least id; all columns as they were.
 
-    Of rows that repeat an id only that of the least text hash stays; of rows
-    without an id whose group has none, one of each text.
+    Where several rows of a group have that id or no row of it has one, the
+    row of least text hash among them stays; ids that several groups share are
+    told apart by fingerprint.
     """
     names = docs.columns
-    near = common.settle(near_duplicates(docs, size=size, errors=errors).select("doc_id", "component_id"))
-    ids = common.settle(near.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    near = common.settle(grouped(docs, size, errors))
+    heads = common.settle(near.where("doc_id <=> component_id").groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")))
+    again = common.settle(near.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
-    chosen = lambda which: plain.join(ids.where(which).select("doc_id"), key.eqNullSafe(F.col("doc_id")), "left_semi")
-    once = chosen("n = 1 and doc_id is not null")
-    repeated = "n > 1 or doc_id is null"
-    if not ids.where(repeated).isEmpty():
-        row = F.struct(*plain.columns)
-        which = F.when(key.isNull(), F.xxhash64(text))
-        least = chosen(repeated).groupBy(key.alias("k"), which.alias("w")).agg(F.min_by(row, F.struct(F.xxhash64(text), text)).alias("row"))
+    alone = heads.where("doc_id is not null").join(again, "doc_id", "left_anti").select("doc_id")
+    once = plain.join(alone, key == F.col("doc_id"), "left_semi")
+    shared = common.settle(heads.where("doc_id is null").unionByName(heads.join(again, "doc_id", "left_semi")))
+    if not shared.isEmpty():
+        rows = plain.join(shared.select("doc_id").distinct(), key.eqNullSafe(F.col("doc_id")), "left_semi")
+        found = marked(rows, names.index("text"), size).join(shared.withColumnRenamed("fp", "head"), key.eqNullSafe(F.col("doc_id")) & (F.col("fp") == F.col("head")))
+        least = found.groupBy("root").agg(F.min_by(F.struct(*plain.columns), F.struct(F.xxhash64(text), text)).alias("row"))
         once = once.unionByName(least.select("row.*"))
     return once.toDF(*names)
+
+
+def marked(rows: DataFrame, at: int, size: int) -> DataFrame:
+    """All columns of ``rows`` and ``fp``, the fingerprint of the text at position ``at``."""
+    names = [*rows.columns, "fp"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.fromiter((fingerprint(t, size) for t in common.strings(batch.column(at))), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=names)
+
+    return common.arrow_map(rows, run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
