@@ -81,3 +81,12 @@ def test_edge_cases(spark):
     got = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
     assert (got[1], got[2], got[3], got[None], got[5]) == ("", "", "plain <text>", "", "") and got[6] == "a < b" and len(got[7]) == 499_999
     assert htmltext.main_text(df).count() == len(rows) and htmltext.main_text(df.limit(0)).collect() == []
+
+
+def test_an_unclosed_element_loses_no_later_text():
+    for tag in ("button", "object", "select", "noscript", "svg", "audio", "video", "canvas"):
+        page = htmltext.read_page(f"<p>before</p><{tag} x=1><p>after <{tag}>it</p>")
+        assert [r[1] for r in page.runs] == ["before", "after it"]
+    assert [r[1] for r in htmltext.read_page("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>").runs] == ["let x=1 be"]
+    for tag in ("script", "style", "title", "textarea", "iframe"):
+        assert [r[1] for r in htmltext.read_page(f"<p>before</p><{tag}><p>code</p>").runs] == ["before"]

@@ -35,11 +35,14 @@ TRAIN_PAGES = 1_200
 TREES, DEPTH, BINS, RATE = 80, 4, 32, 0.25
 
 # How HTML treats its elements.
-RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "select", "button", "audio", "video", "canvas", "noframes"}
+RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "object", "select", "button", "audio", "video", "canvas", "noframes"}
+#: Of these what is not closed runs to the page's end; of other raw elements only the tag is skipped then.
+ENDLESS = {"script", "style", "title", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "center", "nobr",
+    "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mspace", "mpadded", "semantics",
 }
 #: What an opening tag closes if it is the innermost open element of its kind.
 CLOSES = {
@@ -89,6 +92,7 @@ def read_page(source: str) -> Page:
     page, stack = Page(), [0]
     tags, parents, attrs, runs = page.tag, page.parent, page.attrs, page.runs
     held: list[str] = []
+    unclosed: set[str] = set()
     linked = links = 0
     at, n = 0, len(source)
 
@@ -128,9 +132,14 @@ def read_page(source: str) -> Page:
         name = name.lower()
         closing = m.group(1)
         if name in RAW:
-            if not closing and not m.group(3).endswith("/"):
+            if not closing and not m.group(3).endswith("/") and name not in unclosed:
                 end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.IGNORECASE).search(source, at)
-                at = end.end() if end else n
+                if end:
+                    at = end.end()
+                elif name in ENDLESS:
+                    at = n
+                else:
+                    unclosed.add(name)
             continue
         if name in INLINE:
             if name == "a":
