@@ -11,24 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from treeline.session import settle
+
 #: Dependencies that one task of :func:`layers` holds.
 BLOCK = 1_000_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder the cluster names; a folder of our own only where none is."""
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import tempfile
-
-            where = "file://" + tempfile.mkdtemp(prefix="treeline-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs ``(src, dst)`` with a path, semi-naive: each round extends only what the last one found."""
     edges = settle(edges.select("src", "dst").distinct())

@@ -41,3 +41,29 @@ def session(name: str = "treeline", master: str | None = None, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the star schema by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset and driver and executors are one process (tests, a
+    single machine) a folder of our own is made and set; elsewhere it is an
+    error, as no other machine would see that folder.
+    """
+    context = spark.sparkContext._jsc.sc()
+    where, held = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if where is None and held.isDefined():
+        where = held.get()
+    if where is None:
+        if not context.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="treeline-")
+    if held.isEmpty():
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, eagerly."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

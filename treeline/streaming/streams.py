@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from treeline.operators.graph import settle
+from treeline.session import shared_dir
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder where all executors can write: below ``spark.checkpoint.dir``."""
-    settle(spark.range(1))  # sets a checkpoint folder where the session has none
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
