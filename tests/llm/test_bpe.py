@@ -1,4 +1,6 @@
 import hashlib
+import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -55,6 +57,48 @@ def test_random_texts_agree(text):
 held: list = []
 
 
+def test_every_code_point_in_three_contexts(library):
+    coder = bpe.Coder(bpe.Tokenizer(PATH), None)
+    every = [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    # Private and never assigned planes: forty characters a text.
+    far = [c for c in every if not (c < "\U00034000" or "\U000e0000" <= c < "\U000e1000")]
+    crowds = ["a".join(far[k : k + 40]) for k in range(0, len(far), 40)]
+    every = [c for c in every if c < "\U00034000" or "\U000e0000" <= c < "\U000e1000"] + crowds
+    for form in ("a{0}b{0}1", "{0}'s \u0301{0}\u0315\u0300", "Z{0}{0}9!{0}"):
+        texts = [form.format(c) for c in every]
+        wrong = []
+        for at in range(0, len(texts), 20_000):
+            part = texts[at : at + 20_000]
+            for text, ids, want in zip(part, coder.encode(part), library.encode_batch(part, add_special_tokens=False), strict=True):
+                if np.frombuffer(ids, "<u4").tolist() != want.ids:
+                    wrong.append(text)
+        assert not wrong, (len(wrong), wrong[:10])
+
+
+def test_texts_of_many_scripts(library):
+    held = bpe.alphabet()
+    rng, coder = random.Random(5), bpe.Coder(bpe.Tokenizer(PATH), None)
+    odd = held.otherwise + held.apart + "".join(map(chr, held.lower)) + "".join(chr(a) + chr(b) for r in (held.letters, held.numbers, held.blanks) for a, b in r)
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.6 else rng.choice("aZé' 1!\u0301\u0315\u0300\u03a3") for _ in range(rng.randint(1, 20))) for _ in range(30_000)]
+    for text, ids, want in zip(texts, coder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, ascii(text)
+
+
+def test_long_words_are_not_remembered(library):
+    coder = bpe.Coder(bpe.Tokenizer(PATH), None)
+    texts = ["x" * 5_000 + " the", "語" * 4_000, "ab" * 40 + " ab"]
+    for text, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, coder.memo)) <= bpe.MEMO_CHARS
+
+
+def test_frequent_words_in_bounded_memory():
+    seen = bpe.Frequent(50)
+    for k in range(2_000):
+        seen.update([f"once{k}", "often", "often", "more"])
+    assert len(seen.seen) <= 50 and [w for w, _ in seen.top(2)] == ["often", "more"]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.text("abc", max_size=6).map(str.encode), st.lists(st.integers(0, 9), max_size=4).map(tuple), max_size=30))
 def test_lexicon_gives_back_its_entries_and_nothing_else(entries):

@@ -55,3 +55,70 @@ def test_edge_cases(spark):
     assert langid.identify(docs).count() == len(rows + odd)
     assert langid.identify(docs.limit(0)).collect() == []
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def bucket_of(gram):
+    """The bucket of an n-gram, by plain numbers."""
+    mask, h = (1 << 32) - 1, ord(gram[0]) * 0x9E3779B1 & 0xFFFFFFFF
+    for c, (shift, times, add) in zip(gram[1:], ((15, 0x85EBCA77, 0xC2B2AE3D), (13, 0x27D4EB2F, 0x165667B1))):
+        h = ((h ^ h >> shift) * times + ord(c) * add) & mask
+    return h >> (33 - langid.BUCKETS.bit_length())
+
+
+def slow_predictions(rows):
+    """Plain dictionaries: one centroid a language, cosine against each."""
+    import math
+    from collections import Counter
+
+    counts = [Counter(bucket_of(g) for g, n in slow_grams(t or "").items() for _ in range(n)) if any(c.isalpha() for c in t or "") else None for _, t, _ in rows]
+    train = [k for k, (i, _, l) in enumerate(rows) if l is not None and counts[k] and (i is None or zlib.crc32(str(i).encode()) % 5)]
+    df = Counter(b for k in train for b in counts[k])
+    idf = {b: math.log((1 + len(train)) / (1 + n)) + 0.1 for b, n in df.items()}
+
+    def unit(v):
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {b: x / size for b, x in v.items()} if size else v
+
+    vectors = [c and unit({b: math.log1p(n) * idf.get(b, 0.0) for b, n in c.items()}) for c in counts]
+    centroids = {}
+    for lang in sorted({rows[k][2] for k in train}):
+        once = {rows[k][1]: vectors[k] for k in train if rows[k][2] == lang}
+        total = Counter()
+        for v in once.values():
+            total.update(v)
+        centroids[lang] = unit(total)
+    out = []
+    for v in vectors:
+        scored = [(sum(x * c.get(b, 0.0) for b, x in v.items()), lang) for lang, c in centroids.items()] if v else []
+        best = max(scored, key=lambda s: s[0], default=(0.0, "und"))
+        out.append((best[1], min(1.0, max(0.0, best[0])), sorted((s for s, _ in scored), reverse=True)))
+    return out
+
+
+def test_whole_result_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = {"aa": "ba ke lo mi nu".split(), "bb": "strong works thrill".split(), "cc": "ño ñu éa çi".split(), "dd": ["𠀀𠀁", "𠀂"]}
+    rows = [(int(k), " ".join(rng.choice(words[lang], rng.integers(1, 9))), lang) for k, lang in enumerate(rng.choice(list(words), 120))]
+    rows += [(500, None, "aa"), (501, "12 .", "bb"), (502, "", None), (None, "ba ke", "aa"), (503, "𠀀", None), (504, "Strong ba", None)] + [rows[0]] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, centroids=1)
+    assert model.langs == sorted(words)
+    got = sorted(langid.identify(docs, model).collect(), key=lambda r: (str(r.doc_id), r.score))
+    want = sorted(zip(rows, slow_predictions(rows)), key=lambda r: (str(r[0][0]), r[1][1]))
+    for r, ((i, _, _), (lang, score, scored)) in zip(got, want, strict=True):
+        assert abs(r.score - score) < 1e-4, (r, score)
+        if not scored or len(scored) < 2 or scored[0] - scored[1] > 1e-4:
+            assert r.lang_pred == lang, (r, lang)
+
+
+def test_repeated_rows_and_languages_of_one_text(spark):
+    rows = [(1, "the cat and the dog", "en")] * 3_000 + [(3, "der hund", "de"), (4, "𠀀𠀁", "zh")]
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [zlib.crc32(str(k).encode()) % 5 > 0 for k in (1, 3, 4)] == [True] * 3
+    assert got == {(1, "en"), (3, "de"), (4, "zh")}
+
+
+def test_many_values_of_lang_are_bounded(spark):
+    rows = [(k, f"word{chr(97 + k % 26)} and more", f"l{k:04d}") for k in range(300)] + [(1_000 + k, "the cat", "en") for k in range(20)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=5)
+    assert len(set(model.langs)) == 5 and "en" in model.langs

@@ -9,23 +9,32 @@ the folder all executors share; Spark hands it to each executor once
 it doesn't hold are merged exactly, lowest merge rank first. The lexicon only
 decides speed: results are those of the tokenizer whatever it holds.
 
+Which characters are letters, numbers or blanks, their lower-case forms and
+their compositions differ between versions of Unicode, and the tokenizers
+library holds several of them. The driver asks the library once for every code
+point (:func:`alphabet`) and hands the answer to all workers, so that no result
+depends on the Unicode version of an executor's Python.
+
 Defined cases: a null or empty text has no token, the digest of nothing and the
 decoded text ''. Repeated rows and ties give equal rows. Texts are never cut.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 import mmap
 import re
+import sys
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +43,8 @@ from . import common
 
 #: Words compiled into the lexicon: a documented bound of the driver's work.
 LEXICON_WORDS = 40_000
-#: Words a worker remembers between batches; beyond it the memory is emptied.
-MEMO_WORDS = 300_000
+#: Words a worker remembers between batches; beyond it the memory is emptied. Longer ones than so many characters aren't remembered.
+MEMO_WORDS, MEMO_CHARS = 300_000, 64
 #: Bytes from which a word is merged with a heap.
 LONG_WORD = 200
 
@@ -52,10 +61,55 @@ def byte_letters() -> list[str]:
     return letters
 
 
+@dataclass(frozen=True)
+class Alphabet:
+    """How the tokenizers library sees characters: ranges of code points, and where it differs from this Python."""
+
+    letters: list[tuple[int, int]]
+    numbers: list[tuple[int, int]]
+    blanks: list[tuple[int, int]]
+    #: Lower-case forms, and the characters of which Python gives another.
+    lower: dict[int, str]
+    otherwise: str
+    #: Characters that the library's composition doesn't know: they stand alone there.
+    apart: str
+
+
+def in_class(ranges: list[tuple[int, int]], last: int = sys.maxunicode) -> str:
+    """The inside of a character class of those ranges up to a code point."""
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(min(b, last)))}" for a, b in ranges if a <= last)
+
+
+@functools.cache
+def alphabet() -> Alphabet:
+    """Ask the installed library about every code point, a few seconds once a process."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    whole = "".join(every)
+
+    def runs(kind: str) -> list[tuple[int, int]]:
+        found = pre_tokenizers.Split(Regex(f"{kind}+"), "removed", invert=True).pre_tokenize_str(whole)
+        return [(ord(run[0]), ord(run[-1])) for run, _ in found]
+
+    said = normalizers.Lowercase().normalize_str("\n".join(c for c in every if c != "\n")).split("\n")
+    lower = {ord(c): low for c, low in zip((c for c in every if c != "\n"), said, strict=True) if c != low}
+    otherwise = [c for c in every if lower.get(ord(c), c) != c.lower()]
+    # Composition: a character may differ only if it combines or takes part in a canonical decomposition.
+    compose, apart = normalizers.NFC().normalize_str, set()
+    for c in every:
+        parts = unicodedata.normalize("NFD", c)
+        if unicodedata.combining(c) and compose(pair := f"a\u0315{c}\u0300") != unicodedata.normalize("NFC", pair):
+            apart.add(c)
+        elif parts != c and not "\uac00" <= c <= "\ud7a3" and compose(parts) != unicodedata.normalize("NFC", parts):
+            apart.update(c, parts[1:])
+    return Alphabet(runs(r"\p{L}"), runs(r"\p{N}"), runs(r"\s"), lower, "".join(otherwise), "".join(sorted(apart)))
+
+
 class Tokenizer:
     """What a BPE file in the JSON format of the tokenizers library says, as plain tables."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, characters: Alphabet | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -64,14 +118,21 @@ class Tokenizer:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.general = regex.compile(split).findall
-        # The same split for texts of Latin-1 letters alone: there each class is a plain set, NFC changes nothing and
-        # white space only parts words.
-        kinds = [[re.escape(chr(c)) for c in range(256) if regex.match(p, chr(c))] for p in (r"\p{L}", r"\p{N}", r"\s")]
-        letters, numbers, blank = map("".join, kinds)
         after = "|".join(x[1:] for x in split.split("|") if x[0] == "'")
-        self.simple = re.compile(f"[{letters}]+|[{numbers}]|'(?:{after})|[^{blank}{letters}{numbers}]+").findall
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))))
+        held = characters or alphabet()
+
+        def splitter(last: int):
+            """The file's split for texts of characters up to ``last``; white space only parts words."""
+            letters, numbers, blanks = (in_class(r, last) for r in (held.letters, held.numbers, held.blanks))
+            return re.compile(f"[{letters}]+|[{numbers}]|'(?:{after})|[^{blanks}{letters}{numbers}]+").findall
+
+        # Small classes are faster: most texts need Latin-1 alone, nearly all others no more than the basic plane.
+        self.latin, self.basic, self.general = (splitter(n) for n in (0xFF, 0xFFFF, sys.maxunicode))
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+        self.lower = held.lower
+        self.otherwise = re.compile(f"[{re.escape(held.otherwise)}]").search if held.otherwise else None
+        self.apart = re.compile(f"([{re.escape(held.apart)}]+)") if held.apart else None
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.letters = byte_letters()
         names = {i: t for t, i in (self.ids | self.added).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
@@ -82,8 +143,16 @@ class Tokenizer:
             text.encode("latin-1")
         except UnicodeEncodeError:
             # A final capital sigma gets the form that it has elsewhere, as letters are looked at one by one.
-            return self.general(regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).replace("\u03a3", "\u03c3").lower())
-        return self.simple(text.lower())
+            text = self.composed(text).replace("\u03a3", "\u03c3")
+            text = text.translate(self.lower) if self.otherwise and self.otherwise(text) else text.lower()
+            return self.general(text) if self.beyond(text) else self.basic(text)
+        return self.latin(text.lower())
+
+    def composed(self, text: str) -> str:
+        """NFC as the library has it."""
+        if self.apart is None or self.apart.search(text) is None:
+            return unicodedata.normalize("NFC", text)
+        return "".join(x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(self.apart.split(text)))
 
     def segments(self, text: str) -> list[tuple[str, int | None]]:
         """The text between added tokens, and the added tokens with their ids, in order."""
@@ -275,24 +344,25 @@ class Coder:
         self.spelt = np.frombuffer(b"".join(spell), np.uint8)
         self.spelt_at = np.cumsum([0, *map(len, spell)])
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all words: those of short words are remembered, those of long ones are for this batch alone."""
         memo = self.memo
         if len(memo) + len(words) > MEMO_WORDS:
             memo.clear()
         new = [w for w in words if w not in memo]
         got = self.lexicon.lookup([w.encode("utf-8", "surrogatepass") for w in new]) if self.lexicon else [None] * len(new)
-        merge = self.tokenizer.merge
+        merge, long = self.tokenizer.merge, {}
         for w, ids in zip(new, got, strict=True):
-            memo[w] = np.asarray(merge(w), "<u4").tobytes() if ids is None else ids
+            (memo if len(w) <= MEMO_CHARS else long)[w] = np.asarray(merge(w), "<u4").tobytes() if ids is None else ids
+        return memo | long if long else memo
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         t, cut = self.tokenizer, []
         for text in texts:
             cut.append([(t.words(s) if i is None else [], i) for s, i in t.segments(text)] if text else [])
-        self.learn(set().union(*(words for parts in cut for words, _ in parts)))
-        memo = self.memo
-        return [b"".join(b"".join(map(memo.__getitem__, words)) if i is None else i.to_bytes(4, "little") for words, i in parts) for parts in cut]
+        known = self.learn(set().union(*(words for parts in cut for words, _ in parts)))
+        return [b"".join(b"".join(map(known.__getitem__, words)) if i is None else i.to_bytes(4, "little") for words, i in parts) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
         """The tokenizer's decode() without a decoder: its token strings, a blank between each two."""
@@ -312,31 +382,56 @@ class Coder:
         return out[:-1].tobytes()
 
 
-def count_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """How often each word of the corpus occurs, over all documents: ``(word, n)``.
+class Frequent:
+    """The most frequent words of a stream in bounded memory, by lossy counting.
+
+    Beyond ``room`` entries the least count that an entry must have goes up until
+    half are gone; a word that a task holds more often than that is never lost.
+    """
+
+    def __init__(self, room: int):
+        self.room, self.least, self.seen = room, 0, Counter()
+
+    def update(self, words: list[str]) -> None:
+        self.seen.update(words)
+        while len(self.seen) > self.room:
+            self.least += 1
+            if len(left := {w: n for w, n in self.seen.items() if n > self.least}) <= self.room // 2:
+                self.seen = Counter(left)
+
+    def top(self, n: int) -> list[tuple[str, int]]:
+        return sorted(self.seen.items(), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def count_words(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> DataFrame:
+    """How often the frequent words of the corpus occur, over all documents: ``(word, n)``.
 
-    Each batch is counted before anything is shuffled, so a third of all rows
-    with one text costs no more than others.
+    Each task counts its texts in bounded memory and hands on at most ``words``
+    rows, so what is shuffled is bounded by the number of tasks, and a third of
+    all rows with one text costs no more than others.
     """
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    held = alphabet()
 
-    def count(batch: pa.RecordBatch, t: Tokenizer) -> pa.RecordBatch:
-        seen: Counter[str] = Counter()
-        for text in common.strings(batch.column(0)):
-            for s, i in t.segments(text):
-                if i is None:
-                    seen.update(t.words(s))
-        return common.record(schema, list(seen), list(seen.values()))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, seen = Tokenizer(tokenizer_path, held), Frequent(8 * words)
+        for batch in batches:
+            for text in common.strings(batch.column(0)):
+                for s, i in t.segments(text):
+                    if i is None:
+                        seen.update([w for w in t.words(s) if len(w) <= LONG_WORD])
+        top = seen.top(words)
+        yield common.record(schema, [w for w, _ in top], [n for _, n in top])
 
-    counted = common.arrow_map(common.pick(docs, "text"), count, "word string, n long", setup=lambda: Tokenizer(tokenizer_path))
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+    common.session(docs.sparkSession)
+    return common.pick(docs, "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def publish_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the corpus' most frequent words and hand the file to every executor; returns its name."""
     spark = docs.sparkSession
     # Counts are binned by eighths of powers of two, so that the driver learns from a few hundred rows which words to take.
-    counted = common.settle(count_words(docs, tokenizer_path).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")))
+    counted = common.settle(count_words(docs, tokenizer_path, words).withColumn("bin", F.floor(8 * F.log2("n")).cast("int")))
     bins = counted.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")).toPandas()
     whole = bins[bins["k"].cumsum() <= words]
     top = counted.where(F.col("bin") >= int(whole["bin"].min())).select("word").toPandas()["word"] if len(whole) else []
@@ -373,5 +468,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = Fals
         more = [[np.frombuffer(x, "<i4") for x in ids]] * keep_ids + [decoded] * keep_text
         return common.record(schema, batch.column(0).cast(pa.int64()), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], digests, *more)
 
-    setup = lambda: Coder(Tokenizer(tokenizer_path), Lexicon.map(SparkFiles.get(name)))
+    held = alphabet()
+    setup = lambda: Coder(Tokenizer(tokenizer_path, held), Lexicon.map(SparkFiles.get(name)))
     return common.arrow_map(common.pick(docs, "doc_id", "text"), run, ddl, setup=setup)

@@ -13,36 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.session import ship
+from treeline.session import settle, shared_dir, ship
 
-#: Rows handed to Python at a time. Texts may be long, so batches stay short.
-BATCH_ROWS = 512
+#: Bytes handed to Python at a time: texts may be long, so rows alone are no bound. A longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Set what the Arrow operators need: short batches, so that long texts fit, and this package on the executors."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
-
+    """Set what the Arrow operators need: batches bounded in bytes, unless the session has a bound, and this package on the executors.
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, a single machine) a folder of our own is
-    made and set for this session.
+    Plans run after this returns, so the bound stays; nothing else of the session is touched.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if where is None and held.isDefined():
-        where = held.get()
-    if where is None:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="treeline-")
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    ship(spark)
+    if spark.conf.get(BOUND, None) is None:
+        spark.conf.set(BOUND, str(BATCH_BYTES))
+    return spark
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
@@ -50,12 +36,6 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, eagerly."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name.
 

@@ -8,17 +8,20 @@ nearly all training texts of that centroid is marked as rejected.
 
 Only text and lang of rows outside the held-out fifth are learned from: document
 frequencies over all of them, summed in each task before they are shuffled;
-centroids from about ``SAMPLE`` rows a language, chosen by hash. lang, source and
-doc_id are no inputs of a prediction. Texts are read whole and never shuffled
-but for that sample.
+centroids from about ``SAMPLE`` different texts a language, chosen by hash, of
+the ``LANGUAGES`` values of lang that most rows have. lang, source and doc_id are
+no inputs of a prediction. Texts are read whole and never shuffled: the sample's
+rows become vectors first, and copies are one row before they meet.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as is
-every text if nothing can be learned; ties go to the language that sorts first;
-repeated rows give equal rows; a null id is not held out.
+every text if nothing can be learned; a language of a single text, however often
+repeated, is learned from it; ties go to the language that sorts first; repeated
+rows give equal rows; a null id is not held out.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +36,12 @@ from .toxicity import held_out
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
-#: Rows a language that its centroids are fitted on, about.
+#: Different texts a language that its centroids are fitted on, about.
 SAMPLE = 800
+#: Languages that the model knows, those of the most rows: a bound of its size (128 KB each).
+LANGUAGES = 500
+#: Texts whose vectors are held at once.
+BLOCK = 256
 #: Of a centroid's training rows, the share that lies beyond its limit of distance.
 BEYOND = 0.002
 
@@ -44,14 +51,14 @@ _letters: list[np.ndarray] = []
 def letter_table() -> np.ndarray:
     """Whether each character is a letter."""
     if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x20000)] + [False]))
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
     return _letters[0]
 
 
 def grams(text: str) -> np.ndarray | None:
     """How often each bucket's n-grams occur; None if the text has no letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = letter_table()[np.minimum(codes, 0x20000)]
+    letter = letter_table()[codes]
     if not letter.any():
         return None
     # What is no letter parts words; a run of it counts once.
@@ -81,6 +88,11 @@ class Model:
     limits: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[bool]]:
+        """Language, score and whether it is rejected, of each text."""
+        parts = [self.block(texts[k : k + BLOCK]) for k in range(0, len(texts), BLOCK)]
+        return [x for p in parts for x in p[0]], np.concatenate([np.zeros(0), *(p[1] for p in parts)]), [x for p in parts for x in p[2]]
+
+    def block(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[bool]]:
         found = [grams(t) if t else None for t in texts]
         langs, scores, rejected = ["und"] * len(texts), np.zeros(len(texts)), [True] * len(texts)
         known = [k for k, g in enumerate(found) if g is not None]
@@ -110,49 +122,54 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.03) -> tu
     return c, own
 
 
-def learn(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """Fit a model on ``docs(doc_id, text, lang)`` outside the held-out fifth."""
     rows = common.pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and coalesce(crc32(cast(doc_id as string)) % 5, 1) <> 0")
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, langs = np.zeros(BUCKETS, np.int64), {}
+        df, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in common.strings(batch.column(0)):
                 if (g := grams(text)) is not None:
                     df += g > 0
-                    langs[lang] = langs.get(lang, 0) + 1
+                    total += 1
         held = np.flatnonzero(df)
-        yield common.record(schema, [None] * len(held) + list(langs), [*held.tolist(), *[-1] * len(langs)], [*df[held].tolist(), *langs.values()])
+        yield common.record(schema, [*held.tolist(), -1], [*df[held].tolist(), total])
 
-    common.session(docs.sparkSession)
-    counted = rows.select("text", "lang").mapInArrow(frequencies, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = {r.lang: int(r.n) for r in counted.itertuples() if r.bucket < 0}
-    total = sum(langs.values())
+    spark = common.session(docs.sparkSession)
+    counted = rows.select("text").mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = int(counted.loc[counted["bucket"] < 0, "n"].sum())
     idf = np.zeros(BUCKETS, np.float32)
     if not total:
         return Model(idf, [], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     grown = counted[counted["bucket"] >= 0]
     idf[grown["bucket"].to_numpy(np.int64)] = np.log((1 + total) / (1 + grown["n"].to_numpy(float))) + 0.1
-    share = F.create_map(*[x for lang, n in langs.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    # A row's draw depends on id and text, so that repeated ids can't crowd the sample.
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where(draw < share[F.col("lang")]).select("lang", "text")
-    held = docs.sparkSession.sparkContext.broadcast(idf)
-    out_schema = "lang string, centroid binary, edge double"
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = [vector(g, held.value) for t in sorted(rows["text"]) if (g := grams(t)) is not None]
-        if not vectors:
-            return pd.DataFrame({"lang": [], "centroid": [], "edge": []})
-        x = np.stack(vectors)
+    # Different texts are counted, and drawn by their hash, so that copies crowd no other text out; the one of least hash is always drawn.
+    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
+    known = lettered.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("texts"), F.min("h").alias("least"))
+    known = known.orderBy(F.desc("rows"), "lang").limit(languages).select("lang", "texts", "least")
+    drawn = (F.pmod("h", F.lit(1 << 20)) < F.lit(sample) / F.col("texts") * (1 << 20)) | (F.col("h") == F.col("least"))
+    chosen = lettered.join(F.broadcast(known), "lang").where(drawn).select("lang", "text", "h")
+    held = spark.sparkContext.broadcast(idf)
+    row = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("v", pa.binary())])
+
+    def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
+        once = {(lang, h): text for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+        got = [(lang, h, vector(g, held.value).tobytes()) for (lang, h), text in once.items() if (g := grams(text)) is not None]
+        return common.record(row, *map(list, zip(*got, strict=True))) if got else None
+
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.frombuffer(v, np.float32) for v in group.sort_values("h")["v"]])
         c, own = clusters(x, centroids)
         near = (x * c[own]).sum(1)
         used = [j for j in range(len(c)) if (own == j).any()]
         return pd.DataFrame({"lang": key[0], "centroid": [c[j].astype(np.float32).tobytes() for j in used], "edge": [float(np.quantile(near[own == j], BEYOND)) for j in used]})
 
-    fitted = chosen.groupBy("lang").applyInPandas(fit, out_schema).toPandas().sort_values(["lang", "centroid"])
-    return Model(idf, fitted["lang"].tolist(), np.stack([np.frombuffer(b, np.float32) for b in fitted["centroid"]]), fitted["edge"].to_numpy(float))
+    once = common.arrow_map(chosen, vectors, "lang string, h long, v binary").groupBy("lang", "h").agg(F.first("v").alias("v"))
+    fitted = once.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, edge double").toPandas().sort_values(["lang", "centroid"])
+    return Model(idf, fitted["lang"].tolist(), np.array([np.frombuffer(b, np.float32) for b in fitted["centroid"]], np.float32).reshape(-1, BUCKETS), fitted["edge"].to_numpy(float))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
