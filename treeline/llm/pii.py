@@ -7,7 +7,12 @@ The permutation depends on the key, the kind and the format alone, so equal
 values stay equal in every document, and whoever holds the key can invert it.
 
 It is a Feistel network over two halves of bits with BLAKE2b as round function,
-walked along its cycle until the value lies in the format's domain again.
+walked along its cycle until the value lies in the format's domain again. Values
+have no greatest length: long ones are permuted in pieces of ``PIECE`` characters,
+each by its place. Letters of any script stay letters of their block and case.
+
+The key is an argument; :func:`configured_key` takes it from the session's
+setting ``spark.treeline.pii.key`` and warns where only the example key is at hand.
 
 Each text is read once, where its lines hold a digit or an at sign; nothing is
 shuffled or gathered, so hot sources and copies cost what other rows cost.
@@ -21,21 +26,25 @@ another kind (a long number) holds for it.
 from __future__ import annotations
 
 import datetime
+import functools
 import ipaddress
 import json
 import re
+import warnings
 from collections import Counter
 from collections.abc import Callable
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
 #: For tests and examples; a deployment passes its own secret.
 EXAMPLE_KEY = b"treeline example key"
 ROUNDS = 8
+#: Characters of a long value that are permuted together.
+PIECE = 128
 
 # Month names of the four languages of the corpus.
 MONTHS = [
@@ -58,21 +67,24 @@ _MONTH = "|".join(sorted(MONTH_OF, key=lambda m: (-len(m), m)))
 #: In order of preference where several hold at one place.
 PATTERN = re.compile(
     rf"""
-    (?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{{1,64}}@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{0,8}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9]))
-    |(?P<secret>(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|secret|token|api[_ \-]?key|access[_ \-]?key)["']?[ ]?[=:][ ]?["']?(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{{6,512}})
-    |(?P<key>(?<![A-Za-z0-9_\-])(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xoxb-|xoxp-|AIza)[A-Za-z0-9_\-]{{16,255}}(?![A-Za-z0-9_\-]))
-    |(?P<hex>(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{{32,512}}|[0-9A-F]{{32,512}})(?![0-9A-Za-z]))
-    |(?P<iban>(?<![0-9A-Za-z])[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))
+    (?P<email>(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{{2,}}(?!\w))
+    |(?P<secret>(?<![A-Za-z0-9])(?i:password|passwd|passphrase|pwd|secret|token|api[_ \-]?key|access[_ \-]?key)["']?[ ]?[=:][ ]?["']?(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{{6,}})
+    |(?P<key>(?<![A-Za-z0-9_\-])(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk-|sk_live_|xoxb-|xoxp-|AIza)[A-Za-z0-9_\-]{{16,}}(?![A-Za-z0-9_\-]))
+    |(?P<hex>(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?![0-9A-Za-z]))
+    |(?P<iban>(?<![0-9A-Za-z])(?:[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?|[a-z]{{2}}[0-9]{{2}}(?=[a-z]*(?:[0-9][a-z]*){{10}})[a-z0-9]{{11,30}})(?![0-9A-Za-z]))
     |(?P<ip>(?<![0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9]|\.[0-9]))
     |(?P<ip6>(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}}(?![0-9A-Za-z:]))
     |(?P<iso>(?<![0-9\-])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![0-9]|-[0-9]))
     |(?P<day>(?<![0-9./\-])[0-9]{{1,2}}(?P<sep>[./\-])[0-9]{{1,2}}(?P=sep)[0-9]{{4}}(?![0-9]|[./\-][0-9]))
+    |(?P<short>(?<![0-9./\-])[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}(?![0-9]|[./\-][0-9]))
     |(?P<named>(?<![0-9A-Za-z])[0-9]{{1,2}}\.?[ ](?:de[ ])?(?i:{_MONTH})[ ](?:de[ ])?[0-9]{{4}}(?![0-9]))
     |(?P<first>(?<![A-Za-z])(?i:{_MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}}(?![0-9]))
-    |(?P<ssn>(?<![0-9\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9]|-[0-9]))
+    |(?P<ssn>(?<![0-9\-])[0-9]{{3}}(?P<gap>[- ])[0-9]{{2}}(?P=gap)[0-9]{{4}}(?![0-9]|-[0-9]))
     |(?P<phone>(?<![0-9A-Za-z+])\+[0-9]{{1,3}}(?:[ .\-]?\([0-9]{{1,4}}\)|[ .\-]?[0-9]{{1,12}})(?:[ .\-]?[0-9]{{2,12}}){{0,5}}(?![0-9])
-        |(?<![0-9(+.\-])(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9]|[.\-][0-9]))
-    |(?P<number>(?<![0-9])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{2}}[ \-][0-9]{{1,7}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}})(?![0-9]))
+        |(?<![0-9(+.\-])(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[ .\-])[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9]|[.\-][0-9])
+        |(?<![0-9/.\-+])0[0-9]{{1,4}}/[ ]?[0-9]{{4,9}}(?![0-9/])
+        |(?<!\w)(?i:tel|phone|telephone|mobile|cell|fax|telefon|handy|téléphone|teléfono|móvil)[.:]?[ ]{{1,2}}[0-9]{{8,15}}(?![0-9]))
+    |(?P<number>(?<![0-9])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ .\-][0-9]{{4}}){{2}}[ .\-][0-9]{{1,7}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}})(?![0-9]))
     """,
     re.VERBOSE,
 )
@@ -117,7 +129,9 @@ class Permuter:
                 return value
 
     def mix(self, half: int, k: int, tag: bytes, wide: int, mask: int) -> int:
-        return int.from_bytes(blake2b(half.to_bytes(wide, "big") + bytes([k]) + tag, key=self.key, digest_size=min(64, wide + 8)).digest(), "big") & mask
+        said, size = half.to_bytes(wide, "big") + bytes([k]) + tag, wide + 8
+        blocks = [blake2b(said + n.to_bytes(4, "big") * (n > 0), key=self.key, digest_size=min(64, size)).digest() for n in range(-(-size // 64))]
+        return int.from_bytes(b"".join(blocks), "big") & mask
 
     def string(self, text: str, alphabet: str, kind: str, holds: Callable[[str], bool] | None = None) -> str:
         """The image of ``text`` among the strings of its length over ``alphabet``."""
@@ -149,16 +163,45 @@ def is_digit(c: str) -> bool:
     return "0" <= c <= "9"
 
 
-def is_letter(c: str) -> bool:
-    return "a" <= c.lower() <= "z"
+@functools.cache
+def block_letters(block: int, cased: bool) -> str:
+    """The lower-case (or caseless) letters among 64 code points whose upper case is one letter that leads back."""
+    letters = (c for c in map(chr, range(64 * block, 64 * block + 64)) if c.isalpha() and c == c.lower() and (c.upper() != c) == cased)
+    return "".join(c for c in letters if not cased or (len(c.upper()) == 1 and c.upper().lower() == c))
+
+
+def alphabet(c: str) -> str:
+    """What a character may become, case aside; nothing if it stays."""
+    if c.isascii():
+        return DIGITS if c.isdigit() else LETTERS if c.isalpha() else ""
+    low = c.lower()
+    if len(low) != 1 or not c.isalpha() or c not in (low, low.upper()):
+        return ""
+    found = block_letters(ord(low) >> 6, low.upper() != low)
+    return found if low in found else ""
 
 
 def letters_and_digits(p: Permuter, text: str, kind: str) -> str:
-    """Letters among letters, digits among digits; all else stays."""
-    letters, digits = "".join(filter(is_letter, text)).lower(), "".join(filter(is_digit, text))
-    if letters:
-        text = refill(text, p.string(letters, LETTERS, kind), is_letter)
-    return refill(text, p.string(digits, DIGITS, kind), is_digit) if digits else text
+    """Letters among the letters of their block, digits among digits; case and all else stay."""
+    out = list(text)
+    places = [(k, a) for k, c in enumerate(text) if (a := alphabet(c))]
+    for at in range(0, len(places), PIECE):
+        part, value, size = places[at : at + PIECE], 0, 1
+        for k, a in part:
+            value, size = value * len(a) + a.index(text[k].lower()), size * len(a)
+        value = p.number(value, size, f"{kind}:{at}")
+        for k, a in reversed(part):
+            value, d = divmod(value, len(a))
+            out[k] = a[d].upper() if text[k].isupper() else a[d]
+    return "".join(out)
+
+
+def configured_key(spark: SparkSession) -> bytes:
+    """The session's key; without one the example key, of which a warning is given."""
+    held = spark.conf.get("spark.treeline.pii.key", None)
+    if held is None:
+        warnings.warn("spark.treeline.pii.key is unset: pseudonyms are made with the public example key", stacklevel=2)
+    return EXAMPLE_KEY if held is None else held.encode()
 
 
 def shifted(p: Permuter, year: int, month: int, day: int, late: bool = False) -> datetime.date | None:
@@ -195,7 +238,8 @@ def key(p: Permuter, text: str) -> str | None:
 def hexadecimal(p: Permuter, text: str) -> str | None:
     if not any(map(is_digit, text)):
         return None
-    new = p.string(text.lower(), HEX, "hex")
+    low = text.lower()
+    new = "".join(p.string(low[k : k + PIECE], HEX, f"hex{k or ''}") for k in range(0, len(low), PIECE))
     return new.upper() if text.upper() == text else new
 
 
@@ -203,8 +247,9 @@ def iban(p: Permuter, text: str) -> str | None:
     plain = text.replace(" ", "")
     if not 15 <= len(plain) <= 34 or mod97(plain) != 1:
         return None
-    body = letters_and_digits(p, plain[4:], f"iban{plain[:2]}").upper()
-    new = f"{plain[:2]}{98 - mod97(f'{plain[:2]}00{body}'):02d}{body}"
+    land = plain[:2].lower()
+    body = letters_and_digits(p, plain[4:].lower(), f"iban{land}")
+    new = f"{land}{98 - mod97(f'{land}00{body}'):02d}{body}"
     return refill(text, new, lambda c: c != " ")
 
 
@@ -254,6 +299,22 @@ def day(p: Permuter, text: str) -> str | None:
     return None
 
 
+def short(p: Permuter, text: str) -> str | None:
+    """A date whose year has two digits: one of 1950 to 2049."""
+    a, b, y = text.split("/")
+    wide = 2 if len(a) == 2 and len(b) == 2 else 1
+    begin, end = datetime.date(1950, 1, 1).toordinal(), datetime.date(2050, 1, 1).toordinal()
+    for d, m, late in ((a, b, False), (b, a, True)):  # month first only where day first makes no date
+        try:
+            at = datetime.date((1900 if int(y) >= 50 else 2000) + int(y), int(m), int(d)).toordinal() - begin
+        except ValueError:
+            continue
+        new = datetime.date.fromordinal(begin + p.number(at, end - begin, "short date", (lambda x: datetime.date.fromordinal(begin + x).day > 12) if late else None))
+        one, two = (new.month, new.day) if late else (new.day, new.month)
+        return f"{one:0{wide}d}/{two:0{wide}d}/{new.year % 100:02d}"
+    return None
+
+
 def named(p: Permuter, text: str) -> str | None:
     d, name, year = re.fullmatch(rf"(\d+)\.? (?:de )?({_MONTH}) (?:de )?(\d+)", text, re.IGNORECASE).groups()
     return by_name(p, text, d, name, year)
@@ -282,7 +343,7 @@ def valid_ssn(digits: str) -> bool:
 
 
 def ssn(p: Permuter, text: str) -> str | None:
-    digits = text.replace("-", "")
+    digits = text.replace("-", "").replace(" ", "")
     return refill(text, p.string(digits, DIGITS, "ssn", valid_ssn), is_digit) if valid_ssn(digits) else None
 
 
@@ -310,7 +371,7 @@ def number(p: Permuter, text: str) -> str | None:
 
 KINDS: dict[str, Callable[[Permuter, str], str | None]] = {
     "email": email, "secret": secret, "key": key, "hex": hexadecimal, "iban": iban, "ip": ip, "ip6": ip6, "iso": iso,
-    "day": day, "named": named, "first": first, "ssn": ssn, "phone": phone, "number": number,
+    "day": day, "short": short, "named": named, "first": first, "ssn": ssn, "phone": phone, "number": number,
 }
 
 
@@ -325,7 +386,7 @@ def pseudonyms(text: str, p: Permuter, found: Counter | None = None) -> str:
         done = end = len(text) if end < 0 else end
         place = begin
         while (m := PATTERN.search(text, place, end)) is not None:
-            kind = m.lastgroup if m.lastgroup != "sep" else "day"
+            kind = {"sep": "day", "gap": "ssn"}.get(m.lastgroup, m.lastgroup)
             new = KINDS[kind](p, m.group())
             place = m.end()
             if new is None and kind != "number" and (n := NUMBER.match(m.group())) and (new := number(p, n.group())):
@@ -344,7 +405,7 @@ NUMBER = re.compile(r"[0-9]{13,19}(?![0-9])")
 STEP = re.compile(r"[0-9]+|[A-Za-z]+|.", re.DOTALL)
 
 
-def pseudonymize(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, n_found long, kinds string`` per row; ``kinds`` counts what was replaced, as JSON."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_found", pa.int64()), ("kinds", pa.string())])
 
@@ -360,7 +421,7 @@ def pseudonymize(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
     return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "doc_id long, text string, n_found long, kinds string", setup=lambda: Permuter(key))
 
 
-def pseudonymize_rows(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+def pseudonymize_rows(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with ``text`` replaced and ``n_chars``, if there, counted again; all other columns as they were."""
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1

@@ -96,9 +96,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymize
+    from .pii import configured_key, pseudonymize
 
-    return pseudonymize(table(spark, sf_dir, "documents"))
+    return pseudonymize(table(spark, sf_dir, "documents"), configured_key(spark))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
