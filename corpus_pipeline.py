@@ -31,7 +31,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: personal data becomes pseudonyms of the same format."""
-    return pii.pseudonymize_rows(docs)
+    return pii.pseudonymize_rows(docs, pii.configured_key(spark))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
