@@ -27,6 +27,15 @@ def test_plain_text_stays():
         assert toxicity.restore(text, MODEL) == text
 
 
+def test_other_scripts_articles_doubles_and_numbers():
+    assert toxicity.restore("m\u043er\u043en", MODEL) == "moron" and toxicity.restore("\uff49\uff44\uff49\uff4f\uff54", MODEL) == "idiot"
+    assert toxicity.restore("\u043c\u043e\u0440\u043e\u0437", MODEL) == "\u043c\u043e\u0440\u043e\u0437"
+    assert "clown" in toxicity.restore("you are a c l o w n today", MODEL).split()
+    reader = toxicity.Reader(MODEL, {"=stupid": 0, "=idiot": 1, "=loser": 2, "=oil": 3})
+    assert reader.text("a stuupid one")[0] == {0} and reader.text("looserr")[0] == {2} and reader.text("idiot")[0] == {1}
+    assert reader.text("in 2020 or 1984 of 4")[0] == set()
+
+
 def slow_decode(token):
     """All readings of a token, scored one by one."""
     found = {}

@@ -5,7 +5,8 @@
 2. Disguised words are restored: a token that mixes letters with look-alike
    digits and signs, repeats letters or is spaced out becomes a lattice of the
    letters that it may stand for, and Viterbi takes the path of the highest
-   channel and model score. Plain tokens have a single path, themselves.
+   channel and model score. Letters of other scripts that look like Latin ones
+   and stand among them have two arcs. Plain tokens have a single path, themselves.
 3. A logistic regression over words and word beginnings of the restored text is
    fitted on at most ``TRAIN_ROWS`` labelled rows outside the held-out fifth,
    chosen by hash, and scores every document. A text that holds a feature which
@@ -50,6 +51,8 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
+# Letters of other scripts that look like a Latin one, each with it.
+HOMOGLYPHS = dict(zip("авекмнорстухіѕјԁԛԝαεικνορτυχ", "abekmhopctyxisjdqwaeiknoptux", strict=True)) | {chr(0xFF41 + k): c for k, c in enumerate(LETTERS)}
 #: Log costs of the channel: a look-alike, a letter said again, a sign put between letters, a look-alike put there, a sign that stands for itself.
 ALIKE, AGAIN, BETWEEN, STRAY, ITSELF = -1.0, -1.2, -1.5, -9.0, -8.0
 #: A feature must beat chance on the training rows by the logarithm of the number of features tried and so many nats more.
@@ -57,11 +60,18 @@ GAIN = 1.0
 #: A feature of at least this share of toxic rows speaks for itself, whatever else a text holds.
 PURE = 0.99
 
+#: Letters that are words of the corpus' languages.
+ALONE = "aeioyu"
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*·]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?![^\W_])")
 PLAIN = re.compile(r"[^\W\d_]+")
 EDGE = re.compile(r"^[^\w@$!|+(€£¡§]+|[^\w@$|+€£§]+$|(?<=\w)([@$|+€£§!(])\1{2,}$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 LETTER = re.compile(r"[^\W\d_]")
+LATIN = re.compile("[a-z]")
+GLYPH = re.compile(f"[{''.join(HOMOGLYPHS)}]")
+WIDE = re.compile("[\uff41-\uff5a]")
+DOUBLE = re.compile(r"([^\W\d_])\1+")
+SIGNS = re.compile(f"[{re.escape(''.join(LOOKALIKES))}]{{3,12}}")
 PARTS = re.compile(r"[^\W\d_]+")
 
 
@@ -124,7 +134,7 @@ def decode(token: str, model: list) -> str:
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     for c in token:
         letter = c.isalpha()
-        reads = [(c, 0.0)] if letter else [(x, ALIKE) for x in LOOKALIKES.get(c, "")]
+        reads = [(c, 0.0), *([(HOMOGLYPHS[c], ALIKE)] if c in HOMOGLYPHS else [])] if letter else [(x, ALIKE) for x in LOOKALIKES.get(c, "")]
         step: dict[tuple[int, int, str], tuple[float, str]] = {}
 
         def offer(key: tuple[int, int, str], score: float, said: str, step=step) -> None:
@@ -148,6 +158,8 @@ def decode(token: str, model: list) -> str:
 
 def disguised(token: str) -> bool:
     """Whether a token has more than one reading: look-alikes or signs among letters, or a letter three times."""
+    if not token.isascii() and (WIDE.search(token) or GLYPH.search(token) and LATIN.search(token)):
+        return True
     return not PLAIN.fullmatch(token) and LETTER.search(token) is not None or TRIPLE.search(token) is not None
 
 
@@ -157,8 +169,17 @@ def restore_token(token: str, model: list) -> str:
 
 
 def unspaced(text: str) -> str:
-    """Spaced-out words closed up: 'i d i o t' becomes 'i.d.i.o.t', one token of the lattice."""
-    return SPACED.sub(lambda m: re.sub(r"[ .\-_*·]{1,2}", ".", m.group()), text)
+    """Spaced-out words closed up: 'i d i o t' becomes 'i.d.i.o.t', one token of the lattice.
+
+    The first letter may be a word by itself, as in 'a c l o w n', so what
+    follows it is a token of its own too.
+    """
+
+    def closed(m: re.Match) -> str:
+        word = re.sub(r"[ .\-_*·]{1,2}", ".", m.group())
+        return f"{word} {word[2:]}" if word.count(".") > 3 and word[0] in ALONE else word
+
+    return SPACED.sub(closed, text)
 
 
 def restore(text: str, model: list) -> str:
@@ -196,6 +217,10 @@ class Reader:
         said = {f for w in words for f in features(w)}
         if self.numbers is None:
             return tuple(said)
+        # Repeated letters and numbers are mostly meant as they stand; only a learned word is read into them.
+        said |= {"=" + DOUBLE.sub(r"\1", w) for w in words if DOUBLE.search(w)}
+        if SIGNS.fullmatch(token):
+            said |= {"=" + w for w in PARTS.findall(decode(token, self.language))}
         return tuple(n for f in said if (n := self.numbers.get(f)) is not None)
 
     def text(self, text: str) -> tuple[set, int]:
