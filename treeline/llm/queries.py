@@ -92,7 +92,7 @@ FROM embeddings JOIN least ON start = vec_id LEFT JOIN counts ON a = vec_id
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .unigram import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), kind="bpe")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

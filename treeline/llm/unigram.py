@@ -1,16 +1,25 @@
-"""Operator 7: token counts of a unigram tokenizer by a count-only Viterbi.
-
-The vocabulary's pieces are an Aho-Corasick automaton. Text is parted at blanks
-as the tokenizers library's Metaspace does, and over each part dynamic
-programming carries, for each end, only the best score and the number of tokens
-on the way there; no path is kept. Ties go as in the library's Unigram model:
-of the ways to an end, that with the earliest last start stands unless a later
-one scores strictly higher, and a character that no single piece covers may be
-unknown, ten below the least score. An unknown stretch counts as the bytes of
-its pieces if the vocabulary has all of them, else as one token.
-
-A worker remembers the parts it has counted; texts are read once and never
-shuffled. The vocabulary's size is fixed by its file.
+"""Operator 7: token counts of a tokenizer by count-only dynamic programming.
+
+The vocabulary's pieces are an Aho-Corasick automaton. Text is parted before runs
+of blanks, which no piece crosses, and over each part dynamic programming carries
+what its ends need and no path:
+
+* Unigram vocabularies (``UnigramCounter``): for each end the best score and the
+  number of tokens on the way there. Ties go as in the tokenizers library's
+  Unigram model: of the ways to an end, that with the earliest last start stands
+  unless a later one scores strictly higher, and a character that no single piece
+  covers may be unknown, ten below the least score. An unknown stretch counts as
+  the bytes of its pieces if the vocabulary has all of them, else as one token.
+* Merge vocabularies (``MergeCounter``): for each end the last token of the
+  prefix that ends there and the number of tokens. Of the pieces that the
+  automaton reports at an end, the last token is the one that its left neighbour
+  leaves whole: merging the two pieces' text alone, highest score first and
+  leftmost among equals, gives just the two. Such neighbours all along are what
+  the merges of the whole text leave, so the counts are SentencePiece's own.
+
+A best score over merge ranks is no tokenizer's result, so the kind of the
+vocabulary decides. A worker remembers the short parts it has counted; texts are
+read once and never shuffled. The vocabulary's size is fixed by its file.
 
 Defined cases: a null or empty text has 0 tokens and score 0; repeated rows give
 equal rows; texts and words of any length are counted whole.
@@ -26,7 +35,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-MEMO_PARTS = 200_000
+#: Parts a worker remembers, none longer than so many characters; and pairs of pieces whose fit it remembers.
+MEMO_PARTS, MEMO_CHARS, MEMO_PAIRS = 200_000, 64, 500_000
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -40,7 +50,33 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Counts the tokens of texts."""
+    """What both kinds share: parts of a text, and the memory of counted ones."""
+
+    memo: dict[str, tuple[int, float]]
+
+    def part(self, text: str) -> tuple[int, float]:
+        raise NotImplementedError
+
+    def count(self, text: str) -> tuple[int, float]:
+        """Tokens and score of a whole text."""
+        if not text:
+            return 0, 0.0
+        memo, tokens, score = self.memo, 0, 0.0
+        for part in self.parts(text):
+            got = memo.get(part)
+            if got is None:
+                got = self.part(part)
+                if len(part) <= MEMO_CHARS:
+                    if len(memo) >= MEMO_PARTS:
+                        memo.clear()
+                    memo[part] = got
+            tokens += got[0]
+            score += got[1]
+        return tokens, score
+
+
+class UnigramCounter(Counter):
+    """Counts by the best score; the score is the sum of the parts' best."""
 
     def __init__(self, pieces: list[tuple[str, float]], unknown: int = 0):
         self.scores: dict[str, float] = {}
@@ -102,30 +138,93 @@ class Counter:
         held = set(text[begin : at + 1].encode("utf-8", "surrogatepass"))
         return len(text[begin : at + 1].encode("utf-8", "surrogatepass")) if held <= self.known_bytes else 1
 
-    def count(self, text: str) -> tuple[int, float]:
-        """Tokens and score of a whole text."""
-        if not text:
-            return 0, 0.0
-        memo, tokens, score = self.memo, 0, 0.0
+    def parts(self, text: str) -> list[str]:
         text = text.replace(" ", BLANK)
-        if text[0] != BLANK:
-            text = BLANK + text
-        for part in PARTS(text):
-            got = memo.get(part)
-            if got is None:
-                if len(memo) >= MEMO_PARTS:
-                    memo.clear()
-                got = memo[part] = self.part(part)
-            tokens += got[0]
-            score += got[1]
-        return tokens, score
+        return WORDS(text if text[0] == BLANK else BLANK + text)
+
+
+class MergeCounter(Counter):
+    """Counts what merging leaves; the score is the sum of the tokens' scores, unknown characters' aside."""
+
+    def __init__(self, pieces: list[tuple[str, float]]):
+        self.scores = {p: s for p, s in pieces if p and not SPECIAL(p)}
+        self.matches = ahocorasick.Automaton()
+        for piece in self.scores:
+            self.matches.add_word(piece, piece)
+        self.matches.make_automaton()
+        self.memo: dict[str, tuple[int, float]] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
+        self.whole: dict[str, bool] = {}
+
+    def parts(self, text: str) -> list[str]:
+        return RUNS(BLANK + text.replace(" ", BLANK))
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces that merging leaves of a short text."""
+        parts, scores = list(text), self.scores
+        while True:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                score = scores.get(parts[k] + parts[k + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, k
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def fit(self, left: str, right: str) -> bool:
+        """Whether two neighbours stay as they are."""
+        got = self.fits.get((left, right))
+        if got is None:
+            if len(self.fits) >= MEMO_PAIRS:
+                self.fits.clear()
+            got = self.fits[left, right] = self.merged(left + right) == [left, right]
+        return got
+
+    def reached(self, piece: str) -> bool:
+        """Whether merges lead to a piece at all."""
+        got = self.whole.get(piece)
+        if got is None:
+            got = self.whole[piece] = self.merged(piece) == [piece]
+        return got
+
+    def part(self, text: str) -> tuple[int, float]:
+        n = len(text)
+        #: The last token of each prefix, the number of tokens and their score; a character that no piece covers is its bytes.
+        last, count, score = [""] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
+        at = 0
+        for end, piece in self.matches.iter(text):
+            while at < end:
+                at += 1
+                if not last[at]:
+                    self.unknown(text, at, last, count, score)
+            stop, begin = end + 1, end + 1 - len(piece)
+            if not last[stop] and self.reached(piece) and (begin == 0 or self.fit(last[begin], piece)):
+                last[stop], count[stop], score[stop] = piece, count[begin] + 1, score[begin] + self.scores[piece]
+        while at < n:
+            at += 1
+            if not last[at]:
+                self.unknown(text, at, last, count, score)
+        return count[n], score[n]
+
+    def unknown(self, text: str, at: int, last: list[str], count: list[int], score: list[float]) -> None:
+        last[at], score[at] = text[at - 1], score[at - 1]
+        count[at] = count[at - 1] + len(text[at - 1].encode("utf-8", "surrogatepass"))
+
 
+#: Pieces that stand for no text: controls and bytes.
+SPECIAL = re.compile("<unk>|</?s>|<0x[0-9A-F]{2}>").fullmatch
+WORDS = re.compile(f"{BLANK}[^{BLANK}]*").findall
+RUNS = re.compile(f"{BLANK}+[^{BLANK}]*").findall
 
-PARTS = re.compile(f"{BLANK}[^{BLANK}]*").findall
 
+def token_counts(docs: DataFrame, model_path: str, *, kind: str) -> DataFrame:
+    """``doc_id, n_chars, n_tokens, best_score`` per row of ``docs``.
 
-def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, n_chars, n_tokens, best_score`` per row of ``docs``; ``n_chars`` are code points."""
+    ``kind`` says what the SentencePiece file holds: ``unigram`` or ``bpe``.
+    ``n_chars`` are code points; ``best_score`` is the sum of the tokens' scores.
+    """
+    counters = {"unigram": UnigramCounter, "bpe": MergeCounter}
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("best_score", pa.float64())])
 
     def run(batch: pa.RecordBatch, counter: Counter) -> pa.RecordBatch:
@@ -133,4 +232,4 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
         got = list(map(counter.count, texts))
         return common.record(schema, batch.column(0).cast(pa.int64()), list(map(len, texts)), [t for t, _ in got], [s for _, s in got])
 
-    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "doc_id long, n_chars long, n_tokens long, best_score double", setup=lambda: Counter(vocabulary(model_path)))
+    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "doc_id long, n_chars long, n_tokens long, best_score double", setup=lambda: counters[kind](vocabulary(model_path)))
