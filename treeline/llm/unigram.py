@@ -154,7 +154,6 @@ class MergeCounter(Counter):
         self.matches.make_automaton()
         self.memo: dict[str, tuple[int, float]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
 
     def parts(self, text: str) -> list[str]:
         return RUNS(BLANK + text.replace(" ", BLANK))
@@ -173,43 +172,38 @@ class MergeCounter(Counter):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fit(self, left: str, right: str) -> bool:
-        """Whether two neighbours stay as they are."""
-        got = self.fits.get((left, right))
-        if got is None:
-            if len(self.fits) >= MEMO_PAIRS:
-                self.fits.clear()
-            got = self.fits[left, right] = self.merged(left + right) == [left, right]
-        return got
-
-    def reached(self, piece: str) -> bool:
-        """Whether merges lead to a piece at all."""
-        got = self.whole.get(piece)
-        if got is None:
-            got = self.whole[piece] = self.merged(piece) == [piece]
+        """Whether two neighbours stay as they are; of nothing and a piece, whether merges lead to the piece at all."""
+        if len(self.fits) >= MEMO_PAIRS:
+            self.fits.clear()
+        got = self.fits[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return got
 
     def part(self, text: str) -> tuple[int, float]:
-        n = len(text)
-        #: The last token of each prefix, the number of tokens and their score; a character that no piece covers is its bytes.
+        n, fits, scores = len(text), self.fits.get, self.scores
+        #: The last token of each prefix, the number of tokens and their score.
         last, count, score = [""] * (n + 1), [0] * (n + 1), [0.0] * (n + 1)
-        at = 0
+        done = 0
         for end, piece in self.matches.iter(text):
-            while at < end:
-                at += 1
-                if not last[at]:
-                    self.unknown(text, at, last, count, score)
-            stop, begin = end + 1, end + 1 - len(piece)
-            if not last[stop] and self.reached(piece) and (begin == 0 or self.fit(last[begin], piece)):
-                last[stop], count[stop], score[stop] = piece, count[begin] + 1, score[begin] + self.scores[piece]
-        while at < n:
-            at += 1
-            if not last[at]:
-                self.unknown(text, at, last, count, score)
+            if end < done:
+                continue  # the last token that ends here is known
+            while done < end:  # no piece fitted: the character has none
+                self.unknown(text, done, last, count, score)
+                done += 1
+            begin = end + 1 - len(piece)
+            left = last[begin]
+            fit = fits((left, piece))
+            if fit if fit is not None else self.fit(left, piece):
+                done = end + 1
+                last[done], count[done], score[done] = piece, count[begin] + 1, score[begin] + scores[piece]
+        while done < n:
+            self.unknown(text, done, last, count, score)
+            done += 1
         return count[n], score[n]
 
     def unknown(self, text: str, at: int, last: list[str], count: list[int], score: list[float]) -> None:
-        last[at], score[at] = text[at - 1], score[at - 1]
-        count[at] = count[at - 1] + len(text[at - 1].encode("utf-8", "surrogatepass"))
+        """A character that no piece covers is its bytes."""
+        last[at + 1], score[at + 1] = text[at], score[at]
+        count[at + 1] = count[at] + len(text[at].encode("utf-8", "surrogatepass"))
 
 
 #: Pieces that stand for no text: controls and bytes.
