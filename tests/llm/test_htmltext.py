@@ -26,7 +26,7 @@ def test_query_on_the_tables(spark):
     pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     out = op10_main_text(spark, "/root/testdata/sf0.01").collect()
     assert len(out) == len(pages) and all(r.n_chars == len(r.text) and r.url == pages[r.page_id].url for r in out)
-    assert np.mean([r.text == template_text(pages[r.page_id].html) for r in out]) >= 0.98
+    assert np.mean([r.text == template_text(pages[r.page_id].html) for r in out]) >= 0.995
 
 
 def test_held_out_made_pages(model):
@@ -90,3 +90,39 @@ def test_an_unclosed_element_loses_no_later_text():
     assert [r[1] for r in htmltext.read_page("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>").runs] == ["let x=1 be"]
     for tag in ("script", "style", "title", "textarea", "iframe"):
         assert [r[1] for r in htmltext.read_page(f"<p>before</p><{tag}><p>code</p>").runs] == ["before"]
+
+#: Pages written by hand, apart from the generator, and their articles.
+HAND = [
+    ('<html><body><ul class="menu"><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul><h1>The river rises</h1><p>The river rose two metres over night, and the town woke to water.</p><p>Nobody was hurt, the mayor said, but the bridge is closed.</p></body></html>', 'The river rises\n\nThe river rose two metres over night, and the town woke to water.\n\nNobody was hurt, the mayor said, but the bridge is closed.'),
+    ('<html><body><table width="100%"><tr><td><a href="/">Home</a><br><a href="/a">About</a><br><a href="/n">News</a></td><td><h2>The river rises</h2><p>The river rose two metres over night, and the town woke to water.</p><p>Nobody was hurt, the mayor said, but the bridge is closed.</p></td></tr></table></body></html>', 'The river rises\n\nThe river rose two metres over night, and the town woke to water.\n\nNobody was hurt, the mayor said, but the bridge is closed.'),
+    ('<html><body><article><h1>Short</h1><p>It rained.</p></article><footer>c 2020 Site</footer></body></html>', 'Short\n\nIt rained.'),
+    ('<html><body><div id="main"><h1>The river rises</h1><p>The river rose two metres over night, and the town woke to water.</p></div><div id="sidebar"><h3>About us</h3><p>We are a small paper, founded long ago, with many readers.</p></div></body></html>', 'The river rises\n\nThe river rose two metres over night, and the town woke to water.'),
+    ('<html><body><article><h1>Sums</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be the start.</p><p>Then all is clear, as we shall see.</p></article></body></html>', 'Sums\n\nLet x=1 be the start.\n\nThen all is clear, as we shall see.'),
+    ('<h1>Only text</h1><p>First of all, a paragraph without any page around it.</p><p>And a second one, as plain as that.</p>', 'Only text\n\nFirst of all, a paragraph without any page around it.\n\nAnd a second one, as plain as that.'),
+    ('<html><body><nav><a href="/">Home</a></nav><div class="content"><h1>A tale</h1><p>Once there was a king, and he had three sons.</p><p>The first went out, and did not come back.</p></div><div id="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b> <p>Lovely tale, thank you so much!</p></div><div class="comment"><b>Bob</b> <p>I did not like it.</p></div></div></body></html>', 'A tale\n\nOnce there was a king, and he had three sons.\n\nThe first went out, and did not come back.'),
+]
+
+
+@pytest.mark.parametrize("source, want", HAND)
+def test_hand_written_pages(model, source, want):
+    assert htmltext.extract([source], model) == [want]
+
+
+def test_elements_that_hold_text():
+    assert [r[1] for r in htmltext.read_page("<p>see <object data=x>a <b>plan</b></object> of <canvas>it</canvas></p>").runs] == ["see a plan of it"]
+    assert [r[1] for r in htmltext.read_page("<p>one</p><noscript><p>two</p></noscript><p>three <button>no</button>four").runs] == ["one", "two", "three four"]
+
+
+def test_deep_nesting_with_unmatched_tags_is_linear():
+    import time
+
+    begin = time.process_time()
+    page = htmltext.read_page("<div>" * 20_000 + "</p></td></nosuch>" * 20_000 + "end")
+    assert len(page.tag) == 20_001 and page.runs[-1][1] == "end" and time.process_time() - begin < 2
+
+
+def test_the_fitted_trees_are_those_of_a_new_fit(model):
+    new = htmltext.fit()
+    x = np.concatenate([htmltext.node_features(htmltext.made_page(seed)[0]) for seed in range(80_000, 80_060)])
+    a, b = model.log_odds(x), new.log_odds(x)
+    assert np.mean((a > 0) == (b > 0)) > 0.999 and np.median(np.abs(a - b)) < 1e-3

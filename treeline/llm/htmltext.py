@@ -8,18 +8,25 @@ programming over the tree finds the most probable labels under the rule that
 below a dropped node everything is dropped, so no choice contradicts another.
 
 The trees are trained on pages made by ``made_page``, whose labels are known by
-construction: ``TRAIN_PAGES`` pages from a fixed seed, on the driver, the same
-for every table. Pages are read whole, one at a time, and never shuffled.
+construction: ``TRAIN_PAGES`` pages from a fixed seed, the same for every table.
+The fitted trees lie beside this module in ``main_text_trees.json``;
+``python -m treeline.llm.htmltext`` fits them anew and a test holds the file
+against a new fit. Pages are read whole, one at a time, and never shuffled.
 
 Defined cases: null and empty html give ''; html without tags is a single block;
-unclosed tags, comments and scripts end with the page; repeated rows give equal
-rows; white space within a block, also non-breaking, becomes one blank.
+unclosed tags, comments and scripts end with the page; controls of forms
+(``button``, ``select``) have no text; what ``object``, ``audio``, ``video`` and
+``canvas`` hold is text of the block around them, ``noscript`` is a block of its
+own; repeated rows give equal rows; white space within a block, also
+non-breaking, becomes one blank.
 """
 
 from __future__ import annotations
 
 import functools
 import html as entities
+import json
+import os
 import random
 import re
 from collections.abc import Iterator
@@ -31,17 +38,19 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-TRAIN_PAGES = 1_200
-TREES, DEPTH, BINS, RATE = 80, 4, 32, 0.25
+TRAIN_PAGES = 2_400
+TREES, DEPTH, BINS, RATE = 140, 4, 32, 0.2
+#: The fitted trees.
+FITTED = os.path.join(os.path.dirname(os.path.abspath(__file__)), "main_text_trees.json")
 
 # How HTML treats its elements.
-RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "object", "select", "button", "audio", "video", "canvas", "noframes"}
-#: Of these what is not closed runs to the page's end; of other raw elements only the tag is skipped then.
+RAW = {"script", "style", "template", "title", "textarea", "iframe", "svg", "select", "button", "noframes"}
+#: Of these what is not closed runs to the page's end; of other raw elements, and of noscript, only the tag is skipped then.
 ENDLESS = {"script", "style", "title", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
-    "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "center", "nobr",
+    "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "picture", "center", "nobr", "object", "audio", "video", "canvas",
     "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mspace", "mpadded", "semantics",
 }
 #: What an opening tag closes if it is the innermost open element of its kind.
@@ -69,7 +78,7 @@ WORD_OF: dict[str, list[int]] = {}
 for _k, _v in enumerate(WORDS.values()):
     for _w in _v.split():
         WORD_OF.setdefault(_w, []).append(_k)
-TAGS = "html body div section article main nav header footer aside p h1 h2 h3 ul ol li dl table tr td form blockquote pre figure figcaption fieldset".split()
+TAGS = "html body div section article main nav header footer aside p h1 h2 h3 ul ol li dl table tr td form blockquote pre figure figcaption fieldset noscript td".split()
 TAG_OF = {t: k for k, t in enumerate(TAGS)}
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
@@ -95,6 +104,13 @@ def read_page(source: str) -> Page:
     unclosed: set[str] = set()
     linked = links = 0
     at, n = 0, len(source)
+    #: How many elements of each name are open, so that a closing tag without one costs nothing.
+    open_: dict[str, int] = {}
+
+    def cut(k: int) -> None:
+        for s in stack[k:]:
+            open_[tags[s]] -= 1
+        del stack[k:]
 
     def flush() -> None:
         nonlocal linked
@@ -131,16 +147,19 @@ def read_page(source: str) -> Page:
             continue
         name = name.lower()
         closing = m.group(1)
-        if name in RAW:
+        if name in RAW or name == "noscript" and not closing:
+            if name == "noscript" and name in unclosed:
+                continue
             if not closing and not m.group(3).endswith("/") and name not in unclosed:
-                end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.IGNORECASE).search(source, at)
+                end = closing_tag(name).search(source, at)
                 if end:
-                    at = end.end()
+                    at = end.end() if name in RAW else at
                 elif name in ENDLESS:
                     at = n
                 else:
                     unclosed.add(name)
-            continue
+            if name in RAW or name in unclosed:
+                continue
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
@@ -154,34 +173,40 @@ def read_page(source: str) -> Page:
         flush()
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_.get(name) else ():
                 if tags[stack[k]] == name:
-                    del stack[k:]
+                    cut(k)
                     break
             continue
-        if name == "html" or (name == "body" and "body" in (tags[s] for s in stack)):
+        if name == "html" or (name == "body" and open_.get("body")):
             continue
         while len(stack) > 1 and tags[stack[-1]] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if name in CLOSES:
             close = CLOSES[name]
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] in close:
-                    del stack[k:]
+                    cut(k)
                     if name not in ("tr", "tbody", "tfoot"):
                         break
                 elif tags[stack[k]] in SCOPE:
                     break
         elif tags[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6") and name[0] == "h" and name[1:].isdigit():
-            stack.pop()
+            cut(len(stack) - 1)
         parents.append(stack[-1])
         tags.append(name)
         attrs.append(m.group(3))
         stack.append(len(tags) - 1)
+        open_[name] = open_.get(name, 0) + 1
     flush()
     return page
 
 
+@functools.cache
+def closing_tag(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?=[\\s/>])[^>]*(?:>|\\Z)", re.IGNORECASE)
+
+
 def attribute_words(attrs: str) -> tuple[list[int], str]:
     """Kinds of words that the attributes hold, and the label of a made page."""
     found, label = [], ""
@@ -312,6 +337,19 @@ class Boosted:
             self.trees.append((which, cut, value))
             score += value[leaf]
 
+    def as_json(self) -> str:
+        trees = [[which.tolist(), cut.tolist(), [round(v, 6) for v in value.tolist()]] for which, cut, value in self.trees]
+        return json.dumps({"names": NAMES, "bias": round(self.bias, 6), "edges": [[float(f"{x:.7g}") for x in e.tolist()] for e in self.edges], "trees": trees})
+
+    @classmethod
+    def from_json(cls, text: str) -> Boosted:
+        held, out = json.loads(text), cls.__new__(cls)
+        if held["names"] != NAMES:
+            raise ValueError("the fitted trees are of other features: fit them anew")
+        out.bias, out.edges = held["bias"], [np.array(e) for e in held["edges"]]
+        out.trees = [tuple(map(np.array, t)) for t in held["trees"]]
+        return out
+
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c) for e, c in zip(self.edges, x.T, strict=True)], axis=1).astype(np.uint8)
 
@@ -365,6 +403,8 @@ class Maker:
         self.r = random.Random(seed)
         #: A page whose elements say by their names alone what they are.
         self.bare = self.r.random() < 0.3
+        #: A page whose article has no element around it.
+        self.alone = self.r.random() < 0.15
 
     def words(self, low: int, high: int) -> str:
         r, n = self.r, self.r.randint(low, high)
@@ -400,7 +440,17 @@ class Maker:
         tag = tags[0] if bare else self.r.choice(tags)
         return f"<{tag}{self.attrs(kind, 0, 0.95 if bare else 0.04 if tag == 'div' else 0.5)}>{inner}</{tag}>"
 
+    def bare_links(self) -> str:
+        """A menu that nothing but its links gives away."""
+        r, inner = self.r, self.links(2, 12)
+        return inner.replace("<ul>", '<ul data-t="0">', 1) if inner.startswith("<ul>") else f'<{(t := r.choice(["p", "div", "div"]))} data-t="0">{inner}</{t}>'
+
+    def scriptless(self) -> str:
+        return f'<noscript data-t="0">{self.r.choice(["<p>{}</p>", "{}"]).format(self.sentence(3, 14))}</noscript>'
+
     def menu(self) -> str:
+        if self.r.random() < 0.25:
+            return self.bare_links()
         return self.box("menu", ["nav", "nav", "div", "ul"], self.links(2, 12))
 
     def advert(self) -> str:
@@ -422,7 +472,7 @@ class Maker:
 
     def footer(self) -> str:
         r = self.r
-        inner = r.choice(["&copy; ", "", "(c) 2020 "]) + r.choice([f"{self.words(1, 2)}.com &middot; {self.sentence(2, 14)}", f"<p>{self.sentence(3, 20)}</p>", self.links(2, 8) + f"<p>{self.sentence(2, 9)}</p>", f"<div>{self.words(2, 8)}</div>" + self.links(1, 4)])
+        inner = r.choice(["&copy; ", "", "(c) 2020 "]) + r.choice([f"{self.words(1, 2)}.com &middot; {self.sentence(2, 14)}", f"<p>{self.sentence(3, 20)}</p>", self.links(2, 8) + f"<p>{self.sentence(2, 9)}</p>", f"<div>{self.words(2, 8)}</div>" + self.links(1, 4), self.words(1, 3)])
         return self.box("footer", ["footer", "footer", "div", "section"], inner)
 
     def header(self) -> str:
@@ -462,11 +512,14 @@ class Maker:
             return f"<figure><img src=x><figcaption>{self.sentence(2, 14)}</figcaption></figure>"
         if x < 0.96:
             return "<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(r.randint(1, 5))) + "</table>"
+        if x < 0.967:
+            return f"<noscript>{self.sentence(3, 20)}</noscript>"
         return f"<div>{self.sentence(5, 60)}</div>" if x < 0.98 else f"<pre>{self.words(5, 30)}</pre>"
 
     def article(self) -> str:
         r = self.r
-        parts = [f"<h1>{self.words(1, 12)}</h1>"] if r.random() < 0.9 else []
+        h = r.choice(["h1", "h1", "h1", "h2", "h2"])
+        parts = [f"<{h}>{self.words(1, 12)}</{h}>"] if r.random() < 0.9 else []
         if parts and r.random() < 0.15:
             parts = [f'<header data-t="1">{parts[0]}</header>']
         for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14, 30])):
@@ -476,6 +529,8 @@ class Maker:
         if r.random() < 0.15:
             parts.append(self.share())
         inner = "".join(parts)
+        if self.alone:  # no element of its own
+            return inner
         tag = "article" if self.bare else r.choice(["article", "article", "div", "main", "section"])
         if r.random() < 0.25:
             inner = f"<div{self.attrs('content', 1, 0.4)}>{inner}</div>"
@@ -487,9 +542,19 @@ class Maker:
         if r.random() < 0.35:
             middle = [*some(0.5, self.side), *middle]
         inner = "".join(middle)
+        if r.random() < 0.15:  # a table for layout
+            cells = [f'<td{r.choice(["", " width=200", " valign=top"])} data-t="0">{r.choice([self.links, self.links, lambda a, b: self.side()])(2, 9)}</td>', f"<td>{inner}</td>"]
+            if r.random() < 0.3:
+                cells.append(f'<td data-t="0">{self.side()}</td>')
+            if r.random() < 0.2:
+                cells.reverse()
+            rows = [*([f'<tr data-t="0"><td colspan=3>{r.choice([self.words(1, 4), self.links(2, 6)])}</td></tr>'] if r.random() < 0.4 else []), f"<tr>{''.join(cells)}</tr>"]
+            if r.random() < 0.3:
+                rows.append(f'<tr data-t="0"><td colspan=3>{self.sentence(2, 8)}</td></tr>')
+            inner = f"<table{r.choice(['', ' border=0', ' width=100%'])}>{''.join(rows)}</table>"
         for _ in range(r.choice([0, 0, 1, 1, 2])):
             inner = f"<{(w := r.choice(['div', 'div', 'main', 'section']))}{self.attrs('content', 1, 0.5)}>{inner}</{w}>"
-        top = [*some(0.35, self.notice), *some(0.5, self.header), *some(0.75, self.menu), *some(0.4, self.advert)]
+        top = [*some(0.1, self.scriptless), *some(0.35, self.notice), *some(0.5, self.header), *some(0.75, self.menu), *some(0.4, self.advert)]
         if r.random() < 0.3:
             r.shuffle(top)
         end = [*some(0.15, self.notice, self.form, self.side), *some(0.8, self.footer)]
@@ -507,12 +572,19 @@ def made_page(seed: int) -> tuple[Page, list[int]]:
     return page, labels
 
 
-@functools.cache
-def trained(pages: int = TRAIN_PAGES) -> Boosted:
+def fit(pages: int = TRAIN_PAGES) -> Boosted:
+    """Fit the trees on made pages."""
     made = [made_page(seed) for seed in range(pages)]
     return Boosted(np.concatenate([node_features(p) for p, _ in made]), np.concatenate([y for _, y in made]).astype(float))
 
 
+@functools.cache
+def trained() -> Boosted:
+    """The trees fitted before."""
+    with open(FITTED, encoding="utf-8") as f:
+        return Boosted.from_json(f.read())
+
+
 def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``."""
     held = pages.sparkSession.sparkContext.broadcast(model or trained())
@@ -523,3 +595,8 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
         return common.record(schema, batch.column(0).cast(pa.int64()), batch.column(1), texts, list(map(len, texts)))
 
     return common.arrow_map(common.pick(pages, "page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    with open(FITTED, "w", encoding="utf-8") as out:
+        out.write(fit().as_json())
