@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from treeline.llm import decontaminate as dc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,7 +54,7 @@ def test_against_brute_force(spark):
 def test_several_passes_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(dc, "PASS_WORDS", 20)
     docs, items = frames(spark)
-    assert len(dc.indexes(items, 13)) > 1
+    assert dc.passes(items)[1] > 1
     assert rows(dc.contamination(docs, items)) == sorted(slow(DOCS, ITEMS), key=str)
     kept = sorted(((r.doc_id, r.text) for r in dc.decontaminate(docs, items).collect()), key=str)
     bad = {d[0] for d in slow(DOCS, ITEMS) if d[5]}
@@ -75,10 +77,33 @@ def test_several_passes_remove_rows_by_their_own_hits(spark, monkeypatch):
     for most in (2_000_000, 20):
         monkeypatch.setattr(dc, "PASS_WORDS", most)
         out = dc.decontaminate(docs, items)
-        assert (len(dc.indexes(items, 13)) > 1) == (most == 20) and out.columns == docs.columns
+        assert (dc.passes(items)[1] > 1) == (most == 20) and out.columns == docs.columns
         assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
 
 
+def test_spans_are_cut_in_any_number_of_passes(spark, monkeypatch):
+    docs, items = frames(spark)
+    one = {(r.doc_id, r.cleaned) for r in dc.contamination(docs, items, spans=True).collect()}
+    monkeypatch.setattr(dc, "PASS_WORDS", 20)
+    assert {(r.doc_id, r.cleaned) for r in dc.contamination(docs, items, spans=True).collect()} == one
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(dc, "hashed", lambda ids, starts, length, factor=None: np.zeros(len(starts), np.uint64))
+    held = dc.Index([(str(i), t) for i, t in ITEMS if i is not None])
+    texts = [t or "" for _, t in DOCS]
+    _, hit, found = dc.scanned(texts, held)
+    for k, ((_, _, n_hit, _, names, _), t) in enumerate(zip(slow(list(enumerate(texts)), [x for x in ITEMS if x[0] is not None]), texts, strict=True)):
+        assert int(hit[k].sum()) == n_hit and hashlib.sha256(",".join(sorted(found.get(k, ()))).encode()).hexdigest() == names, t
+
+
+def test_many_equal_items_are_one_window():
+    held = dc.Index([(str(k), LONG) for k in range(2_000)])
+    assert len(held.lengths) == 1 and len(held.lengths[0].hashes) == 18
+    n, hit, found = dc.scanned([f"x {LONG} y"], held)
+    assert (n.tolist(), int(hit[0].sum()), len(found[0])) == ([32], 30, 2_000)
+
+
 def test_spans_are_cut(spark):
     docs, items = frames(spark)
     cleaned = {r.doc_id: r.cleaned for r in dc.contamination(docs, items, spans=True).collect()}
