@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from treeline.llm import neargraph
 from treeline.llm.neargraph import Settings
@@ -34,7 +35,7 @@ def slow(rows, least=0.95):
 
 
 def collect(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)
+    return sorted((tuple(r)[:4] for r in df.collect()), key=str)
 
 
 def cloud(n, groups, seed=0):
@@ -54,12 +55,56 @@ def test_one_part_agrees_with_brute_force(spark):
 
 def test_many_overlapping_shards(spark):
     rows = cloud(900, 30, 1)
-    out = neargraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Settings(shard=120, margin=12.0))
+    out = neargraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Settings(shard=120))
     got, want = collect(out), slow(rows)
     assert sum(min(a[1], b[1]) for a, b in zip(got, want, strict=True)) >= 0.98 * sum(b[1] for b in want)
     assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
 
 
+def linked_cloud(n, seed):
+    """Vectors of which many link at cosines just above the limit."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 32))
+    for k in range(0, n - 1, 3):
+        side = rng.normal(size=32)
+        side -= side @ x[k] / (x[k] @ x[k]) * x[k]
+        c = rng.uniform(0.951, 0.97)
+        x[k + 1] = c * x[k] / np.linalg.norm(x[k]) + np.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    return [(int(k), [float(np.float32(v)) for v in row]) for k, row in enumerate(x)]
+
+
+def test_links_near_the_limit_count_on_both_sides(spark):
+    rows = linked_cloud(1_500, 5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {r[0]: r[1] for r in slow(rows)}
+    for s in (Settings(shard=200), Settings(shard=200, centroids=8)):  # one level of centroids, and two
+        out = neargraph.near_duplicates(df, s).collect()
+        got = {r.vec_id: r.n_links for r in out}
+        assert sum(got.values()) >= 0.9 * sum(want.values()) and all(got[k] <= want[k] for k in got)
+        assert out[0].recall >= s.floor
+        for k in range(0, 1_499, 3):  # a lone pair is found by both or by none
+            if want[k] == want[k + 1] == 1:
+                assert got[k] == got[k + 1]
+
+
+def test_parts_of_a_large_shard(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=16)
+    rows = [(k, [float(np.float32(v)) for v in centre + 0.12 * rng.normal(size=16)]) for k in range(400)]
+    rows += [(1_000 + k, [float(v) for v in rng.normal(size=16)]) for k in range(100)]
+    out = collect(neargraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Settings(shard=60)))
+    want = slow(rows)
+    assert sum(min(a[1], b[1]) for a, b in zip(out, want, strict=True)) >= 0.97 * sum(b[1] for b in want)
+    assert all(a[1] <= b[1] for a, b in zip(out, want, strict=True))
+
+
+def test_too_low_a_recall_is_an_error(spark):
+    rows = linked_cloud(300, 6)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    with pytest.raises(neargraph.RecallError):
+        neargraph.near_duplicates(df, Settings(floor=1.01, recall=1.01))
+
+
 def test_edge_cases(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(9, v), (4, v), (4, v), (7, [2.0, 4.0, 6.0]), (1, None), (2, []), (3, [0.0, 0.0, 0.0]), (5, [1.0, None, 2.0]), (6, [1.0, float("nan"), 2.0]), (8, [float("inf"), 1.0, 1.0]), (10, [1.0, 2.0]), (None, v), (11, [-1.0, -2.0, -3.0])]

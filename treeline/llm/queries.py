@@ -69,7 +69,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neargraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neargraph import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 OP6_SQL = """
