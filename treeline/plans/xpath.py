@@ -10,8 +10,13 @@
   per context node and joined back (no nested loops, no per-node evaluation),
 * ``//x`` is rewritten to the descendant axis where no predicate counts positions.
 
-Names are bound when compiling: unknown functions, variables and prefixes raise
-``XPathError`` there.
+* following and preceding nodes are found from the nearest context alone, nodes
+  below or above the contexts of a document by one sorted pass over it (no pair of
+  a context and a node is compared), unless a predicate counts positions,
+* node-sets compare by an equi-join on values, or by their least and greatest value.
+
+Names, numbers of arguments and node-sets where they are needed are checked when
+compiling: what doesn't fit raises ``XPathError`` there.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ from pyspark.sql import functions as F
 from treeline.functions import xpath as fx
 
 
+XML_NS = "http://www.w3.org/XML/1998/namespace"
+
+
 class XPathError(ValueError):
     """An expression that can't be parsed or bound."""
 
@@ -274,6 +282,24 @@ NUMBERS = {"number", "floor", "ceiling", "round", "count", "sum", "position", "l
 BOOLEANS = {"boolean", "not", "true", "false", "lang", "contains", "starts-with"}
 
 
+#: Functions by the least and greatest number of their arguments (no greatest: -1) and which of these must be node-sets.
+SIGNATURES = {
+    "last": (0, 0, ()), "position": (0, 0, ()), "count": (1, 1, (0,)), "id": (1, 1, ()), "local-name": (0, 1, (0,)), "namespace-uri": (0, 1, (0,)), "name": (0, 1, (0,)),
+    "string": (0, 1, ()), "concat": (2, -1, ()), "starts-with": (2, 2, ()), "contains": (2, 2, ()), "substring-before": (2, 2, ()), "substring-after": (2, 2, ()), "substring": (2, 3, ()),
+    "string-length": (0, 1, ()), "normalize-space": (0, 1, ()), "translate": (3, 3, ()), "boolean": (1, 1, ()), "not": (1, 1, ()), "true": (0, 0, ()), "false": (0, 0, ()), "lang": (1, 1, ()),
+    "number": (0, 1, ()), "sum": (1, 1, (0,)), "floor": (1, 1, ()), "ceiling": (1, 1, ()), "round": (1, 1, ()), "-": (1, 1, ()),
+}
+
+
+def constant(expr: object) -> bool:
+    """Whether a scalar expression has the same value for every context node."""
+    if isinstance(expr, (Literal, Variable)):
+        return True
+    if isinstance(expr, Binary):
+        return expr.op != "|" and constant(expr.left) and constant(expr.right)
+    return isinstance(expr, Call) and expr.name in SIGNATURES and expr.name not in ("position", "last", "lang", "id") and (bool(expr.args) or expr.name in ("true", "false")) and all(map(constant, expr.args))
+
+
 def kind_of(expr: object) -> str:
     """The static type: ``set``, ``number``, ``string`` or ``boolean`` (``any`` for variables)."""
     if isinstance(expr, Literal):
@@ -310,6 +336,8 @@ class Value:
     kind: str
     column: Column | None = None
     nodes: DataFrame | None = None
+    #: A scalar that is the same in every row.
+    fixed: bool = False
 
 
 @dataclass
@@ -378,12 +406,19 @@ class XPath:
     # expressions
 
     def compile(self, expr: object, scope: Scope) -> Value:
+        got = self.compiled(expr, scope)
+        got.fixed = got.kind != "set" and constant(expr)
+        return got
+
+    def compiled(self, expr: object, scope: Scope) -> Value:
         if isinstance(expr, Literal):
             return Value("number" if isinstance(expr.value, float) else "string", F.lit(expr.value))
         if isinstance(expr, Variable):
             if expr.name not in self.variables:
                 raise XPathError(f"undefined variable ${expr.name}")
             value = self.variables[expr.name]
+            if isinstance(value, DataFrame):  # a node-set: the same for every context node of a document
+                return Value("set", nodes=scope.df.select("doc_id", F.col("pre").alias("o")).distinct().join(value.select(*NODE), "doc_id").select("o", *NODE))
             return Value("boolean" if isinstance(value, bool) else "string" if isinstance(value, str) else "number", F.lit(value if isinstance(value, (bool, str)) else float(value)))
         if isinstance(expr, Path):
             return Value("set", nodes=self.path(expr, scope))
@@ -409,17 +444,20 @@ class XPath:
             x, y = self.boolean(a, scope), self.boolean(b, scope)
             return (x == y if op == "=" else x != y) if equality else fx.compare(op, fx.boolean_to_number(x), fx.boolean_to_number(y))
         if a.kind == "set" and b.kind == "set":
-            if equality:
-                (x,), (y,) = (scope.attach(v.nodes, ("values", F.collect_set("value"))) for v in (a, b))
-                found = F.arrays_overlap(x, y) if op == "=" else (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(x) > 1) | (F.size(y) > 1) | (x[0] != y[0]))
-                return F.coalesce(found, F.lit(False))
+            if op == "=":
+                x, y = (v.nodes.select("doc_id", "o", "value").distinct() for v in (a, b))
+                (some,) = scope.attach(x.join(y, ["doc_id", "o", "value"], "left_semi"), ("same", F.count(F.lit(1))))
+                return F.coalesce(some > 0, F.lit(False))
+            if op == "!=":
+                # Some pair differs unless all values of both are one.
+                (x0, x1), (y0, y1) = (scope.attach(v.nodes, ("low", F.min("value")), ("high", F.max("value"))) for v in (a, b))
+                return F.coalesce((x0 != x1) | (y0 != y1) | (x0 != y0), F.lit(False)) & x0.isNotNull() & y0.isNotNull()
             # Some pair is in order if the least of one and the greatest of the other are.
             number = lambda c: F.nullif(fx.string_to_number(c), F.lit(fx.NAN))
             (x0, x1), (y0, y1) = (scope.attach(v.nodes, ("least", F.min(number(F.col("value")))), ("most", F.max(number(F.col("value"))))) for v in (a, b))
             return F.coalesce(fx.compare(op, x0, y1) if op[0] == "<" else fx.compare(op, x1, y0), F.lit(False))
         if "set" in (a.kind, b.kind):
             nodes, other, flip = (a.nodes, b, False) if a.kind == "set" else (b.nodes, a, True)
-            (values,) = scope.attach(nodes, ("values", F.collect_set("value")))
             if equality and other.kind == "string":
                 test = lambda x: x == other.column if op == "=" else x != other.column
             else:
@@ -429,6 +467,10 @@ class XPath:
                     test = lambda x: same(fx.string_to_number(x), wanted)
                 else:
                     test = lambda x: fx.compare(op, wanted, fx.string_to_number(x)) if flip else fx.compare(op, fx.string_to_number(x), wanted)
+            if other.fixed:
+                (hit,) = scope.attach(nodes, ("hit", F.max(test(F.col("value")))))
+                return F.coalesce(hit, F.lit(False))
+            (values,) = scope.attach(nodes, ("values", F.collect_set("value")))
             return F.coalesce(F.exists(values, test), F.lit(False))
         if not equality:
             return fx.compare(op, self.number(a, scope), self.number(b, scope))
@@ -441,6 +483,8 @@ class XPath:
 
     def call(self, expr: Call, scope: Scope) -> Value:
         name, args = expr.name, expr.args
+        if name not in self.functions:
+            self.check(name, args)
         if name in self.functions:
             return Value("string", self.functions[name](*[self.string(self.compile(a, scope), scope) for a in args]))
         here = Value("string", F.coalesce(F.col("value"), F.lit("")))
@@ -455,8 +499,6 @@ class XPath:
             return Value("number", F.col(name).cast("double"))
         if name == "count":
             v = own(0)
-            if v.kind != "set":
-                raise XPathError("count() takes a node-set")
             (n,) = scope.attach(v.nodes, ("count", F.count(F.lit(1))))
             return Value("number", F.coalesce(n, F.lit(0)).cast("double"))
         if name == "sum":
@@ -473,7 +515,7 @@ class XPath:
             return Value("string", F.coalesce(c, F.lit("")))
         if name == "lang":
             near = self.walk(scope.df, Step("ancestor-or-self", ("node",)), scope)
-            at = self.step_from(near, Step("attribute", ("name", None, "lang")))
+            at = self.step_from(near, Step("attribute", ("name", None, "*"))).where((F.col("name") == "lang") & (F.col("ns") == XML_NS))
             (value,) = scope.attach(at, ("lang", F.max_by("value", "level")))
             return Value("boolean", fx.lang_matches(value, text(0)))
         simple = {
@@ -486,7 +528,7 @@ class XPath:
             "substring-before": lambda: Value("string", fx.substring_before(text(0), text(1))),
             "substring-after": lambda: Value("string", fx.substring_after(text(0), text(1))),
             "normalize-space": lambda: Value("string", fx.normalize_space(self.string(first(), scope))),
-            "translate": lambda: Value("string", F.translate(text(0), args[1].value, args[2].value)),
+            "translate": lambda: Value("string", F.call_function("translate", text(0), text(1), text(2))),
             "boolean": lambda: Value("boolean", self.boolean(own(0), scope)),
             "not": lambda: Value("boolean", ~self.boolean(own(0), scope)),
             "true": lambda: Value("boolean", F.lit(True)),
@@ -496,10 +538,21 @@ class XPath:
             "ceiling": lambda: Value("number", fx.ceiling(self.number(own(0), scope))),
             "round": lambda: Value("number", fx.xround(self.number(own(0), scope))),
         }
-        if name not in simple:
-            raise XPathError(f"unknown function {name}()")
         return simple[name]()
 
+    def check(self, name: str, args: tuple) -> None:
+        """The function is known, has as many arguments as it takes, and node-sets where it takes them."""
+        if name not in SIGNATURES:
+            raise XPathError(f"unknown function {name}()")
+        least, most, sets = SIGNATURES[name]
+        if len(args) < least or 0 <= most < len(args):
+            raise XPathError(f"{name}() has {len(args)} arguments, not {least if least == most else f'{least} to {most}' if most >= 0 else f'{least} or more'}")
+        for k in sets:
+            if k < len(args) and kind_of(args[k]) not in ("set", "any"):
+                raise XPathError(f"{name}() takes a node-set")
+            if k < len(args) and isinstance(args[k], Variable) and not isinstance(self.variables.get(args[k].name), DataFrame):
+                raise XPathError(f"{name}() takes a node-set")
+
     def by_id(self, v: Value, scope: Scope) -> DataFrame:
         """Elements whose id attribute is one of the words of a string, or of a set's strings."""
         if v.kind == "set":
@@ -518,7 +571,7 @@ class XPath:
         elif expr.start == "root" and scope.top and expr.steps:
             rows, steps = self.from_top(rewrite(expr.steps))
             for step in steps:
-                rows = self.step_from(rows, step)
+                rows = self.step_from(rows, step, single=True)
             return rows
         elif expr.start == "root":
             tops = self.roots()
@@ -559,8 +612,27 @@ class XPath:
     def walk(self, rows: DataFrame, step: Step, scope: Scope) -> DataFrame:
         return self.step_from(rows.select(*NODE, F.col("pre").alias("o")), step)
 
-    def step_from(self, rows: DataFrame, step: Step) -> DataFrame:
-        """One step for rows ``(o, node...)``: join, filter by predicates, drop repeats."""
+    def step_from(self, rows: DataFrame, step: Step, single: bool = False) -> DataFrame:
+        """One step for rows ``(o, node...)``: join, filter by predicates, drop repeats. ``single``: each document has one origin."""
+        if not any(map(positional, step.predicates)):
+            found = None
+            if step.axis in ("following", "preceding"):
+                found = self.beyond(rows, step)
+            elif single and step.axis in ("descendant", "descendant-or-self"):
+                found = self.below(rows, step)
+            elif single and step.axis in ("ancestor", "ancestor-or-self"):
+                found = self.above(rows, step)
+            if found is not None:
+                # Each node is there once; a predicate that needs no positions needs no context.
+                found = found.withColumn("c", F.lit(0).cast("long"))
+                for p in step.predicates:
+                    found = self.filter(found, p, ["doc_id", "o", "c"], False)
+                return found.select("o", *NODE)
+        if step.axis == "namespace":
+            found = self.namespaces_of(rows, step)
+            for p in step.predicates:
+                found = self.filter(found, p, ["doc_id", "o", "c"], False)
+            return found.select("o", *NODE)
         c = rows.select(F.col("doc_id").alias("c_doc"), "o", *[F.col(x).alias(f"c_{x}") for x in ("pre", "end", "parent", "kind")])
         n = self.nodes.where(self.node_test(step))
         if step.axis == "self":
@@ -581,7 +653,6 @@ class XPath:
                 "following": (pre > ce) & tree,
                 "preceding": (end < cp) & tree,
                 "attribute": (parent == cp) & (F.col("kind") == "attr"),
-                "namespace": (parent == cp) & (F.col("kind") == "ns"),
             }[step.axis]
             found = c.join(n, (F.col("c_doc") == F.col("doc_id")) & on).select("o", F.col("c_pre").alias("c"), *NODE)
         for p in step.predicates:
@@ -589,6 +660,51 @@ class XPath:
         out = found.select("o", *NODE)
         return out if step.axis in DISJOINT else out.dropDuplicates(["doc_id", "o", "pre"])
 
+    def beyond(self, rows: DataFrame, step: Step) -> DataFrame:
+        """Following (preceding) nodes: those after the end of the context that ends first (before the start of the one that starts last)."""
+        ahead = step.axis == "following"
+        near = rows.groupBy(F.col("doc_id").alias("c_doc"), "o").agg((F.min("end") if ahead else F.max("pre")).alias("edge"))
+        n = self.nodes.where(self.node_test(step) & ~F.col("kind").isin("attr", "ns"))
+        on = (F.col("pre") > F.col("edge")) if ahead else (F.col("end") < F.col("edge"))
+        return near.join(n, (F.col("c_doc") == F.col("doc_id")) & on).select("o", *NODE)
+
+    def below(self, rows: DataFrame, step: Step) -> DataFrame:
+        """Nodes below the contexts of a document: sorted by place, a node is below a context if one that began before it hasn't ended."""
+        n = self.nodes.where(self.node_test(step) & ~F.col("kind").isin("attr", "ns")).select(*NODE)
+        own = step.axis.endswith("self")
+        starts = rows.select("doc_id", F.col("pre").alias("at"), F.col("end").alias("stop"), "o").distinct().select("doc_id", "at", F.lit(0 if own else 1).alias("turn"), "stop", "o", F.lit(None).cast(n.schema).alias("node"))
+        spots = n.select("doc_id", F.col("pre").alias("at"), F.lit(1 if own else 0).alias("turn"), F.lit(None).cast("long").alias("stop"), F.lit(None).cast("long").alias("o"), F.struct(*NODE).alias("node"))
+        before = Window.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+        swept = starts.unionByName(spots).withColumn("reach", F.max("stop").over(before)).withColumn("origin", F.max("o").over(before))
+        inside = swept.where(F.col("node").isNotNull() & (F.col("reach") >= F.col("at"))).select(F.col("origin").alias("o"), "node.*")
+        if not own:
+            return inside
+        # An attribute may be a context, and is its own self.
+        return inside.unionByName(rows.where(F.col("kind").isin("attr", "ns") & self.node_test(step)).select("o", *NODE).distinct())
+
+    def above(self, rows: DataFrame, step: Step) -> DataFrame:
+        """Ancestors of the contexts of a document: nodes that more contexts have begun before the end of than before their start."""
+        n = self.nodes.where(self.node_test(step) & ~F.col("kind").isin("attr", "ns") & (F.col("end") > F.col("pre"))).select(*NODE)
+        none = F.lit(None).cast(n.schema)
+        marks = rows.select("doc_id", F.col("pre").alias("at"), "o").distinct().select("doc_id", "at", F.lit(0).alias("turn"), F.lit(1).alias("one"), "o", none.alias("node"))
+        spot = lambda at: n.select("doc_id", F.col(at).alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("one"), F.lit(None).cast("long").alias("o"), F.struct(*NODE).alias("node"))
+        before = Window.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+        swept = marks.unionByName(spot("pre")).unionByName(spot("end")).withColumn("seen", F.sum("one").over(before)).withColumn("origin", F.max("o").over(before))
+        met = swept.where(F.col("node").isNotNull()).groupBy("doc_id", F.col("node.pre").alias("pre")).agg(F.min("seen").alias("low"), F.max("seen").alias("high"), F.max("origin").alias("o"), F.first("node").alias("node"))
+        found = met.where("high > low").select("o", "node.*")
+        if step.axis == "ancestor":
+            return found
+        return found.unionByName(rows.where(self.node_test(step)).select("o", *NODE)).dropDuplicates(["doc_id", "o", "pre"])
+
+    def namespaces_of(self, rows: DataFrame, step: Step) -> DataFrame:
+        """Namespaces in scope of the context elements: of each prefix the nearest declaration, unless it undoes one. ``xml`` has no row."""
+        e = self.nodes.where("kind = 'element'").select(F.col("doc_id").alias("e_doc"), F.col("pre").alias("e_pre"), F.col("end").alias("e_end"))
+        declared = self.nodes.where("kind = 'ns'").join(e, (F.col("doc_id") == F.col("e_doc")) & (F.col("parent") == F.col("e_pre"))).select(*NODE, "e_pre", "e_end")
+        c = rows.where("kind = 'element'").select(F.col("doc_id").alias("c_doc"), "o", F.col("pre").alias("c"))
+        held = c.join(declared, (F.col("c_doc") == F.col("doc_id")) & (F.col("e_pre") <= F.col("c")) & (F.col("e_end") >= F.col("c")))
+        nearest = held.groupBy("c_doc", "o", "c", F.col("name").alias("of")).agg(F.max_by(F.struct(*NODE), "e_pre").alias("node"))
+        return nearest.select("o", "c", "node.*").where((F.col("value") != "") & self.node_test(step))
+
     def filter(self, rows: DataFrame, predicate: object, by: list[str], reverse: bool) -> DataFrame:
         """Rows for which a predicate holds; positions are counted anew within ``by``, along the axis."""
         if positional(predicate):
@@ -625,7 +741,10 @@ class XPath:
             if prefix not in self.namespaces:
                 raise XPathError(f"undefined prefix {prefix!r}")
             principal = principal & (F.col("ns") == self.namespaces[prefix])
-        return principal if local == "*" else principal & (F.col("name") == local)
+        if local == "*":
+            return principal
+        # A name without a prefix is in no namespace, whatever the default namespace is.
+        return principal & (F.col("name") == local) & (F.col("ns").isNull() if prefix is None else F.lit(True))
 
 
 def mentions(expr: object, name: str) -> bool:
