@@ -112,3 +112,50 @@ def test_block_cuts_follow_the_data():
 
     store = [(97 + k % 2, 0) for k in range(400)] + [(k % 200, 0) for k in range(400)]
     assert lz.cuts(store) and min(abs(c - 400) for c in lz.cuts(store)) < 25 and lz.length_code(258) == (285, 0) and lz.distance_code(32768) == (29, 13)
+
+
+def test_components_of_random_graphs(spark):
+    import random
+
+    rng = random.Random(11)
+    for n, m in ((8, 10), (30, 45), (12, 40)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {a: {a} for a in {x for e in edges for x in e}}
+        for _ in range(n):
+            for a, b in edges:
+                for s in reach.values():
+                    if a in s:
+                        s.add(b)
+        want = {}
+        for a in reach:
+            mine = {b for b in reach[a] if a in reach[b]}
+            want[a] = (min(mine), len(mine))
+        got = graph.strong_components(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()
+        assert {r.node: (r.component, r.size) for r in got} == want
+
+
+def test_roots_inside_roots(spark):
+    n = markup.xml_nodes(spark.createDataFrame([(1, "<a><a>x<b/></a>y<a/><a><a>z</a></a></a>"), (2, "<c><a>p</a><a>q</a></c>")], "doc_id long, text string"))
+    xml = {(r.doc_id, r.pre): r.xml for r in nodes.serialize(n, n.name == "a").collect()}
+    text = {(r.doc_id, r.pre): r.string_value for r in nodes.string_values(n, n.name == "a").collect()}
+    assert sorted(xml.values()) == sorted(["<a><a>x<b/></a>y<a/><a><a>z</a></a></a>", "<a>x<b/></a>", "<a/>", "<a><a>z</a></a>", "<a>z</a>", "<a>p</a>", "<a>q</a>"])
+    assert sorted(text.values()) == sorted(["xyz", "x", "", "z", "z", "p", "q"])
+
+
+def test_deltas_over_several_files(spark, tmp_path):
+    from treeline.registry import registry
+
+    rows = [(c, t, "user", f"{c}.{t};") for c in range(6) for t in range(c + 1)]
+    for k in range(4):  # every conversation's turns are in several files, the later ones first
+        spark.createDataFrame(rows[::-1][k::4], "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n, r.content) for r in registry.queries()["r06_stream_deltas"](spark, str(tmp_path)).collect()}
+    assert got == {c: (c + 1, "".join(f"{c}.{t};" for t in range(c + 1))) for c in range(6)}
+
+
+def test_cheapest_parse():
+    from treeline.operators import lz
+
+    for data in (b"", b"a", b"abcabcabcabcabd" * 9, bytes(range(256)) * 2, b"the cat sat on the mat, the cat sat on the hat; " * 6):
+        store = lz.matches(data)
+        best = lz.squeeze(data, store)
+        assert lz.expand(store) == data and lz.expand(best) == data and lz.dynamic_bits(best) <= lz.dynamic_bits(store)

@@ -77,15 +77,46 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """``node, component, size``: nodes that reach each other, named by the least of them."""
+    """``node, component, size``: nodes that reach each other, named by the least of them.
+
+    Colouring: nodes that nothing leads to, or that lead nowhere, are components
+    of their own and go, as often as there are some. Then each node takes the
+    least node that reaches it as its colour; what reaches a colour's own node
+    within the colour is that node's component. These go too, and the rest is
+    coloured again. No pairs of nodes are made; every round is an aggregate with
+    partial sums and an equi-join.
+    """
     edges = edges.select("src", "dst")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    reach = closure(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"]).select(F.col("src").alias("node"), F.col("dst").alias("other"))
-    least = nodes.join(mutual, "node", "left").groupBy("node").agg(F.least(F.coalesce(F.min("other"), F.col("node")), F.col("node")).alias("component"))
-    size = least.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return least.join(size, "component").select("node", "component", "size")
+    nodes = settle(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    left = settle(edges.where("src <> dst").distinct())
+    done: list[DataFrame] = []
+    while not left.isEmpty():
+        while True:  # what has no way in or no way out
+            inner = left.select(F.col("src").alias("node")).intersect(left.select("dst"))
+            kept = settle(left.join(inner.select(F.col("node").alias("src")), "src", "left_semi").join(inner.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+            same = kept.count() == left.count()
+            left = kept
+            if same:
+                break
+        if left.isEmpty():
+            break
+        colour = settle(left.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("colour")))
+        while True:
+            offered = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("new")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("new").alias("new"))
+            step = settle(colour.join(offered, "node", "left").select("node", F.least("colour", "new").alias("colour"), (F.col("new") < F.col("colour")).alias("moved")))
+            colour = step.select("node", "colour")
+            if step.where("moved").isEmpty():
+                break
+        within = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst").where("c = d").select("src", "dst")
+        found = settle(reachable(within, colour.where("node = colour").select("node")).join(colour, "node").select("node", F.col("colour").alias("component")))
+        done.append(found)
+        gone = found.select("node")
+        left = settle(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    named = nodes.select("node", F.col("node").alias("component"))
+    for found in done:
+        named = named.join(found.withColumnRenamed("component", "found"), "node", "left").select("node", F.coalesce("found", "component").alias("component"))
+    size = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return named.join(size, "component").select("node", "component", "size")
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:

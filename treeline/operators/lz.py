@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -130,18 +131,85 @@ def cuts(store: list[tuple[int, int]], most: int = 15) -> list[int]:
     return blocks[1:-1]
 
 
+def symbol_costs(store: list[tuple[int, int]]) -> tuple[dict[int, float], dict[int, float]]:
+    """Bits of each literal, length and distance symbol by its share among those of a parse; a symbol never seen costs as if seen once."""
+    literal, distance = Counter({256: 1}), Counter()
+    for a, d in store:
+        literal[length_code(a)[0] if d else a] += 1
+        if d:
+            distance[distance_code(d)[0]] += 1
+    bits = lambda counts, most: {s: math.log2(max(1, counts.total())) - math.log2(max(1, counts[s])) for s in range(most)}
+    return bits(literal, 286), bits(distance, 30)
+
+
+def cheapest(data: bytes, literal: dict[int, float], distance: dict[int, float]) -> list[tuple[int, int]]:
+    """The parse of least cost under given bits of symbols: shortest path over the bytes, each length at its nearest distance."""
+    n, heads = len(data), {}
+    cost, step = [0.0] + [math.inf] * n, [(0, 0)] * (n + 1)
+    far_cost = {}
+    for at in range(n):
+        here = cost[at]
+        if here + literal[data[at]] < cost[at + 1]:
+            cost[at + 1], step[at + 1] = here + literal[data[at]], (data[at], 0)
+        longest = SHORTEST - 1
+        for j in reversed(heads.get(data[at : at + SHORTEST], ())[-TRIES:]) if at + SHORTEST <= n else ():
+            if at - j > WINDOW:
+                break
+            k, most = SHORTEST, min(LONGEST, n - at)
+            while k < most and data[j + k] == data[at + k]:
+                k += 1
+            if k > longest:  # nearer places have all shorter lengths already
+                d = at - j
+                if d not in far_cost:
+                    s, b = distance_code(d)
+                    far_cost[d] = distance[s] + b
+                for size in range(longest + 1, k + 1):
+                    s, b = length_code(size)
+                    if (c := here + literal[s] + b + far_cost[d]) < cost[at + size]:
+                        cost[at + size], step[at + size] = c, (size, d)
+                longest = k
+        heads.setdefault(data[at : at + SHORTEST], []).append(at)
+    out, at = [], n
+    while at:
+        a, d = step[at]
+        out.append((a, d))
+        at -= a if d else 1
+    return out[::-1]
+
+
+def squeeze(data: bytes, store: list[tuple[int, int]], rounds: int = 15) -> list[tuple[int, int]]:
+    """The cheapest parse found by turns: bits of symbols from the last parse, then the parse of least cost under them, until neither falls."""
+    best, least, last = store, dynamic_bits(store), math.inf
+    for _ in range(rounds):
+        store = cheapest(data, *symbol_costs(store))
+        bits = dynamic_bits(store)
+        if bits < least:
+            best, least = store, bits
+        if bits >= last:
+            break
+        last = bits
+    return best
+
+
 def parse(df: DataFrame) -> DataFrame:
-    """``doc_id, n_symbols, n_matches, bits, split_bits, restored`` of ``df(doc_id, data binary)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_symbols", pa.int64()), ("n_matches", pa.int64()), ("bits", pa.float64()), ("split_bits", pa.float64()), ("restored", pa.bool_())])
+    """``doc_id, n_symbols, n_matches, bits, split_bits, best_bits, digest, last_length, last_distance`` of ``df(doc_id, data binary)``.
+
+    ``bits`` are of the greedy parse, ``split_bits`` of it cut into blocks,
+    ``best_bits`` of the parse of least cost; ``digest`` is the MD5 of what both expand to (null if they differ).
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_symbols", pa.int64()), ("n_matches", pa.int64()), ("bits", pa.float64()), ("split_bits", pa.float64()), ("best_bits", pa.float64()), ("digest", pa.string()), ("last_length", pa.int64()), ("last_distance", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                store = matches(data or b"")
-                at = [0, *cuts(store), len(store)]
-                rows.append((i, len(store), sum(d > 0 for _, d in store), dynamic_bits(store), sum(dynamic_bits(store[a:b]) for a, b in zip(at, at[1:])), expand(store) == (data or b"")))
+                data = bytes(data or b"")
+                store = matches(data)
+                at, best, out = [0, *cuts(store), len(store)], squeeze(data, store), expand(store)
+                last = next(((a, d) for a, d in reversed(store) if d), (None, None))
+                same = hashlib.md5(out).hexdigest() if expand(best) == out else None
+                rows.append((i, len(store), sum(d > 0 for _, d in store), dynamic_bits(store), sum(dynamic_bits(store[a:b]) for a, b in zip(at, at[1:])), dynamic_bits(best), same, *last))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return df.select(F.col("doc_id").cast("long"), "data").mapInArrow(run, "doc_id long, n_symbols long, n_matches long, bits double, split_bits double, restored boolean")
+    return df.select(F.col("doc_id").cast("long"), "data").mapInArrow(run, "doc_id long, n_symbols long, n_matches long, bits double, split_bits double, best_bits double, digest string, last_length long, last_distance long")

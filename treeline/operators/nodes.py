@@ -34,13 +34,35 @@ def attribute_maps(nodes: DataFrame) -> DataFrame:
     return a.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("attrs"))
 
 
+def rows_of_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows(doc_id, at, ...)`` with ``root``: each root ``(doc_id, pre, end)`` whose interval holds the row's place.
+
+    Roots that no other root holds are disjoint, so one sorted pass over a
+    document finds the root of each row; no row is compared with all roots. Only
+    roots inside others, if there are any, are joined by interval.
+    """
+    before = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    marked = roots.select("doc_id", "pre", "end").withColumn("held", F.coalesce(F.max("end").over(before) >= F.col("pre"), F.lit(False)))
+    names = [c for c in rows.columns if c not in ("doc_id", "at")]
+    shape = rows.select(F.struct(*names).alias("row")).schema["row"].dataType
+    starts = marked.where(~F.col("held")).select("doc_id", F.col("pre").alias("at"), F.lit(0).alias("turn"), F.col("pre").alias("root"), F.col("end").alias("stop"), F.lit(None).cast(shape).alias("row"))
+    items = rows.select("doc_id", "at", F.lit(1).alias("turn"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("stop"), F.struct(*names).alias("row"))
+    w = Window.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    # Disjoint intervals: the last to begin is that of the greatest start and end.
+    swept = starts.unionByName(items).withColumn("root", F.max("root").over(w)).withColumn("stop", F.max("stop").over(w))
+    outer = swept.where((F.col("turn") == 1) & (F.col("stop") >= F.col("at"))).select("doc_id", "at", "root", "row.*")
+    nested = marked.where("held").select(F.col("doc_id").alias("d"), F.col("pre").alias("root"), F.col("end").alias("stop"))
+    inner = rows.join(nested, (F.col("doc_id") == F.col("d")) & (F.col("at") >= F.col("root")) & (F.col("at") <= F.col("stop")))
+    return outer.unionByName(inner.select("doc_id", "at", "root", *names))
+
+
 def string_values(nodes: DataFrame, which: Column) -> DataFrame:
     """``doc_id, pre, string_value``: the text below each chosen element, in order."""
     e = nodes.where((F.col("kind") == "element") & which).select("doc_id", "pre", "end")
-    t = nodes.where(F.col("kind").isin("text", "cdata")).select(F.col("doc_id").alias("d"), F.col("pre").alias("p"), "value")
-    joined = e.join(t, (F.col("doc_id") == F.col("d")) & (F.col("p") > F.col("pre")) & (F.col("p") <= F.col("end")), "left")
-    pieces = F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "value"))))
-    return joined.groupBy("doc_id", "pre").agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "").alias("string_value"))
+    t = nodes.where(F.col("kind").isin("text", "cdata")).select("doc_id", F.col("pre").alias("at"), "value")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+    below = rows_of_roots(t, e).groupBy("doc_id", F.col("root").alias("pre")).agg(F.array_join(ordered, "").alias("text"))
+    return e.join(below, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("text", F.lit("")).alias("string_value"))
 
 
 def escape_text(c: Column) -> Column:
@@ -83,11 +105,11 @@ def pieces(nodes: DataFrame) -> DataFrame:
 
 def serialize(nodes: DataFrame, which: Column) -> DataFrame:
     """``doc_id, pre, xml``: the subtree of each chosen element as text."""
-    roots = nodes.where((F.col("kind") == "element") & which).select(F.col("doc_id").alias("d"), F.col("pre").alias("root"), F.col("end").alias("stop"))
-    p = pieces(nodes).select("doc_id", F.col("pre").alias("node"), "at", "rank", "piece")
-    joined = p.join(roots, (F.col("doc_id") == F.col("d")) & (F.col("node") >= F.col("root")) & (F.col("node") <= F.col("stop")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "rank", "piece"))), lambda x: x["piece"])
-    return joined.groupBy("doc_id", F.col("root").alias("pre")).agg(F.array_join(ordered, "").alias("xml"))
+    roots = nodes.where((F.col("kind") == "element") & which).select("doc_id", "pre", "end")
+    # A piece belongs where its node begins; its place in the output is ``spot``.
+    p = pieces(nodes).select("doc_id", F.col("pre").alias("at"), F.col("at").alias("spot"), "rank", "piece")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("spot", "rank", "piece"))), lambda x: x["piece"])
+    return rows_of_roots(p, roots).groupBy("doc_id", F.col("root").alias("pre")).agg(F.array_join(ordered, "").alias("xml"))
 
 
 def inherited(nodes: DataFrame, which: Column, names: list[str]) -> DataFrame:

@@ -51,14 +51,14 @@ def j11_xinclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRAMMAR = documents.Grammar(
-    ("element", "order", ("group", ("attribute", "status", ("choice", ("value", "F"), ("choice", ("value", "O"), ("value", "P")))), ("group", ("optional", ("attribute", "priority", ("text",))), ("many", ("ref", "line"))))),
-    {"line": ("element", "lineitem", ("group", ("attribute", "flag", ("data", "[ANR]")), ("group", ("attribute", "part", ("data", "[0-9]+")), ("data", "[0-9]+"))))},
+    ("element", "order", ("group", ("attribute", "status", ("choice", ("value", "F"), ("value", "O"))), ("group", ("optional", ("attribute", "priority", ("text",))), ("many", ("ref", "line"))))),
+    {"line": ("element", "lineitem", ("group", ("attribute", "flag", ("data", "[AN]")), ("group", ("attribute", "part", ("data", "[0-9]+")), ("data", "[0-9]+"))))},
 )
 
 
-@registry.add("v06_grammar", f"{WITH} SELECT pre AS doc_id, max(value) = min(value) AND true AS valid FROM tree WHERE kind = 'element' AND name = 'order' GROUP BY ALL")
+@registry.add("v06_grammar", "SELECT (o_orderkey + 1) * 1024 AS doc_id, o_orderstatus IN ('F', 'O') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS valid FROM orders")
 def v06_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Serialised orders against a grammar of elements, attributes, choices and references."""
+    """Serialised orders against a grammar of elements, attributes, choices and references that some orders break."""
     xml = ops.serialize(order_tree(spark, sf_dir), F.col("name") == "order")
     return documents.validate(xml.select(F.col("pre").alias("doc_id"), F.col("xml").alias("text")), GRAMMAR)
 
@@ -117,6 +117,13 @@ def n16_xpointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@registry.add("x15_lang", "SELECT doc_id FROM documents WHERE lower(lang) = 'en' OR lower(lang) LIKE 'en-%'")
+def x15_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``//p[lang('EN')]``: the language of the documents, said on their root."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('<d lang="en" xml:lang="'), ops.escape_attribute(F.coalesce("lang", F.lit(""))), F.lit('"><q><p/></q></d>')).alias("text"))
+    return XPath(markup.xml_nodes(d)).select("//p[lang('EN')]").select("doc_id")
+
+
 @registry.add("n11_namespaces", "SELECT * FROM (VALUES ('a', 'urn:1'), ('b', 'urn:1'), ('c', 'urn:2')) v(name, ns)")
 def n11_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements with the namespace in scope, and a prefix bound when compiling."""

@@ -47,11 +47,10 @@ def f19_typedefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", (~F.contains("text", F.lit("{")) & ~F.col("text").rlike(r"\(\s*\*")).alias("simple"))
 
 
-@registry.add("f23_discovery", "SELECT substr(n, 1, 3) AS family, count(*) AS n FROM (VALUES ('a01_count'), ('a02_sum'), ('x22_literals')) v(n) GROUP BY ALL")
+@registry.add("f23_discovery", "SELECT p_brand AS marker, p_name AS name FROM part WHERE (p_name LIKE 'a%' OR p_name LIKE '%e %') AND p_brand NOT LIKE '%3' AND p_type <> ''")
 def f23_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered queries found by a marker."""
-    held = [(n,) for n in registry.held if n in ("a01_count", "a02_sum", "x22_literals")]
-    return spark.createDataFrame(held, "name string").groupBy(F.substring("name", 1, 3).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    """Cases found by marker and by name: shell patterns that take in, and others that leave out."""
+    return files.discover(table(spark, sf_dir, "part"), F.col("p_name"), F.col("p_brand"), names=["a*", "*e *"], without_markers=["*3"]).where("p_type <> ''").select(F.col("p_brand").alias("marker"), F.col("p_name").alias("name"))
 
 
 @registry.add("o10_processing_order", "SELECT n_name, row_number() OVER (ORDER BY n_regionkey DESC, n_name) - 1 AS place FROM nation")
@@ -95,10 +94,10 @@ def r04_streaming_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(documents.validate(stream, grammar), streams.shared_folder(spark, "validated"))
 
 
-@registry.add("r10_fan_out", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'not well-formed' END AS error FROM documents")
+@registry.add("r10_fan_out", r"SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') OR contains(text, chr(65534)) OR contains(text, chr(65535)) THEN 'not well-formed' END AS error FROM documents")
 def r10_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work in parallel whose failures stay rows."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "<a>").otherwise("<a/>").alias("text"))
+    """Work in parallel whose failures stay rows: every text as XML, each fifth document left open."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<a>"), ops.escape_text(F.coalesce("text", F.lit(""))), F.when(F.col("doc_id") % 5 == 0, "").otherwise("</a>")).alias("text"))
     failed = markup.errors(d).select("doc_id", F.lit("not well-formed").alias("error"))
     return d.select("doc_id").join(failed, "doc_id", "left")
 

@@ -63,7 +63,7 @@ over("t02_ascii_case", "documents", {"doc_id": ID, "s": lambda: ft.ascii_lower(T
 over("t03_find", "documents", {"doc_id": ID, "at": lambda: ft.find(T(), F.lit(" th")).cast("long")}, "SELECT doc_id, instr(text, ' th') - 1 AS at FROM documents")
 over("t04_bytes", "documents", {"doc_id": ID, "n": lambda: F.octet_length("text").cast("long"), "cut": lambda: ft.bytes_slice(F.concat(F.lit("abc"), T()), 0, 3), "joined": lambda: F.concat(F.substring("text", 1, 2), F.substring("text", 3, 2))}, "SELECT doc_id, strlen(text) AS n, 'abc' AS cut, substr(text, 1, 4) AS joined FROM documents")
 over("t05_utf8", "documents", {"doc_id": ID, "n": lambda: F.length("text").cast("long"), "part": lambda: ft.chars_slice(T(), 2, 5), "at": lambda: ft.find(T(), F.lit("é")).cast("long"), "first_size": lambda: F.octet_length(F.substring("text", 1, 1)).cast("long")}, "SELECT doc_id, length(text) AS n, substr(text, 3, 5) AS part, instr(text, 'é') - 1 AS at, strlen(substr(text, 1, 1)) AS first_size FROM documents")
-over("t06_valid_utf8", "documents", {"doc_id": ID, "ok": lambda: ft.utf8_valid(F.encode("text", "UTF-8").cast("string"))}, "SELECT doc_id, true AS ok FROM documents")
+over("t06_valid_utf8", "documents", {"doc_id": ID, "ok": lambda: ft.utf8_valid(F.concat(F.encode("text", "UTF-8"), F.unhex(F.element_at(F.array(*map(F.lit, ("C3", "F09F9880", "EDA080", "C0AF", ""))), (ID() % 5 + 1).cast("int")))).cast("string"))}, "SELECT doc_id, doc_id % 5 IN (1, 4) AS ok FROM documents")
 over("t07_printf", "part", {"p_partkey": c("p_partkey"), "s": lambda: F.format_string("%05d|%s|%%|%.2f", "p_size", "p_brand", "p_retailprice"), "escaped": lambda: F.replace(F.concat("p_brand", F.lit("%d")), F.lit("%"), F.lit("%%"))}, "SELECT p_partkey, printf('%05d|%s|%%|%.2f', p_size, p_brand, p_retailprice) AS s, p_brand || '%%d' AS escaped FROM part")
 over("t08_uri_parts", "pages", {"page_id": c("page_id"), **{n: (lambda n=n: ft.uri(F.col("url"))[n]) for n in ("scheme", "server", "path", "query", "fragment")}}, "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS server, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM pages")
 over("t09_uri_text", "pages", {"page_id": c("page_id"), "s": lambda: ft.uri_text(ft.uri(F.col("url")))}, "SELECT page_id, url AS s FROM pages")
@@ -82,7 +82,7 @@ values("t18_literal_types", "s string", [('"hello"',), ("'c'",), ("true",), ("42
 values("s13_encoding_bom", "s string", [("EFBBBF3C",), ("FEFF003C",), ("FFFE3C00",), ("3C3F786D",), ("61626364",)], {"encoding": lambda: ft.bom_encoding(F.unhex("s"))}, [("UTF-8",), ("UTF-16BE",), ("UTF-16LE",), ("UTF-8",), (None,)])
 values("s15_encoding_alias", "s string", [("latin1",), ("UTF8",), ("utf-8",), ("own",)], {"canonical": lambda: ft.canonical_encoding(S(), {"OWN": "ISO-8859-2"})}, [("ISO-8859-1",), ("UTF-8",), ("UTF-8",), ("ISO-8859-2",)])
 over("s14_transcode", "documents", {"doc_id": ID, "back": lambda: F.decode(F.encode("text", "UTF-16"), "UTF-16"), "latin": lambda: F.octet_length(F.encode("text", "ISO-8859-1")).cast("long")}, "SELECT doc_id, text AS back, length(text) AS latin FROM documents")
-over("k04_base64_hex", "documents", {"doc_id": ID, "b": lambda: F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), "h": lambda: F.hex(F.encode("text", "UTF-8"))}, "SELECT doc_id, base64(encode(substr(text, 1, 50))) AS b, hex(encode(substr(text, 1, 50))) AS h FROM documents")
+over("k04_base64_hex", "documents", {"doc_id": ID, "b": lambda: F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("")), "h": lambda: F.hex(F.encode("text", "UTF-8"))}, "SELECT doc_id, base64(encode(text)) AS b, hex(encode(text)) AS h FROM documents")
 over("k05_escape", "documents", {"doc_id": ID, "s": lambda: escape(T())}, "SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS s FROM documents")
 
 
@@ -120,11 +120,13 @@ def d12_type_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, base string, depth int")
 
 
-@registry.add("d08_generic_compare", "SELECT l_orderkey AS k, l_partkey AS p, CASE WHEN l_quantity::VARCHAR < l_discount::VARCHAR THEN true ELSE false END IS NOT NULL AS comparable, CASE WHEN l_quantity < l_tax * 100 THEN -1 WHEN l_quantity > l_tax * 100 THEN 1 ELSE 0 END AS cmp FROM lineitem")
+@registry.add("d08_generic_compare", "SELECT l_orderkey AS k, l_partkey AS p, CASE WHEN l_returnflag < l_linestatus THEN -1 WHEN l_returnflag > l_linestatus THEN 1 ELSE 0 END AS texts, CASE WHEN l_quantity < l_tax * 100 THEN -1 WHEN l_quantity > l_tax * 100 THEN 1 ELSE 0 END AS numbers, 0 AS forms FROM lineitem")
 def d08_generic_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comparison by value, whatever the lexical form."""
+    """Comparison by value, whatever the lexical form: texts, numbers, and two forms of one decimal."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), F.lit(True).alias("comparable"), dt.compare_floats(F.col("l_quantity"), F.col("l_tax") * 100).alias("cmp"))
+    form = lambda c: dt.canonical(c, "decimal").try_cast("decimal(38,8)")
+    same = dt.compare_floats(form(F.concat(F.lit("+00"), F.col("l_quantity").cast("decimal(10,2)").cast("string"))), form(F.col("l_quantity").cast("int").cast("string")))
+    return l.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), ft.sign(F.col("l_returnflag"), F.col("l_linestatus")).alias("texts"), dt.compare_floats(F.col("l_quantity"), F.col("l_tax") * 100).alias("numbers"), same.alias("forms"))
 
 
 D04 = [("2024-01-01T00:00:00Z", "2024-01-01T01:00:00+01:00", 0), ("2024-01-01T00:00:00", "2024-01-01T10:00:00Z", 2), ("2024-01-01T00:00:00", "2024-01-03T00:00:00Z", -1), ("2024-01-01", "2023-12-31", 1)]

@@ -29,4 +29,4 @@ def r08_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r06_stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response pieces accumulated in keyed state."""
     pieces = streams.events(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return streams.drain(streams.accumulate(pieces, "conv_id", "turn", "text"), streams.shared_folder(spark, "deltas"))
+    return streams.drain_latest(streams.accumulate(pieces, "conv_id", "turn", "text"), streams.shared_folder(spark, "deltas"), "conv_id", "n")

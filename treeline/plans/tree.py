@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import xpath as fx
-from treeline.nodetable import ORDER_TREE_SQL, order_tree
+from treeline.nodetable import LINE, LINE_KEYS, ORDER, ORDER_TREE_SQL, order_tree
 from treeline.operators import nodes as ops
 from treeline.plans.xpath import XPath
 from treeline.registry import registry
@@ -81,7 +81,7 @@ gives("a01_count", "count(lineitem)", "number", "SELECT o.doc_id, o.pre, count(l
 gives("a02_sum", "sum(//lineitem)", "number", "SELECT d.doc_id, 0 AS pre, coalesce(sum(l.value::INT), 0)::DOUBLE AS result FROM tree d LEFT JOIN tree l ON l.doc_id = d.doc_id AND l.name = 'lineitem' WHERE d.kind = 'document' GROUP BY ALL")
 gives("a02_sum_nan", "sum(@status)", "number", "SELECT doc_id, pre, 'NaN'::DOUBLE AS result FROM tree WHERE name = 'order' AND kind = 'element'", "//order")
 gives("a03_first_value", "string(//lineitem)", "string", "SELECT d.doc_id, 0 AS pre, coalesce(first.value, '') AS result FROM tree d LEFT JOIN (SELECT doc_id, arg_min(value, pre) AS value FROM tree WHERE name = 'lineitem' GROUP BY ALL) first ON first.doc_id = d.doc_id WHERE d.kind = 'document'")
-gives("x15_lang", "concat(name(), '|', count(@*))", "string", "SELECT o.doc_id, o.pre, 'order|2' AS result FROM tree o WHERE o.name = 'order' AND o.kind = 'element'", "//order")
+gives("x16_name_count", "concat(name(), '|', count(@*))", "string", "SELECT o.doc_id, o.pre, 'order|2' AS result FROM tree o WHERE o.name = 'order' AND o.kind = 'element'", "//order")
 gives("x16_name", "concat(name(..), '/', local-name(), namespace-uri())", "string", "SELECT doc_id, pre, 'customer/order' AS result FROM tree WHERE name = 'order' AND kind = 'element'", "//order")
 
 
@@ -97,11 +97,14 @@ def j07_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- operators on the node table --------------------------------------------------------------------------------
 
 
-@registry.add("n17_node_path", f"""{WITH},
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent ORDER BY pre) AS rn, count(*) OVER (PARTITION BY doc_id, parent) AS n FROM tree WHERE kind = 'element' AND name IN ('order', 'lineitem'))
-SELECT o.doc_id, o.pre, '/customer/order' || CASE WHEN n > 1 THEN '[' || rn || ']' ELSE '' END AS path FROM s o WHERE name = 'order'
-UNION ALL SELECT l.doc_id, l.pre, '/customer/order' || CASE WHEN o.n > 1 THEN '[' || o.rn || ']' ELSE '' END || '/lineitem' || CASE WHEN l.n > 1 THEN '[' || l.rn || ']' ELSE '' END FROM s l JOIN s o ON o.doc_id = l.doc_id AND o.pre = l.parent WHERE l.name = 'lineitem'
-UNION ALL SELECT doc_id, pre, '/customer' FROM tree WHERE name = 'customer'""")
+@registry.add("n17_node_path", f"""WITH o AS (
+  SELECT o_custkey AS doc_id, o_orderkey AS k, '/customer/order' || CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1 THEN '[' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || ']' ELSE '' END AS path FROM orders
+), l AS (
+  SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_KEYS)}) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
+)
+SELECT c_custkey AS doc_id, 1 AS pre, '/customer' AS path FROM customer
+UNION ALL SELECT doc_id, (k + 1) * {ORDER}, path FROM o
+UNION ALL SELECT doc_id, (k + 1) * {ORDER} + rn * {LINE}, path || '/lineitem' || CASE WHEN n > 1 THEN '[' || rn || ']' ELSE '' END FROM l JOIN o USING (k)""")
 def n17_node_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each element's path, with places only where siblings share the name."""
     return ops.node_paths(order_tree(spark, sf_dir), levels=3)

@@ -16,7 +16,7 @@ from treeline.sources import markup
 # ---- graphs -----------------------------------------------------------------------------------------------------
 
 #: A supplier depends on the supplier of the next lower key that shares a part with it, so there is no cycle.
-DAG_SQL = "dag AS (SELECT DISTINCT a.l_suppkey AS src, max(b.l_suppkey) AS dst FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND b.l_suppkey < a.l_suppkey WHERE a.l_partkey % 20 = 0 GROUP BY a.l_suppkey, a.l_partkey)"
+DAG_SQL = "dag AS (SELECT DISTINCT a.l_suppkey AS src, max(b.l_suppkey) AS dst FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND b.l_suppkey < a.l_suppkey GROUP BY a.l_suppkey, a.l_partkey)"
 
 
 def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,17 +39,30 @@ def g04_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layers(nodes, dag(spark, sf_dir))
 
 
-RING = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a")]
+#: Each supplier refers to two others, which its line items name: a graph with cycles.
+TWO_SQL = """n AS (SELECT count(*) AS n FROM supplier),
+two AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, unnest([max(l_orderkey * 31 + l_partkey) % any_value(n) + 1, min(l_orderkey * 17 + l_partkey) % any_value(n) + 1]) AS dst FROM lineitem, n GROUP BY l_suppkey)),
+reach AS (SELECT src, dst FROM two UNION SELECT r.src, t.dst FROM reach r JOIN two t ON t.src = r.dst),
+nodes AS (SELECT src AS node FROM two UNION SELECT dst FROM two),
+named AS (SELECT node, coalesce(least(node, (SELECT min(a.dst) FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src = node)), node) AS component FROM nodes)"""
 
 
-@registry.add("g01_components", "SELECT * FROM (VALUES ('a', 'a', 3), ('b', 'a', 3), ('c', 'a', 3), ('d', 'd', 2), ('e', 'd', 2), ('f', 'f', 1)) v(node, component, size)")
+def two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "supplier").count()
+    named = F.array((F.max(F.col("l_orderkey") * 31 + F.col("l_partkey")) % n + 1), (F.min(F.col("l_orderkey") * 17 + F.col("l_partkey")) % n + 1))
+    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src")).agg(named.alias("to"))
+    return edges.select("src", F.explode("to").alias("dst")).distinct()
+
+
+@registry.add("g01_components", f"WITH RECURSIVE {TWO_SQL} SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM named")
 def g01_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongly connected components of a small graph."""
-    return graph.strong_components(spark.createDataFrame(RING, "src string, dst string"))
+    """Strongly connected components of the suppliers' references."""
+    return graph.strong_components(two(spark, sf_dir))
 
 
-@registry.add("g02_cycles", "SELECT * FROM (VALUES ('a', true), ('b', true), ('c', true), ('d', true), ('e', true), ('f', false)) v(node, is_cycle)")
+@registry.add("g02_cycles", f"WITH RECURSIVE {TWO_SQL} SELECT node, count(*) OVER (PARTITION BY component) > 1 AS is_cycle FROM named")
 def g02_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on a cycle with others."""
     return g01_components(spark, sf_dir).select("node", (F.col("size") > 1).alias("is_cycle"))
 
 
@@ -185,7 +198,7 @@ def k09_repomap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("file", "kind").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
 
 
-@registry.add("s24_collect_files", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN left(text, 5000) || '... (truncated)' ELSE text END AS content FROM documents WHERE ends_with(source, '1')")
+@registry.add("s24_collect_files", "SELECT doc_id, CASE WHEN length(text) > 50000 THEN left(text, 50000) || chr(10) || chr(10) || '... [File truncated for analysis] ...' ELSE text END AS content FROM documents WHERE ends_with(source, '1')")
 def s24_collect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a suffix, those over 50,000 characters cut with a mark (the cut is the feature)."""
     d = table(spark, sf_dir, "documents").where(F.endswith("source", F.lit("1")))
@@ -370,12 +383,14 @@ def c08_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s", F.crc32(F.encode("s", "UTF-8")).alias("crc"), codec.adler32(F.encode("s", "UTF-8")).alias("adler"))
 
 
-@registry.add("c01_round_trip", "SELECT doc_id, true AS zlib_ok, true AS gzip_ok, true AS raw_ok, true AS smaller FROM documents WHERE length(text) > 300")
+@registry.add("c01_round_trip", "SELECT doc_id, md5(text) AS zlib_md5, md5(text) AS gzip_md5, md5(text) AS raw_md5, octet_length(encode(text)) AS n_bytes, strlen(text) > 1000 AS halved FROM documents")
 def c01_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each container gives back what went in; short texts need not get smaller."""
+    """Each container gives back what went in, read as digests of what comes out; ``halved`` tells that a text of over 1,000 bytes takes at most 60 % of them."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    back = lambda kind: codec.decompressed(codec.compressed(F.col("b"), kind), kind) == F.col("b")
-    return d.select("doc_id", back("zlib").alias("zlib_ok"), back("gzip").alias("gzip_ok"), back("deflate").alias("raw_ok"), (F.octet_length(codec.compressed(F.col("b"))) < F.octet_length("b")).alias("smaller"))
+    packed = d.select("*", *[codec.compressed(F.col("b"), kind).alias(kind) for kind in ("zlib", "gzip", "deflate")])
+    back = lambda kind: F.md5(codec.decompressed(F.col(kind), kind))
+    long = F.octet_length("b") > 1000
+    return packed.select("doc_id", back("zlib").alias("zlib_md5"), back("gzip").alias("gzip_md5"), back("deflate").alias("raw_md5"), F.octet_length("b").cast("long").alias("n_bytes"), (long & (F.octet_length("zlib") < 0.6 * F.octet_length("b"))).alias("halved"))
 
 
 @registry.add("c04_code_lengths", "SELECT * FROM (VALUES (0, 1, 0), (1, 2, 2), (2, 3, 6), (3, 3, 7)) v(symbol, length, code)")
@@ -411,7 +426,7 @@ def s04_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.events(orders_xml(spark, sf_dir), "doc_id", "text").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registry.add("s06_recover", "SELECT o_orderkey AS doc_id, 'o' AS first_name, true AS failed FROM orders WHERE o_orderkey % 3 = 0")
+@registry.add("s06_recover", "SELECT o_orderkey AS doc_id, 'o' AS first_name, o_orderkey % 3 = 0 AS failed FROM orders")
 def s06_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken documents (every third) keep the nodes up to the error and have an error row, the others none."""
     text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 45), F.lit("<broken"))).otherwise(F.col("text"))
@@ -467,10 +482,17 @@ def k02_html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ops.escape_text(F.col("url")).alias("safe"), ft.uri(F.col("url"))["scheme"].alias("scheme"))
 
 
-@registry.add("w06_lz77", "SELECT p_partkey AS doc_id, true AS restored, true AS fewer, true AS split_no_worse FROM part")
+#: Three times a line: the first is literals and matches, the others at most one match of 258 bytes each.
+LINES_SQL = "lines AS (SELECT p_partkey AS doc_id, repeat(p_name || ' ' || p_type || chr(10), 3) AS s, strlen(p_name || ' ' || p_type || chr(10)) AS n FROM part)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.encode(F.repeat(F.concat("p_name", F.lit(" "), "p_type", F.lit("\n")), 3), "UTF-8").alias("data"))
+
+
+@registry.add("w06_lz77", f"WITH {LINES_SQL} SELECT doc_id, md5(s) AS restored, n AS last_distance, 2 * n AS last_length FROM lines")
 def w06_lz77(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LZ77 parses give back their input; cutting blocks never costs bits."""
+    """LZ77 parses: the digest of what they expand to, and the last match, which spans the repeated lines."""
     from treeline.operators import lz
 
-    data = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.encode(F.repeat(F.concat("p_name", F.lit(" "), "p_type", F.lit("\n")), 3), "UTF-8").alias("data"))
-    return lz.parse(data).select("doc_id", "restored", (F.col("n_matches") > 0).alias("fewer"), (F.col("split_bits") <= F.col("bits")).alias("split_no_worse"))
+    return lz.parse(lines(spark, sf_dir)).select("doc_id", F.col("digest").alias("restored"), "last_distance", "last_length")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import glob as globbing
 import lzma
 import os
@@ -68,6 +69,18 @@ class LinesReader(DataSourceReader):
             yield partition.value, k, line
 
 
+def discover(rows: DataFrame, name: Column, marker: Column, *, names: list[str] = (), markers: list[str] = (), without_names: list[str] = (), without_markers: list[str] = ()) -> DataFrame:
+    """Rows whose name and marker match one of the shell patterns (any, if none is given) and none of those that leave out."""
+    like = lambda c, patterns: F.coalesce(c.rlike("|".join(r"\A" + fnmatch.translate(p).removesuffix(r"\Z").removesuffix(r"\z") + r"\z" for p in patterns)), F.lit(False))
+    kept = rows
+    for c, wanted, unwanted in ((name, names, without_names), (marker, markers, without_markers)):
+        if wanted:
+            kept = kept.where(like(c, wanted))
+        if unwanted:
+            kept = kept.where(~like(c, unwanted))
+    return kept
+
+
 INCLUDE = re.compile(r"\{\{include:\s*([^}]+?)\s*\}\}")
 
 
