@@ -1,4 +1,4 @@
-"""Operators on whole documents, run in Arrow batches: canonical form, inclusion, grammar validation."""
+"""Operators on whole documents, run in Arrow batches: inclusion, grammar validation."""
 
 from __future__ import annotations
 
@@ -12,25 +12,6 @@ from pyspark.sql import functions as F
 XI = "{http://www.w3.org/2001/XInclude}"
 
 
-def canonical(text: str | None, comments: bool = False) -> str | None:
-    """Canonical XML: sorted namespaces and attributes, no declaration, expanded empty elements; null if not well-formed."""
-    try:
-        return ElementTree.canonicalize(text or "", with_comments=comments)
-    except ElementTree.ParseError:
-        return None
-
-
-def canonicalize(df: DataFrame, comments: bool = False) -> DataFrame:
-    """``doc_id, canonical`` of ``df(doc_id, text)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("canonical", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canonical(t, comments) for t in b.column(1).to_pylist()], pa.string())], schema=schema)
-
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, canonical string")
-
-
 class IncludeError(ValueError):
     """An inclusion that fails and has no fallback."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from treeline.nodetable import ORDER_TREE_SQL, order_tree
-from treeline.operators import documents, graph, toolbox
+from treeline.operators import c14n, documents, graph, toolbox
 from treeline.operators import nodes as ops
 from treeline.plans.xpath import XPath
 from treeline.registry import registry
@@ -24,7 +24,7 @@ def k06_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical XML: sorted attributes, no comments, no empty-element tags."""
     o = table(spark, sf_dir, "orders")
     text = F.format_string("<?xml version='1.0'?><o  b='%s' a='%s'><!-- c --><e/>%s</o>", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    return documents.canonicalize(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return c14n.canonicalize(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
 
 
 @registry.add("j11_xinclude", "SELECT * FROM (VALUES ('plain', '<r>a<x>in</x>b</r>'), ('text', '<r>some text</r>'), ('fallback', '<r>none<f /></r>'), ('loop', 'loop.xml includes itself'), ('missing', 'gone is missing')) v(name, result)")

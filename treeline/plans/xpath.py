@@ -384,6 +384,14 @@ class XPath:
         column = {"string": self.string, "number": self.number, "boolean": self.boolean}[kind](got, scope)
         return scope.df.select("doc_id", "pre", column.alias("result"))
 
+    def values(self, expressions: list[tuple[object, str]], context: DataFrame) -> DataFrame:
+        """``doc_id, pre, v0, v1, ...``: several parsed expressions, each cast to its kind, for the same context nodes in one plan."""
+        scope, columns = Scope(context), []
+        for k, (expr, kind) in enumerate(expressions):
+            got = self.compile(expr, scope)
+            columns.append({"string": self.string, "number": self.number, "boolean": self.boolean}[kind](got, scope).alias(f"v{k}"))
+        return scope.df.select("doc_id", "pre", *columns)
+
     # casts
 
     def string(self, v: Value, scope: Scope) -> Column:

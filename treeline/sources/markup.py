@@ -8,6 +8,7 @@ external is loaded.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -300,3 +301,96 @@ def errors(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 #: Entity names without a semicolon's need; kept for lookups by name and by value.
 ENTITY_VALUES = {name.rstrip(";"): value for name, value in html5.items()}
+
+
+# Node types of the pull reader.
+NODE_TYPES = {"element": 1, "text": 3, "cdata": 4, "pi": 7, "comment": 8}
+END_ELEMENT = 15
+
+
+def cursor_rows(rows: list[list]) -> list[tuple]:
+    """What a pull reader stops at, one stop after the other: nodes and the ends of elements that aren't empty."""
+    out, open_, attributes, filled = [], [], {}, set()
+    for r in rows:
+        if r[5] == "attr":
+            attributes[r[4]] = attributes.get(r[4], 0) + 1
+        elif r[5] not in ("ns", "document"):
+            filled.add(r[4])
+
+    def close(before: int) -> None:
+        while open_ and open_[-1][2] < before:
+            e = open_.pop()
+            if e[1] in filled:
+                out.append((e[0], len(out), END_ELEMENT, e[3] - 1, e[8], False, None, attributes.get(e[1], 0)))
+
+    for r in rows:
+        if r[5] in ("attr", "ns", "document"):
+            continue
+        close(r[1])
+        name = r[8] or f"#{'cdata-section' if r[5] == 'cdata' else r[5]}"
+        out.append((r[0], len(out), NODE_TYPES[r[5]], r[3] - 1, name, r[5] == "element" and r[1] not in filled, None if r[5] == "element" else r[9], attributes.get(r[1], 0)))
+        if r[5] == "element":
+            open_.append(r)
+    close(1 << 62)
+    return out
+
+
+def cursor(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, seq, type, depth, name, empty, value, attributes``: the stops of a pull reader over each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("type", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("empty", pa.bool_()), ("value", pa.string()), ("attributes", pa.int32())])
+    return parse_with(df, id_column, text_column, read_xml, lambda r: cursor_rows(r.rows), schema, "doc_id long, seq long, type int, depth int, name string, empty boolean, value string, attributes int")
+
+
+class PatternReader:
+    """Matches an XSLT-style pattern while a document is read: only the names of the open elements are kept."""
+
+    def __init__(self, doc_id: int, pattern: str):
+        self.doc, self.names, self.count, self.found, self.errors = doc_id, [], 0, [], []
+        self.patterns = []
+        for one in pattern.split("|"):
+            parts = re.findall(r"(//|/)?\s*([^/\s]+)", one.strip())
+            self.patterns.append([("^" if sep == "/" and k == 0 else "//" if k == 0 else sep, test) for k, (sep, test) in enumerate(parts)])
+        p = self.parser = expat.ParserCreate(namespace_separator="\n")
+        p.StartElementHandler, p.EndElementHandler = self.start, lambda _: self.names.pop()
+
+    def start(self, name: str, attributes: dict) -> None:
+        self.names.append(split_name(name)[2])
+        for steps in self.patterns:
+            if steps[-1][1].startswith("@"):
+                wanted = steps[-1][1][1:]
+                for a in attributes:
+                    if wanted in ("*", split_name(a)[2]) and self.fits(steps[:-1], steps[-1][0], len(self.names)):
+                        self.found.append((self.doc, self.count, f"@{split_name(a)[2]}"))
+            elif self.fits(steps[:-1], steps[-1][0], len(self.names) - 1) and steps[-1][1] in ("*", self.names[-1]):
+                self.found.append((self.doc, self.count, self.names[-1]))
+        self.count += 1
+
+    def fits(self, steps: list, how: str, upto: int) -> bool:
+        """Whether the steps lead along the open elements to the one before ``upto``, if the next is reached by ``how``."""
+        if not steps:
+            return how == "//" or upto == 0
+        for k in (range(upto - 1, -1, -1) if how == "//" else [upto - 1]):
+            if k >= 0 and steps[-1][1] in ("*", self.names[k]) and self.fits(steps[:-1], steps[-1][0], k):
+                return True
+        return False
+
+    def feed(self, chunk: str, last: bool = False) -> None:
+        if not self.errors:
+            try:
+                self.parser.Parse(chunk, last)
+            except expat.ExpatError as e:
+                self.errors.append(expat.ErrorString(e.code))
+
+
+def stream_matches(df: DataFrame, pattern: str, chunk: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id, element, name``: what matches a pattern, found while each document is fed in pieces; ``element`` counts start tags."""
+    schema = pa.schema([("doc_id", pa.int64()), ("element", pa.int64()), ("name", pa.string())])
+
+    def read(doc_id: int, text: str | None) -> PatternReader:
+        reader, data = PatternReader(doc_id, pattern), text or ""
+        for k in range(0, len(data), chunk):
+            reader.feed(data[k : k + chunk])
+        reader.feed("", True)
+        return reader
+
+    return parse_with(df, id_column, text_column, read, lambda r: sorted(set(r.found)), schema, "doc_id long, element long, name string")
