@@ -8,6 +8,14 @@ import pyarrow.fs as pafs
 from treeline.llm import common, warc
 
 
+def test_many_repeated_payloads_are_joined(spark, monkeypatch):
+    rows = [(k, f"u{k}", f"<p>{k % 7}</p>") for k in range(60)] + [(100, "u", None), (101, "u", ""), (None, "u", "<p>1</p>"), (102, "u", "once")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = sorted(map(str, warc.mark_revisits(pages).collect()))
+    monkeypatch.setattr(warc, "SHARED", 0)
+    assert sorted(map(str, warc.mark_revisits(pages).collect())) == one
+
+
 def slow(pages):
     least = {}
     for i, _, h in pages:

@@ -11,8 +11,14 @@ digests are checked against the index.
 
 An archive's name holds the task's attempt, so a repeated or lost attempt leaves
 an archive that no index row names. Which page is a response is found from
-digests alone; pages meet the result in one equi-join that can be split, so a
-payload that a third of all pages share is no hot spot.
+digests alone. Digests that occur more than once are counted; up to
+``SHARED`` of them are broadcast, so that no page is shuffled, and more meet the
+pages in one equi-join that can be split. A payload that a third of all pages
+share is no hot spot in either.
+
+Archives are the result of :func:`write`: who names the folder owns it.
+:func:`archive_and_read` makes one of its own below the shared folder where none
+is given; ``common.remove`` deletes it when its rows have been used.
 
 Defined cases: a null html is the empty payload; a null url is written as an
 empty target; payloads are equal if SHA-256 and size are; of rows with equal
@@ -39,6 +45,8 @@ from . import common
 #: Bytes between two selected records that are read rather than skipped, and the most that one read takes,
 #: unless a single record is longer.
 GAP, SPAN = 1 << 16, 1 << 22
+#: Repeated payloads that are broadcast, about 60 bytes each.
+SHARED = 500_000
 #: Bytes of an archive that one reading task takes.
 STRETCH = 1 << 23
 #: A fixed date, so that the same pages make the same archives.
@@ -107,6 +115,9 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     # Only payloads that occur twice need to be met again.
     shared = rows.groupBy("sha", "size").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 and least is not null").select("sha", "size", "least")
     own = F.col("least") == F.col("page_id")
+    shared = common.settle(shared)
+    if shared.count() <= SHARED:
+        shared = F.broadcast(shared)
     return rows.join(shared, ["sha", "size"], "left").select("page_id", "url", "html", F.when(~F.coalesce(own, F.lit(False)), F.col("least")).alias("refers_to"))
 
 
