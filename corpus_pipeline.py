@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. A stage's rows are deleted when the next one's are written; those of the last but one are read by the result and stay."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         where = common.scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(where)
         docs = spark.read.parquet(where)
+        if last is not None:
+            common.remove(spark, last)
+        last = where
     return STAGES[-1][1](spark, docs, sf_dir)

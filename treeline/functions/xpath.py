@@ -69,17 +69,27 @@ def passes(n: Column) -> Column:
     return F.isnan(n) | (F.abs(n) >= WHOLE)
 
 
+def below_zero(n: Column) -> Column:
+    """Whether a number has a minus sign, negative zero included."""
+    return (n < 0) | ((n == 0) & (n.cast("string") == "-0.0"))
+
+
+def whole(n: Column, rounded: Column) -> Column:
+    """A rounded number; where that is zero, it keeps the sign."""
+    return F.when(passes(n), n).when((rounded == 0) & below_zero(n), F.lit(-0.0)).otherwise(rounded.cast("double"))
+
+
 def floor(n: Column) -> Column:
-    return F.when(passes(n), n).otherwise(F.floor(n).cast("double"))
+    return whole(n, F.floor(n))
 
 
 def ceiling(n: Column) -> Column:
-    return F.when(passes(n), n).otherwise(F.ceil(n).cast("double"))
+    return whole(n, F.ceil(n))
 
 
 def xround(n: Column) -> Column:
     """round(): halves go toward positive infinity."""
-    return F.when(passes(n), n).otherwise(F.floor(n + 0.5).cast("double"))
+    return whole(n, F.floor(n + 0.5))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -95,8 +105,8 @@ def multiply(a: Column, b: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """IEEE division: by zero gives an infinity, zero or NaN by zero gives NaN."""
-    zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
+    """IEEE division: by zero gives an infinity of the signs' product, zero or NaN by zero gives NaN."""
+    zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when(below_zero(a) == below_zero(b), F.lit(INF)).otherwise(F.lit(-INF))
     return F.when(b == 0, zero).otherwise(F.try_divide(a, b))
 
 
