@@ -108,19 +108,28 @@ def duration(s: Column) -> Column:
     )
 
 
+# The fewest and the most days that so many months, fewer than twelve, have.
+FEWEST = [0, 28, 59, 89, 120, 150, 181, 212, 242, 273, 303, 334]
+MOST = [0, 31, 62, 92, 123, 153, 184, 215, 245, 276, 306, 337]
+
+
 def compare_durations(a: Column, b: Column) -> Column:
-    """-1, 0, 1, or 2 where months of 28 to 31 days leave the order open."""
+    """-1, 0, 1, or 2 where months of 28 to 31 days leave the order open. Whole days count against months; what is left of a day doesn't."""
     months = a["months"] - b["months"]
-    rest = (a["days"] - b["days"]) * 86400.0 + (a["seconds"] - b["seconds"])
-    # n months have at least and at most so many days.
+    seconds = a["seconds"] - b["seconds"]
+    carry = (seconds / 86400.0).cast("long")
+    days, rest = a["days"] - b["days"] + carry, seconds - carry * 86400.0
+    # Against the side with more months stand the other's days.
+    ahead = F.when(months > 0, F.lit(1)).otherwise(F.lit(-1))
+    against = -ahead * days
     size = F.abs(months)
-    fewest = F.floor(size * 365.2425 / 12).cast("double") - 2
-    most = F.ceil(size * 365.2425 / 12).cast("double") + 2
-    low, high = F.when(months > 0, fewest).otherwise(-most), F.when(months > 0, most).otherwise(-fewest)
-    return (
-        F.when(months == 0, F.signum(rest).cast("int"))
-        .when(low * 86400 + rest > 0, 1).when(high * 86400 + rest < 0, -1).otherwise(2)
-    )
+    years, odd = F.floor(size / 12), (size % 12 + 1).cast("int")
+    long = 365 * years + F.floor((years + 3) / 4)
+    most = long + F.element_at(F.array(*map(F.lit, MOST)), odd)
+    fewest = F.when(years > 0, long - 1).otherwise(0) + F.element_at(F.array(*map(F.lit, FEWEST)), odd)
+    plain = F.when(days != 0, F.signum(days.cast("double"))).otherwise(F.signum(rest))
+    same_side = (against <= 0) & (ahead * rest >= 0)
+    return F.when(months == 0, plain.cast("int")).when(same_side, ahead).when(most < against, -ahead).when(fewest > against, ahead).otherwise(2)
 
 
 def compare_floats(a: Column, b: Column) -> Column:

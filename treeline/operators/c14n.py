@@ -109,10 +109,24 @@ def canonicalize_nodes(nodes: DataFrame, visible: DataFrame, *, exclusive: bool
     """``doc_id, canonical`` of the node-set ``visible`` of each document; a task holds one document at a time."""
     shown = visible.select("doc_id", "pre").distinct().withColumn("shown", F.lit(True))
 
-    def one(table: pa.Table) -> pa.Table:
-        t = table.sort_by("pre")
-        rows = [list(r) for r in zip(*(t[c].to_pylist() for c in COLUMNS[:10]), strict=True)]
-        mine = {r[PRE] for r, s in zip(rows, t["shown"].to_pylist(), strict=True) if s}
-        return pa.table({"doc_id": pa.array([rows[0][DOC]], pa.int64()), "canonical": [canonical(rows, exclusive=exclusive, comments=comments, prefixes=prefixes, visible=mine)]})
+    schema = pa.schema([("doc_id", pa.int64()), ("canonical", pa.string())])
 
-    return nodes.join(shown, ["doc_id", "pre"], "left").select(*COLUMNS[:10], "shown").groupBy("doc_id").applyInArrow(one, "doc_id long, canonical string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents follow one another in order of place, whatever the batches cut."""
+        held: list[tuple] = []
+        for batch in batches:
+            done: list[list[tuple]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][DOC] != row[DOC]:
+                    done.append(held)
+                    held = []
+                held.append(row)
+            yield written(done)
+        yield written([held] if held else [])
+
+    def written(documents: list[list[tuple]]) -> pa.RecordBatch:
+        text = [canonical(rows, exclusive=exclusive, comments=comments, prefixes=prefixes, visible={r[PRE] for r in rows if r[-1]}) for rows in documents]
+        return pa.RecordBatch.from_arrays([pa.array([rows[0][DOC] for rows in documents], pa.int64()), pa.array(text, pa.string())], schema=schema)
+
+    rows = nodes.join(shown, ["doc_id", "pre"], "left").select(*COLUMNS[:10], "shown")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "pre").mapInArrow(run, "doc_id long, canonical string")
