@@ -126,3 +126,45 @@ def test_the_fitted_trees_are_those_of_a_new_fit(model):
     x = np.concatenate([htmltext.node_features(htmltext.made_page(seed)[0]) for seed in range(80_000, 80_060)])
     a, b = model.log_odds(x), new.log_odds(x)
     assert np.mean((a > 0) == (b > 0)) > 0.999 and np.median(np.abs(a - b)) < 1e-3
+
+
+def slow_numbers(page, node):
+    """A few numbers of a node by plain walks over the page."""
+    below = [k for k in range(len(page.tag)) if k == node or node in above(page, k)]
+    total = sum(len(t) for _, t, _ in page.runs)
+    own = [(t, l) for n, t, l in page.runs if n == node]
+    inner = [(t, l) for n, t, l in page.runs if n in below]
+    size = sum(len(t) for t, _ in inner)
+    siblings = [k for k in range(len(page.tag)) if k and page.parent[k] == page.parent[node]] if node else []
+    return {
+        "depth": len(above(page, node)), "own_text": np.log1p(sum(len(t) for t, _ in own)), "all_text": np.log1p(size), "text_share": size / max(total, 1), "link_share": sum(l for _, l in inner) / max(size, 1),
+        "children": sum(p == node for p in page.parent), "nodes_below": len(below) - 1, "place": siblings.index(node) if node else 0, "paragraphs_below": np.log1p(sum(page.tag[k] == "p" for k in below if k != node)),
+        "marks_per_char": sum(t.count(",") + t.count(".") for t, _ in inner) / max(size, 1), "run_count": np.log1p(len(inner)), "in_article": float(any(page.tag[k] == "article" for k in above(page, node))),
+    }
+
+
+def above(page, node):
+    out = []
+    while page.parent[node] >= 0:
+        node = page.parent[node]
+        out.append(node)
+    return out
+
+
+def test_features_and_trees_by_plain_loops(model):
+    for source in (HAND[1][0], HAND[6][0], "<article><p>a, b. <a href=x>c d</a></p><div><p>e</p>f</div></article>tail"):
+        page = htmltext.read_page(source)
+        x = htmltext.node_features(page)
+        for node in range(len(page.tag)):
+            for name, want in slow_numbers(page, node).items():
+                assert abs(x[node, htmltext.NAMES.index(name)] - want) < 1e-5, (source, node, name)
+        odds = model.log_odds(x)
+        for node in range(len(page.tag)):
+            score = model.bias
+            for which, cut, value in model.trees:
+                at = 0
+                while at < len(which):
+                    edges = model.edges[which[at]]
+                    at = 2 * at + 1 + int(sum(e < x[node, which[at]] for e in edges) > cut[at])
+                score += value[at - len(which)]
+            assert abs(score - odds[node]) < 1e-6

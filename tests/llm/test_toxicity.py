@@ -98,3 +98,111 @@ def test_filter_keeps_columns(spark):
     out = toxicity.keep_clean(docs, labels)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {k for k in range(300) if k % 3}
+
+
+def slow_decode_with(token, model):
+    """All readings of a token under any model, scored one by one."""
+    found = {}
+
+    def go(k, a, b, last, score, said):
+        if k == len(token):
+            total = score + (model[a][b][0] if b else 0.0)
+            found[said] = max(found.get(said, -1e9), total)
+            return
+        c = token[k]
+        looks = toxicity.LOOKALIKES.get(c, "")
+        reads = [(c, 0.0)] + ([(toxicity.HOMOGLYPHS[c], toxicity.ALIKE)] if c in toxicity.HOMOGLYPHS else []) if c.isalpha() else [(x, toxicity.ALIKE) for x in looks]
+        for x, cost in reads:
+            s = toxicity.symbol(x)
+            go(k + 1, b, s, x, score + cost + model[a][b][s], said + x)
+            if x == last:
+                go(k + 1, a, b, last, score + cost + toxicity.AGAIN, said)
+        if not c.isalpha():
+            go(k + 1, a, b, last, score + (toxicity.STRAY if reads else toxicity.BETWEEN), said)
+            go(k + 1, b, 0, "", score + toxicity.ITSELF + (model[a][b][0] if b else 0.0), said + " " if b else said)
+
+    go(0, 0, 0, "", 0.0, "")
+    return max(found.items(), key=lambda x: x[1])[0]
+
+
+def slow_features(text, model):
+    """Words and beginnings of a text's tokens, each read by exhaustive search; and how many tokens."""
+    import re
+
+    tokens = toxicity.unspaced(text.lower()).split()
+    said, doubled = set(), set()
+    for t in tokens:
+        bare = toxicity.EDGE.sub("", toxicity.EDGE.sub("", t))
+        meant = slow_decode_with(bare, model) if toxicity.disguised(bare) else bare
+        words = re.findall(r"[^\W\d_]+", meant)
+        for w in words:
+            said |= {"=" + w} | {w[:k] for k in range(4, min(9, len(w) + 1))}
+            doubled |= {"=" + re.sub(r"([^\W\d_])\1+", r"\1", w)}
+        if toxicity.SIGNS.fullmatch(t):
+            doubled |= {"=" + w for w in re.findall(r"[^\W\d_]+", slow_decode_with(t, model))}
+    return said, doubled, len(tokens)
+
+
+def test_whole_result_against_brute_force(spark):
+    """Counts, chosen features, fitted weights and every score, by plain loops over a small table."""
+    import math
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    plain, bad = "river stone cloud garden winter letter music window".split(), ["clown", "cl0wn", "c.l.o.w.n", "moron", "m0r0n"]
+    rows, marks = [], []
+    for k in range(140):
+        words = list(rng.choice(plain, 6)) + [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k % 6]}x"]
+        if k % 3 == 0:
+            words[int(rng.integers(0, 6))] = str(rng.choice(bad))
+        rows.append((k, " ".join(rng.permutation(words))))
+        marks.append((k, int(k % 3 == 0)))
+    rows += [(500, None), (501, ""), (502, "a cllown, c l o w n!"), (503, "mоron 455 2020"), (None, "moron")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    # The character model.
+    counts = Counter()
+    for _, t in rows:
+        s = [0, *(toxicity.symbol(c) for c in (t or "").lower()), 0]
+        counts.update(zip(s, s[1:], s[2:]))
+    got = toxicity.count_trigrams(docs)
+    assert {(a, b, c): int(got[a, b, c]) for a, b, c in zip(*np.nonzero(got))} == {k: n for k, n in counts.items() if n}
+    model = toxicity.fit(docs, labels)
+    language = toxicity.log_model(got)
+    assert np.allclose(model.language, language)
+    # The features: tallied over the training rows, then those that tell.
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    toxic = dict(marks)
+    train = [(i, t) for i, t in rows if i in toxic and not held(i)]
+    kept, seen = [], [set() for _ in range(toxicity.SKETCHES)]
+    for i, t in sorted(train):  # of copies one
+        kept.append((i, t, toxicity.sketch(t).tolist()))
+    for k in range(toxicity.SKETCHES):
+        seen, left = set(), []
+        for row in kept:
+            if row[2][k] not in seen:
+                seen.add(row[2][k])
+                left.append(row)
+        kept = left
+    said = {i: slow_features(t, language) for i, t, _ in kept}
+    n, b = Counter(f for s, _, _ in said.values() for f in s), Counter(f for i, (s, _, _) in said.items() if toxic[i] for f in s)
+    rate = sum(toxic[i] for i in said) / len(said)
+    gains = {f: b[f] * math.log(b[f] / n[f] / rate) + ((n[f] - b[f]) * math.log((n[f] - b[f]) / n[f] / (1 - rate)) if n[f] > b[f] else 0) for f in n if b[f] >= 4}
+    told = {f for f, g in gains.items() if b[f] > 1.5 * rate * n[f] and g >= toxicity.GAIN + math.log(len(n))}
+    same = lambda f, g: f in told and g in told and (b[f], n[f]) == (b[g], n[g])
+    chosen = {f for f in told if not (same(f, f[1:][:8]) if f[0] == "=" else any(g[:-1] == f and g[0] != "=" and same(f, g) for g in told))}
+    assert set(model.numbers) == chosen and chosen
+    # The weights: where the penalised loss has no slope left.
+    names, w = list(model.numbers), model.weights
+    z = {i: sum(w[model.numbers[f]] for f in s if f in model.numbers) + model.length * (math.log1p(m) / 4 - 1.5) + model.bias for i, (s, _, m) in said.items()}
+    g = {i: (1 / (1 + math.exp(-z[i])) - toxic[i]) / len(z) for i in z}
+    slopes = [sum(g[i] for i in z if f in said[i][0]) + 1e-5 * w[model.numbers[f]] for f in names]
+    assert max(map(abs, [*slopes, sum(g.values())])) < 1e-3
+    # Every score.
+    for r in toxicity.score(docs, labels, model).collect():
+        text = next((t for i, t in rows if i == r.doc_id), None) or ""
+        s, doubled, m = slow_features(text, language)
+        numbers = {model.numbers[f] for f in s | doubled if f in model.numbers}
+        total = sum(w[k] for k in numbers) + model.length * (math.log1p(m) / 4 - 1.5) + model.bias
+        want = max(1 / (1 + math.exp(-total)), max((model.shares[k] for k in numbers), default=0.0))
+        assert abs(r.score - want) < 1e-9 and r.held_out == held(r.doc_id), (r, want)
