@@ -187,3 +187,58 @@ def test_streaming_patterns_equal_paths(spark):
         for chunk in (1, 4096):
             assert sorted(r.element for r in markup.stream_matches(df, pattern, chunk).where("doc_id = 1").collect()) == want, pattern
     assert [(r.doc_id, r.name) for r in markup.stream_matches(df, "c/@k | b").where("doc_id < 3").orderBy("doc_id", "element", "name").collect()] == [(1, "b"), (1, "@k"), (1, "b"), (2, "b")]
+
+
+XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:t" xmlns="urn:t" elementFormDefault="qualified">
+<xs:simpleType name="code"><xs:restriction base="xs:string"><xs:pattern value="[a-z-[aeiou]]{2}"/><xs:pattern value="\\i\\c*X"/><xs:minLength value="2"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="few"><xs:restriction><xs:simpleType><xs:list itemType="xs:short"/></xs:simpleType><xs:maxLength value="2"/></xs:restriction></xs:simpleType>
+<xs:simpleType name="either"><xs:union memberTypes="xs:boolean xs:date"/></xs:simpleType>
+<xs:complexType name="base"><xs:sequence><xs:element name="a" type="xs:int"/></xs:sequence><xs:attribute name="x" type="xs:int" fixed="7"/></xs:complexType>
+<xs:complexType name="more"><xs:complexContent><xs:extension base="base"><xs:sequence><xs:element name="b" minOccurs="0" maxOccurs="unbounded" type="code"/></xs:sequence><xs:attribute name="y" use="required" type="few"/></xs:extension></xs:complexContent></xs:complexType>
+<xs:element name="r" type="more"/><xs:element name="e" type="either" nillable="true"/><xs:element name="m"><xs:complexType mixed="true"><xs:choice minOccurs="0" maxOccurs="unbounded"><xs:element ref="r"/><xs:element name="i" fixed="k" type="xs:token"/></xs:choice></xs:complexType></xs:element>
+<xs:element name="all"><xs:complexType><xs:all><xs:element name="p"/><xs:element name="q" minOccurs="0"/></xs:all></xs:complexType></xs:element>
+<xs:element name="pairs"><xs:complexType><xs:sequence maxOccurs="unbounded"><xs:element name="p"/><xs:element name="q" minOccurs="0"/><xs:any minOccurs="0"/></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+@pytest.mark.parametrize(("text", "errors"), [
+    ('<r y="1 2"><a>3</a><b>bc</b><b>aX</b></r>', []), ('<r y="1 2 3"><a>3</a></r>', ["value of attribute y of r breaks maxLength"]), ("<r><a>3</a></r>", ["r lacks attribute y"]), ('<r y="" x="8"><a>x</a></r>', ["attribute x of r is not 7", "value of a breaks int"]), ('<r y=""><b>bc</b></r>', ["content of r does not fit"]), ('<r y="" z=""><a>1</a><b>ab</b></r>', ["r has attribute z", "value of b breaks pattern"]),
+    ('<r y="70000"><a>1</a>t</r>', ["value of attribute y of r breaks short", "r has text"]), ("<e>true</e>", []), ("<e>2024-02-29</e>", []), ("<e>2023-02-29</e>", ["value of e breaks union"]), ('<e xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:nil="true"/>', []), ('<m>t<r y=""><a> 1 </a></r>u<i> k </i></m>', []), ("<m><i>l</i></m>", ["i is not k"]),
+    ("<all><q/><p/></all>", []), ("<all><q/></all>", ["content of all does not fit"]), ("<all><p/><p/></all>", ["content of all does not fit"]), ("<pairs><p/><q/><p/><p/></pairs>", []), ("<pairs><q/></pairs>", ["content of pairs does not fit"]), ("<pairs><p/><e>x</e></pairs>", ["value of e breaks union"]), ("<none/>", ["no declaration for element none"]), ("<r>", ["not well-formed"]), (None, ["not well-formed"]),
+])
+def test_schemas(text, errors):
+    from treeline.operators import schema
+
+    held = schema.Schema(XSD)
+    if text and text.startswith("<") and text != "<r>":
+        head, _, rest = text.partition(">") if not text.endswith("/>") or ">" in text[:-1] else (text[:-2], "", "")
+        text = f'{head.rstrip("/")} xmlns="urn:t"{"/" if head.endswith("/") or not rest else ""}>{rest}'
+    assert held.errors(text) == errors
+
+
+@pytest.mark.parametrize("bad", ["<a/>", "<broken", '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:import/></xs:schema>', '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="a"><xs:simpleType><xs:restriction base="xs:string"><xs:pattern value="\\p{L}"/></xs:restriction></xs:simpleType></xs:element></xs:schema>'])
+def test_faulty_schemas(bad):
+    from treeline.operators import schema
+
+    with pytest.raises(schema.SchemaError):
+        held = schema.Schema(bad)
+        held.errors("<a/>")
+
+
+def test_the_command_line(spark, small, capsys, tmp_path):
+    from treeline.__main__ import main
+
+    assert main(["--list"]) == 0 and "f01_stacked_predicates" in capsys.readouterr().out
+    assert main(["a09_pass_fail", "--sql"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert main(["nosuch", small]) == 2 and main(["a09_pass_fail"]) == 2
+    assert main(["a09_pass_fail", small, "--rows", "2"]) == 0 and "rate" in capsys.readouterr().out
+    assert main(["a09_pass_fail", small, "--out", str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_a_sink_that_fails_leaves_nothing(spark, tmp_path):
+    from treeline.sources import files
+
+    w = files.LinesWriter({"folder": f"file://{tmp_path}/x"}, 0)
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "part").write_text("a")
+    w.abort([files.Written("part", 1), None])
+    assert list((tmp_path / "x").iterdir()) == []

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.operators.schema import BUILT_IN
+
 XI = "{http://www.w3.org/2001/XInclude}"
 
 
@@ -67,6 +69,15 @@ def include(name: str, library: dict[str, str], depth: int = 40, path: tuple[str
     return root
 
 
+def typed(name: str, text: str) -> bool:
+    """Whether a text is a value of a built-in type."""
+    try:
+        BUILT_IN[name](" ".join(text.split()))
+    except (ValueError, ArithmeticError):
+        return False
+    return True
+
+
 def names(element: ElementTree.Element) -> str:
     return element.tag.rpartition("}")[2]
 
@@ -74,7 +85,7 @@ def names(element: ElementTree.Element) -> str:
 class Grammar:
     """A grammar of patterns: validation by derivatives-like matching of children and attributes.
 
-    Patterns: ``("empty",) ("text",) ("value", s) ("data", regex) ("ref", n)
+    Patterns: ``("empty",) ("text",) ("value", s) ("data", regex) ("type", name) ("ref", n)
     ("element", name, p) ("attribute", name, p) ("group", p, q) ("choice", p, q)
     ("interleave", p, q) ("many", p) ("optional", p)``.
     """
@@ -93,6 +104,9 @@ class Grammar:
             if p[1] in refs:
                 raise ValueError(f"{p[1]} refers to itself")
             self.check(self.defines[p[1]], (*refs, p[1]))
+        elif p[0] == "type":
+            if p[1] not in BUILT_IN:
+                raise ValueError(f"no type {p[1]}")
         elif p[0] not in ("element", "attribute", "value", "data"):
             for q in p[1:]:
                 self.check(q, refs)
@@ -122,9 +136,9 @@ class Grammar:
             return {state}
         if kind == "text":
             return {state, (items[1:], attrs)} if items and items[0][0] == "t" else {state}
-        if kind in ("value", "data"):
+        if kind in ("value", "data", "type"):
             said = items[0][1].strip() if items and items[0][0] == "t" else ""
-            ok = said == p[1] if kind == "value" else re.fullmatch(p[1], said) is not None
+            ok = said == p[1] if kind == "value" else typed(p[1], said) if kind == "type" else re.fullmatch(p[1], said) is not None
             return {(items[1:] if items and items[0][0] == "t" else items, attrs)} if ok else set()
         if kind == "ref":
             return self.match(self.defines[p[1]], state)

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.nodetable import ORDER, ORDER_TREE_SQL, order_tree
-from treeline.operators import c14n, catalog, dtd, edits, output, schematron
+from treeline.operators import c14n, catalog, documents, dtd, edits, output, schematron
+from treeline.operators import schema as xsd
 from treeline.operators import nodes as ops
 from treeline.plans.work import LINES_SQL, lines, orders_xml
 from treeline.plans.xpath import XPath
 from treeline.registry import registry
 from treeline.session import table
-from treeline.sources import markup
+from treeline.sources import files, markup
+from treeline.streaming import streams
 
 WITH = f"WITH {ORDER_TREE_SQL}"
 
@@ -338,3 +340,52 @@ def c03_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeline.operators import lz
 
     return lz.parse(lines(spark, sf_dir)).select("doc_id", F.col("digest").alias("restored"), ((F.col("best_bits") <= F.col("bits")) & (F.col("split_bits") <= F.col("bits"))).alias("no_dearer"))
+
+
+# ---- schemas, type libraries, output and encodings ----------------------------------------------------------------
+
+ORDER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+<xs:simpleType name="state"><xs:restriction base="xs:token"><xs:enumeration value="F"/><xs:enumeration value="O"/></xs:restriction></xs:simpleType>
+<xs:complexType name="line"><xs:simpleContent><xs:extension base="xs:positiveInteger"><xs:attribute name="n" type="xs:byte" use="required"/></xs:extension></xs:simpleContent></xs:complexType>
+<xs:element name="order"><xs:complexType>
+  <xs:sequence><xs:element name="total"><xs:simpleType><xs:restriction base="xs:decimal"><xs:maxInclusive value="300000"/><xs:fractionDigits value="2"/></xs:restriction></xs:simpleType></xs:element>
+    <xs:choice><xs:element name="due" type="xs:date"/><xs:element name="never"/></xs:choice><xs:element name="line" type="line" minOccurs="0" maxOccurs="2"/></xs:sequence>
+  <xs:attribute name="status" type="state" use="required"/><xs:attribute name="id" type="xs:int"/></xs:complexType></xs:element></xs:schema>"""
+
+
+@registry.add("v11_schema", """SELECT o_orderkey AS doc_id, concat_ws('; ', CASE WHEN o_orderstatus = 'P' THEN 'value of attribute status of order breaks enumeration' END, CASE WHEN o_orderkey % 4 = 3 THEN 'content of order does not fit' END,
+CASE WHEN o_orderkey % 4 <> 3 AND o_totalprice > 300000 THEN 'value of total breaks maxInclusive' END, CASE WHEN o_orderkey % 4 <> 3 AND o_orderkey % 9 = 0 THEN 'value of due breaks date' END) AS errors FROM orders""")
+def v11_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against an XML Schema: facets, dates, choices, occurrences, attributes."""
+    k = F.col("o_orderkey")
+    due = F.when(k % 9 == 0, "<due>2024-02-30</due>").when(k % 9 == 1, "<never/>").otherwise(F.concat(F.lit("<due>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</due>")))
+    docs = made(spark, sf_dir, '<order status="%s" id="%s"><total>%s</total>%s%s</order>', "o_orderstatus", "o_orderkey", F.col("o_totalprice").cast("decimal(12,2)"), due, F.repeat(F.lit('<line n="1"> 7 </line>'), (k % 4).cast("int")))
+    return xsd.validate(docs, ORDER_XSD).select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@registry.add("v08_type_library", "SELECT o_orderkey AS doc_id, o_orderkey < 128 AND o_orderkey % 9 <> 0 AS valid FROM orders")
+def v08_type_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grammar whose data are built-in types."""
+    grammar = documents.Grammar(("element", "o", ("group", ("attribute", "k", ("type", "byte")), ("element", "d", ("type", "date")))))
+    day = F.when(F.col("o_orderkey") % 9 == 0, "2023-02-29").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return documents.validate(made(spark, sf_dir, '<o k="%s"><d> %s </d></o>', "o_orderkey", day), grammar)
+
+
+@registry.add("k07_output", "SELECT p_name AS line, count(*) AS n FROM part GROUP BY ALL")
+def k07_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written by a data sink of our own, compressed, and read again."""
+    spark.dataSource.register(files.LinesSource)
+    folder = streams.shared_folder(spark, "lines")
+    rows = table(spark, sf_dir, "part").select(F.lit(0).alias("doc"), F.lit(0).alias("line"), F.col("p_name").alias("text"))
+    rows.write.format("lines").option("folder", folder).option("codec", "gzip").mode("append").save()
+    return spark.read.option("pathGlobFilter", "*.gz").text(folder).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@registry.add("e10_encodings", "SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_name END AS text, CASE p_partkey % 4 WHEN 2 THEN 'unknown encoding x-none' WHEN 3 THEN 'not utf-8' END AS error FROM part")
+def e10_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes by the names of their encodings: one that Python knows, one that is registered, one that nobody knows, and one that doesn't hold."""
+    k = F.col("p_partkey") % 4
+    data = F.when(k == 0, F.encode("p_name", "UTF-16")).when(k == 1, F.encode(F.reverse("p_name"), "UTF-8")).when(k == 2, F.encode("p_name", "UTF-8")).otherwise(F.unhex(F.lit("C328")))
+    name = F.element_at(F.array(*map(F.lit, ("utf-16", "X-Reversed", "x-none", "utf-8"))), (k + 1).cast("int"))
+    got = files.decoded(data, name, {"x-reversed": lambda b: b.decode()[::-1]})
+    return table(spark, sf_dir, "part").select("p_partkey", got.alias("x")).select("p_partkey", "x.text", "x.error")

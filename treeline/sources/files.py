@@ -7,12 +7,14 @@ import glob as globbing
 import lzma
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.functions import pandas_udf
 
 
@@ -54,6 +56,76 @@ class LinesSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return LinesReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return LinesWriter(self.options, [f.name for f in schema.fields].index("text"))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """A file that a task wrote, and its lines."""
+
+    name: str
+    lines: int
+
+
+class LinesWriter(DataSourceWriter):
+    """A pluggable output: ``df.write.format("lines").option("folder", uri).mode("append").save()`` writes the column ``text``, a line a row.
+
+    Each task writes a file of its own, gzip if the option ``codec`` says so; the
+    folder's ``_lines`` names the files of tasks that were committed, so that what
+    a lost attempt left is known not to count.
+    """
+
+    def __init__(self, options: dict, column: int):
+        self.folder, self.codec, self.column = options["folder"], options.get("codec"), column
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        store.create_dir(root, recursive=True)
+        task, n = TaskContext.get(), 0
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.txt" + (".gz" if self.codec == "gzip" else "")
+        with store.open_output_stream(f"{root}/{name}", compression=self.codec) as out:
+            for row in rows:
+                out.write(f"{row[self.column]}\n".encode())
+                n += 1
+        return Written(name, n)
+
+    def commit(self, messages: list) -> None:
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/_lines") as out:
+            out.write("".join(f"{m.name}\t{m.lines}\n" for m in messages if m is not None).encode())
+
+    def abort(self, messages: list) -> None:
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        for m in messages:
+            if m is not None:
+                store.delete_file(f"{root}/{m.name}")
+
+
+def decoded(data: Column, encoding: Column, handlers: dict[str, Callable[[bytes], str]] | None = None) -> Column:
+    """``text, error``: bytes by the name of their encoding, a registered handler's or one that Python knows; what can't be read is an error."""
+    held = {k.lower(): v for k, v in (handlers or {}).items()}
+
+    def one(b: bytes | None, name: str | None) -> tuple[str | None, str | None]:
+        if b is None or name is None:
+            return None, None
+        try:
+            return held[name.lower()](bytes(b)) if name.lower() in held else bytes(b).decode(name), None
+        except LookupError:
+            return None, f"unknown encoding {name}"
+        except ValueError:
+            return None, f"not {name}"
+
+    @pandas_udf("text string, error string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for blobs, names in batches:
+            yield pd.DataFrame([one(b, n) for b, n in zip(blobs, names, strict=True)], columns=["text", "error"])
+
+    return run(data, encoding)
+
 
 class LinesReader(DataSourceReader):
     def __init__(self, options: dict):
