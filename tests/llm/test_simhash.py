@@ -107,3 +107,12 @@ def test_keep_one_of_each_group_when_ids_repeat(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text.lower()) for r in out.collect()), key=str)
     assert got == sorted([(3, near), (5, far), (7, other), (9, rows[5][1]), (9, rows[6][1].lower()), (None, "no id in this one")], key=str)
+
+
+def test_hot_groups_join_alike(spark, monkeypatch):
+    rows = [(k, "the same words over and over again", "s") for k in range(60)] + [(100 + k, f"text number {k} of many others {k * 7}", "s") for k in range(40)] + [(None, "", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash.common, "HOT_ROWS", 5)
+    monkeypatch.setattr(simhash.common, "HOT_KEYS", 50)
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == one

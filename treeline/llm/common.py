@@ -79,6 +79,23 @@ def record(schema: pa.Schema, *columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Keys of a join that may be hot at most, and rows from which a key is hot at least.
+HOT_KEYS, HOT_ROWS = 1_000, 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups``, one row a key with the number of its rows in ``count``.
+
+    Keys of over ``HOT_ROWS`` rows and over a ``HOT_KEYS``-th of all are at most
+    ``HOT_KEYS``: these are broadcast, so their rows stay where they are; all
+    others meet in an equi-join whose keys are all small.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = groups.where(F.col(count) > limit).drop(count)
+    warm = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(count) <= limit).drop(count), key)
+    return rows.join(F.broadcast(hot), key).unionByName(warm)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as rows ``(node, root)``, one per node.
 

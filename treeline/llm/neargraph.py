@@ -538,10 +538,11 @@ def near_duplicates(embeddings: DataFrame, settings: Settings | None = None) ->
     named = named.select("rep", "least", F.coalesce("root", "rep").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_rep = named.join(least, "root").select("rep", "n_links", "component_id")
-    by_vector = common.settle(classes.select("rep", "v").join(by_rep, "rep").select("v", "n_links", "component_id"))
+    by_vector = common.settle(classes.select("rep", "many", "v").join(by_rep, "rep").select("v", "many", "n_links", "component_id"))
     # Rows without a usable vector meet nothing, so they take no part in the join.
     lone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = rows.where("v is not null").join(by_vector, "v").select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionByName(lone)
+    usable = rows.where("v is not null")
+    out = common.join_groups(usable, by_vector, "v", "many", classes.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionByName(lone)
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).alias("recall"))
 
 

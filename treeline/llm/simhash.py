@@ -213,15 +213,15 @@ def link_buckets(fps: DataFrame, errors: int) -> DataFrame:
 def grouped(docs: DataFrame, size: int, errors: int) -> DataFrame:
     """``doc_id, fp, root, component_id`` for every row of ``docs``; ``root`` is a fingerprint of the row's component, ``component_id`` its least doc_id."""
     rows = common.settle(fingerprints(docs, size))
-    classes = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     common.session(docs.sparkSession)
     edges = common.settle(link_buckets(classes.select("fp"), errors).distinct())
     roots = common.components(edges)
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = linked.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    named = common.settle(classes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    named = common.settle(classes.join(joined, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+    return common.join_groups(rows, named, "fp", "n", rows.count()).select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, errors: int = 4) -> DataFrame:
