@@ -242,3 +242,43 @@ def test_a_sink_that_fails_leaves_nothing(spark, tmp_path):
     (tmp_path / "x" / "part").write_text("a")
     w.abort([files.Written("part", 1), None])
     assert list((tmp_path / "x").iterdir()) == []
+
+
+def test_a_policy_and_a_server(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from treeline.sources import network
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response({"/gone": 404, "/away": 302}.get(self.path, 200))
+            if self.path == "/away":
+                self.send_header("Location", "http://localhost:1/other")
+            self.end_headers()
+            self.wfile.write(b"x" * (100 if self.path == "/long" else 3))
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        policy = network.Policy((base,), seconds=5, most=50)
+        urls = [f"{base}/a", f"{base}/gone", f"{base}/long", f"{base}/away", f"{base}1/a", "file:///etc/passwd", f"{base}/../x", f"http://u@127.0.0.1:{server.server_port}/a", None]
+        rows = spark.createDataFrame(list(enumerate(urls)), "k int, url string").select("k", network.fetched(F.col("url"), policy).alias("x")).orderBy("k").collect()
+    finally:
+        server.shutdown()
+    got = [(r.x.status, r.x.body and bytes(r.x.body), r.x.error) for r in rows]
+    assert got[:4] == [(200, b"xxx", None), (404, None, "status 404"), (200, None, "too large"), (None, None, "redirected to where it is not allowed")]
+    assert [g[2] for g in got[4:8]] == ["not allowed"] * 4 and got[8] == (None, None, None)
+
+
+def test_shell(spark):
+    from treeline.operators.shell import Shell
+
+    n = markup.xml_nodes(spark.createDataFrame([(1, "<a><b k='1'>x</b><b>y<!-- c --></b><c/></a>"), (2, "<z/>")], "doc_id long, text string"))
+    s = Shell(n, 1)
+    said = [s.run(x) for x in ("ls", "cd a", "ls", "cat b", "cat b/@k", "xpath b = 'y'", "grep y", "cd b", "cd b[2]", "pwd", "ls", "cd ..", "cd /", "cd", "pwd", "xpath ///", "du")]
+    assert said == ["a", "", "b\nb\nc", '<b k="1">x</b>\n<b>y<!-- c --></b>', "1", "true", "y", "b is several nodes", "", "/a/b", "#text\n#comment", "", "", "", "/", said[15], "a 1\n  b 2\n  c 1"] and said[15].startswith("error")

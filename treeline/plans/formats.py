@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.nodetable import ORDER, ORDER_TREE_SQL, order_tree
-from treeline.operators import c14n, catalog, documents, dtd, edits, output, schematron
+from treeline.operators import c14n, catalog, documents, dtd, edits, output, schematron, shell
 from treeline.operators import schema as xsd
 from treeline.operators import nodes as ops
 from treeline.plans.work import LINES_SQL, lines, orders_xml
 from treeline.plans.xpath import XPath
 from treeline.registry import registry
 from treeline.session import table
-from treeline.sources import files, markup
+from treeline.sources import files, markup, network
 from treeline.streaming import streams
 
 WITH = f"WITH {ORDER_TREE_SQL}"
@@ -389,3 +389,46 @@ def e10_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("utf-16", "X-Reversed", "x-none", "utf-8"))), (k + 1).cast("int"))
     got = files.decoded(data, name, {"x-reversed": lambda b: b.decode()[::-1]})
     return table(spark, sf_dir, "part").select("p_partkey", got.alias("x")).select("p_partkey", "x.text", "x.error")
+
+
+# ---- policies, shells, interruption -------------------------------------------------------------------------------
+
+
+@registry.add("s18_policy", "SELECT page_id, 'not allowed' AS error, false AS has_body FROM pages WHERE url IS NOT NULL")
+def s18_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses under a policy that allows none: nothing is fetched, each says why."""
+    got = table(spark, sf_dir, "pages").where("url is not null").select("page_id", network.fetched(F.col("url"), network.Policy()).alias("x"))
+    return got.select("page_id", "x.error", F.col("x.body").isNotNull().alias("has_body"))
+
+
+SCRIPT = ["pwd", "cd customer", "pwd", "xpath count(order)", "xpath order[1]/@status", "cd nosuch", "du order[1]", "nonsense"]
+
+
+@registry.add("k14_shell", """WITH c AS (SELECT min(o_custkey) AS doc FROM orders), o AS (SELECT * FROM orders, c WHERE o_custkey = doc), f AS (SELECT * FROM o ORDER BY o_orderkey LIMIT 1), n AS (SELECT count(*) AS n FROM lineitem WHERE l_orderkey = (SELECT o_orderkey FROM f))
+SELECT 0 AS step, '/' AS said UNION ALL SELECT 1, '' UNION ALL SELECT 2, '/customer' UNION ALL SELECT 3, (SELECT count(*)::VARCHAR FROM o) UNION ALL SELECT 4, (SELECT o_orderstatus FROM f) UNION ALL SELECT 5, 'nosuch is no node'
+UNION ALL SELECT 6, '  order 1' || CASE WHEN n > 0 THEN chr(10) || '    lineitem ' || n ELSE '' END FROM n UNION ALL SELECT 7, 'unknown command nonsense'""")
+def k14_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script of commands that walk the first customer's document."""
+    doc = table(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
+    walk = shell.Shell(order_tree(spark, sf_dir), doc)
+    return spark.createDataFrame([(k, walk.run(line)) for k, line in enumerate(SCRIPT)], "step int, said string")
+
+
+@registry.add("r09_interrupt", "SELECT 'finished' AS work, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'stopped', NULL")
+def r09_interrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work that is asked again and again whether to stop: once it isn't, once it is."""
+    orders = table(spark, sf_dir, "orders")
+    rows = [("finished", shell.interruptible(spark, orders.count, lambda: False))]
+
+    def slowly(batches):
+        import time
+
+        for b in batches:
+            time.sleep(20)
+            yield b
+
+    try:
+        rows.append(("not stopped", shell.interruptible(spark, orders.select("o_orderkey").mapInArrow(slowly, "o_orderkey long").count, lambda: True, 0.1)))
+    except shell.Interrupted as e:
+        rows.append((str(e), None))
+    return spark.createDataFrame(rows, "work string, n long")
