@@ -57,22 +57,32 @@ def test_random_texts_agree(text):
 held: list = []
 
 
-def test_every_code_point_in_three_contexts(library):
+def disagreeing(library, coder, texts):
+    wrong = []
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        for text, ids, want in zip(part, coder.encode(part), library.encode_batch(part, add_special_tokens=False), strict=True):
+            if np.frombuffer(ids, "<u4").tolist() != want.ids:
+                wrong.append(text)
+    return wrong
+
+
+def test_every_code_point(library):
+    """Each alone between letters; those that are more than plain letters of large scripts in two more contexts."""
+    import unicodedata
+
     coder = bpe.Coder(bpe.Tokenizer(PATH), None)
     every = [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
     # Private and never assigned planes: forty characters a text.
     far = [c for c in every if not (c < "\U00034000" or "\U000e0000" <= c < "\U000e1000")]
-    crowds = ["a".join(far[k : k + 40]) for k in range(0, len(far), 40)]
-    every = [c for c in every if c < "\U00034000" or "\U000e0000" <= c < "\U000e1000"] + crowds
-    for form in ("a{0}b{0}1", "{0}'s \u0301{0}\u0315\u0300", "Z{0}{0}9!{0}"):
-        texts = [form.format(c) for c in every]
-        wrong = []
-        for at in range(0, len(texts), 20_000):
-            part = texts[at : at + 20_000]
-            for text, ids, want in zip(part, coder.encode(part), library.encode_batch(part, add_special_tokens=False), strict=True):
-                if np.frombuffer(ids, "<u4").tolist() != want.ids:
-                    wrong.append(text)
-        assert not wrong, (len(wrong), wrong[:10])
+    near = [c for c in every if c < "\U00034000" or "\U000e0000" <= c < "\U000e1000"]
+    held = bpe.alphabet()
+    special = set(held.otherwise + held.apart) | set(map(chr, held.lower)) | {chr(x + d) for r in (held.letters, held.numbers, held.blanks) for ab in r for x in ab for d in (-1, 0, 1) if x + d > 0x7F and not 0xD800 <= x + d < 0xE000}
+    kinds = [c for k, c in enumerate(near) if c in special or k % 16 == 0 or unicodedata.category(c) not in ("Lo", "Cn", "Co")]
+    wrong = disagreeing(library, coder, [f"a{c}b{c}1" for c in near] + ["a".join(far[k : k + 40]) for k in range(0, len(far), 40)])
+    for form in ("{0}'s \u0301{0}\u0315\u0300", "Z{0}{0}9!{0}"):
+        wrong += disagreeing(library, coder, [form.format(c) for c in kinds])
+    assert not wrong, (len(wrong), wrong[:10])
 
 
 def test_texts_of_many_scripts(library):
