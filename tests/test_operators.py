@@ -159,3 +159,12 @@ def test_cheapest_parse():
         store = lz.matches(data)
         best = lz.squeeze(data, store)
         assert lz.expand(store) == data and lz.expand(best) == data and lz.dynamic_bits(best) <= lz.dynamic_bits(store)
+
+
+def test_smoothed_counts():
+    assert codec.smooth([]) == [] and codec.smooth([0, 0]) == [0, 0]
+    assert codec.smooth([5] * 7 + [9]) == [5] * 7 + [9]
+    assert codec.smooth([10, 11, 12, 13, 0, 0]) == [12, 12, 12, 12, 0, 0]
+    assert codec.smooth([1, 0, 1, 0, 50]) == [1, 1, 1, 1, 50]
+    assert codec.smooth([9, 0, 0, 0, 0, 0, 9]) == [9, 0, 0, 0, 0, 0, 9]
+    assert codec.smooth([40, 0, 0, 0, 40]) == [40, 0, 0, 0, 40]

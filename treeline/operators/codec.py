@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -100,6 +101,46 @@ def code_lengths(counts: list[int], most: int) -> list[int]:
     return lengths
 
 
+# Runs of at least so many zeros, or of another count, are left; counts nearer than so much to a stretch's start are one with it.
+ZEROS, EQUALS, NEAR = 5, 7, 4
+
+
+def smooth(counts: list[int]) -> list[int]:
+    """Counts made alike where they nearly are, so that the lengths of their codes repeat and tell shortly.
+
+    Long runs stay. Elsewhere counts that are near the first four of a stretch
+    become the stretch's mean, at least one where any was; zeros at the end stay.
+    """
+    size = max((k + 1 for k, n in enumerate(counts) if n), default=0)
+    left, at = set(), 0
+    for value, run in itertools.groupby(counts[:size]):
+        long = len(list(run))
+        if long >= (EQUALS if value else ZEROS):
+            left.update(range(at, at + long))
+        at += long
+    out, begin, level = list(counts), 0, counts[0] if size else 0
+    for k in range(size + 1):
+        if k < size and k not in left and abs(counts[k] - level) < NEAR:
+            continue
+        stretch = counts[begin:k]
+        if len(stretch) >= 4 or len(stretch) == 3 and not any(stretch):
+            mean = max(1, (sum(stretch) + len(stretch) // 2) // len(stretch)) if any(stretch) else 0
+            out[begin:k] = [mean] * len(stretch)
+        begin, level = k, (sum(counts[k : k + 4]) + 2) // 4 if k < size - 3 else counts[k] if k < size else 0
+    return out
+
+
+def smoothed(counts: Column) -> Column:
+    """:func:`smooth` for arrays of counts, in Arrow batches."""
+
+    @pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if c is None else smooth([int(x) for x in c]) for c in s], dtype=object)
+
+    return run(counts)
+
+
 def codes(lengths: list[int]) -> list[int]:
     """Canonical codes of code lengths."""
     out, code = [0] * len(lengths), 0

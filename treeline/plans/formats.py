@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.nodetable import ORDER, ORDER_TREE_SQL, order_tree
-from treeline.operators import c14n, catalog, documents, dtd, edits, output, schematron, shell
+from treeline.operators import c14n, catalog, codec, documents, dtd, edits, output, schematron, shell
 from treeline.operators import schema as xsd
 from treeline.operators import nodes as ops
 from treeline.plans.work import LINES_SQL, lines, orders_xml
@@ -432,3 +432,12 @@ def r09_interrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     except shell.Interrupted as e:
         rows.append((str(e), None))
     return spark.createDataFrame(rows, "work string, n long")
+
+
+@registry.add("c07_smoothed", """SELECT p_partkey, CASE WHEN p_size >= 4 THEN array_to_string([p_size + 2, p_size + 2, p_size + 2, p_size + 2, 0, 0, 0, 900], ',')
+ELSE array_to_string(list_concat(list_transform(range(7), lambda x: (4 * p_size + 9) // 7), [900]), ',') END AS smoothed FROM part""")
+def c07_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts made alike where they nearly are: four that rise by one, three zeros, one far off."""
+    size = F.col("p_size").cast("long")
+    counts = F.array(size, size + 1, size + 2, size + 3, *[F.lit(n).cast("long") for n in (0, 0, 0, 900)])
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(codec.smoothed(counts).cast("array<string>"), ",").alias("smoothed"))
