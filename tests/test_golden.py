@@ -1,4 +1,4 @@
-"""Expressions with the values that the reference's own tests expect, and outlines of node-sets."""
+"""Expressions with their expected values, and outlines of node-sets."""
 
 import pytest
 
