@@ -141,8 +141,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+ALL = (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate, op10_main_text, op11_pieces)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate, op10_main_text)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
