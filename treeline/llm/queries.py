@@ -147,7 +147,13 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
-ALL = (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate, op10_main_text, op11_pieces)
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs, repeated_tail, summary
+
+    return summary(periodic_runs(table(spark, sf_dir, "documents"), rewrite=repeated_tail))
+
+
+ALL = (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate, op10_main_text, op11_pieces, op12_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
