@@ -153,7 +153,49 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(periodic_runs(table(spark, sf_dir, "documents"), rewrite=repeated_tail))
 
 
-ALL = (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate, op10_main_text, op11_pieces, op12_runs)
+def op13_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tries import lent, prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), lent)
+
+
+# CRC-32 byte by byte, with its table of 256 remainders.
+OP13_SQL = """
+WITH crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), own AS (
+  SELECT conv_id, role, text, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha) - 1 AS rank, sha
+  FROM (SELECT conv_id, turn, role, text, sha256(concat(octet_length(encode(role)), ':', role, text)) AS sha
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))
+), convs AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), placed AS (
+  SELECT c.conv_id, 0 AS part, o.rank, o.sha, o.size FROM convs c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.rank < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.rank, o.sha, o.size FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.rank >= c.h
+), paths AS (
+  SELECT conv_id, list(sha) OVER w AS path, size FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY part, rank ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, CAST([] AS VARCHAR[]), 0 FROM convs
+), nodes AS (
+  SELECT path, min(conv_id) AS conv_id, len(path) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved FROM paths GROUP BY path
+), children AS (
+  SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT path[1 : k] AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves
+  FROM (SELECT n.path, n.saved, c.path IS NULL AS leaf, unnest(range(0, n.depth + 1)) AS k FROM nodes n LEFT JOIN children c ON c.path = n.path) GROUP BY 1
+), ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, max_by(path, len(path)) AS path FROM paths GROUP BY conv_id) GROUP BY path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1 : n.depth - 1] LEFT JOIN children c ON c.path = n.path JOIN sums s ON s.path = n.path LEFT JOIN ends e ON e.path = n.path
+"""
+
+
+ALL = (op1_bpe, op2_simhash, op3_warc, op4_toxicity, op5_langid, op6_neargraph, op7_token_counts, op8_pii, op9_decontaminate, op10_main_text, op11_pieces, op12_runs, op13_tries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -161,4 +203,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_neargraph": OP6_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op6_neargraph": OP6_SQL, "op9_decontaminate": OP9_SQL, "op13_tries": OP13_SQL}
