@@ -1,7 +1,7 @@
 """Operator 11: SentencePiece encoding and decoding of merge vocabularies by backtracking.
 
-Text is parted before runs of blanks, which no piece crosses, and each part is
-encoded from left to right. An Aho-Corasick automaton of the pieces gives the
+Text is parted before runs of blanks, which no piece crosses, and at ASCII
+characters that no longer piece holds; each part is encoded from left to right. An Aho-Corasick automaton of the pieces gives the
 longest piece that begins at each place. A piece may follow its left neighbour if
 merging the two pieces' text alone, highest score first and leftmost among equals,
 leaves just the two (re-merged once a pair, then remembered); otherwise the next
@@ -35,9 +35,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Parts a worker remembers, none longer than so many characters; and pairs of pieces whose fit it remembers.
-MEMO_PARTS, MEMO_CHARS, MEMO_PAIRS = 200_000, 64, 500_000
+MEMO_PARTS, MEMO_CHARS, MEMO_PAIRS = 400_000, 64, 500_000
 BLANK = "▁"
-RUNS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
 #: Fixed values of the model's format: the kind of merge models, and kinds of pieces.
 MERGES = 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -89,8 +88,13 @@ class Coder:
         for p in made:
             self.shorter[self.id[p]] = next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in made), -1)
         self.known = {p for p in made if len(p) == 1}
+        joint = {c for p in self.id if len(p) > 1 for c in p} | {BLANK}
+        lone = "".join(f"\\x{b:02x}" for b in range(128) if chr(b) not in joint)
+        self.parts = re.compile(f"{BLANK}+[^{BLANK}{lone}]*|[^{BLANK}{lone}]+" + f"|[{lone}]" * bool(lone)).findall
+        #: Parts that are one piece.
+        self.whole = {p: (self.id[p],) for p in made}
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.fits: dict[tuple[int, int], int] = {}
         # For decoding: the bytes each id stands for, and which ids are bytes themselves.
         self.surface = [{NORMAL: p.replace(BLANK, " "), UNKNOWN: UNKNOWN_TEXT}.get(kind, "") for p, _, kind in model.pieces]
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -110,17 +114,20 @@ class Coder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fit(self, left: int, right: int) -> bool:
-        """Whether two neighbours stay as they are when their text is merged anew."""
-        if len(self.pairs) >= MEMO_PAIRS:
-            self.pairs.clear()
-        a, b = self.text[left], self.text[right]
-        got = self.pairs[left, right] = self.merged(a + b) == [a, b]
+    def fit(self, left: int, token: int) -> int:
+        """The longest of a piece and its shorter forms that stays as it is behind its left neighbour when the two are merged anew; -1 if none."""
+        got = self.fits.get((left, token))
+        if got is None:
+            if len(self.fits) >= MEMO_PAIRS:
+                self.fits.clear()
+            a, b = self.text[left], self.text[token]
+            got = token if self.merged(a + b) == [a, b] else self.fit(left, self.shorter[token]) if self.shorter[token] >= 0 else -1
+            self.fits[left, token] = got
         return got
 
     def run(self, text: str) -> list[int]:
         """Ids of a part whose characters all have pieces."""
-        n, size, pairs, shorter = len(text), self.size, self.pairs.get, self.shorter
+        n, size, fits, shorter = len(text), self.size, self.fits.get, self.shorter
         longest = [-1] * n
         for end, token in self.matches.iter(text):  # of one start the longer ones come later
             longest[end + 1 - size[token]] = token
@@ -128,17 +135,21 @@ class Coder:
         tokens: list[int] = []
         at, token = 0, longest[0]
         while at < n:
-            left = tokens[-1] if tokens else -1
             while token >= 0:
+                if tokens:
+                    fit = fits((tokens[-1], token))
+                    token = fit if fit is not None else self.fit(tokens[-1], token)
+                    if token < 0:
+                        break
                 end = at + size[token]
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    fit = True if left < 0 else pairs((left, token))
-                    if fit if fit is not None else self.fit(left, token):
-                        tokens.append(token)
-                        at, token = end, longest[end] if end < n else -1
-                        break
+                    tokens.append(token)
+                    at, token = end, longest[end] if end < n else -1
+                    break
                 token = shorter[token]
             else:
+                token = -1
+            if at < n and token < 0:
                 failed[at >> 3] |= 1 << (at & 7)
                 token = tokens.pop()
                 at -= size[token]
@@ -146,6 +157,8 @@ class Coder:
 
     def part(self, text: str) -> tuple[int, ...]:
         known = self.known
+        if text in self.whole:
+            return self.whole[text]
         if known.issuperset(text):
             return tuple(self.run(text))
         ids: list[int] = []
@@ -167,7 +180,7 @@ class Coder:
         if not text:
             return ids
         memo = self.memo
-        for part in RUNS(BLANK * self.dummy_prefix + text.replace(" ", BLANK)):
+        for part in self.parts(BLANK * self.dummy_prefix + text.replace(" ", BLANK)):
             got = memo.get(part)
             if got is None:
                 got = self.part(part)
