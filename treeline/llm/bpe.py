@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import io
 import json
 import mmap
 import re
@@ -110,7 +111,8 @@ class Tokenizer:
     """What a BPE file in the JSON format of the tokenizers library says, as plain tables."""
 
     def __init__(self, path: str, characters: Alphabet | None = None):
-        with open(path, encoding="utf-8") as f:
+        """``path`` is the tokenizer's file, or its whole text as :func:`read_tokenizer` gives it."""
+        with io.StringIO(path) if path.startswith("{") else open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -403,6 +405,12 @@ class Frequent:
         return sorted(self.seen.items(), key=lambda x: (-x[1], x[0]))[:n]
 
 
+def read_tokenizer(path: str) -> str:
+    """The tokenizer's file, read on the driver: its text goes to the tasks with the code, so no executor opens the path."""
+    with open(path, encoding="utf-8") as f:
+        return f.read().lstrip()
+
+
 def count_words(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> DataFrame:
     """How often the frequent words of the corpus occur, over all documents: ``(word, n)``.
 
@@ -411,10 +419,10 @@ def count_words(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS
     all rows with one text costs no more than others.
     """
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    held = alphabet()
+    held, said = alphabet(), read_tokenizer(tokenizer_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, seen = Tokenizer(tokenizer_path, held), Frequent(8 * words)
+        t, seen = Tokenizer(said, held), Frequent(8 * words)
         for batch in batches:
             for text in common.strings(batch.column(0)):
                 for s, i in t.segments(text):
@@ -437,13 +445,7 @@ def publish_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_W
     top = counted.where(F.col("bin") >= int(whole["bin"].min())).select("word").toPandas()["word"] if len(whole) else []
     t = Tokenizer(tokenizer_path)
     data = compile_lexicon({w.encode("utf-8", "surrogatepass"): tuple(t.merge(w)) for w in top})
-    place = common.scratch(spark, "lexicon")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-    stream = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(hadoop)
-    stream.write(bytearray(data))
-    stream.close()
-    spark.sparkContext.addFile(place)
-    return place.rpartition("/")[2]
+    return common.publish(spark, "lexicon", [data])
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = False, keep_text: bool = False, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -468,6 +470,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = Fals
         more = [[np.frombuffer(x, "<i4") for x in ids]] * keep_ids + [decoded] * keep_text
         return common.record(schema, batch.column(0).cast(pa.int64()), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], digests, *more)
 
-    held = alphabet()
-    setup = lambda: Coder(Tokenizer(tokenizer_path, held), Lexicon.map(SparkFiles.get(name)))
+    held, said = alphabet(), read_tokenizer(tokenizer_path)
+    setup = lambda: Coder(Tokenizer(said, held), Lexicon.map(SparkFiles.get(name)))
     return common.arrow_map(common.pick(docs, "doc_id", "text"), run, ddl, setup=setup)

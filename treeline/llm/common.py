@@ -7,7 +7,7 @@ with the corpus.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +42,18 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def publish(spark: SparkSession, kind: str, chunks: Iterable[bytes]) -> str:
+    """Write a file below the shared folder and hand it to every executor; its name there is for ``SparkFiles.get``."""
+    place = scratch(spark, kind)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+    for chunk in chunks:
+        stream.write(bytearray(chunk))
+    stream.close()
+    spark.sparkContext.addFile(place)
+    return place.rpartition("/")[2]
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name.
 

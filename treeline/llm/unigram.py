@@ -219,6 +219,7 @@ def token_counts(docs: DataFrame, model_path: str, *, kind: str) -> DataFrame:
     ``n_chars`` are code points; ``best_score`` is the sum of the tokens' scores.
     """
     counters = {"unigram": UnigramCounter, "bpe": MergeCounter}
+    pieces = vocabulary(model_path)  # read on the driver, so that no executor opens the file
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("best_score", pa.float64())])
 
     def run(batch: pa.RecordBatch, counter: Counter) -> pa.RecordBatch:
@@ -226,4 +227,4 @@ def token_counts(docs: DataFrame, model_path: str, *, kind: str) -> DataFrame:
         got = list(map(counter.count, texts))
         return common.record(schema, batch.column(0).cast(pa.int64()), list(map(len, texts)), [t for t, _ in got], [s for _, s in got])
 
-    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "doc_id long, n_chars long, n_tokens long, best_score double", setup=lambda: counters[kind](vocabulary(model_path)))
+    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "doc_id long, n_chars long, n_tokens long, best_score double", setup=lambda: counters[kind](pieces))
