@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from treeline.llm import langid
@@ -118,7 +119,15 @@ def test_repeated_rows_and_languages_of_one_text(spark):
     assert got == {(1, "en"), (3, "de"), (4, "zh")}
 
 
-def test_many_values_of_lang_are_bounded(spark):
-    rows = [(k, f"word{chr(97 + k % 26)} and more", f"l{k:04d}") for k in range(300)] + [(1_000 + k, "the cat", "en") for k in range(20)]
-    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=5)
-    assert len(set(model.langs)) == 5 and "en" in model.langs
+@pytest.mark.parametrize("broadcast", [100_000, 10])
+def test_every_value_of_lang_is_learned(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(langid, "BROADCAST", broadcast)
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 6))) for _ in range(600)]
+    rows = [(4 * k + j, f"{words[k]} {words[k][:3]}", f"l{k:04d}") for k in range(600) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert len(learned) > 595 and set(model.langs) == learned
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows if lang in learned) > 0.99 * len(rows)

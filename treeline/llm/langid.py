@@ -8,9 +8,10 @@ nearly all training texts of that centroid is marked as rejected.
 
 Only text and lang of rows outside the held-out fifth are learned from: document
 frequencies over all of them, summed in each task before they are shuffled;
-centroids from about ``SAMPLE`` different texts a language, chosen by hash, of
-the ``LANGUAGES`` values of lang that most rows have. lang, source and doc_id are
-no inputs of a prediction. Texts are read whole and never shuffled: the sample's
+centroids from about ``SAMPLE`` different texts a language, chosen by hash, for
+every value of lang. The centroids are one file, written row by row and mapped
+into memory by the workers, so their number is bounded by disk alone. lang, source
+and doc_id are no inputs of a prediction. Texts are read whole and never shuffled: the sample's
 rows become vectors first, and copies are one row before they meet.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as is
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ BUCKETS = 1 << 13
 CENTROIDS = 4
 #: Different texts a language that its centroids are fitted on, about.
 SAMPLE = 800
-#: Languages that the model knows, those of the most rows: a bound of its size (128 KB each).
-LANGUAGES = 500
+#: Languages whose rates of sampling are broadcast; those of more are joined by language.
+BROADCAST = 100_000
 #: Texts whose vectors are held at once.
 BLOCK = 256
 #: Of a centroid's training rows, the share that lies beyond its limit of distance.
@@ -84,9 +86,15 @@ class Model:
 
     idf: np.ndarray
     langs: list[str]
-    centroids: np.ndarray
+    #: An array, or the name of the file that Spark has handed to driver and executors.
+    centroids: np.ndarray | str
     limits: np.ndarray
 
+    def mapped(self) -> np.ndarray:
+        if isinstance(self.centroids, str):
+            self.centroids = np.memmap(SparkFiles.get(self.centroids), np.float32, "r", shape=(len(self.langs), BUCKETS))
+        return self.centroids
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[bool]]:
         """Language, score and whether it is rejected, of each text."""
         parts = [self.block(texts[k : k + BLOCK]) for k in range(0, len(texts), BLOCK)]
@@ -97,7 +105,7 @@ class Model:
         langs, scores, rejected = ["und"] * len(texts), np.zeros(len(texts)), [True] * len(texts)
         known = [k for k, g in enumerate(found) if g is not None]
         if known and len(self.langs):
-            cosine = np.stack([vector(found[k], self.idf) for k in known]) @ self.centroids.T
+            cosine = np.stack([vector(found[k], self.idf) for k in known]) @ self.mapped().T
             best = cosine.argmax(1)
             for k, b, c in zip(known, best.tolist(), cosine[np.arange(len(known)), best].tolist(), strict=True):
                 langs[k], scores[k], rejected[k] = self.langs[b], min(1.0, max(0.0, c)), bool(c < self.limits[b])
@@ -122,7 +130,7 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.03) -> tu
     return c, own
 
 
-def learn(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+def learn(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     """Fit a model on ``docs(doc_id, text, lang)`` outside the held-out fifth."""
     rows = common.pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and coalesce(crc32(cast(doc_id as string)) % 5, 1) <> 0")
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
@@ -149,9 +157,13 @@ def learn(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE,
     # Different texts are counted, and drawn by their hash, so that copies crowd no other text out; the one of least hash is always drawn.
     lettered = rows.where(F.col("text").rlike(r"\p{L}"))
     known = lettered.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("texts"), F.min("h").alias("least"))
-    known = known.orderBy(F.desc("rows"), "lang").limit(languages).select("lang", "texts", "least")
+    known = common.settle(known)
+    if known.count() <= BROADCAST:
+        near = lettered.join(F.broadcast(known), "lang")
+    else:
+        near = common.join_groups(lettered, known, "lang", "rows", total)
     drawn = (F.pmod("h", F.lit(1 << 20)) < F.lit(sample) / F.col("texts") * (1 << 20)) | (F.col("h") == F.col("least"))
-    chosen = lettered.join(F.broadcast(known), "lang").where(drawn).select("lang", "text", "h")
+    chosen = near.where(drawn).select("lang", "text", "h")
     held = spark.sparkContext.broadcast(idf)
     row = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("v", pa.binary())])
 
@@ -168,8 +180,17 @@ def learn(docs: DataFrame, *, centroids: int = CENTROIDS, sample: int = SAMPLE,
         return pd.DataFrame({"lang": key[0], "centroid": [c[j].astype(np.float32).tobytes() for j in used], "edge": [float(np.quantile(near[own == j], BEYOND)) for j in used]})
 
     once = common.arrow_map(chosen, vectors, "lang string, h long, v binary").groupBy("lang", "h").agg(F.first("v").alias("v"))
-    fitted = once.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, edge double").toPandas().sort_values(["lang", "centroid"])
-    return Model(idf, fitted["lang"].tolist(), np.array([np.frombuffer(b, np.float32) for b in fitted["centroid"]], np.float32).reshape(-1, BUCKETS), fitted["edge"].to_numpy(float))
+    fitted = common.settle(once.groupBy("lang").applyInPandas(fit, "lang string, centroid binary, edge double"))
+    langs: list[str] = []
+    limits: list[float] = []
+
+    def rows_of() -> Iterator[bytes]:
+        for r in fitted.orderBy("lang", "centroid").toLocalIterator():
+            langs.append(r.lang)
+            limits.append(r.edge)
+            yield bytes(r.centroid)
+
+    return Model(idf, langs, common.publish(spark, "centroids", rows_of()), np.array(limits))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
