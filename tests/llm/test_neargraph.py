@@ -98,6 +98,16 @@ def test_parts_of_a_large_shard(spark):
     assert all(a[1] <= b[1] for a, b in zip(out, want, strict=True))
 
 
+def test_recall_is_measured_where_few_rows_have_links(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in rng.normal(size=32)]) for k in range(900)]
+    alone = neargraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Settings(audit=50))
+    assert alone.select("recall").distinct().collect()[0].recall is None
+    rows.append((5_000, [1.001 * x for x in rows[3][1]]))
+    pair = neargraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Settings(audit=50))
+    assert {r.recall for r in pair.collect()} == {1.0} and pair.where("n_links > 0").count() == 2
+
+
 def test_too_low_a_recall_is_an_error(spark):
     rows = linked_cloud(300, 6)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -484,11 +484,17 @@ def local(ids: np.ndarray, members: np.ndarray) -> np.ndarray:
     return at[members[at] == ids]
 
 
-def audit(classes: DataFrame, counts: DataFrame, s: Settings) -> float:
-    """Recall on a sample, chosen by hash and compared with all rows by brute force: over links, or as the mean over rows that have some, whichever is lower."""
-    table = classes.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(s.audit).select("rep", "v").toArrow()
+def audit(classes: DataFrame, counts: DataFrame, s: Settings) -> float | None:
+    """Recall on samples, chosen by hash and compared with all rows by brute force: over links, or as the mean over rows that have some, whichever is lower.
+
+    One sample is of all rows and one of those with found links, so that links are
+    measured where only few rows have any. None if no row of either has a link:
+    then nothing is measured.
+    """
+    by_hash = lambda df: df.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(s.audit).select("rep", "v")
+    table = by_hash(classes).unionByName(by_hash(classes.join(counts.where("n > 0").select("rep"), "rep"))).dropDuplicates(["rep"]).toArrow()
     if not len(table):
-        return 1.0
+        return None
     names = table["rep"].to_numpy()
     asked = classes.sparkSession.sparkContext.broadcast([(x, names[at]) for at, x in by_length(table["v"].combine_chunks())])
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64())])
@@ -507,11 +513,11 @@ def audit(classes: DataFrame, counts: DataFrame, s: Settings) -> float:
     true = common.arrow_map(classes.select("rep", "many", "v"), run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     joined = true.join(counts.select(F.col("rep"), F.col("n").alias("found")), "rep", "left").select("n", F.least("n", F.coalesce("found", F.lit(0))).alias("found"))
     right, total, mean = joined.agg(F.sum("found"), F.sum("n"), F.avg(F.col("found") / F.col("n"))).first()
-    return 1.0 if not total else min(right / total, mean)
+    return None if not total else min(right / total, mean)
 
 
 def near_duplicates(embeddings: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``vec_id, n_links, component_id, kept, recall`` for every row of ``embeddings(vec_id, embedding)``; ``recall`` is the audit's, the same in all rows."""
+    """``vec_id, n_links, component_id, kept, recall`` for every row of ``embeddings(vec_id, embedding)``; ``recall`` is the audit's, the same in all rows, and null where no sampled row has a link."""
     s = settings or Settings()
     rows = common.pick(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -521,17 +527,17 @@ def near_duplicates(embeddings: DataFrame, settings: Settings | None = None) ->
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("many"))
     classes = common.settle(classes.select(F.coalesce("least", alone).alias("rep"), "least", "many", "v"))
     n, wide = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    recall = 0.0
+    recall: float | None = None
     for k in range(3):
         if k:
             s = replace(s, margin=1.5 * s.margin, overlap=2 * s.overlap, near=2 * s.near, far=2 * s.far, candidates=2 * s.candidates, beam=2 * s.beam)
         counts, edges = linked(classes, n, wide, s)
         recall = audit(classes, counts, s)
-        if recall >= s.recall:
+        if recall is None or recall >= s.recall:
             break
-    if recall < s.floor:
+    if recall is not None and recall < s.floor:
         raise RecallError(f"recall {recall:.3f} is below {s.floor} after the widest index")
-    if recall < s.recall:
+    if recall is not None and recall < s.recall:
         warnings.warn(f"recall {recall:.3f} is below {s.recall} after the widest index", stacklevel=2)
     roots = common.components(edges)
     named = classes.select("rep", "least", "many").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -543,7 +549,7 @@ def near_duplicates(embeddings: DataFrame, settings: Settings | None = None) ->
     lone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     usable = rows.where("v is not null")
     out = common.join_groups(usable, by_vector, "v", "many", classes.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).unionByName(lone)
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
 def linked(classes: DataFrame, n: int, wide: int, s: Settings) -> tuple[DataFrame, DataFrame]:
