@@ -36,6 +36,12 @@ def test_other_scripts_articles_doubles_and_numbers():
     assert reader.text("in 2020 or 1984 of 4")[0] == set()
 
 
+def test_doubles_masks_and_spaces_are_read_into_beginnings():
+    reader = toxicity.Reader(MODEL, {"idiot": 0, "stup": 1, "=cow": 2, "loser": 3})
+    for text, want in (("an idiiot", {0}), ("stuupidity", {1}), ("id*ot", {0}), ("l**er", {3}), ("c o w", {2}), ("*idle* b*ld", set()), ("c*w", {2}), ("los*", set())):
+        assert reader.text(text)[0] == want, text
+
+
 def slow_decode(token):
     """All readings of a token, scored one by one."""
     found = {}
@@ -137,9 +143,15 @@ def slow_features(text, model):
         words = re.findall(r"[^\W\d_]+", meant)
         for w in words:
             said |= {"=" + w} | {w[:k] for k in range(4, min(9, len(w) + 1))}
-            doubled |= {"=" + re.sub(r"([^\W\d_])\1+", r"\1", w)}
+            once = re.sub(r"([^\W\d_])\1+", r"\1", w)
+            doubled |= ({"=" + once} | {once[:k] for k in range(4, min(9, len(once) + 1))}) if once != w else set()
         if toxicity.SIGNS.fullmatch(t):
-            doubled |= {"=" + w for w in re.findall(r"[^\W\d_]+", slow_decode_with(t, model))}
+            doubled |= {f for w in re.findall(r"[^\W\d_]+", slow_decode_with(t, model)) for f in ("=" + w, *(w[:k] for k in range(4, min(9, len(w) + 1))))}
+        if re.fullmatch("[a-z]+[*][a-z]+", bare):
+            at = bare.index("*")
+            for c in "abcdefghijklmnopqrstuvwxyz":
+                w = bare.replace("*", c)
+                doubled |= {"=" + w} | {w[:k] for k in range(4, min(9, len(w) + 1)) if k > at + 1}
     return said, doubled, len(tokens)
 
 
@@ -157,7 +169,7 @@ def test_whole_result_against_brute_force(spark):
             words[int(rng.integers(0, 6))] = str(rng.choice(bad))
         rows.append((k, " ".join(rng.permutation(words))))
         marks.append((k, int(k % 3 == 0)))
-    rows += [(500, None), (501, ""), (502, "a cllown, c l o w n!"), (503, "mоron 455 2020"), (None, "moron")]
+    rows += [(500, None), (501, ""), (502, "a cllown, c l o w n!"), (505, "cl*wn, mo*on"), (506, "m o r o n x y z"), (503, "mоron 455 2020"), (None, "moron")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame(marks, "doc_id long, toxic int")
     # The character model.

@@ -28,6 +28,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ PURE = 0.99
 
 #: Letters that are words of the corpus' languages.
 ALONE = "aeioyu"
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*·]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?![^\W_])")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*·]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?![^\W_])")
 PLAIN = re.compile(r"[^\W\d_]+")
 EDGE = re.compile(r"^[^\w@$!|+(€£¡§]+|[^\w@$|+€£§]+$|(?<=\w)([@$|+€£§!(])\1{2,}$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -70,6 +71,8 @@ LETTER = re.compile(r"[^\W\d_]")
 LATIN = re.compile("[a-z]")
 GLYPH = re.compile(f"[{''.join(HOMOGLYPHS)}]")
 WIDE = re.compile("[\uff41-\uff5a]")
+#: One or two letters that are starred out.
+MASKED = re.compile("([a-z]+)([*]{1,2})([a-z]+)")
 DOUBLE = re.compile(r"([^\W\d_])\1+")
 SIGNS = re.compile(f"[{re.escape(''.join(LOOKALIKES))}]{{3,12}}")
 PARTS = re.compile(r"[^\W\d_]+")
@@ -217,10 +220,17 @@ class Reader:
         said = {f for w in words for f in features(w)}
         if self.numbers is None:
             return tuple(said)
-        # Repeated letters and numbers are mostly meant as they stand; only a learned word is read into them.
-        said |= {"=" + DOUBLE.sub(r"\1", w) for w in words if DOUBLE.search(w)}
+        # Repeated letters and numbers are mostly meant as they stand; only a learned word, or a beginning of at least four letters, is read into them.
+        for w in words:
+            if DOUBLE.search(w):
+                said.update(features(DOUBLE.sub(r"\1", w)))
         if SIGNS.fullmatch(token):
-            said |= {"=" + w for w in PARTS.findall(decode(token, self.language))}
+            said.update(f for w in PARTS.findall(decode(token, self.language)) for f in features(w))
+        if m := MASKED.fullmatch(EDGE.sub("", token)):
+            # Of all letters that may be meant, those count that give a learned word, or a beginning that has them.
+            before, stars, after = m.groups()
+            for filled in product(LETTERS, repeat=len(stars)):
+                said.update(f for f in features(before + "".join(filled) + after) if len(f) > len(before) + len(stars) + f.startswith("="))
         return tuple(n for f in said if (n := self.numbers.get(f)) is not None)
 
     def text(self, text: str) -> tuple[set, int]:
