@@ -81,6 +81,24 @@ def test_several_passes_remove_rows_by_their_own_hits(spark, monkeypatch):
         assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
 
 
+def test_texts_stay_where_they_are_over_several_passes(spark, monkeypatch, tmp_path):
+    """No exchange carries a text, for counts and for rows, and few hits are broadcast; many give the same rows."""
+    import re
+
+    monkeypatch.setattr(dc, "PASS_WORDS", 20)
+    monkeypatch.setattr(dc.common, "settle", lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema))
+    docs, items = frames(spark)
+    docs.write.parquet(f"file://{tmp_path}/d")
+    docs = spark.read.parquet(f"file://{tmp_path}/d")
+    for out in (dc.contamination(docs, items), dc.decontaminate(docs, items)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.split("\n") if re.search(r"(?<!Broadcast)Exchange", line)]
+        assert "BroadcastExchange" in plan and not [e for e in exchanges if "hashpartitioning" in e]
+    want = rows(dc.contamination(docs, items)), sorted(map(str, dc.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(dc, "BROADCAST", 0)
+    assert (rows(dc.contamination(docs, items)), sorted(map(str, dc.decontaminate(docs, items).collect()))) == want
+
+
 def test_spans_are_cut_in_any_number_of_passes(spark, monkeypatch):
     docs, items = frames(spark)
     one = {(r.doc_id, r.cleaned) for r in dc.contamination(docs, items, spans=True).collect()}

@@ -12,8 +12,10 @@ themselves, so a collision is no hit. The set is broadcast while the benchmark
 has at most ``PASS_WORDS`` words, which is counted first; a larger one is taken
 in parts of that size, one at a time, a pass over the documents each. A pass
 hands on the hits of texts that have some, once a text, named by the text's
-SHA-256; texts themselves are neither shuffled nor written again, and equal texts
-have equal hits, so rows go by their own text whatever their ids.
+SHA-256, and equal texts have equal hits, so rows go by their own text whatever
+their ids. Hits of at most ``BROADCAST`` different texts are broadcast; beyond
+that, counts are joined by digest without the text, and only where rows or cleaned
+texts are asked for does the text meet its digest in an equi-join.
 
 Defined cases: a null or empty text has no words, no hit and is clean; a null or
 empty item has no window; items with equal text are all counted; equal item ids
@@ -43,6 +45,8 @@ SHARE = 20
 #: Benchmark words that one pass broadcasts. An index takes at most about 200 bytes a word on the driver while it is
 #: built (each word another one) and half of that when sent.
 PASS_WORDS = 1_000_000
+#: Different texts with hits that are broadcast: their digests, or their masks and items (about 100 bytes and an eighth of a byte a word).
+BROADCAST = 200_000
 #: Windows compared at once.
 BLOCK = 1 << 16
 
@@ -191,6 +195,12 @@ def hits(docs: DataFrame, items: DataFrame, parts: int, window: int) -> DataFram
     return found.groupBy("digest").agg(F.first("n_words").alias("n_words"), F.collect_list("mask").alias("masks"), F.collect_list("items").alias("items"))
 
 
+def bounded(found: DataFrame) -> DataFrame:
+    """Broadcast rows of hits if they are few, which is counted."""
+    found = common.settle(found)
+    return F.broadcast(found) if found.count() <= BROADCAST else found
+
+
 def digest(text: str) -> bytes:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
 
@@ -215,7 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     def said(ids: pa.Array, texts: list[str], n: np.ndarray, hit: list[np.ndarray], items: list[set[str]]) -> pa.RecordBatch:
         n_hit = np.fromiter((int(h.sum()) for h in hit), np.int64, len(hit))
         names = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-        more = [[cleaned(t, h) for t, h in zip(texts, hit, strict=True)]] * spans
+        more = [[cleaned(t, h) for t, h in zip(texts, hit, strict=True)]] if spans else []
         return common.record(schema, ids.cast(pa.int64()), n, n_hit, [len(x) for x in items], names, bad(n_hit, n, share), *more)
 
     rows, (items, parts) = common.pick(docs, "doc_id", "text"), passes(benchmark)
@@ -229,15 +239,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
         return common.arrow_map(rows, whole, ddl)
 
-    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    known = hits(docs, items, parts, window).select(F.col("digest").alias("d"), "masks", "items")
+    own = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    if spans:
+
+        def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = common.strings(batch.column(1))
+            n = np.fromiter((len(words(t)) for t in texts), np.int64, len(texts))
+            hit = [united(m or [], int(k)) for m, k in zip(batch.column(2).to_pylist(), n, strict=True)]
+            return said(batch.column(0), texts, n, hit, [{x for part in p or [] for x in part} for p in batch.column(3).to_pylist()])
+
+        return common.arrow_map(rows.join(bounded(known), own == F.col("d"), "left").select("doc_id", "text", "masks", "items"), joined, ddl)
+    # Counts need no text: a text's words are counted where it is read, and its hits meet them by digest.
+    counted = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("own", pa.binary())])
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = common.strings(batch.column(1))
-        n = np.fromiter((len(words(t)) for t in texts), np.int64, len(texts))
+        return common.record(counted, batch.column(0).cast(pa.int64()), [len(words(t)) for t in texts], [digest(t) for t in texts])
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.column(1).to_numpy()
         hit = [united(m or [], int(k)) for m, k in zip(batch.column(2).to_pylist(), n, strict=True)]
-        return said(batch.column(0), texts, n, hit, [{x for part in p or [] for x in part} for p in batch.column(3).to_pylist()])
+        return said(batch.column(0), [], n, hit, [{x for part in p or [] for x in part} for p in batch.column(3).to_pylist()])
 
-    known = hits(docs, items, parts, window).select(F.col("digest").alias("d"), "masks", "items")
-    own = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return common.arrow_map(rows.join(known, own == F.col("d"), "left").select("doc_id", "text", "masks", "items"), joined, ddl)
+    narrow = common.arrow_map(rows, count, "doc_id long, n_words long, own binary")
+    return common.arrow_map(narrow.join(bounded(known), F.col("own") == F.col("d"), "left").select("doc_id", "n_words", "masks", "items"), judge, ddl)
 
 
 def cleaned(text: str, hit: np.ndarray) -> str:
@@ -281,4 +307,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     gone = common.arrow_map(hits(docs, items, parts, window), judged, "d binary")
     own = F.unhex(F.sha2(F.coalesce(f"c{at}", F.lit("")), 256))
-    return plain.join(gone, own == F.col("d"), "left_anti").toDF(*names)
+    return plain.join(bounded(gone), own == F.col("d"), "left_anti").toDF(*names)
