@@ -51,14 +51,34 @@ def ancestry(name: str) -> list[str]:
     return [name, *(ancestry(TYPES[name][0]) if TYPES[name][0] else [])]
 
 
+def magnitude(s: Column) -> Column:
+    """The digits of an integer's text without sign and leading zeros; zero has none."""
+    return F.regexp_replace(s, r"^[+-]?0*", "")
+
+
+def reaches(s: Column, bound: int) -> Column:
+    """Whether an integer's text, its sign aside, is at least a number, whatever its length."""
+    digits, size = magnitude(s), len(str(bound)) if bound else 0
+    return (F.length(digits) > size) | ((F.length(digits) == size) & (digits >= F.lit(str(bound) if bound else "")))
+
+
+def at_least(s: Column, low: int) -> Column:
+    minus = F.startswith(s, F.lit("-")) & (magnitude(s) != "")
+    return ~minus & reaches(s, low) if low > 0 else ~minus | ~reaches(s, 1 - low)
+
+
+def at_most(s: Column, high: int) -> Column:
+    minus = F.startswith(s, F.lit("-")) & (magnitude(s) != "")
+    return minus & reaches(s, -high) if high < 0 else minus | ~reaches(s, high + 1)
+
+
 def valid(s: Column, name: str) -> Column:
     """Whether a string is in the lexical space of a built-in type, white space treated as the type does."""
     text = s if name == "string" else F.translate(s, "\t\r\n", "   ") if name == "normalizedString" else collapse(s)
     ok = whole(text, form(name))
     if name in RANGES:
         low, high = RANGES[name]
-        number = text.try_cast("decimal(38,0)")
-        ok = ok & (number >= F.lit(str(low)).cast("decimal(38,0)") if low is not None else F.lit(True)) & (number <= F.lit(str(high)).cast("decimal(38,0)") if high is not None else F.lit(True))
+        ok = ok & (at_least(text, low) if low is not None else F.lit(True)) & (at_most(text, high) if high is not None else F.lit(True))
     if name in ("date", "dateTime"):
         # Years beyond four digits are checked by the pattern alone.
         day = F.regexp_extract(text, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
@@ -157,8 +177,9 @@ def canonical(s: Column, name: str) -> Column:
         return F.when(t.isin("1", "true"), "true").when(t.isin("0", "false"), "false")
     if name == "hexBinary":
         return F.upper(t)
-    if "nteger" in name or name in ("long", "int", "short", "byte"):
-        return t.try_cast("decimal(38,0)").cast("string")
+    if name in RANGES or name == "integer":
+        sign = F.when(F.startswith(t, F.lit("-")), "-").otherwise("")
+        return F.when(whole(t, "[+-]?[0-9]+"), F.when(magnitude(t) == "", "0").otherwise(F.concat(sign, magnitude(t))))
     if name == "decimal":
         plain = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
         dotted = F.when(plain.contains("."), F.regexp_replace(plain, r"0+$", "")).otherwise(F.concat(plain, F.lit(".")))

@@ -18,10 +18,14 @@ class IncludeError(ValueError):
     """An inclusion that fails and has no fallback."""
 
 
+class LoopError(IncludeError):
+    """A document that includes itself: no fallback helps."""
+
+
 def include(name: str, library: dict[str, str], depth: int = 40, path: tuple[str, ...] = ()) -> ElementTree.Element:
     """A document with its xi:include elements replaced: by the target's root, by text, or by the fallback's content."""
     if name in path:
-        raise IncludeError(f"{name} includes itself")
+        raise LoopError(f"{name} includes itself")
     if len(path) > depth:
         raise IncludeError("too deep")
     if name not in library:
@@ -48,7 +52,7 @@ def include(name: str, library: dict[str, str], depth: int = 40, path: tuple[str
                     new = [include(href, library, depth, (*path, name))]
             except (IncludeError, ElementTree.ParseError) as e:
                 fallback = child.find(XI + "fallback")
-                if fallback is None or "itself" in str(e):
+                if fallback is None or isinstance(e, LoopError):
                     raise
                 expand(fallback)
                 text, new = fallback.text or "", list(fallback)

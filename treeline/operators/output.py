@@ -149,26 +149,34 @@ def nearest_config(folders: DataFrame, files: DataFrame, name: str) -> DataFrame
     return ups.join(held, "up", "left").groupBy("folder").agg(F.max_by("config", F.when(F.col("config").isNotNull(), F.length("up"))).alias("config"))
 
 
-def expanded(prompts: DataFrame, library: DataFrame, rounds: int = 20) -> DataFrame:
+def expanded(prompts: DataFrame, library: DataFrame) -> DataFrame:
     """``name, text, error``: prompts with their ``{{include: name}}`` replaced by the texts of a library, each in a tag that names it.
 
-    A round replaces the includes of all prompts by one join; texts that include
-    each other never end, so what is left after ``rounds`` rounds is an error, as is a missing name.
+    Texts are put together from the leaves up: a text is ready once all that it
+    includes are, a round a level, so chains may be of any depth. What is never ready
+    includes a loop, which is an error, as is a missing name below a text.
     """
     mark = r"\{\{include:\s*([^}]+?)\s*\}\}"
-    texts = library.select(F.col("name").alias("wanted"), F.col("text").alias("found"))
-    rows = prompts.select("name", "text", F.lit(None).cast("string").alias("error"))
-    for _ in range(rounds):
-        asked = rows.where(F.col("error").isNull() & F.col("text").rlike(mark))
-        if asked.isEmpty():
+    own = prompts.select(F.lit(True).alias("top"), "name", "text").unionByName(library.select(F.lit(False).alias("top"), "name", "text"))
+    cut = own.select("top", "name", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), mark, "\x00\x01$1\x00"), "\x00")).alias("k", "piece"))
+    wanted = F.when(F.startswith("piece", F.lit("\x01")), F.substring("piece", 2, 1 << 30))
+    there = library.select(F.col("name").alias("wanted"), F.lit(True).alias("there")).distinct()
+    left = settle(cut.withColumn("wanted", wanted).join(there, "wanted", "left"))
+    tops = settle(prompts.select("name", F.col("text").isNull().alias("none")))
+    done = left.limit(0).select("top", "name", F.lit("").alias("said"), F.lit("").alias("error"))
+    while True:
+        ready = done.where("NOT top").select(F.col("name").alias("wanted"), "said", F.col("error").alias("below"), F.lit(True).alias("known"))
+        met = left.join(ready, "wanted", "left")
+        said = F.when(F.col("wanted").isNull(), F.col("piece")).otherwise(F.concat(F.lit('<file name="'), "wanted", F.lit('">\n'), "said", F.lit("\n</file>")))
+        error = F.when(F.col("wanted").isNotNull() & F.col("there").isNull(), F.concat("wanted", F.lit(" is missing"))).otherwise(F.col("below"))
+        rows = met.groupBy("top", "name").agg(
+            F.bool_and(F.col("wanted").isNull() | F.col("known").isNotNull()).alias("all"), F.min(error).alias("error"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce(said, F.lit("")).alias("s")))), lambda x: x["s"]), "").alias("said"),
+        )
+        fresh = settle(rows.where(F.col("all") | F.col("error").isNotNull()).select("top", "name", "said", "error"))
+        if fresh.isEmpty():
             break
-        pieces = asked.select("name", F.posexplode(F.split(F.regexp_replace("text", mark, "\x00\x01$1\x00"), "\x00")).alias("k", "piece"))
-        wanted = F.when(F.startswith("piece", F.lit("\x01")), F.substring("piece", 2, 1 << 30))
-        met = pieces.withColumn("wanted", wanted).join(texts, "wanted", "left")
-        said = F.when(F.col("wanted").isNull(), F.col("piece")).otherwise(F.concat(F.lit('<file name="'), "wanted", F.lit('">\n'), "found", F.lit("\n</file>")))
-        joined = met.groupBy("name").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce(said, F.lit("")).alias("s")))), lambda x: x["s"]), "").alias("new"),
-            F.min(F.when(F.col("wanted").isNotNull() & F.col("found").isNull(), F.col("wanted"))).alias("missing"),
-        )
-        rows = settle(rows.join(joined, "name", "left").select("name", F.coalesce("new", "text").alias("text"), F.coalesce("error", F.concat("missing", F.lit(" is missing"))).alias("error")))
-    return rows.withColumn("error", F.coalesce("error", F.when(F.col("text").rlike(mark), F.lit("includes itself")))).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+        done = done.unionByName(fresh)
+        left = left.join(fresh.select("top", "name"), ["top", "name"], "left_anti")
+    found = tops.join(done.where("top").select("name", "said", "error", F.lit(True).alias("known")), "name", "left")
+    return found.select("name", F.when(F.col("error").isNull() & ~F.col("none"), F.col("said")).alias("text"), F.when(F.col("known").isNull(), "includes itself").otherwise(F.col("error")).alias("error"))
