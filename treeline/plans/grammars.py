@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.nodetable import ORDER_TREE_SQL, order_tree
-from treeline.operators import relaxng
+from treeline.operators import identity, relaxng
 from treeline.registry import registry
 from treeline.session import table
 
@@ -118,3 +118,33 @@ def v05_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.element_at(F.array(*[F.lit(s) for s, _, _ in SCHEMAS]), (F.col("p_partkey") % len(SCHEMAS) + 1).cast("int"))
     got = relaxng.simplified(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), LIBRARY)
     return got.groupBy("doc_id").agg((F.max("number") + 1).alias("n_elements"), F.max("error").alias("error"))
+
+
+# ---- identity constraints -----------------------------------------------------------------------------------------
+
+KEYS_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="customer"><xs:complexType><xs:sequence>
+  <xs:element name="order" maxOccurs="unbounded"><xs:complexType><xs:attribute name="id" type="xs:integer"/><xs:attribute name="after" type="xs:integer"/></xs:complexType>
+    <xs:unique name="lines"><xs:selector xpath="lineitem"/><xs:field xpath="@part"/><xs:field xpath="@flag"/></xs:unique></xs:element></xs:sequence></xs:complexType>
+  <xs:key name="orders"><xs:selector xpath="./order"/><xs:field xpath="@id"/></xs:key>
+  <xs:keyref name="former" refer="orders"><xs:selector xpath=".//order"/><xs:field xpath="@after"/></xs:keyref></xs:element></xs:schema>"""
+
+KEYS_SQL = """WITH o AS (SELECT o_custkey AS doc_id, (o_orderkey + 1) * 1024 AS pre, o_orderkey AS k, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_orderkey // 3 END AS id, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey // 6 END AS aft FROM orders),
+l AS (SELECT l_orderkey, l_partkey, l_returnflag, (l_orderkey + 1) * 1024 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) * 16 AS pre FROM lineitem),
+n AS (SELECT l.*, count(*) OVER (PARTITION BY l_orderkey, l_partkey % 5, l_returnflag) AS n FROM l)
+SELECT doc_id, pre, 'orders' AS "constraint", 'field missing' AS fault FROM o WHERE id IS NULL
+UNION ALL SELECT doc_id, pre, 'orders', 'duplicate' FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, id) AS n FROM o WHERE id IS NOT NULL) WHERE n > 1
+UNION ALL SELECT doc_id, pre, 'former', 'no such key' FROM o WHERE aft IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o x WHERE x.doc_id = o.doc_id AND x.id = o.aft)
+UNION ALL SELECT o_custkey, pre, 'lines', 'duplicate' FROM n JOIN orders ON l_orderkey = o_orderkey WHERE n > 1"""
+
+
+@registry.add("v11_keys", KEYS_SQL)
+def v11_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, references and uniqueness in customers' trees: orders with equal, missing and differently written numbers, references to orders of other customers, line items that repeat a part and flag."""
+    tree = order_tree(spark, sf_dir)
+    k = F.floor(F.col("pre") / 1024) - 1
+    order = tree.where("kind = 'element' AND name = 'order'")
+    attr = lambda place, name, value: order.withColumns({"parent": F.col("pre"), "pre": F.col("pre") + place, "end": F.col("pre") + place, "level": F.col("level") + 1, "kind": F.lit("attr"), "name": F.lit(name), "value": value})
+    ids = attr(3, "id", F.concat(F.when(k % 2 == 0, "00").otherwise("+"), F.floor(k / 3).cast("string"))).where(F.floor(F.col("pre") / 1024) % 10 != 4)
+    after = attr(4, "after", F.floor(k / 6).cast("string")).where(F.floor(F.col("pre") / 1024) % 4 == 2)
+    parts = tree.withColumn("value", F.when((F.col("kind") == "attr") & (F.col("name") == "part"), (F.col("value").cast("long") % 5).cast("string")).otherwise(F.col("value")))
+    return identity.violations(parts.unionByName(ids).unionByName(after), KEYS_XSD)
