@@ -24,7 +24,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,10 +56,36 @@ class Path:
     predicates: tuple = ()  # of the start expression
 
 
+@dataclass(frozen=True)
+class Function:
+    """An extension function: a function of Columns, the kinds of its arguments and of its result.
+
+    Kinds are ``string``, ``number`` and ``boolean``; an argument of the kind ``set`` is an
+    array of the strings of its nodes in document order. With ``more`` any number of
+    arguments of the last kind may follow. Columns of any function will do, Arrow
+    functions too.
+    """
+
+    fn: Callable[..., Column]
+    args: tuple[str, ...] = ()
+    kind: str = "string"
+    more: bool = False
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What an expression may ask for: the nesting and the number of its operations. Beyond that it is an ``XPathError`` before anything runs."""
+
+    depth: int = 60
+    operations: int = 5_000
+
+
 @dataclass(frozen=True)
 class Call:
     name: str
     args: tuple
+    #: The kind of an extension function's result.
+    kind: str | None = None
 
 
 @dataclass(frozen=True)
@@ -110,8 +136,10 @@ class Parser:
     LEVELS = (("or",), ("and",), ("=", "!="), ("<", "<=", ">", ">="), ("+", "-"), ("*", "div", "mod"))
     TYPES = {"comment", "text", "node", "processing-instruction"}
 
-    def __init__(self, text: str):
-        self.text, self.tokens, self.at = text, tokens(text), 0
+    def __init__(self, text: str, limits: Limits = Limits()):
+        self.text, self.tokens, self.at, self.inside, self.limits = text, tokens(text), 0, 0, limits
+        if len(self.tokens) > limits.operations:
+            raise XPathError(f"more than {limits.operations} operations")
 
     def peek(self, ahead: int = 0) -> tuple[str, str]:
         return self.tokens[min(self.at + ahead, len(self.tokens) - 1)]
@@ -131,14 +159,23 @@ class Parser:
         out = self.binary(0)
         if self.peek()[0] != "end":
             raise XPathError(f"unexpected {self.peek()[1]!r} in {self.text!r}")
+        layer, depth = [out], 0
+        while layer := [x for e in layer for x in below(e)]:
+            depth += 1
+            if depth > 3 * self.limits.depth:
+                raise XPathError(f"more than {3 * self.limits.depth} operations inside each other")
         return out
 
     def binary(self, level: int) -> object:
         if level == len(self.LEVELS):
             return self.unary()
+        self.inside += level == 0
+        if self.inside > self.limits.depth:
+            raise XPathError(f"nested more than {self.limits.depth} deep")
         left = self.binary(level + 1)
         while op := self.take(*self.LEVELS[level]):
             left = Binary(op, left, self.binary(level + 1))
+        self.inside -= level == 0
         return left
 
     def unary(self) -> object:
@@ -260,8 +297,19 @@ class Parser:
         return Call(value, tuple(args))
 
 
-def parse(text: str) -> object:
-    return Parser(text).parse()
+def parse(text: str, limits: Limits = Limits()) -> object:
+    return Parser(text, limits).parse()
+
+
+def below(expr: object) -> list:
+    """The expressions inside an expression."""
+    if isinstance(expr, Call):
+        return list(expr.args)
+    if isinstance(expr, Binary):
+        return [expr.left, expr.right]
+    if isinstance(expr, Path):
+        return [*([] if isinstance(expr.start, str) else [expr.start]), *expr.predicates, *(p for s in expr.steps for p in s.predicates)]
+    return []
 
 
 def positional(expr: object) -> bool:
@@ -309,6 +357,8 @@ def kind_of(expr: object) -> str:
     if isinstance(expr, Binary):
         return {"|": "set"}.get(expr.op) or ("number" if expr.op in ("+", "-", "*", "div", "mod") else "boolean")
     if isinstance(expr, Call):
+        if expr.kind:
+            return expr.kind
         return "string" if expr.name in STRINGS else "number" if expr.name in NUMBERS else "boolean" if expr.name in BOOLEANS else "set" if expr.name == "id" else "any"
     return "any"
 
@@ -361,7 +411,9 @@ class Scope:
 class XPath:
     """Compiles expressions over one node table."""
 
-    def __init__(self, nodes: DataFrame, *, variables: dict[str, object] | None = None, namespaces: dict[str, str] | None = None, functions: dict[str, Callable] | None = None, id_attribute: str = "id"):
+    def __init__(self, nodes: DataFrame, *, variables: dict[str, object] | None = None, namespaces: dict[str, str] | None = None, functions: dict[str | tuple[str, str], Callable | Function] | None = None, id_attribute: str = "id", limits: Limits = Limits()):
+        """``functions`` by name, or by namespace and local name; a plain callable takes and gives strings."""
+        self.limits = limits
         self.nodes, self.variables, self.namespaces, self.functions, self.id_attribute = nodes.select(*NODE), variables or {}, namespaces or {}, functions or {}, id_attribute
 
     # entry points
@@ -372,7 +424,7 @@ class XPath:
     def select(self, expression: str, context: DataFrame | None = None) -> DataFrame:
         """The distinct nodes that a node-set expression finds in each document (or below each context node)."""
         scope = Scope(context if context is not None else self.roots(), top=context is None)
-        got = self.compile(parse(expression), scope)
+        got = self.compile(self.parsed(expression), scope)
         if got.kind != "set":
             raise XPathError(f"{expression!r} is no node-set")
         return got.nodes.select(*NODE).dropDuplicates(["doc_id", "pre"])
@@ -380,7 +432,7 @@ class XPath:
     def value(self, expression: str, kind: str = "string", context: DataFrame | None = None) -> DataFrame:
         """``doc_id, pre, result`` for each context node (each document): the expression cast to ``kind``."""
         scope = Scope(context if context is not None else self.roots(), top=context is None)
-        got = self.compile(parse(expression), scope)
+        got = self.compile(self.parsed(expression), scope)
         column = {"string": self.string, "number": self.number, "boolean": self.boolean}[kind](got, scope)
         return scope.df.select("doc_id", "pre", column.alias("result"))
 
@@ -392,6 +444,53 @@ class XPath:
             columns.append({"string": self.string, "number": self.number, "boolean": self.boolean}[kind](got, scope).alias(f"v{k}"))
         return scope.df.select("doc_id", "pre", *columns)
 
+    def parsed(self, expression: str) -> object:
+        return self.bind(parse(expression, self.limits))
+
+    def bind(self, expr: object) -> object:
+        """The expression with extension functions found and their numbers of arguments checked."""
+        if isinstance(expr, Call):
+            args, found = tuple(map(self.bind, expr.args)), self.function(expr.name)
+            if found is None:
+                return replace(expr, args=args)
+            least = len(found.args) - found.more
+            if len(args) < least or (len(args) > len(found.args) and not found.more):
+                raise XPathError(f"{expr.name}() has {len(args)} arguments, not {f'{least} or more' if found.more else least}")
+            return replace(expr, args=args, kind=found.kind)
+        if isinstance(expr, Binary):
+            return replace(expr, left=self.bind(expr.left), right=self.bind(expr.right))
+        if isinstance(expr, Path):
+            steps = tuple(replace(s, predicates=tuple(map(self.bind, s.predicates))) for s in expr.steps)
+            return replace(expr, start=expr.start if isinstance(expr.start, str) else self.bind(expr.start), steps=steps, predicates=tuple(map(self.bind, expr.predicates)))
+        return expr
+
+    def function(self, name: str) -> Function | None:
+        """The extension function of a name; None for the language's own."""
+        found = self.functions.get(name)
+        if found is None and ":" in name:
+            prefix, _, local = name.partition(":")
+            if prefix not in self.namespaces:
+                raise XPathError(f"undefined prefix {prefix!r}")
+            found = self.functions.get((self.namespaces[prefix], local))
+            if found is None:
+                raise XPathError(f"unknown function {name}()")
+        return Function(found, ("string",), "string", True) if found is not None and not isinstance(found, Function) else found
+
+    def extended(self, name: str, found: Function, args: tuple, scope: Scope) -> Value:
+        columns = []
+        for k, a in enumerate(args):
+            kind, v = found.args[min(k, len(found.args) - 1)], self.compile(a, scope)
+            if kind == "set":
+                if v.kind != "set":
+                    raise XPathError(f"{name}() takes a node-set")
+                ordered = F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"])
+                (c,) = scope.attach(v.nodes, ("strings", ordered))
+                columns.append(F.coalesce(c, F.array().cast("array<string>")))
+            else:
+                columns.append({"string": self.string, "number": self.number, "boolean": self.boolean}[kind](v, scope))
+        cast = {"number": "double", "boolean": "boolean"}.get(found.kind, "string")
+        return Value(found.kind, found.fn(*columns).cast(cast))
+
     # casts
 
     def string(self, v: Value, scope: Scope) -> Column:
@@ -491,10 +590,9 @@ class XPath:
 
     def call(self, expr: Call, scope: Scope) -> Value:
         name, args = expr.name, expr.args
-        if name not in self.functions:
-            self.check(name, args)
-        if name in self.functions:
-            return Value("string", self.functions[name](*[self.string(self.compile(a, scope), scope) for a in args]))
+        if (found := self.function(name)) is not None:
+            return self.extended(name, found, args, scope)
+        self.check(name, args)
         here = Value("string", F.coalesce(F.col("value"), F.lit("")))
         own = lambda k: self.compile(args[k], scope)
         text = lambda k: self.string(own(k), scope)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.entities import html5
 from html.parser import HTMLParser
 from xml.parsers import expat
@@ -28,6 +29,30 @@ ARROW = pa.schema([
 EVENTS = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), ("event", pa.string()), ("name", pa.string()), ("ns", pa.string()), ("text", pa.string())])
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What one document may take; beyond it the document has an error and its nodes up to there.
+
+    ``amplification`` bounds characters of text against characters read, once entities
+    have made more than ``activation`` of them.
+    """
+
+    depth: int = 256
+    nodes: int = 10_000_000
+    name: int = 50_000
+    text: int = 10_000_000
+    amplification: float = 5.0
+    activation: int = 1_000_000
+
+
+class LimitError(Exception):
+    """A document goes beyond a limit."""
+
+
+# Fixed value: the code of the error that a limit was exceeded.
+BEYOND = 114
+
+
 class Tree:
     """Collects a document's nodes; ``value`` of an element is the text below it."""
 
@@ -91,8 +116,9 @@ def split_name(name: str) -> tuple[str | None, str | None, str]:
 class XmlReader:
     """Push parser: feed chunks in any cut, then ``close``."""
 
-    def __init__(self, doc_id: int):
+    def __init__(self, doc_id: int, limits: Limits | None = None):
         self.tree, self.events, self.cdata = Tree(doc_id), [], False
+        self.limits, self.fed, self.said = limits, 0, 0
         self.declared: list[tuple[str | None, str | None]] = []
         p = self.parser = expat.ParserCreate(namespace_separator="\n")
         p.namespace_prefixes, p.ordered_attributes, p.buffer_text = True, True, True
@@ -105,6 +131,11 @@ class XmlReader:
     def start(self, name: str, attrs: list[str]) -> None:
         ns, prefix, local = split_name(name)
         line = self.parser.CurrentLineNumber
+        if self.limits:
+            self.within(len(self.tree.stack), self.limits.depth, "depth")
+            self.within(len(self.tree.rows) + len(attrs) // 2, self.limits.nodes, "number of nodes")
+            self.within(max(map(len, [local, *attrs[::2]])), self.limits.name, "length of a name")
+            self.within(max(map(len, attrs[1::2]), default=0), self.limits.text, "length of a value")
         self.tree.open("element", ns, prefix, local, line)
         self.events.append(("start", local, ns, None))
         for p, uri in self.declared:
@@ -119,7 +150,17 @@ class XmlReader:
         self.tree.close()
         self.events.append(("end", local, ns, None))
 
+    def within(self, number: float, most: float, what: str) -> None:
+        if number > most:
+            raise LimitError(f"{what} above {most}")
+
     def chars(self, data: str) -> None:
+        if self.limits:
+            self.said += len(data)
+            if self.said > self.limits.activation:
+                self.within(self.said / max(1, self.fed), self.limits.amplification, "amplification")
+            last = self.tree.rows[-1]
+            self.within(len(data) + (len(last[9]) if last[5] == "text" else 0), self.limits.text, "length of a text")
         self.tree.text(data, self.parser.CurrentLineNumber, "cdata" if self.cdata else "text")
         self.events.append(("text", None, None, data))
 
@@ -134,10 +175,13 @@ class XmlReader:
     def feed(self, chunk: str | bytes) -> None:
         if self.tree.errors:
             return
+        self.fed += len(chunk)
         try:
             self.parser.Parse(chunk, False)
         except expat.ExpatError as e:
             self.tree.errors.append(("parser", e.code, expat.ErrorString(e.code), e.lineno, e.offset))
+        except LimitError as e:
+            self.tree.errors.append(("limits", BEYOND, str(e), self.parser.CurrentLineNumber, self.parser.CurrentColumnNumber))
 
     def close(self) -> list[list]:
         if not self.tree.errors:
@@ -145,6 +189,8 @@ class XmlReader:
                 self.parser.Parse("", True)
             except expat.ExpatError as e:
                 self.tree.errors.append(("parser", e.code, expat.ErrorString(e.code), e.lineno, e.offset))
+            except LimitError as e:
+                self.tree.errors.append(("limits", BEYOND, str(e), self.parser.CurrentLineNumber, self.parser.CurrentColumnNumber))
         return self.tree.finish()
 
 
@@ -238,8 +284,8 @@ class HtmlReader(HTMLParser):
         return self.tree.finish()
 
 
-def read_xml(doc_id: int, text: str | bytes | None, chunk: int | None = None) -> XmlReader:
-    reader = XmlReader(doc_id)
+def read_xml(doc_id: int, text: str | bytes | None, chunk: int | None = None, limits: Limits | None = None) -> XmlReader:
+    reader = XmlReader(doc_id, limits)
     data = text or ""
     for k in range(0, len(data), chunk or max(1, len(data))):
         reader.feed(data[k : k + chunk] if chunk else data)
@@ -275,9 +321,9 @@ def parse_with(df: DataFrame, id_column: str, text_column: str, read, pick, sche
     return df.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(run, ddl)
 
 
-def xml_nodes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int | None = None) -> DataFrame:
-    """Node table of XML documents; with ``chunk``, fed in pieces of that size (the result is the same)."""
-    return parse_with(df, id_column, text_column, lambda d, t: read_xml(d, t, chunk), lambda r: r.rows, ARROW, SCHEMA.replace(" end ", " `end` "))
+def xml_nodes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int | None = None, limits: Limits | None = None) -> DataFrame:
+    """Node table of XML documents; with ``chunk``, fed in pieces of that size (the result is the same); with ``limits``, of a document beyond them what lies before."""
+    return parse_with(df, id_column, text_column, lambda d, t: read_xml(d, t, chunk, limits), lambda r: r.rows, ARROW, SCHEMA.replace(" end ", " `end` "))
 
 
 def html_nodes(df: DataFrame, id_column: str = "page_id", text_column: str = "html", chunk: int | None = None, implied: bool = True) -> DataFrame:
@@ -292,11 +338,11 @@ def events(df: DataFrame, id_column: str, text_column: str, kind: str = "xml") -
     return parse_with(df, id_column, text_column, read, number, EVENTS, "doc_id long, seq long, event string, name string, ns string, text string")
 
 
-def errors(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, domain, code, level, message, line, col``, a row per document that is not well-formed."""
+def errors(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", limits: Limits | None = None) -> DataFrame:
+    """``doc_id, domain, code, level, message, line, col``, a row per document that is not well-formed or goes beyond limits."""
     schema = pa.schema([("doc_id", pa.int64()), ("domain", pa.string()), ("code", pa.int32()), ("level", pa.string()), ("message", pa.string()), ("line", pa.int32()), ("col", pa.int32())])
     pick = lambda r: [(r.tree.doc, d, c, "fatal", m, line, col) for d, c, m, line, col in r.tree.errors]
-    return parse_with(df, id_column, text_column, read_xml, pick, schema, "doc_id long, domain string, code int, level string, message string, line int, col int")
+    return parse_with(df, id_column, text_column, lambda d, t: read_xml(d, t, None, limits), pick, schema, "doc_id long, domain string, code int, level string, message string, line int, col int")
 
 
 #: Entity names without a semicolon's need; kept for lookups by name and by value.
