@@ -25,7 +25,7 @@ C_FUNCTION = re.compile(r"(?m)^(?P<head>[A-Za-z_][\w \t*\n]*?[\s*])(?P<name>[A-Z
 C_AGGREGATE = re.compile(r"(?m)^[ \t]*(?P<typedef>typedef\s+)?(?P<kind>struct|union|enum)\s+(?P<name>[A-Za-z_]\w*)?\s*\{")
 C_TYPEDEF = re.compile(r"(?m)^[ \t]*typedef\s+(?!.*\{)(?P<body>[^;]+?)\b(?P<name>[A-Za-z_]\w*)\s*;")
 C_DEFINE = re.compile(r"(?m)^[ \t]*#[ \t]*define[ \t]+(?P<name>[A-Za-z_]\w*)(?P<args>\([^)]*\))?[ \t]*(?P<body>[^\n]*)$")
-RUST_ITEM = re.compile(r"(?m)^[ \t]*(?P<pub>pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:extern\s+\"C\"\s+)?(?P<kind>fn|struct|enum|trait|const|static)\s+(?:mut\s+)?(?P<name>[A-Za-z_]\w*)")
+RUST_ITEM = re.compile(r"(?m)^[ \t]*(?P<pub>pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:extern\s+(?:\"C\"\s+)?)?(?P<kind>fn|struct|enum|trait|const|static)\s+(?:mut\s+)?(?P<name>[A-Za-z_]\w*)")
 CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
 IDENTIFIER = re.compile(r"\b[A-Za-z_]\w*\b")
 
