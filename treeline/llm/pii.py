@@ -14,6 +14,13 @@ each by its place. Letters of any script stay letters of their block and case.
 The key is an argument; :func:`configured_key` takes it from the session's
 setting ``spark.treeline.pii.key`` and warns where only the example key is at hand.
 
+What has no form of its own stays: ten digits without a mark (a count as well as a
+phone number), addresses without a dot behind the at sign, keys of many lines. The
+image of an IPv6 address is spelt with all its groups, so that an address is linked
+however it is spelt. Months are spelt in the language in which their name is found
+first, so a name that two languages share, or that is its own short form, may come
+back spelt otherwise; the date is the same.
+
 Each text is read once, where its lines hold a digit or an at sign; nothing is
 shuffled or gathered, so hot sources and copies cost what other rows cost.
 
@@ -62,7 +69,13 @@ MONTHS = [
     ["december", "dezember", "décembre", "diciembre"],
 ]
 MONTH_OF = {name: (k + 1, lang) for k, names in enumerate(MONTHS) for lang, name in reversed(list(enumerate(names)))}
-_MONTH = "|".join(sorted(MONTH_OF, key=lambda m: (-len(m), m)))
+# Their short forms, in the same order; a full stop may follow.
+SHORT_MONTHS = [
+    ["jan", "jan", "janv", "ene"], ["feb", "feb", "févr", "feb"], ["mar", "mär", "mars", "mar"], ["apr", "apr", "avr", "abr"], ["may", "mai", "mai", "may"], ["jun", "jun", "juin", "jun"],
+    ["jul", "jul", "juil", "jul"], ["aug", "aug", "août", "ago"], ["sep", "sep", "sept", "sept"], ["oct", "okt", "oct", "oct"], ["nov", "nov", "nov", "nov"], ["dec", "dez", "déc", "dic"],
+]
+SHORT_OF = {name: (k + 1, lang) for k, names in enumerate(SHORT_MONTHS) for lang, name in reversed(list(enumerate(names))) if name not in MONTH_OF}
+_MONTH = "(?:" + "|".join(sorted(MONTH_OF, key=lambda m: (-len(m), m))) + "|(?:" + "|".join(sorted(SHORT_OF, key=lambda m: (-len(m), m))) + r")(?![^\W\d_])\.?)"
 
 #: In order of preference where several hold at one place.
 PATTERN = re.compile(
@@ -74,10 +87,11 @@ PATTERN = re.compile(
     |(?P<iban>(?<![0-9A-Za-z])(?:[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?|[a-z]{{2}}[0-9]{{2}}(?=[a-z]*(?:[0-9][a-z]*){{10}})[a-z0-9]{{11,30}})(?![0-9A-Za-z]))
     |(?P<ip>(?<![0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9]|\.[0-9]))
     |(?P<ip6>(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}}(?![0-9A-Za-z:]))
-    |(?P<iso>(?<![0-9\-])[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?![0-9]|-[0-9]))
+    |(?P<jwt>(?<![\w.\-])eyJ[\w\-]{{8,}}\.[\w\-]{{8,}}\.[\w\-]{{8,}}(?![\w.\-]))
+    |(?P<iso>(?<![0-9\-/])[0-9]{{4}}(?P<mark>[\-/])[0-9]{{2}}(?P=mark)[0-9]{{2}}(?![0-9]|[\-/][0-9]))
     |(?P<day>(?<![0-9./\-])[0-9]{{1,2}}(?P<sep>[./\-])[0-9]{{1,2}}(?P=sep)[0-9]{{4}}(?![0-9]|[./\-][0-9]))
-    |(?P<short>(?<![0-9./\-])[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}(?![0-9]|[./\-][0-9]))
-    |(?P<named>(?<![0-9A-Za-z])[0-9]{{1,2}}\.?[ ](?:de[ ])?(?i:{_MONTH})[ ](?:de[ ])?[0-9]{{4}}(?![0-9]))
+    |(?P<short>(?<![0-9./\-])(?:[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{2}})(?![0-9]|[./\-][0-9]))
+    |(?P<named>(?<![0-9A-Za-z])[0-9]{{1,2}}\.?[ ](?:de[ ])?(?i:{_MONTH}),?[ ](?:de[ ])?[0-9]{{4}}(?![0-9]))
     |(?P<first>(?<![A-Za-z])(?i:{_MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}}(?![0-9]))
     |(?P<ssn>(?<![0-9\-])[0-9]{{3}}(?P<gap>[- ])[0-9]{{2}}(?P=gap)[0-9]{{4}}(?![0-9]|-[0-9]))
     |(?P<phone>(?<![0-9A-Za-z+])\+[0-9]{{1,3}}(?:[ .\-]?\([0-9]{{1,4}}\)|[ .\-]?[0-9]{{1,12}})(?:[ .\-]?[0-9]{{2,12}}){{0,5}}(?![0-9])
@@ -284,7 +298,12 @@ def ip6(p: Permuter, text: str) -> str | None:
 
 def iso(p: Permuter, text: str) -> str | None:
     new = shifted(p, int(text[:4]), int(text[5:7]), int(text[8:]))
-    return new and new.isoformat()
+    return new and new.isoformat().replace("-", text[4])
+
+
+def jwt(p: Permuter, text: str) -> str | None:
+    """Three parts of letters, digits and signs, as web tokens are; what tells that it is one stays."""
+    return "eyJ" + letters_and_digits(p, text[3:], "token") if any(map(is_digit, text)) else None
 
 
 def day(p: Permuter, text: str) -> str | None:
@@ -301,22 +320,23 @@ def day(p: Permuter, text: str) -> str | None:
 
 def short(p: Permuter, text: str) -> str | None:
     """A date whose year has two digits: one of 1950 to 2049."""
-    a, b, y = text.split("/")
+    sep = "/" if "/" in text else "."
+    a, b, y = text.split(sep)
     wide = 2 if len(a) == 2 and len(b) == 2 else 1
     begin, end = datetime.date(1950, 1, 1).toordinal(), datetime.date(2050, 1, 1).toordinal()
-    for d, m, late in ((a, b, False), (b, a, True)):  # month first only where day first makes no date
+    for d, m, late in ((a, b, False), (b, a, True))[: 2 if sep == "/" else 1]:  # month first only where day first makes no date, and with strokes
         try:
             at = datetime.date((1900 if int(y) >= 50 else 2000) + int(y), int(m), int(d)).toordinal() - begin
         except ValueError:
             continue
         new = datetime.date.fromordinal(begin + p.number(at, end - begin, "short date", (lambda x: datetime.date.fromordinal(begin + x).day > 12) if late else None))
         one, two = (new.month, new.day) if late else (new.day, new.month)
-        return f"{one:0{wide}d}/{two:0{wide}d}/{new.year % 100:02d}"
+        return f"{one:0{wide}d}{sep}{two:0{wide}d}{sep}{new.year % 100:02d}"
     return None
 
 
 def named(p: Permuter, text: str) -> str | None:
-    d, name, year = re.fullmatch(rf"(\d+)\.? (?:de )?({_MONTH}) (?:de )?(\d+)", text, re.IGNORECASE).groups()
+    d, name, year = re.fullmatch(rf"(\d+)\.? (?:de )?({_MONTH}),? (?:de )?(\d+)", text, re.IGNORECASE).groups()
     return by_name(p, text, d, name, year)
 
 
@@ -326,14 +346,18 @@ def first(p: Permuter, text: str) -> str | None:
 
 
 def by_name(p: Permuter, text: str, d: str, name: str, year: str) -> str | None:
-    month, lang = MONTH_OF[name.lower()]
+    name = name.rstrip(".")
+    held, names = (MONTH_OF, MONTHS) if name.lower() in MONTH_OF else (SHORT_OF, SHORT_MONTHS)
+    month, lang = held[name.lower()]
     new = shifted(p, int(year), month, int(d))
     if new is None:
         return None
-    spelt = MONTHS[new.month - 1][lang]
+    spelt = names[new.month - 1][lang]
     spelt = spelt.upper() if name.isupper() else spelt.capitalize() if name[0].isupper() else spelt
     at = text.index(name)
     head, tail = text[:at], text[at + len(name) :]
+    if spelt.lower() in MONTH_OF:  # a whole name has no full stop
+        tail = tail.removeprefix(".")
     number = lambda s: re.sub(r"\d+", lambda m: str(new.year) if m.group() == year else str(new.day), s)
     return number(head) + spelt + number(tail)
 
@@ -370,7 +394,7 @@ def number(p: Permuter, text: str) -> str | None:
 
 
 KINDS: dict[str, Callable[[Permuter, str], str | None]] = {
-    "email": email, "secret": secret, "key": key, "hex": hexadecimal, "iban": iban, "ip": ip, "ip6": ip6, "iso": iso,
+    "email": email, "secret": secret, "key": key, "hex": hexadecimal, "jwt": jwt, "iban": iban, "ip": ip, "ip6": ip6, "iso": iso,
     "day": day, "short": short, "named": named, "first": first, "ssn": ssn, "phone": phone, "number": number,
 }
 
@@ -386,7 +410,7 @@ def pseudonyms(text: str, p: Permuter, found: Counter | None = None) -> str:
         done = end = len(text) if end < 0 else end
         place = begin
         while (m := PATTERN.search(text, place, end)) is not None:
-            kind = {"sep": "day", "gap": "ssn"}.get(m.lastgroup, m.lastgroup)
+            kind = {"sep": "day", "gap": "ssn", "mark": "iso"}.get(m.lastgroup, m.lastgroup)
             new = KINDS[kind](p, m.group())
             place = m.end()
             if new is None and kind != "number" and (n := NUMBER.match(m.group())) and (new := number(p, n.group())):
