@@ -110,3 +110,31 @@ def test_files_are_written_and_read(spark, tmp_path):
 def test_transpiled(spark, kind, text, code, error):
     df = spark.createDataFrame([(kind, text)], "kind string, text string").select(codemap.transpiled(F.col("kind"), F.lit("K"), F.col("text")).alias("x"))
     assert tuple(df.first().x) == (code, error)
+
+
+def test_catalog_edits_are_those_of_one_after_the_other(spark):
+    from treeline.operators import catalog
+
+    rng = random.Random(21)
+    entries = [("uri", f"k{k}", f"v{rng.randrange(6)}") for k in range(8)]
+    edits = []
+    for seq in range(60):
+        edits.append((seq, "add", "uri", f"k{rng.randrange(14)}", f"v{rng.randrange(6)}") if rng.random() < 0.7 else (seq, "remove", None, None, rng.choice([f"k{rng.randrange(14)}", f"v{rng.randrange(6)}"])))
+    for upto in (0, 1, 20, 60):
+        held = {k: v for _, k, v in entries}
+        for _, op, _, key, value in edits[:upto]:
+            if op == "add":
+                held[key] = value
+            else:
+                held = {k: v for k, v in held.items() if value not in (k, v)}
+        got = catalog.edited(spark.createDataFrame(entries, "kind string, key string, value string"), spark.createDataFrame(rng.sample(edits[:upto], upto), "seq long, op string, kind string, key string, value string"))
+        assert {r.key: r.value for r in got.collect()} == held
+
+
+def test_entities_come_back():
+    from treeline.sources import markup
+
+    for text in ("é & <b> \"x\"", "日本 😀", "&eacute; &#233; &#xE9;", "\x00\x7f\x85", ""):
+        assert markup.decode_entities(markup.encode_entities(text)) == text
+    assert markup.decode_entities("&amp;lt; &nosuch; &#55296; &#x110000; &copy &Eacute;&#0;") == "&lt; &nosuch; &#55296; &#x110000; &copy É&#0;"
+    assert markup.encode_entities("é→\x80") == "&eacute;&rarr;&#128;"

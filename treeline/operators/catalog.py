@@ -16,7 +16,8 @@ from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 NS = "{urn:oasis:names:tc:entity:xmlns:xml:catalog}"
@@ -169,6 +170,24 @@ class Catalog:
         return None
 
 
+def edited(entries: DataFrame, edits: DataFrame) -> DataFrame:
+    """``kind, key, value``: entries after a sequence of edits, as a table.
+
+    ``entries(kind, key, value)``, one a kind and key; ``edits(seq, op, kind, key, value)``
+    with ``op`` ``add`` (sets a key's value) or ``remove`` (of all entries whose key or
+    value is ``value``). Of a key only the last ``add`` can stand, and it does unless a
+    later ``remove`` names it, so no order of all edits is needed: one aggregate by
+    key, and two anti-joins.
+    """
+    first = entries.select(F.lit(None).cast("long").alias("seq"), "kind", "key", "value")
+    added = edits.where("op = 'add'").select(F.col("seq").cast("long"), "kind", "key", "value").unionByName(first)
+    # The entries themselves come before all edits.
+    last = added.groupBy("kind", "key").agg(F.max(F.struct(F.col("seq").isNotNull().alias("later"), "seq", "value")).alias("x")).select("kind", "key", "x.value", F.coalesce("x.seq", F.lit(-(1 << 62))).alias("at"))
+    removed = edits.where("op = 'remove'").groupBy(F.col("value").alias("what")).agg(F.max(F.col("seq").cast("long")).alias("last"))
+    left = last.join(removed, (F.col("value") == F.col("what")) & (F.col("last") > F.col("at")), "left_anti")
+    return left.join(removed, (F.col("key") == F.col("what")) & (F.col("last") > F.col("at")), "left_anti").select("kind", "key", "value")
+
+
 def resolved(library: dict[str, str], name: str, public: Column, system: Column) -> Column:
     """The resolution of a public and a system identifier by a catalog; null if it has none."""
 

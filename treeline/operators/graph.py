@@ -6,6 +6,8 @@ bounded by the longest path, and nothing is collected but a count.
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +22,14 @@ BLOCK = 1_000_000
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs ``(src, dst)`` with a path, semi-naive: each round extends only what the last one found."""
     edges = settle(edges.select("src", "dst").distinct())
-    known = fresh = edges
+    fresh, parts = edges, [edges]
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while not fresh.isEmpty():
         found = fresh.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        fresh = settle(found.join(known, ["src", "dst"], "left_anti"))
-        known = settle(known.unionByName(fresh))
-    return known
+        # What earlier rounds wrote is read again, but never written again.
+        fresh = settle(found.join(functools.reduce(DataFrame.unionByName, parts), ["src", "dst"], "left_anti"))
+        parts.append(fresh)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def ready(work: pa.Table) -> pa.Table:

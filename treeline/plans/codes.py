@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from treeline.functions import datatypes as dt
 from treeline.operators import codec, codemap, deflate, sourcecode
 from treeline.registry import registry
 from treeline.session import table
-from treeline.sources import binary
+from treeline.sources import binary, files, markup
 from treeline.streaming import streams
 
 
@@ -170,3 +171,34 @@ def f19_typedefs_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = ["typedef unsigned long C%1$s;", "typedef struct _N%1$s N%1$s;", "typedef struct { int x; } N%1$s;", "typedef Node%1$s Edge%1$s;", "typedef int (*H%1$s)(void *);", "typedef my_node%1$s MyNode%1$s;"]
     text = F.element_at(F.array(*[F.format_string(f, "p_partkey") for f in forms]), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", codemap.simple_typedef(text).alias("simple"))
+
+
+# ---- entities, pluggable input, types -----------------------------------------------------------------------------
+
+
+@registry.add("t16_entities_of_texts", "SELECT doc_id, md5(text) AS decoded, (strlen(text) - strlen(replace(text, 'é', ''))) // 2 AS eacute, text IS NOT NULL AND regexp_full_match(text, '[ -~\\t\\n\\r]*') AS ascii FROM documents")
+def t16_entities_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with their characters as entities, by name or number, and read back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", markup.entities(F.col("text")).alias("e"))
+    named = F.regexp_count("e", F.lit("&eacute;")).cast("long")
+    plain = F.coalesce(~F.col("text").rlike("[^ -~\\t\\n\\r]"), F.lit(False))
+    return d.select("doc_id", F.md5(markup.entities(F.col("e"), decode=True)).alias("decoded"), named.alias("eacute"), plain.alias("ascii"))
+
+
+@registry.add("s17_read_back", "SELECT doc_id % 10 AS k, count(*) AS n, sum(strlen(source))::BIGINT AS size FROM documents GROUP BY ALL")
+def s17_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written by the pluggable output and read by the input, its files dealt into partitions by their lines."""
+    spark.dataSource.register(files.LinesSource)
+    folder = streams.shared_folder(spark, "plugged")
+    rows = table(spark, sf_dir, "documents").select(F.lit(0).alias("doc"), F.lit(0).alias("line"), F.concat((F.col("doc_id") % 10).cast("string"), F.lit(" "), F.col("source")).alias("text"))
+    rows.repartition(7).write.format("lines").option("folder", folder).option("codec", "gzip").mode("append").save()
+    got = spark.read.format("lines").option("folder", folder).option("split", "300").load()
+    return got.groupBy(F.substring("text", 1, 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.substring("text", 3, 1 << 30))).cast("long").alias("size"))
+
+
+@registry.add("d12_types_of_parts", "SELECT p_partkey, name, base, depth FROM part JOIN (VALUES (0, 'byte', 'short', 6), (1, 'ID', 'NCName', 6), (2, 'token', 'normalizedString', 3), (3, 'unsignedByte', 'unsignedShort', 7), (4, 'decimal', 'anySimpleType', 1)) v(k, name, base, depth) ON k = p_partkey % 5")
+def d12_types_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type for each part with its base and its depth, looked up in the table of all built-in types."""
+    known = spark.createDataFrame([(n, dt.TYPES[n][0], len(dt.ancestry(n)) - 1) for n in dt.TYPES], "name string, base string, depth int")
+    name = F.element_at(F.array(*map(F.lit, ("byte", "ID", "token", "unsignedByte", "decimal"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).join(F.broadcast(known), "name").select("p_partkey", "name", "base", "depth")

@@ -148,17 +148,24 @@ def s27_text_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("m06_catalog_edits", "SELECT n_name AS key, CASE WHEN n_regionkey = 1 THEN 'file:///again/' ELSE 'file:///' END || n_nationkey AS value FROM nation WHERE n_regionkey <> 2")
 def m06_catalog_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries added, changed and removed by value; the 25 nations are the entries."""
-    held = catalog.Catalog("edited", {})
-    rows = table(spark, sf_dir, "nation").select("n_name", "n_nationkey", "n_regionkey").collect()
-    for r in rows:
-        held.add("uri", r.n_name, f"file:///{r.n_nationkey}")
-    for r in rows:
-        if r.n_regionkey == 1:
-            held.add("uri", r.n_name, f"file:///again/{r.n_nationkey}")
-        elif r.n_regionkey == 2:
-            held.remove(f"file:///{r.n_nationkey}")
-    return spark.createDataFrame(list(held.entries["uri"].items()), "key string, value string")
+    """Entries added, changed and removed by value; the nations are the entries."""
+    n = table(spark, sf_dir, "nation").select(F.lit("uri").alias("kind"), F.col("n_name").alias("key"), F.concat(F.lit("file:///"), F.col("n_nationkey").cast("string")).alias("value"), "n_regionkey", "n_nationkey")
+    again = n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("seq"), F.lit("add").alias("op"), "kind", "key", F.concat(F.lit("file:///again/"), F.col("n_nationkey").cast("string")).alias("value"))
+    gone = n.where("n_regionkey = 2").select(F.col("n_nationkey").alias("seq"), F.lit("remove").alias("op"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("key"), "value")
+    return catalog.edited(n.select("kind", "key", "value"), again.unionByName(gone)).select("key", "value")
+
+
+@registry.add("m06_edits_of_orders", """WITH e AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY ALL)
+SELECT 'c' || e.o_custkey AS key, 'v' || k % 50 AS value FROM e WHERE NOT EXISTS (SELECT 1 FROM orders r WHERE r.o_orderkey % 7 = 0 AND r.o_orderkey > e.k AND r.o_orderkey % 50 = e.k % 50) AND NOT EXISTS (SELECT 1 FROM orders r WHERE r.o_orderkey % 77 = 0 AND r.o_orderkey > e.k AND r.o_custkey = e.o_custkey)""")
+def m06_edits_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order edits a catalog: its customer's entry is set, or all entries of a value or of the customer go."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key, value = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("v"), (k % 50).cast("string"))
+    added = o.where(k % 7 != 0).select(k.alias("seq"), F.lit("add").alias("op"), F.lit("uri").alias("kind"), key.alias("key"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    gone = lambda rows, what: rows.select(k.alias("seq"), F.lit("remove").alias("op"), none.alias("kind"), none.alias("key"), what.alias("value"))
+    edits = added.unionByName(gone(o.where(k % 7 == 0), value)).unionByName(gone(o.where(k % 77 == 0), key))
+    return catalog.edited(added.limit(0).select("kind", "key", "value"), edits).select("key", "value")
 
 
 # ---- canonical form -----------------------------------------------------------------------------------------------

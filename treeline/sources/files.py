@@ -44,7 +44,11 @@ def expand_compressed(data: Column, path: Column) -> Column:
 
 
 class LinesSource(DataSource):
-    """A pluggable input: ``spark.read.format("lines").option("texts", json)`` gives numbered lines of the given texts."""
+    """A pluggable input: ``spark.read.format("lines")`` gives numbered lines, of the option ``texts`` (a JSON list) or of a ``folder`` that the output of the same name wrote.
+
+    A folder's files are dealt into partitions of about ``split`` lines (1,000,000),
+    told by the list of committed files alone; ``doc`` is a file's place in that list.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -131,14 +135,36 @@ class LinesReader(DataSourceReader):
     def __init__(self, options: dict):
         import json
 
+        self.folder, self.split = options.get("folder"), int(options.get("split", 1_000_000))
         self.texts = json.loads(options.get("texts", "[]"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(len(self.texts))]
+        if not self.folder:
+            return [InputPartition(k) for k in range(len(self.texts))]
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        with store.open_input_stream(f"{root}/_lines") as held:
+            listed = [line.split("\t") for line in held.read().decode().splitlines()]
+        out, now, size = [], [], 0
+        for k, (name, lines) in enumerate(listed):
+            if now and size + int(lines) > self.split:
+                out.append(InputPartition(now))
+                now, size = [], 0
+            now.append((k, name))
+            size += int(lines)
+        return [*out, InputPartition(now)] if now else out or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for k, line in enumerate(self.texts[partition.value].split("\n"), start=1):
-            yield partition.value, k, line
+        if not self.folder:
+            for k, line in enumerate(self.texts[partition.value].split("\n"), start=1):
+                yield partition.value, k, line
+            return
+        import io
+
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        for doc, name in partition.value:
+            with store.open_input_stream(f"{root}/{name}", compression="gzip" if name.endswith(".gz") else None) as held:
+                for k, line in enumerate(io.TextIOWrapper(held, encoding="utf-8", newline="\n"), start=1):
+                    yield doc, k, line.removesuffix("\n")
 
 
 def discover(rows: DataFrame, name: Column, marker: Column, *, names: list[str] = (), markers: list[str] = (), without_names: list[str] = (), without_markers: list[str] = ()) -> DataFrame:

@@ -15,9 +15,11 @@ from html.entities import html5
 from html.parser import HTMLParser
 from xml.parsers import expat
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from treeline.nodetable import SCHEMA
 
@@ -349,6 +351,40 @@ def errors(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 ENTITY_VALUES = {name.rstrip(";"): value for name, value in html5.items()}
 
 
+#: The name that a character is written with: the shortest, then the first.
+ENTITY_NAMES = {v: min((n for n, x in ENTITY_VALUES.items() if x == v), key=lambda n: (len(n), n)) for v in set(ENTITY_VALUES.values()) if len(v) == 1}
+REFERENCE = re.compile("&(?:#([0-9]{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]*));")
+
+
+def encode_entities(text: str) -> str:
+    """Characters outside ASCII and the marks of markup as references, by name where there is one; NUL has none and stays."""
+    return "".join([c if " " <= c < "\x7f" and c not in "&<>\"" or c in "\t\n\r\0" else f"&{ENTITY_NAMES[c]};" if c in ENTITY_NAMES else f"&#{ord(c)};" for c in text])
+
+
+def decode_entities(text: str) -> str:
+    """References as characters; unknown names and numbers of no character stay as they are."""
+
+    def one(m: re.Match) -> str:
+        if m[3]:
+            return ENTITY_VALUES.get(m[3], m[0])
+        n = int(m[1]) if m[1] else int(m[2], 16)
+        return chr(n) if 0 < n < 0xD800 or 0xE000 <= n <= 0x10FFFF else m[0]
+
+    return REFERENCE.sub(one, text)
+
+
+def entities(text: Column, decode: bool = False) -> Column:
+    """:func:`encode_entities` or :func:`decode_entities` of a column; null stays null."""
+    change = decode_entities if decode else encode_entities
+
+    @pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(change, na_action="ignore")
+
+    return run(text)
+
+
 # Node types of the pull reader.
 NODE_TYPES = {"element": 1, "text": 3, "cdata": 4, "pi": 7, "comment": 8}
 END_ELEMENT = 15
