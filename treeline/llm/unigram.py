@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Parts a worker remembers, none longer than so many characters; and pairs of pieces whose fit it remembers.
-MEMO_PARTS, MEMO_CHARS, MEMO_PAIRS = 200_000, 64, 500_000
+MEMO_PARTS, MEMO_CHARS, MEMO_PAIRS = 400_000, 64, 500_000
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -154,9 +154,13 @@ class MergeCounter(Counter):
         self.matches.make_automaton()
         self.memo: dict[str, tuple[int, float]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        # Characters that no longer piece holds part a text as blanks do.
+        joint = {c for p in self.scores if len(p) > 1 for c in p} | {BLANK}
+        lone = "".join(f"\\x{b:02x}" for b in range(128) if chr(b) not in joint)
+        self.runs = re.compile(f"{BLANK}+[^{BLANK}{lone}]*|[^{BLANK}{lone}]+" + f"|[{lone}]" * bool(lone)).findall
 
     def parts(self, text: str) -> list[str]:
-        return RUNS(BLANK + text.replace(" ", BLANK))
+        return self.runs(BLANK + text.replace(" ", BLANK))
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves of a short text."""
@@ -209,7 +213,6 @@ class MergeCounter(Counter):
 #: Pieces that stand for no text: controls and bytes.
 SPECIAL = re.compile("<unk>|</?s>|<0x[0-9A-F]{2}>").fullmatch
 WORDS = re.compile(f"{BLANK}[^{BLANK}]*").findall
-RUNS = re.compile(f"{BLANK}+[^{BLANK}]*").findall
 
 
 def token_counts(docs: DataFrame, model_path: str, *, kind: str) -> DataFrame:
