@@ -93,7 +93,10 @@ LONGEST, POWER = 1_000, 64
 
 
 def calculate(text: str | None) -> tuple[float | None, str | None]:
-    """The value of an arithmetic expression, or what is wrong with it. Only numbers, signs, parentheses and operators are read."""
+    """The value of an arithmetic expression, or what is wrong with it. Only numbers, signs, parentheses and operators are read.
+
+    Expressions of over ``LONGEST`` characters and exponents above ``POWER`` are errors.
+    """
 
     def value(e: ast.AST) -> float:
         if isinstance(e, ast.Constant) and type(e.value) in (int, float):
