@@ -129,7 +129,7 @@ def k09_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repository maps in Markdown, a section a file, with kinds, lines, dependencies and signatures."""
     s = sourcecode.extract(sources(spark, sf_dir)).where("language = 'c'")
     s = codemap.newest(s).withColumns({"n_deps": F.size("calls"), "in_cycle": F.lit(False)})
-    return codemap.repository_map(s).where("file LIKE '%.c'")
+    return codemap.repository_map(s)
 
 
 @registry.add("n30_locations_of_parts", """SELECT name || p_partkey AS name, CASE WHEN name = 'fn_' THEN 'p' || p_partkey || '.h' END AS header, 'p' || p_partkey || '.c' AS source, CASE WHEN name = 'fn_' AND p_partkey % 5 >= 2 THEN 'p' || p_partkey || '.rs' END AS rust, CASE WHEN name = 'fn_' AND p_partkey % 5 >= 1 THEN 'p' || p_partkey || '_ffi.rs' END AS binding,
