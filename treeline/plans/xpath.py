@@ -312,6 +312,23 @@ def below(expr: object) -> list:
     return []
 
 
+def dump(expr: object, level: int = 0) -> str:
+    """A parsed expression as indented lines, an operation each."""
+    pad = "  " * level
+    inner = lambda xs: "".join("\n" + dump(x, level + 1) for x in xs)
+    if isinstance(expr, Literal):
+        return f"{pad}NUMBER {expr.value:g}" if isinstance(expr.value, float) else f"{pad}STRING {expr.value}"
+    if isinstance(expr, Variable):
+        return f"{pad}VARIABLE {expr.name}"
+    if isinstance(expr, Call):
+        return f"{pad}FUNCTION {expr.name}({len(expr.args)})" + inner(expr.args)
+    if isinstance(expr, Binary):
+        return f"{pad}{expr.op.upper()}" + inner([expr.left, expr.right])
+    steps = "".join(f"\n{pad}  STEP {s.axis} {' '.join(str(x) for x in s.test if x is not None)}" + "".join(f"\n{pad}    PREDICATE\n" + dump(p, level + 3) for p in s.predicates) for s in expr.steps)
+    start = f" {expr.start.upper()}" if isinstance(expr.start, str) else "\n" + dump(expr.start, level + 1)
+    return f"{pad}PATH{start}" + "".join(f"\n{pad}  PREDICATE\n" + dump(p, level + 2) for p in expr.predicates) + steps
+
+
 def positional(expr: object) -> bool:
     """Whether a predicate looks at positions: a number, or position() or last() outside of nested predicates."""
     return kind_of(expr) == "number" or uses_position(expr)

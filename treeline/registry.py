@@ -59,4 +59,4 @@ def load() -> None:
 
 
 #: Modules of ``treeline.plans`` that register queries.
-MODULES: list[str] = ["tree", "scalars", "work", "documents", "more", "streams", "formats", "tables", "grammars", "inclusion", "sequences", "codes"]
+MODULES: list[str] = ["tree", "scalars", "work", "documents", "more", "streams", "formats", "tables", "grammars", "inclusion", "sequences", "codes", "rest"]

@@ -60,6 +60,17 @@ def fetch(url: str | None, policy: Policy) -> tuple[int | None, bytes | None, st
         return None, None, str(getattr(e, "reason", e))
 
 
+def permitted(url: Column, policy: Policy) -> Column:
+    """Whether a policy lets an address be fetched; null stays null. Nothing is fetched."""
+
+    @pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for urls in batches:
+            yield urls.map(policy.permits, na_action="ignore")
+
+    return run(url)
+
+
 def fetched(url: Column, policy: Policy) -> Column:
     """``status, body, error`` of each address."""
 
