@@ -4,7 +4,8 @@ A pattern is compiled on the driver to a deterministic automaton, its states bei
 what may still follow. A stretch of events is a map from states to states, and maps
 compose, so a key's events need not lie in one task: ranges of (key, order) yield a
 map a key, and a key's few maps are composed in order. Counters and all-of sets
-are part of the state; ``STATES`` bounds their number.
+are part of the state; ``STATES`` bounds their number. A key's maps meet in one row,
+as many numbers as it spans ranges times the automaton has states.
 
 Defined cases: a null token fits no pattern; events of equal order go by token;
 a key without events has no row; an empty pattern accepts no event.

@@ -32,20 +32,19 @@ def repository_map(symbols: DataFrame) -> DataFrame:
 
 
 def locations(symbols: DataFrame) -> DataFrame:
-    """``name, header, source, rust, binding, language, file``: a symbol's places by what file they lie in, and the one that is shown.
+    """``name, header, source, rust, binding, file, code_file``: a symbol's places by what file they lie in, and the ones that are taken.
 
-    The shown one is the C symbol if there is one; ``code_file`` is where its code is
-    read, with Rust first.
+    ``file`` is the C symbol's, if there is one; ``code_file`` is where its code is
+    read, with Rust first; definitions go before declarations.
     """
     at = lambda test: F.min(F.when(test, F.col("file")))
     ends = lambda s: F.endswith("file", F.lit(s))
     rust = ends(".rs") & ~F.contains("file", F.lit("ffi.rs"))
     first = lambda language: F.struct((F.col("language") != language).alias("other"), (~F.col("is_definition")).alias("declared"), "file", "line")
-    got = symbols.groupBy("name").agg(
+    return symbols.groupBy("name").agg(
         at(ends(".h")).alias("header"), at(ends(".c") & F.col("is_definition")).alias("source"), at(rust).alias("rust"), at(ends("ffi.rs")).alias("binding"),
         F.min(first("c"))["file"].alias("file"), F.min(first("rust"))["file"].alias("code_file"),
     )
-    return got
 
 
 def port_status(symbols: DataFrame, rust_texts: DataFrame, fuzz: DataFrame) -> DataFrame:

@@ -82,16 +82,17 @@ def reached(nodes: DataFrame, start: DataFrame, paths: tuple[tuple[str, ...], ..
     kept = [c for c in start.columns if c not in ("at", "at_end")]
     found = []
     for path in paths:
-        now = start
-        for step in path:
+        now, deep = start, path[:1] == ("//",)
+        for step in path[deep:] or (".",) * deep:
             inner = nodes.where(F.col("kind") == ("attr" if step.startswith("@") else "element"))
             name = step.lstrip("@")
-            if step != "//" and name != "*":
+            if name not in ("*", "."):
                 inner = inner.where(F.col("name") == name)
             inner = inner.select("doc_id", F.col("pre").alias("n_pre"), F.col("end").alias("n_end"), F.col("parent").alias("n_parent"))
-            if step == "//":
-                # The place itself and all elements below it.
-                below = now.join(inner, "doc_id").where("n_pre >= at AND n_pre <= at_end")
+            if deep:
+                # What lies at any depth below a place, of that name alone; with nothing behind it, the place too.
+                below = now.join(inner, "doc_id").where(f"n_pre {'>=' if step == '.' else '>'} at AND n_pre <= at_end")
+                deep = False
             else:
                 below = now.withColumnRenamed("at", "n_parent").join(inner, ["doc_id", "n_parent"])
             now = below.select(*kept, F.col("n_pre").alias("at"), F.col("n_end").alias("at_end"))
