@@ -42,8 +42,8 @@ from . import common
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Benchmark words that one pass broadcasts. An index takes at most about 200 bytes a word on the driver while it is
-#: built (each word another one) and half of that when sent.
+#: Benchmark words that one pass broadcasts. An index takes about 100 bytes a word on the driver while it is built
+#: (measured, each word another one) and half of that when sent.
 PASS_WORDS = 1_000_000
 #: Different texts with hits that are broadcast: their digests, or their masks and items (about 100 bytes and an eighth of a byte a word).
 BROADCAST = 200_000

@@ -15,8 +15,8 @@ stretches the smallest period is kept.
 The texts of an Arrow batch are one array of words, numbered apart by document, so
 that nothing extends across texts and a short text costs no calls of its own.
 Texts are never shuffled; a text is the unit of work. Memory is bounded by the
-bytes of a batch, for a longer text by its own words (about 150 bytes a word and
-a block of ``BLOCK`` pairs of places).
+bytes of a batch, for a longer text by its own words (100 to 250 bytes a word,
+measured, and a block of ``BLOCK`` pairs of places).
 
 Defined cases: a null or empty text, or one of blanks, has no words, no run and
 the collapsed text ''. Repeated rows give equal rows. A null ``doc_id`` stays null.
