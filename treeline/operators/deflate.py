@@ -9,6 +9,7 @@ Defined cases: null and empty data is one empty fixed block. A text is a unit of
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -48,9 +49,29 @@ def histogram(store: Store) -> tuple[list[int], list[int], int]:
     return [literal[k] for k in range(286)], [distance[k] for k in range(30)], extra
 
 
+def lengths(counts: list[int], most: int) -> list[int]:
+    """Lengths of an optimal code: by merging the two rarest, unless that goes beyond ``most`` bits."""
+    heap = [(n, k) for k, n in enumerate(counts) if n]
+    if len(heap) < 3:
+        return code_lengths(counts, most)
+    heapq.heapify(heap)
+    above: dict[int, int] = {}
+    new = len(counts)
+    while len(heap) > 1:
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        above[x] = above[y] = new
+        heapq.heappush(heap, (a + b, new))
+        new += 1
+    depth = {new - 1: 0}
+    for k in sorted(above, reverse=True):
+        depth[k] = depth[above[k]] + 1
+    out = [depth.get(k, 0) for k in range(len(counts))]
+    return out if max(out) <= most else code_lengths(counts, most)
+
+
 def trees(literal: list[int], distance: list[int]) -> tuple[list[int], list[int]]:
     """Code lengths of a dynamic block; a distance code is told even if none is used."""
-    a, b = code_lengths(literal, 15), code_lengths(distance, 15)
+    a, b = lengths(literal, 15), lengths(distance, 15)
     # Old readers ask for two distance codes.
     for k in (0, 1):
         if sum(n > 0 for n in b) < 2 and not b[k]:
@@ -94,7 +115,7 @@ def header(a: list[int], b: list[int]) -> tuple[int, list[tuple[int, int]], list
     for ways in range(8):
         symbols = repeated(a[:n_literal] + b[:n_distance], (bool(ways & 1), bool(ways & 2), bool(ways & 4)))
         counts = Counter(s for s, _ in symbols)
-        own = code_lengths([counts[k] for k in range(19)], 7)
+        own = lengths([counts[k] for k in range(19)], 7)
         told = max(4, max(k + 1 for k, s in enumerate(ORDER) if own[s]))
         bits = 14 + 3 * told + sum(own[s] + REPEATS.get(s, 0) for s, _ in symbols)
         if best is None or bits < best[0]:
