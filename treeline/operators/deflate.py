@@ -298,7 +298,9 @@ def packed(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PACKED, strict=True)], schema=PACKED)
 
     ddl = "doc_id long, packed binary, ends array<long>, ways array<string>, stored long, fixed long, dynamic long"
-    return df.select(F.col("doc_id").cast("long"), "data").mapInArrow(run, ddl)
+    # Work is dear a byte, so small inputs are dealt out too.
+    dealt = df.select(F.col("doc_id").cast("long"), "data").repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, ddl)
 
 
 def entropy(counts: list[int]) -> float:
