@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -34,9 +34,11 @@ def s11_auto_close(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(F.lit("<tr><td>1<td>2"), (2 + F.col("p_size") % 3).cast("int")), F.lit("</table><select><option>1<option>2</select>"),
     )
     n = markup.html_nodes(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))).where("kind = 'element'")
-    above = n.select("doc_id", F.col("pre").alias("parent"), F.col("name").alias("outer"))
-    pairs = n.join(above, ["doc_id", "parent"]).where(F.col("name").isin("li", "p", "tr", "td", "option"))
-    return pairs.groupBy(F.col("doc_id").alias("p_partkey"), F.concat("outer", F.lit(">"), "name").alias("path")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    # An element is its own row's child and its children's parent: both meet in one grouping, so the pages are parsed once.
+    sides = n.select("doc_id", F.explode(F.array(F.struct(F.col("pre").alias("at"), F.col("name").alias("outer"), F.lit(None).cast("string").alias("name")), F.struct(F.col("parent").alias("at"), F.lit(None).cast("string").alias("outer"), "name"))).alias("x")).select("doc_id", "x.*")
+    counted = sides.groupBy("doc_id", "at", "outer", "name").agg(F.count(F.lit(1)).alias("n"))
+    pairs = counted.withColumn("outer", F.max("outer").over(Window.partitionBy("doc_id", "at"))).where(F.col("name").isin("li", "p", "tr", "td", "option") & F.col("outer").isNotNull())
+    return pairs.groupBy(F.col("doc_id").alias("p_partkey"), F.concat("outer", F.lit(">"), "name").alias("path")).agg(F.sum("n").cast("int").alias("n"))
 
 
 @registry.add("s18_permitted", "SELECT page_id, starts_with(url, 'https://m.tionsh.example.net/en/') OR starts_with(url, 'https://thther.example.com/') AS allowed FROM pages")

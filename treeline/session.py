@@ -63,6 +63,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out by all their columns, for work that is dear a row: as many parts as cores or shuffle partitions, never merged again."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *df.columns)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, eagerly."""
     shared_dir(df.sparkSession)
