@@ -20,3 +20,16 @@ def test_parsed_rows_are_dealt_out_and_never_broadcast(spark):
     assert "Broadcast" not in plan(pairs)
     assert n.rdd.getNumPartitions() >= 4
     assert sorted(r.said for r in pairs.collect()) == sorted(str(k) for k in range(40))
+
+
+def test_unlinking_shuffles_the_documents_once_and_joins_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from treeline.operators import edits
+    from treeline.sources import markup
+
+    n = edits.written(markup.xml_nodes(spark.createDataFrame([(1, "<a><b><c/>x</b><b k='1'/></a>"), (2, "<b/>")], "doc_id long, text string")))
+    got = edits.unlink(n, n.where("name in ('b', 'c')"), keep=False)
+    assert "Join" not in plan(got) and plan(got).count("Exchange hashpartitioning") == 1
+    rows = sorted(tuple(r) for r in got.select("doc_id", "pre", "end", F.coalesce("parent", F.lit(-1)), "kind").collect())
+    assert rows == [(1, 0, 1, -1, "document"), (1, 1, 1, 0, "element"), (2, 0, 0, -1, "document")]
