@@ -33,3 +33,36 @@ def test_unlinking_shuffles_the_documents_once_and_joins_nothing(spark):
     assert "Join" not in plan(got) and plan(got).count("Exchange hashpartitioning") == 1
     rows = sorted(tuple(r) for r in got.select("doc_id", "pre", "end", F.coalesce("parent", F.lit(-1)), "kind").collect())
     assert rows == [(1, 0, 1, -1, "document"), (1, 1, 1, 0, "element"), (2, 0, 0, -1, "document")]
+
+
+def test_parses_are_dealt_out(spark):
+    from treeline.operators import lz
+
+    made = spark.createDataFrame([(k, bytearray(b"abcabc%d" % k)) for k in range(8)], "doc_id long, data binary").coalesce(1)
+    assert lz.parse(made).rdd.getNumPartitions() >= 4
+
+
+def test_all_parses_share_one_search():
+    import random
+    from unittest import mock
+
+    from treeline.operators import codec, deflate, lz
+
+    rng, real = random.Random(3), lz.search
+    for data in (b"ab" * 300, bytes(rng.randrange(4) for _ in range(400)), b"10.2-HIGH;11.2-HIGH;" * 9, b"\0" * 50, b""):
+        with mock.patch.object(lz, "search", side_effect=real) as again, mock.patch.object(deflate, "search", side_effect=real) as once:
+            deflate.deflate(data)
+        assert once.call_count == 1 and again.call_count == 0
+        store = lz.matches(data)
+        assert lz.expand(store) == data
+        # What is counted from sums is what the written form takes.
+        held = deflate.Stretches(store)
+        for a, b in [(0, len(store)), (0, len(store) // 2), (len(store) // 3, len(store))]:
+            x, y = deflate.trees(*deflate.histogram(store[a:b])[:2])
+            literal, distance, extra = deflate.histogram(store[a:b])
+            want = 3 + deflate.header(x, y)[0] + extra + sum(map(int.__mul__, literal, x)) + sum(map(int.__mul__, distance, y))
+            assert held.dynamic(a, b) == want and held.least(a, b) == deflate.least_bits(store[a:b])
+    for _ in range(300):
+        counts = [rng.choice([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 400]) for _ in range(rng.randrange(20))]
+        for most in (5, 7, 15):
+            assert lz.code_bits(counts, most) == sum(n * b for n, b in zip(counts, codec.code_lengths(counts, most), strict=True))
