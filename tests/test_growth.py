@@ -66,3 +66,15 @@ def test_all_parses_share_one_search():
         counts = [rng.choice([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 400]) for _ in range(rng.randrange(20))]
         for most in (5, 7, 15):
             assert lz.code_bits(counts, most) == sum(n * b for n, b in zip(counts, codec.code_lengths(counts, most), strict=True))
+
+
+def test_layers_over_blocks_take_no_round_a_layer(spark):
+    from unittest import mock
+
+    from treeline.operators import graph
+
+    nodes = spark.range(300).toDF("node")
+    edges = spark.range(1, 300).selectExpr("id AS src", "id - 1 AS dst")
+    with mock.patch.object(graph, "BLOCK", 100), mock.patch.object(graph, "settle", side_effect=graph.settle) as settled:
+        got = {r.node: r.depth for r in graph.layers(nodes, edges).collect()}
+    assert got == {k: k for k in range(300)} and settled.call_count <= 2 + 4 * 4

@@ -7,6 +7,7 @@ bounded by the longest path, and nothing is collected but a count.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,20 +57,26 @@ def ready(work: pa.Table) -> pa.Table:
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, depth``: a node lies one above its deepest dependency (``src`` depends on ``dst``); what a cycle holds back shares the layer after the last.
 
-    Nodes are dealt into blocks of about ``BLOCK`` dependencies. A round settles
-    all that a block can settle by itself, so a deep graph doesn't take a round a
-    layer; the number of blocks doesn't change the result.
+    Nodes are dealt into blocks of about ``BLOCK`` dependencies by ranges of their
+    keys. A round settles all that a block can settle by itself, so a deep graph
+    doesn't take a round a layer, and where dependencies lead one way along the keys
+    the rounds are no more than the blocks; neither changes the result.
     """
     nodes = settle(nodes.select("node").distinct())
     edges = edges.where("src <> dst").select("src", "dst").distinct()
     edges = settle(edges.join(nodes, edges.dst == nodes.node, "left_semi").join(nodes, edges.src == nodes.node, "left_semi"))
-    blocks = -(-(edges.count() + nodes.count()) // BLOCK) or 1
     schema = StructType([nodes.schema["node"], StructField("depth", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if block := list(batches):
+            yield from ready(pa.Table.from_batches(block)).to_batches()
+
     left, done = nodes, None
     while True:
         work = left.join(edges, left.node == edges.src, "left").select("node", "dst")
-        known = work.select("*", F.lit(None).cast("int").alias("depth")) if done is None else work.join(done.select(F.col("node").alias("dst"), "depth"), "dst", "left")
-        found = settle(known.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))).groupBy("block").applyInArrow(ready, schema))
+        known = settle(work.select("*", F.lit(None).cast("int").alias("depth")) if done is None else work.join(done.select(F.col("node").alias("dst"), "depth"), "dst", "left").select("node", "dst", "depth"))
+        blocks = -(-known.count() // BLOCK) or 1
+        found = settle(known.repartitionByRange(blocks, "node").mapInArrow(run, schema))
         last = found.isEmpty()
         done = found if done is None else done if last else settle(done.unionByName(found))
         left = settle(left.join(found.select(F.col("node").alias("n")), F.col("node").eqNullSafe(F.col("n")), "left_anti"))
