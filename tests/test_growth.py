@@ -78,3 +78,13 @@ def test_layers_over_blocks_take_no_round_a_layer(spark):
     with mock.patch.object(graph, "BLOCK", 100), mock.patch.object(graph, "settle", side_effect=graph.settle) as settled:
         got = {r.node: r.depth for r in graph.layers(nodes, edges).collect()}
     assert got == {k: k for k in range(300)} and settled.call_count <= 2 + 4 * 4
+
+
+def test_edited_rows_are_never_broadcast(spark):
+    from treeline.operators import edits
+    from treeline.sources import markup
+
+    n = markup.xml_nodes(spark.createDataFrame([(1, "<a><b>x</b></a>"), (2, "<b/>")], "doc_id long, text string"))
+    n = edits.unlink(n, n.where("kind = 'text'"))
+    assert "Broadcast" not in plan(n.join(n.where("name = 'b'").select("doc_id", "pre"), ["doc_id", "pre"]))
+    assert sorted((r.doc_id, r.pre, r.end) for r in n.collect()) == [(1, 0, 2), (1, 1, 2), (1, 2, 2), (2, 0, 1), (2, 1, 1)]
