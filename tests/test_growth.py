@@ -88,3 +88,45 @@ def test_edited_rows_are_never_broadcast(spark):
     n = edits.unlink(n, n.where("kind = 'text'"))
     assert "Broadcast" not in plan(n.join(n.where("name = 'b'").select("doc_id", "pre"), ["doc_id", "pre"]))
     assert sorted((r.doc_id, r.pre, r.end) for r in n.collect()) == [(1, 0, 2), (1, 1, 2), (1, 2, 2), (2, 0, 1), (2, 1, 1)]
+
+
+def test_edits_by_conditions_shuffle_once_and_equal_those_by_rows(spark):
+    from pyspark.sql import functions as F
+
+    from treeline.operators import edits
+    from treeline.sources import markup
+
+    source = '<r x="1"><a k="1"><b>x</b>y<!-- z --></a><c/><a><d><b/><a>w</a></d></a></r>'
+    n = markup.xml_nodes(spark.createDataFrame([(1, source), (2, "<r/>"), (3, "<a>")], "doc_id long, text string"))
+    name, lines = F.col("name"), []
+    for targets in (lambda n, c: c, lambda n, c: n.where(c)):
+        got = edits.unlink(n, targets(n, F.col("kind") == "comment"))
+        got = edits.inserted(got, targets(got, name == "a"), "first", "element", "f", name)
+        got = edits.inserted(got, targets(got, name == "b"), "after", "element", "e")
+        got = edits.with_attribute(got, targets(got, name.isin("a", "b", "x")), "k", F.col("value"))
+        got = edits.renamed(got, targets(got, name == "c"), "cc")
+        got = edits.replaced(got, targets(got, (name == "a") & (F.col("level") > 2) | (name == "d")), "element", "q", F.upper("value"))
+        got = edits.inserted(got, targets(got, F.col("level") == 1), "last", "comment", None, F.lit("end"))
+        lines.append((plan(got), sorted(map(str, got.collect()))))
+    assert lines[0][1] == lines[1][1] and len(lines[0][1]) > 25
+    assert "Join" not in lines[0][0] and "Broadcast" not in lines[0][0]
+    # Texts are dealt out to be parsed, rows to their documents.
+    assert lines[0][0].count("Exchange hashpartitioning") == 2
+
+
+def test_a_tree_is_written_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from treeline.operators import nodes, output
+    from treeline.sources import markup
+
+    source = '<r x="&lt;"><a k="1"><b>x &amp; y</b>y<!-- z --></a><c/><a><d><?p i?><a>w</a></d></a></r>'
+    n = markup.xml_nodes(spark.createDataFrame([(1, source), (2, "<r/>"), (None, "<a><a/></a>")], "doc_id long, text string"))
+    got = nodes.serialize(n, F.col("name").isin("r", "a"))
+    assert "Join" not in plan(got) and plan(got).count("MapInArrow") == 2
+    texts = sorted((r.doc_id or 0, r.pre, r.xml) for r in got.collect())
+    assert texts == [(0, 1, "<a><a/></a>"), (0, 2, "<a/>"), (1, 1, source), (1, 3, '<a k="1"><b>x &amp; y</b>y<!-- z --></a>'), (1, 10, "<a><d><?p i?><a>w</a></d></a>"), (1, 13, "<a>w</a>"), (2, 1, "<r/>")]
+    page = markup.html_nodes(spark.createDataFrame([(1, "<div a='<'><br><script>a < b</script><p>a &lt; b</p><input disabled></div>")], "page_id long, html string"))
+    html = output.serialize_html(page, F.col("name") == "div")
+    assert "Join" not in plan(html)
+    assert html.first().html == '<div a="&lt;"><br><script>a < b</script><p>a &lt; b</p><input disabled></div>'

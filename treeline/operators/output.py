@@ -13,7 +13,8 @@ from pyspark.sql.functions import pandas_udf
 
 from treeline.functions import text as ft
 from treeline.functions.xpath import number_to_string
-from treeline.operators.nodes import escape_attribute, escape_text, rows_of_roots
+from treeline.operators import nodes as nodes_
+from treeline.operators.nodes import escape_attribute, escape_text
 from treeline.session import settle
 from treeline.sources.markup import VOID
 
@@ -22,29 +23,18 @@ PLAIN = ["script", "style"]
 FLAGS = ["checked", "compact", "declare", "defer", "disabled", "ismap", "multiple", "nohref", "noresize", "noshade", "nowrap", "readonly", "selected"]
 
 
-def html_pieces(nodes: DataFrame) -> DataFrame:
-    """``doc_id, pre, spot, rank, piece``: opening and closing text of every node, as HTML has it."""
-    flag = F.col("name").isin(FLAGS) & ((F.col("value") == "") | (F.col("value") == F.col("name")))
-    said = F.concat(F.lit(" "), "name", F.when(flag, "").otherwise(F.concat(F.lit('="'), F.when(F.col("name").isin("href", "src", "action"), F.replace(F.trim("value"), F.lit(" "), F.lit("%20"))).otherwise(F.col("value")), F.lit('"'))))
-    attrs = nodes.where("kind = 'attr'").withColumn("value", escape_attribute(F.col("value"))).select("doc_id", F.col("parent").alias("owner"), "pre", said.alias("x"))
-    opened = attrs.groupBy("doc_id", F.col("owner").alias("pre")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "x"))), lambda s: s["x"]), "").alias("attrs"))
-    e = nodes.where("kind = 'element'").join(opened, ["doc_id", "pre"], "left")
-    zero = F.lit(0)
-    start = e.select("doc_id", "pre", F.col("pre").alias("spot"), zero.alias("rank"), F.concat(F.lit("<"), "name", F.coalesce("attrs", F.lit("")), F.lit(">")).alias("piece"))
-    # Of elements that end together the deepest closes first; elements without content don't close.
-    end = e.where(~F.col("name").isin(sorted(VOID))).select("doc_id", "pre", F.col("end").alias("spot"), (F.lit(1_000_000) - F.col("level")).alias("rank"), F.concat(F.lit("</"), "name", F.lit(">")).alias("piece"))
-    raw = nodes.where(F.col("kind").isin("element") & F.col("name").isin(PLAIN)).select("doc_id", F.col("pre").alias("parent"), F.lit(True).alias("raw"))
-    leaves = nodes.where("kind in ('text', 'cdata', 'comment', 'pi')").join(raw, ["doc_id", "parent"], "left")
-    text = F.when(F.col("kind") == "comment", F.concat(F.lit("<!--"), "value", F.lit("-->"))).when(F.col("kind") == "pi", F.concat(F.lit("<?"), "name", F.lit(" "), "value", F.lit(">"))).when(F.col("raw"), F.col("value")).otherwise(escape_text(F.col("value")))
-    return start.unionByName(end).unionByName(leaves.select("doc_id", "pre", F.col("pre").alias("spot"), zero.alias("rank"), text.alias("piece")))
-
-
 def serialize_html(nodes: DataFrame, which: Column) -> DataFrame:
-    """``doc_id, pre, html``: the subtree of each chosen element as HTML."""
-    roots = nodes.where((F.col("kind") == "element") & which).select("doc_id", "pre", "end")
-    p = html_pieces(nodes).select("doc_id", F.col("pre").alias("at"), "spot", "rank", "piece")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("spot", "rank", "piece"))), lambda x: x["piece"])
-    return rows_of_roots(p, roots).groupBy("doc_id", F.col("root").alias("pre")).agg(F.array_join(ordered, "").alias("html"))
+    """``doc_id, pre, html``: the subtree of each chosen element as HTML; elements without content don't close."""
+    kind, name, value = F.col("kind"), F.col("name"), F.col("value")
+    flag = name.isin(FLAGS) & ((value == "") | (value == name))
+    held = escape_attribute(value)
+    link = F.when(name.isin("href", "src", "action"), F.replace(F.trim(held), F.lit(" "), F.lit("%20"))).otherwise(held)
+    attr = F.concat(F.lit(" "), name, F.when(flag, "").otherwise(F.concat(F.lit('="'), link, F.lit('"'))))
+    said = F.when(kind == "element", F.concat(F.lit("<"), name)).when(kind == "attr", attr).when(kind.isin("text", "cdata"), escape_text(value))
+    said = said.when(kind == "comment", F.concat(F.lit("<!--"), value, F.lit("-->"))).when(kind == "pi", F.concat(F.lit("<?"), name, F.lit(" "), value, F.lit(">")))
+    turn = F.when(kind == "element", F.when(name.isin(PLAIN), nodes_.PLAIN).otherwise(nodes_.ELEMENT)).when(kind.isin("attr", "ns"), nodes_.ATTRIBUTE).otherwise(nodes_.LEAF)
+    other = F.when((kind == "element") & ~name.isin(sorted(VOID)), F.concat(F.lit("</"), name, F.lit(">"))).when(kind.isin("text", "cdata"), value)
+    return nodes_.texts_of(nodes, which, turn, said, other, None).withColumnRenamed("text", "html")
 
 
 def inner_xml(xml: Column) -> Column:
