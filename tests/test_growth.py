@@ -130,3 +130,22 @@ def test_a_tree_is_written_in_one_pass(spark):
     html = output.serialize_html(page, F.col("name") == "div")
     assert "Join" not in plan(html)
     assert html.first().html == '<div a="&lt;"><br><script>a < b</script><p>a &lt; b</p><input disabled></div>'
+
+
+def test_closure_meets_blocks_and_writes_no_pairs(spark):
+    import random
+    from unittest import mock
+
+    from treeline.operators import graph
+
+    draw = random.Random(3)
+    edges = {(draw.randrange(-50, 150) * 1_000_003, draw.randrange(-50, 150) * 1_000_003) for _ in range(260)} | {(k, k - 1) for k in range(1, 30)} | {(None, 5), (7, None), (None, None)}
+    known = set(edges)
+    while more := {(a, d) for a, b in known for c, d in edges if b is not None and b == c} - known:
+        known |= more
+    with mock.patch.object(graph, "settle", side_effect=graph.settle) as settled:
+        got = [tuple(r) for r in graph.closure(spark.createDataFrame(sorted(edges, key=str), "src long, dst long")).collect()]
+    assert len(got) == len(known) and set(got) == known
+    # All that is written down: rows of at most 64 pairs.
+    most = max(c.args[0].count() for c in settled.call_args_list[-1:])
+    assert most < len(known) / 4

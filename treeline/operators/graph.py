@@ -21,16 +21,30 @@ BLOCK = 1_000_000
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs ``(src, dst)`` with a path, semi-naive: each round extends only what the last one found."""
+    """All pairs ``(src, dst)`` with a path, semi-naive: each round extends only what the last one found.
+
+    Nodes get numbers in the order of their keys. What a node reaches is a row per
+    block of 64 numbers with a bit for each of them, and a round meets blocks with
+    blocks: paths that lead from a node to a block through one other block are one row
+    before they are shuffled, and no pair is written before the result.
+    """
     edges = settle(edges.select("src", "dst").distinct())
-    fresh, parts = edges, [edges]
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    while not fresh.isEmpty():
-        found = fresh.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        # What earlier rounds wrote is read again, but never written again.
-        fresh = settle(found.join(functools.reduce(DataFrame.unionByName, parts), ["src", "dst"], "left_anti"))
-        parts.append(fresh)
-    return functools.reduce(DataFrame.unionByName, parts)
+    found = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    nodes = settle(found.orderBy("node").select("node", F.monotonically_increasing_id().alias("number")))
+    number = lambda side: nodes.select(F.col("node").alias(f"{side}_node"), F.col("number").alias(side))
+    steps = edges.join(number("s"), F.col("src").eqNullSafe(F.col("s_node"))).join(number("d"), F.col("dst").eqNullSafe(F.col("d_node")))
+    bit = F.expr("shiftleft(1L, cast(d % 64 as int))")
+    steps = settle(steps.groupBy("s", F.col("src").isNull().alias("blank"), F.expr("d div 64").alias("block")).agg(F.bit_or(bit).alias("bits")))
+    # A null is at the end of paths, as no join finds it, but never inside one.
+    step = steps.where("not blank").select(F.expr("s div 64").alias("via"), F.expr("cast(s % 64 as int)").alias("place"), F.col("block").alias("to"), F.col("bits").alias("more"))
+    known = steps.select("s", "block", "bits", F.col("bits").alias("fresh"))
+    while not (last := known.where("fresh <> 0")).isEmpty():
+        offered = last.join(step.hint("merge"), F.expr("block = via and getbit(fresh, place) = 1")).groupBy("s", F.col("to").alias("block")).agg(F.bit_or("more").alias("more"))
+        met = known.select("s", "block", "bits").join(offered.hint("merge"), ["s", "block"], "full").withColumns({"bits": F.coalesce("bits", F.lit(0)), "more": F.coalesce("more", F.lit(0))})
+        known = settle(met.select("s", "block", F.expr("bits | more").alias("bits"), F.expr("more & ~bits").alias("fresh")))
+    blocks = nodes.groupBy(F.expr("number div 64").alias("block")).agg(F.collect_list(F.struct(F.expr("cast(number % 64 as int)").alias("place"), "node")).alias("held"))
+    pairs = known.select("s", "block", "bits").join(blocks.hint("merge"), "block").join(nodes.hint("merge"), F.col("s") == F.col("number"))
+    return pairs.select(F.col("node").alias("src"), F.expr("explode(transform(filter(held, x -> getbit(bits, x.place) = 1), x -> x.node))").alias("dst"))
 
 
 def ready(work: pa.Table) -> pa.Table:
