@@ -149,3 +149,19 @@ def test_closure_meets_blocks_and_writes_no_pairs(spark):
     # All that is written down: rows of at most 64 pairs.
     most = max(c.args[0].count() for c in settled.call_args_list[-1:])
     assert most < len(known) / 4
+
+
+def test_the_whole_order_tree_reads_tables_once_and_goes_by_document(spark, small):
+    from pyspark.sql import functions as F
+
+    from treeline import nodetable
+    from treeline.operators import consistency, nodes
+
+    whole, parts = nodetable.whole_order_tree(spark, small), nodetable.order_tree(spark, small)
+    assert whole.columns == parts.columns and whole.count() == parts.count()
+    assert whole.exceptAll(parts).isEmpty()
+    text = plan(nodes.serialize(whole, F.col("name") == "order"))
+    # Line items to their orders, documents to their parts; nothing is shuffled again to be written.
+    assert text.count("FileScan parquet") == 4 and text.count("Exchange hashpartitioning(doc_id") == 1
+    text = plan(consistency.faults(whole))
+    assert text.count("FileScan parquet") == 4 and text.count("Exchange hashpartitioning(doc_id") == 1

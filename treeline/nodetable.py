@@ -19,6 +19,8 @@ COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(",")]
 
 #: Places that an order and a line item take in the numbering: attributes and children fit between.
 ORDER, LINE = 1024, 16
+#: Line items of one part of the whole tree: their nodes are many times larger than what is shuffled, and are sorted in memory.
+PART = 100_000
 #: Line items are numbered within their order; line numbers may repeat.
 LINE_KEYS = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
 
@@ -67,6 +69,42 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def whole_order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`order_tree` for readers of nearly all of them: each table is read once.
+
+    Customers, orders and line items are dealt out by document first and told as
+    nodes there, so whatever goes by document needs no other shuffle. A path that
+    asks for few kinds of nodes is better off with :func:`order_tree`, which reads only their tables.
+    """
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    l = table(spark, sf_dir, "lineitem").withColumn("l_ord", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_KEYS)))  # noqa: E741
+    l = l.join(o.select("o_orderkey", "o_custkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    at_o, top, none = (F.col("o_orderkey") + 1) * ORDER, F.lit((1 << 62) - 1), F.lit(None).cast("string")
+    at_l = (F.col("l_orderkey") + 1) * ORDER + F.col("l_ord") * LINE
+
+    def rows(df: DataFrame, doc: str, what: str, at: Column, up: Column, *values: Column) -> DataFrame:
+        return df.select(F.col(doc).cast("long").alias("doc_id"), F.lit(what).alias("what"), at.cast("long").alias("at"), up.cast("long").alias("up"), *[v.cast("string").alias(f"v{k}") for k, v in enumerate(values)])
+
+    told = rows(c, "c_custkey", "c", F.lit(0), F.lit(None), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey"))
+    told = told.unionByName(rows(o, "o_custkey", "o", at_o, F.lit(1), F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")))
+    told = told.unionByName(rows(l, "o_custkey", "l", at_l, (F.col("l_orderkey") + 1) * ORDER, F.col("l_quantity").cast("int"), F.col("l_returnflag"), F.col("l_partkey")))
+    told = told.repartition(max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // PART)), "doc_id")
+    at, up = F.col("at"), F.col("up")
+
+    def node(pre: Column, end: Column, level: int, parent: Column, kind: str, name: str | None, value: str) -> Column:
+        return F.struct(
+            pre.cast("long").alias("pre"), end.cast("long").alias("end"), F.lit(level).alias("level"), parent.cast("long").alias("parent"), F.lit(kind).alias("kind"), none.alias("ns"), none.alias("prefix"),
+            F.lit(name).cast("string").alias("name"), F.col(value).alias("value"), F.lit(0).alias("ord"), F.lit(None).cast("int").alias("line"),
+        )
+
+    one = F.lit(1)
+    customer = [node(F.lit(0), top, 0, F.lit(None), "document", None, "v0"), node(one, top, 1, F.lit(0), "element", "customer", "v0"), node(F.lit(2), F.lit(2), 2, one, "attr", "segment", "v1"), node(F.lit(3), F.lit(3), 2, one, "attr", "nation", "v2")]
+    order = [node(at, at + ORDER - 1, 2, up, "element", "order", "v0"), node(at + 1, at + 1, 3, at, "attr", "status", "v1"), node(at + 2, at + 2, 3, at, "attr", "priority", "v2")]
+    item = [node(at, at + LINE - 1, 3, up, "element", "lineitem", "v0"), node(at + 1, at + 1, 4, at, "attr", "flag", "v1"), node(at + 2, at + 2, 4, at, "attr", "part", "v2"), node(at + 4, at + 4, 4, at, "text", None, "v0")]
+    nodes_ = F.when(F.col("what") == "c", F.array(*customer)).when(F.col("what") == "o", F.array(*order)).otherwise(F.array(*item))
+    return told.select("doc_id", F.explode(nodes_).alias("node")).select("doc_id", "node.*")
+
+
 #: The same relation in SQL, for oracles.
 ORDER_TREE_SQL = f"""
 l AS (SELECT lineitem.*, o_custkey, (l_orderkey + 1) * {ORDER} + row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_KEYS)}) * {LINE} AS spot FROM lineitem JOIN orders ON l_orderkey = o_orderkey),

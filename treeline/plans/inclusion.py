@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.nodetable import ORDER_TREE_SQL, order_tree
+from treeline.nodetable import ORDER_TREE_SQL, whole_order_tree
 from treeline.operators import consistency, xinclude, xpointer
 from treeline.registry import registry
 from treeline.session import table
@@ -81,14 +81,16 @@ UNION ALL SELECT 'broken', 'overlaps its sibling', count(*) FROM o WHERE k % 5 =
 UNION ALL SELECT 'broken', 'number twice', 2 * count(*) FROM o WHERE k % 5 = 4 HAVING count(*) > 0""")
 def v12_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of the order tree by kind, as it is (none) and with faults planted in its orders."""
-    clean = order_tree(spark, sf_dir)
+    clean = whole_order_tree(spark, sf_dir)
     k, order = F.floor(F.col("pre") / 1024) - 1, (F.col("name") == "order") & (F.col("kind") == "element")
-    flag = clean.where((F.col("kind") == "attr") & (F.col("name") == "status") & (k % 5 == 4))
-    broken = clean.withColumns({
+    flag = (F.col("kind") == "attr") & (F.col("name") == "status") & (k % 5 == 4)
+    changed = {
         "level": F.when(order & (k % 5 == 1), F.col("level") + 7).when((F.col("level") >= 3) & (k % 5 == 1), F.col("level") + 7).otherwise(F.col("level")),
         "parent": F.when(order & (k % 5 == 3), F.lit(-5)).otherwise(F.col("parent")),
         "name": F.when(order & (k % 5 == 2), F.lit(None)).otherwise(F.col("name")),
-    }).unionByName(flag.withColumn("name", F.lit("other")))
+    }
+    names = F.when(flag, F.array(F.col("name"), F.lit("other"))).otherwise(F.array(F.col("name")))
+    broken = clean.withColumns(changed).withColumn("name", F.explode(names))
     both = None
     for name, tree in (("clean", clean), ("broken", broken)):
         found = consistency.faults(tree).groupBy("fault").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tree"), "fault", "n")
