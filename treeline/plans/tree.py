@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import xpath as fx
-from treeline.nodetable import LINE, LINE_KEYS, ORDER, ORDER_TREE_SQL, order_tree
+from treeline.nodetable import LINE, LINE_KEYS, ORDER, ORDER_TREE_SQL, order_tree, whole_order_tree
 from treeline.operators import nodes as ops
 from treeline.plans.xpath import XPath
 from treeline.registry import registry
@@ -138,7 +138,7 @@ SELECT o.doc_id, o.pre, '<order status="' || s.value || '" priority="' || p.valu
 FROM tree o JOIN tree s ON s.doc_id = o.doc_id AND s.parent = o.pre AND s.name = 'status' JOIN tree p ON p.doc_id = o.doc_id AND p.parent = o.pre AND p.name = 'priority' LEFT JOIN i ON i.doc_id = o.doc_id AND i.parent = o.pre WHERE o.name = 'order' AND o.kind = 'element' GROUP BY o.doc_id, o.pre, s.value, p.value""")
 def n21_outer_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's subtree as XML."""
-    return ops.serialize(order_tree(spark, sf_dir), F.col("name") == "order")
+    return ops.serialize(whole_order_tree(spark, sf_dir), F.col("name") == "order")
 
 
 @registry.add("n23_inherited", f"""{WITH}
