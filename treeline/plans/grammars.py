@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.nodetable import ORDER_TREE_SQL, order_tree
+from treeline.nodetable import ORDER_TREE_SQL, order_tree, whole_order_tree
 from treeline.operators import identity, relaxng
 from treeline.registry import registry
 from treeline.session import table
@@ -84,7 +84,7 @@ TREE_RNG = f"""<element name="customer" {HEAD}><attribute name="segment"/><attri
 SELECT c_custkey AS doc_id, error IS NULL AS valid, error FROM customer LEFT JOIN (SELECT doc_id, arg_min(error, pre) AS error FROM bad GROUP BY doc_id) ON doc_id = c_custkey""")
 def v07_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' trees validated row by row from the node table, without texts."""
-    return relaxng.validate_nodes(order_tree(spark, sf_dir), TREE_RNG)
+    return relaxng.validate_nodes(whole_order_tree(spark, sf_dir), TREE_RNG)
 
 
 def schema(body: str) -> str:
