@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from treeline.nodetable import ORDER_TREE_SQL, order_tree
+from treeline.nodetable import ORDER_TREE_SQL, order_tree, whole_order_tree
 from treeline.operators import c14n, documents, graph, toolbox
 from treeline.operators import nodes as ops
 from treeline.plans.xpath import XPath
@@ -59,7 +59,7 @@ GRAMMAR = documents.Grammar(
 @registry.add("v06_grammar", "SELECT (o_orderkey + 1) * 1024 AS doc_id, o_orderstatus IN ('F', 'O') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS valid FROM orders")
 def v06_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serialised orders against a grammar of elements, attributes, choices and references that some orders break."""
-    xml = ops.serialize(order_tree(spark, sf_dir), F.col("name") == "order")
+    xml = ops.serialize(whole_order_tree(spark, sf_dir), F.col("name") == "order")
     return documents.validate(xml.select(F.col("pre").alias("doc_id"), F.col("xml").alias("text")), GRAMMAR)
 
 
