@@ -12,7 +12,7 @@ from treeline.operators import nodes as ops
 from treeline.plans.work import LINES_SQL, lines, orders_xml
 from treeline.plans.xpath import XPath
 from treeline.registry import registry
-from treeline.session import table
+from treeline.session import table, written
 from treeline.sources import files, markup, network
 from treeline.streaming import streams
 
@@ -192,7 +192,7 @@ def k06_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("k06_node_set", """SELECT o_orderkey AS doc_id, '<c xmlns:b="urn:b" xmlns:u="urn:u" x="1" xml:lang="en">' || o_orderpriority || '&#xD;<u:f></u:f></c>' AS canonical FROM orders""")
 def k06_node_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node-set: the subtree of c without the attribute y; what is in scope above it is said on it."""
-    n = markup.xml_nodes(namespaced(spark, sf_dir))
+    n = written(markup.xml_nodes(namespaced(spark, sf_dir)))
     x = XPath(n, namespaces={"u": "urn:u"})
     return c14n.canonicalize_nodes(n, x.select("//c | //c//node() | //c/@x | //u:f"))
 
@@ -228,7 +228,7 @@ def n21_inner_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("n22_namespaces", "SELECT o_orderkey AS doc_id, name, n FROM orders, (VALUES ('o', 'b,d,u'), ('e', 'b,d,u'), ('c', 'b,u'), ('f', 'b,u')) v(name, n)")
 def n22_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Namespaces in scope of each element, by the axis: inherited, undone, said again."""
-    n = markup.xml_nodes(namespaced(spark, sf_dir))
+    n = written(markup.xml_nodes(namespaced(spark, sf_dir)))
     x, out = XPath(n), None
     for name in ("o", "e", "c", "f"):
         held = x.select(f"//*[local-name() = '{name}']/namespace::*").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.substring("value", -1, 1))), ",").alias("n"))
