@@ -165,3 +165,13 @@ def test_the_whole_order_tree_reads_tables_once_and_goes_by_document(spark, smal
     assert text.count("FileScan parquet") == 4 and text.count("Exchange hashpartitioning(doc_id") == 1
     text = plan(consistency.faults(whole))
     assert text.count("FileScan parquet") == 4 and text.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_a_shell_takes_its_document_out_once(spark, small):
+    from treeline import nodetable
+    from treeline.operators import shell
+
+    tree = nodetable.order_tree(spark, small)
+    walk = shell.Shell(tree, tree.first().doc_id)
+    assert "lineitem.parquet" not in plan(walk.nodes) and "tables" in plan(walk.nodes)
+    assert walk.run("pwd") == "/"

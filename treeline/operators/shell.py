@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators.nodes import serialize
 from treeline.plans.xpath import XPath, XPathError
+from treeline.session import written
 
 
 class Shell:
@@ -23,7 +24,8 @@ class Shell:
     """
 
     def __init__(self, nodes: DataFrame, doc_id: int, most: int = 200):
-        self.nodes, self.most = nodes.where(F.col("doc_id") == doc_id), most
+        # Each command looks around anew, so the document is taken out of its table once.
+        self.nodes, self.most = written(nodes.where(F.col("doc_id") == doc_id)), most
         self.here = 0
         self.x = XPath(self.nodes)
 
