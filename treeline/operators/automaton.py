@@ -3,7 +3,9 @@
 A pattern is compiled on the driver to a deterministic automaton, its states being
 what may still follow. A stretch of events is a map from states to states, and maps
 compose, so a key's events need not lie in one task: ranges of (key, order) yield a
-map a key, and a key's few maps are composed in order. Counters and all-of sets
+map a key, and a key's few maps are composed in order. A range's first key has a map
+of all states, as it may have begun before; the others begin there, so they have the
+start state's alone, and only first and last keys meet in a shuffle. Counters and all-of sets
 are part of the state; ``STATES`` bounds their number. A key's maps meet in one row,
 as many numbers as it spans ranges times the automaton has states.
 
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.session import settle
+from treeline.session import values, written
 
 #: States that a pattern may have at most.
 STATES = 5_000
+#: Keys' maps that are held before they are handed on.
+ROWS = 10_000
 
 
 class PatternError(ValueError):
@@ -168,48 +172,59 @@ def run(events: DataFrame, key: str, order: Column, token_column: str, automaton
     (null if there is none), ``next`` what may come after the last event.
     """
     number = {t: k for k, t in enumerate(automaton.tokens)}
-    states = len(automaton.moves)
-    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("to", pa.list_(pa.int32())), ("dead", pa.list_(pa.int64()))])
+    states, moves = len(automaton.moves), [[*row, -1] for row in automaton.moves]
+    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("key", pa.string()), ("whole", pa.bool_()), ("n", pa.int64()), ("to", pa.list_(pa.int32())), ("dead", pa.list_(pa.int64()))])
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, name, n = None, 0, None, 0
         to: list[int] = []
         dead: list[int | None] = []
         alive: list[int] = []
+        rows: list[tuple] = []
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "key": name, "n": n, "to": to, "dead": dead}], schema=schema)
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for b in batches:
-            for p, k, t in zip(*(b.column(c).to_pylist() for c in ("part", "key", "token")), strict=True):
+            for p, k, t in zip(*(values(b.column(c)) for c in ("part", "key", "token")), strict=True):
                 if part is None or k != name:
                     if part is not None:
-                        yield row()
+                        rows.append((part, seq, name, seq > 1, n, to, dead))
+                    # Only the first key may have begun in a range before, in any state; the others begin here.
+                    held = states if part is None else 1
                     part, seq, name, n = p, seq + 1, k, 0
-                    to, dead, alive = list(range(states)), [None] * states, list(range(states))
-                step, left = number.get(t, -1), []
-                for s in alive:
-                    to[s] = automaton.moves[to[s]][step] if step >= 0 else -1
-                    if to[s] < 0:
-                        dead[s] = n
-                    else:
-                        left.append(s)
-                alive, n = left, n + 1
+                    to, dead, alive = list(range(held)), [None] * held, list(range(held))
+                if alive:
+                    step, left = number.get(t, -1), []
+                    for s in alive:
+                        to[s] = moves[to[s]][step]
+                        if to[s] < 0:
+                            dead[s] = n
+                        else:
+                            left.append(s)
+                    alive = left
+                n += 1
+            if len(rows) > ROWS:
+                yield packed()
         if part is not None:
-            yield row()
+            rows.append((part, seq, name, False, n, to, dead))
+            yield packed()
 
     rows = events.select(F.col(key).cast("string").alias("key"), order.alias("at"), F.col(token_column).alias("token"))
     sort = [F.col("key").asc_nulls_first(), F.col("at").asc_nulls_first(), F.col("token").asc_nulls_first()]
     placed = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).select(F.spark_partition_id().cast("long").alias("part"), "key", "token")
-    maps = settle(placed.mapInArrow(stretch, "part long, seq long, key string, n long, to array<int>, dead array<long>"))
-    # A key's maps, one a range that it spans, composed in order.
+    maps = written(placed.mapInArrow(stretch, "part long, seq long, key string, whole boolean, n long, to array<int>, dead array<long>"))
+    # The first and last keys' maps, one a range that they span, composed in order; the others lie in one range.
     start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("dead"))
     ordered = F.array_sort(F.collect_list(F.struct("part", "seq", "n", "to", "dead")))
     step = lambda acc, x: F.struct(
         F.when(acc["state"] < 0, -1).otherwise(F.get(x["to"], acc["state"])).alias("state"), (acc["n"] + x["n"]).alias("n"),
         F.when(acc["state"] < 0, acc["dead"]).otherwise(acc["n"] + F.get(x["dead"], acc["state"])).alias("dead"),
     )
-    done = maps.groupBy("key").agg(F.aggregate(ordered, start, step).alias("x"))
+    inner = maps.where("whole").select("key", F.struct(F.get("to", F.lit(0)).alias("state"), "n", F.get("dead", F.lit(0)).alias("dead")).alias("x"))
+    done = inner.unionByName(maps.where("NOT whole").groupBy("key").agg(F.aggregate(ordered, start, step).alias("x")))
     tails = F.array(*[F.array(*map(F.lit, automaton.next(s))).cast("array<string>") for s in range(states)])
     finals = F.array(*map(F.lit, automaton.final))
     ok = F.col("x.state") >= 0
