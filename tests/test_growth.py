@@ -175,3 +175,40 @@ def test_a_shell_takes_its_document_out_once(spark, small):
     walk = shell.Shell(tree, tree.first().doc_id)
     assert "lineitem.parquet" not in plan(walk.nodes) and "tables" in plan(walk.nodes)
     assert walk.run("pwd") == "/"
+
+
+def test_parsed_documents_are_written_without_a_shuffle_of_their_rows(spark, small):
+    from pyspark.sql import functions as F
+
+    from treeline.operators import nodes
+    from treeline.sources import markup
+
+    for name in ("k01_round_trip", "e11_visibility", "k02_html", "n21_inner_xml"):
+        p = plan(registry.queries()[name](spark, small))
+        # Texts are dealt out to be parsed.
+        assert p.count("Exchange") == 1 and "Sort" not in p, name
+    sources = ['<r a="1"><b>x</b><!-- c --><r>&amp;<b/></r></r>', "<r/>", "<b>no root<b>y</b></b>", "<r><b>", "", '<p:r xmlns:p="urn:p"><p:b p:k="&lt;"/></p:r>']
+    n = markup.xml_nodes(spark.createDataFrame([(k, t) for k, t in enumerate(sources * 7)], "doc_id long, text string"))
+    want = sorted(map(tuple, nodes.serialize(n, F.col("name").isin("r", "b")).collect()))
+    assert sorted(map(tuple, nodes.serialize(n, F.col("name").isin("r", "b"), whole=True).collect())) == want and len(want) == 7 * 11
+    # Documents of one number stay apart.
+    n = markup.xml_nodes(spark.createDataFrame([(1, "<r><b>x</b></r>"), (1, "<r><b>x</b></r>"), (1, "<r>y</r>")], "doc_id long, text string"))
+    assert sorted(r.xml for r in nodes.serialize(n, F.col("name") == "r", whole=True).collect()) == ["<r><b>x</b></r>", "<r><b>x</b></r>", "<r>y</r>"]
+
+
+def test_only_keys_at_the_ends_of_ranges_have_maps_of_all_states(spark):
+    from unittest import mock
+
+    from pyspark.sql import functions as F
+
+    from treeline.operators import automaton
+    from treeline.session import written
+
+    held = []
+    made = spark.createDataFrame([(k, n, "ab"[n % 2]) for k in range(200) for n in range(k % 5 + 1)] + [(None, 0, "a"), (500, 0, None)], "key long, n int, t string")
+    with mock.patch.object(automaton, "written", side_effect=lambda df: held.append(written(df)) or held[-1]):
+        got = {r.key: (r.n, r.accepted, r.failed_at) for r in automaton.run(made.repartition(3), "key", F.col("n"), "t", automaton.compile(automaton.sequence("a", "b", "a"))).collect()}
+    want = {str(k): (k % 5 + 1, k % 5 == 2, 3 if k % 5 > 2 else None) for k in range(200)}
+    assert got == want | {None: (1, False, None), "500": (1, False, 0)}
+    ends = held[0].where("NOT whole").count()
+    assert held[0].where("size(to) > 1").count() <= ends // 2 + 1 and ends <= 2 * held[0].select("part").distinct().count()

@@ -23,8 +23,8 @@ PLAIN = ["script", "style"]
 FLAGS = ["checked", "compact", "declare", "defer", "disabled", "ismap", "multiple", "nohref", "noresize", "noshade", "nowrap", "readonly", "selected"]
 
 
-def serialize_html(nodes: DataFrame, which: Column) -> DataFrame:
-    """``doc_id, pre, html``: the subtree of each chosen element as HTML; elements without content don't close."""
+def serialize_html(nodes: DataFrame, which: Column, whole: bool = False) -> DataFrame:
+    """``doc_id, pre, html``: the subtree of each chosen element as HTML; elements without content don't close; ``whole`` as in :func:`treeline.operators.nodes.serialize`."""
     kind, name, value = F.col("kind"), F.col("name"), F.col("value")
     flag = name.isin(FLAGS) & ((value == "") | (value == name))
     held = escape_attribute(value)
@@ -34,7 +34,7 @@ def serialize_html(nodes: DataFrame, which: Column) -> DataFrame:
     said = said.when(kind == "comment", F.concat(F.lit("<!--"), value, F.lit("-->"))).when(kind == "pi", F.concat(F.lit("<?"), name, F.lit(" "), value, F.lit(">")))
     turn = F.when(kind == "element", F.when(name.isin(PLAIN), nodes_.PLAIN).otherwise(nodes_.ELEMENT)).when(kind.isin("attr", "ns"), nodes_.ATTRIBUTE).otherwise(nodes_.LEAF)
     other = F.when((kind == "element") & ~name.isin(sorted(VOID)), F.concat(F.lit("</"), name, F.lit(">"))).when(kind.isin("text", "cdata"), value)
-    return nodes_.texts_of(nodes, which, turn, said, other, None).withColumnRenamed("text", "html")
+    return nodes_.texts_of(nodes, which, turn, said, other, None, whole).withColumnRenamed("text", "html")
 
 
 def inner_xml(xml: Column) -> Column:

@@ -465,7 +465,7 @@ def n13_html_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("k01_round_trip", "SELECT o_orderkey AS doc_id, printf('<o id=\"%s\" s=\"%s\"><p>%s &amp; co</p><!-- c --><t>', o_orderkey::VARCHAR, o_orderstatus, o_orderpriority) AS head FROM orders")
 def k01_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed and serialised again."""
-    xml = ops.serialize(markup.xml_nodes(orders_xml(spark, sf_dir)), F.col("name") == "o")
+    xml = ops.serialize(markup.xml_nodes(orders_xml(spark, sf_dir)), F.col("name") == "o", whole=True)
     return xml.select("doc_id", F.regexp_extract("xml", r"^(.*<t>)", 1).alias("head"))
 
 
