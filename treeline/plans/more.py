@@ -115,4 +115,4 @@ def e11_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     df = o.select(F.col("o_orderkey").alias("doc_id"), F.format_string('<o s="%s"><!-- c --><t>%s</t></o>', "o_orderstatus", "o_orderpriority").alias("text"))
     visible = F.col("kind").isin("document", "element", "text")
-    return ops.serialize(markup.xml_nodes(df).where(visible), F.col("name") == "o").select("doc_id", "xml")
+    return ops.serialize(markup.xml_nodes(df).where(visible), F.col("name") == "o", whole=True).select("doc_id", "xml")
