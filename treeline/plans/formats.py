@@ -206,7 +206,7 @@ HTML = '<div id="p%s" class="a &quot;b&quot;"><br><input disabled="" value="%s &
 def k02_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML text: elements without content, attributes without value, scripts as they are, escaped links."""
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.format_string(HTML, "p_partkey", "p_brand", "p_name", "p_type").alias("html"))
-    return output.serialize_html(markup.html_nodes(pages), F.col("name") == "div").select("doc_id", "html")
+    return output.serialize_html(markup.html_nodes(pages), F.col("name") == "div", whole=True).select("doc_id", "html")
 
 
 @registry.add("k12_dump", f"""SELECT o_custkey AS doc_id, 'Object is a Node Set :' || chr(10) || 'Set contains ' || count(*) || ' nodes:' || chr(10) || string_agg(line, '' ORDER BY o_orderkey) AS dump FROM (
