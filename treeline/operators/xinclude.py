@@ -9,6 +9,8 @@ that it names are, so there are as many rounds as inclusions are deep, and what
 never ready is part of a loop or includes one. No task holds more than the
 documents of its rows, and no document is broadcast; a unit that very many
 documents name is a skewed key of the join, which adaptive execution splits.
+Libraries, pieces and units put together are written down once; which units are
+ready is asked of their references alone, so the texts of a unit move once.
 
 Included elements get ``xml:base`` and the namespaces in whose scope they were.
 Pointers: a bare id, ``element()``, ``xpointer()`` with paths of names, positions and
@@ -33,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.operators.xpointer import XML, Outline
-from treeline.session import settle
+from treeline.session import values, written
 
 XI = "http://www.w3.org/2001/XInclude"
 INCLUDE, FALLBACK = f"{{{XI}}}include", f"{{{XI}}}fallback"
 UNIT = ["href", "how", "at"]
-PIECES = pa.schema([(c, pa.string()) for c in UNIT] + [("seq", pa.int32()), ("text", pa.string())] + [(f"c_{c}", pa.string()) for c in UNIT] + [("f_at", pa.string()), ("failed", pa.string())])
-DDL = "href string, how string, at string, seq int, text string, c_href string, c_how string, c_at string, f_at string, failed string"
+PIECES = pa.schema([(c, pa.string()) for c in UNIT] + [("seq", pa.int32()), ("text", pa.string())] + [(f"c_{c}", pa.string()) for c in UNIT] + [("f_at", pa.string()), ("failed", pa.string()), ("waits", pa.bool_())])
+DDL = "href string, how string, at string, seq int, text string, c_href string, c_how string, c_at string, f_at string, failed string, waits boolean"
 
 
 def cut(href: str, how: str, at: str, text: str | None) -> list[tuple]:
@@ -105,11 +107,15 @@ def cut(href: str, how: str, at: str, text: str | None) -> list[tuple]:
 
 
 def pieces(units: DataFrame, library: DataFrame) -> DataFrame:
-    """The pieces of units, each cut where it meets its document."""
+    """The pieces of units, each cut where it meets its document; a unit ``waits`` if it names others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for unit in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in cut(*unit)]
+            rows = []
+            for unit in zip(*map(values, b.columns), strict=True):
+                got = cut(*unit)
+                waits = any(r[5] is not None for r in got)
+                rows += [(*r, waits) for r in got]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)] if rows else [pa.array([], f.type) for f in PIECES], schema=PIECES)
 
     return units.join(library, F.col("href") == F.col("name"), "left").select(*UNIT, "text").mapInArrow(run, DDL)
@@ -117,49 +123,54 @@ def pieces(units: DataFrame, library: DataFrame) -> DataFrame:
 
 def all_pieces(library: DataFrame, roots: DataFrame) -> DataFrame:
     """Pieces of all units that the roots name, directly or by others."""
-    new = settle(roots.select(F.col("name").alias("href"), F.lit("document").alias("how"), F.lit("").alias("at")).distinct())
+    new = roots.select(F.col("name").alias("href"), F.lit("document").alias("how"), F.lit("").alias("at"))
     known, out = new, None
     while not new.isEmpty():
-        got = settle(pieces(new, library))
+        got = written(pieces(new, library))
         out = got if out is None else out.unionByName(got)
         named = got.where("c_href IS NOT NULL")
         children = named.select(*[F.col(f"c_{c}").alias(c) for c in UNIT])
         fallbacks = named.where("f_at IS NOT NULL").select("href", F.lit("fallback").alias("how"), F.col("f_at").alias("at"))
-        new = settle(children.unionByName(fallbacks).distinct().join(known, UNIT, "left_anti"))
+        new = written(children.unionByName(fallbacks).distinct().join(known, UNIT, "left_anti"))
         known = known.unionByName(new)
     return out if out is not None else pieces(new, library)
 
 
+def put_together(rows: DataFrame) -> DataFrame:
+    """Units ``(href, how, at, state, said)`` of pieces ``(href, how, at, seq, state, said)``: their text, or the first error."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "said"))), lambda x: x["said"]), "")
+    first_error = F.min_by("said", F.when(F.col("state") != "ok", F.col("seq")))
+    worst = F.max(F.when(F.col("state") == "broken", 2).when(F.col("state") == "failed", 1).otherwise(0))
+    units = rows.groupBy(*UNIT).agg(worst.alias("worst"), whole.alias("whole"), first_error.alias("error"))
+    return units.select(*UNIT, F.element_at(F.array(F.lit("ok"), F.lit("failed"), F.lit("broken")), F.col("worst") + 1).alias("state"), F.when(F.col("worst") == 0, F.col("whole")).otherwise(F.col("error")).alias("said"))
+
+
 def expand(library: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """``name, text, error``: the documents ``library(name, text)``, or those that ``roots(name)`` names, with their includes replaced."""
-    library = library.groupBy("name").agg(F.min("text").alias("text"))
-    roots = library.select("name") if roots is None else roots.select("name").distinct()
-    left = all_pieces(library, settle(roots))
-    done = None
+    library = written(library.groupBy("name").agg(F.min("text").alias("text")))
+    roots = library.select("name") if roots is None else written(roots.select("name").distinct())
+    left = all_pieces(library, roots)
+    own = [F.when(F.col("failed").isNotNull(), "failed").otherwise("ok").alias("state"), F.coalesce("text", "failed").alias("said")]
+    # Units that name no others.
+    done = written(put_together(left.where("NOT waits").select(*UNIT, "seq", *own)))
+    left = left.where("waits")
+    named = left.where("c_href IS NOT NULL").select(*UNIT, *[f"c_{c}" for c in UNIT], "f_at")
     while True:
-        if done is None:
-            now = left.withColumns({"c_state": F.lit(None).cast("string"), "c_text": F.lit(None).cast("string"), "f_state": F.lit(None).cast("string"), "f_text": F.lit(None).cast("string")})
-        else:
-            child = done.select(*[F.col(c).alias(f"c_{c}") for c in UNIT], F.col("state").alias("c_state"), F.col("said").alias("c_text"))
-            other = done.where("how = 'fallback'").select("href", F.col("at").alias("f_at"), F.col("state").alias("f_state"), F.col("said").alias("f_text"))
-            now = left.join(child, [f"c_{c}" for c in UNIT], "left").join(other, ["href", "f_at"], "left")
-        needs = F.col("c_href").isNotNull()
-        second = needs & (F.col("c_state") == "failed") & F.col("f_at").isNotNull()
-        decided = ~needs | F.when(second, F.col("f_state").isNotNull()).otherwise(F.col("c_state").isNotNull())
-        state = F.when(needs, F.when(second, F.col("f_state")).otherwise(F.when(F.col("c_state") == "ok", "ok").otherwise("broken"))).when(F.col("failed").isNotNull(), "failed").otherwise("ok")
-        said = F.when(needs, F.when(second, F.col("f_text")).otherwise(F.col("c_text"))).otherwise(F.coalesce("text", "failed"))
-        rows = now.withColumns({"decided": decided, "state": F.when(state == "failed", F.when(needs, "broken").otherwise("failed")).otherwise(state), "said": said})
-        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "said"))), lambda x: x["said"]), "")
-        first_error = F.min_by("said", F.when(F.col("state") != "ok", F.col("seq")))
-        worst = F.max(F.when(F.col("state") == "broken", 2).when(F.col("state") == "failed", 1).otherwise(0))
-        ready = rows.groupBy(*UNIT).agg(F.bool_and("decided").alias("all"), worst.alias("worst"), whole.alias("whole"), first_error.alias("error")).where("all")
-        ready = settle(ready.select(*UNIT, F.element_at(F.array(F.lit("ok"), F.lit("failed"), F.lit("broken")), F.col("worst") + 1).alias("state"), F.when(F.col("worst") == 0, F.col("whole")).otherwise(F.col("error")).alias("said")))
+        child = done.select(*[F.col(c).alias(f"c_{c}") for c in UNIT], F.col("state").alias("c_state"), F.col("said").alias("c_text"))
+        other = done.where("how = 'fallback'").select("href", F.col("at").alias("f_at"), F.col("state").alias("f_state"), F.col("said").alias("f_text"))
+        second = (F.col("c_state") == "failed") & F.col("f_at").isNotNull()
+        decided = F.when(second, F.col("f_state").isNotNull()).otherwise(F.col("c_state").isNotNull())
+        asked = named.join(child.drop("c_text"), [f"c_{c}" for c in UNIT], "left").join(other.drop("f_text"), ["href", "f_at"], "left")
+        ready = written(asked.groupBy(*UNIT).agg(F.bool_and(decided).alias("all")).where("all").select(*UNIT))
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        left = left.join(ready.select(*UNIT), UNIT, "left_anti")
-    if done is None:
-        return roots.select("name", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
+        now = left.join(ready, UNIT, "left_semi").join(child, [f"c_{c}" for c in UNIT], "left").join(other, ["href", "f_at"], "left")
+        held = F.when(second, F.col("f_state")).otherwise(F.col("c_state"))
+        needs = F.col("c_href").isNotNull()
+        state = F.when(needs, F.when(held == "ok", "ok").otherwise("broken")).otherwise("ok")
+        said = F.when(needs, F.when(second, F.col("f_text")).otherwise(F.col("c_text"))).otherwise(F.col("text"))
+        done = done.unionByName(written(put_together(now.select(*UNIT, "seq", state.alias("state"), said.alias("said")))))
+        named = named.join(ready, UNIT, "left_anti")
     tops = done.where("how = 'document'").select(F.col("href").alias("name"), "state", "said")
     loop = F.concat("name", F.lit(" includes a loop"))
     return roots.join(tops, "name", "left").select(
