@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.session import values
+
 NAME = re.compile(r"(?:[^\W\d]|_)[\w.\-·]*(?::(?:[^\W\d]|_)[\w.\-·]*)?").fullmatch
 WRITTEN = pa.schema([("doc_id", pa.int64()), ("xml", pa.string()), ("error", pa.string()), ("error_seq", pa.int64())])
 
@@ -144,8 +146,11 @@ class Writer:
 ESCAPES = {'"': "&quot;", "\t": "&#9;", "\n": "&#10;", "\r": "&#13;"}
 
 
-def write(events: DataFrame, indent: str | None = None) -> DataFrame:
-    """``doc_id, xml, error, error_seq`` of ``events(doc_id, seq, event, name, text)``; ``seq`` may be of any type that sorts, ``error_seq`` counts a document's events."""
+def write(events: DataFrame, indent: str | None = None, whole: bool = False) -> DataFrame:
+    """``doc_id, xml, error, error_seq`` of ``events(doc_id, seq, event, name, text)``; ``seq`` may be of any type that sorts, ``error_seq`` counts a document's events.
+
+    ``whole`` documents lie in one part each, as those of a reader do, and are not shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, writer, failed, started, seq = None, Writer(indent), None, False, -1
@@ -160,7 +165,7 @@ def write(events: DataFrame, indent: str | None = None) -> DataFrame:
 
         for b in batches:
             out = []
-            for d, kind, name, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for d, kind, name, text in zip(*map(values, b.columns), strict=True):
                 if not started or d != doc:
                     if started:
                         out.append(finish())
@@ -177,7 +182,8 @@ def write(events: DataFrame, indent: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(finish(), WRITTEN, strict=True)], schema=WRITTEN)
 
     rows = events.select(F.col("doc_id").cast("long"), "seq", "event", "name", "text")
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").drop("seq").mapInArrow(run, "doc_id long, xml string, error string, error_seq long")
+    rows = rows if whole else rows.repartition("doc_id")
+    return rows.sortWithinPartitions("doc_id", "seq").drop("seq").mapInArrow(run, "doc_id long, xml string, error string, error_seq long")
 
 
 def events_of(nodes: DataFrame) -> DataFrame:
@@ -185,8 +191,10 @@ def events_of(nodes: DataFrame) -> DataFrame:
     name = F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(":"), "name")).otherwise(F.col("name"))
     event = F.when(F.col("kind") == "element", "start").when(F.col("kind") == "ns", "attr").otherwise(F.col("kind"))
     said = F.when(F.col("kind") == "ns", F.concat_ws(":", F.lit("xmlns"), F.when(F.col("name") != "", F.col("name")))).otherwise(name)
-    inner = nodes.where("kind <> 'document'")
-    begins = inner.select("doc_id", F.struct(F.col("pre").alias("at"), F.lit(0).cast("long").alias("order")).alias("seq"), event.alias("event"), said.alias("name"), F.when(F.col("kind") != "element", F.col("value")).alias("text"))
+    none = F.lit(None).cast("string")
+    row = lambda at, order, event, name, text: F.struct(F.struct(F.col(at).alias("at"), order.cast("long").alias("order")).alias("seq"), event.alias("event"), name.alias("name"), text.alias("text"))
+    begin = row("pre", F.lit(0), event, said, F.when(F.col("kind") != "element", F.col("value")))
     # Ends at one place come from the inside out.
-    ends = inner.where("kind = 'element'").select("doc_id", F.struct(F.col("end").alias("at"), (F.lit(1 << 62) - F.col("pre")).alias("order")).alias("seq"), F.lit("end").alias("event"), name.alias("name"), F.lit(None).cast("string").alias("text"))
-    return begins.unionByName(ends)
+    end = row("end", F.lit(1 << 62) - F.col("pre"), F.lit("end"), name, none)
+    both = F.when(F.col("kind") == "element", F.array(begin, end)).otherwise(F.array(begin))
+    return nodes.where("kind <> 'document'").select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.*")

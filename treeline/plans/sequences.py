@@ -52,10 +52,13 @@ def k03_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 7
     late = lambda at, order, event, name: F.array(F.struct(F.struct(F.lit(at).cast("long").alias("at"), F.lit(order).cast("long").alias("order")).alias("seq"), F.lit(event).alias("event"), F.lit(name).alias("name"), F.lit("x").alias("text")))
     last = 1 << 62
-    planted = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.when(F.col("o_orderkey") % 7 == 2, late(last, 0, "attr", "late")).when(F.col("o_orderkey") % 7 == 3, late(last, 0, "start", "o")).when(F.col("o_orderkey") % 7 == 6, late(3, 1, "attr", "s"))).alias("x"))
+    planted = F.when(k == 2, late(last, 0, "attr", "late")).when(k == 3, late(last, 0, "start", "o")).when(k == 6, late(3, 1, "attr", "s"))
     changed = events.where(~((k == 1) & (F.col("event") == "end") & (F.col("name") != "p"))).withColumn("text", F.when((k == 5) & (F.col("event") == "comment"), "a--b").otherwise(F.col("text")))
     changed = changed.withColumn("name", F.when((k == 4) & (F.col("event") == "end") & (F.col("name") == "t"), "x").otherwise(F.col("name")))
-    got = writer.write(changed.unionByName(planted.select("doc_id", "x.*")))
+    # Planted beside the document element's start.
+    own, top = F.array(F.struct("seq", "event", "name", "text")), (F.col("seq.at") == 1) & (F.col("seq.order") == 0)
+    changed = changed.select("doc_id", F.explode(F.when(top & planted.isNotNull(), F.concat(own, planted)).otherwise(own)).alias("x")).select("doc_id", "x.*")
+    got = writer.write(changed, whole=True)
     return got.select("doc_id", F.col("error").isNull().alias("written"), "error", F.col("error_seq").cast("int").alias("error_seq"), F.md5("xml").alias("digest"))
 
 
