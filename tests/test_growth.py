@@ -212,3 +212,39 @@ def test_only_keys_at_the_ends_of_ranges_have_maps_of_all_states(spark):
     assert got == want | {None: (1, False, None), "500": (1, False, 0)}
     ends = held[0].where("NOT whole").count()
     assert held[0].where("size(to) > 1").count() <= ends // 2 + 1 and ends <= 2 * held[0].select("part").distinct().count()
+
+
+def test_written_events_are_parsed_once_and_not_shuffled(spark, small):
+    p = plan(registry.queries()["k03_writer"](spark, small))
+    assert p.count("MapInArrow") == 2 and p.count("Exchange") == 1 and p.count("FileScan") == 1
+
+
+def test_paths_of_elements_are_found_without_joins(spark, small):
+    from treeline.operators import nodes
+    from treeline.sources import markup
+
+    n = markup.xml_nodes(spark.createDataFrame([(1, "<a><b><c/><c><c/></c></b><d/><b><c/></b>t</a>"), (2, "<a/>")], "doc_id long, text string"))
+    got = nodes.node_paths(n, 3)
+    assert "Join" not in plan(got) and plan(got).count("MapInArrow") == 1
+    want = [(1, "/a"), (1, "/a/b[1]"), (1, "/a/b[1]/c[1]"), (1, "/a/b[1]/c[2]"), (1, "/a/b[2]"), (1, "/a/b[2]/c"), (1, "/a/d"), (2, "/a")]
+    assert sorted((r.doc_id, r.path) for r in got.collect()) == want
+    # What has no parent in the table has no path, nor has what lies below it.
+    cut = sorted(r.path for r in nodes.node_paths(n.where("doc_id = 1 AND NOT (name = 'b' AND ord = 3)"), 3).collect())
+    assert cut == ["/a", "/a/b", "/a/b/c[1]", "/a/b/c[2]", "/a/d"]
+    # Line items to their orders, elements to their parts by document.
+    p = plan(registry.queries()["n17_node_path"](spark, small))
+    assert p.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_constraints_find_their_nodes_once(spark, small):
+    from unittest import mock
+
+    from treeline.operators import identity
+    from treeline.plans import grammars
+
+    held = []
+    with mock.patch.object(identity, "written", side_effect=lambda df: held.append(df) or df):
+        grammars.v11_keys(spark, small)
+    assert len(held) == 3
+    # Scopes, selected nodes, fields: the table is joined with itself twice, whatever the number of fields.
+    assert all(plan(df).count("FileScan parquet") <= 9 for df in held)

@@ -69,6 +69,11 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def by_document(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Rows of the order tree dealt out by document, in parts that grow with the line items, so that a part is sorted in memory."""
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // PART)), "doc_id")
+
+
 def whole_order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of :func:`order_tree` for readers of nearly all of them: each table is read once.
 
@@ -88,7 +93,7 @@ def whole_order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = rows(c, "c_custkey", "c", F.lit(0), F.lit(None), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey"))
     told = told.unionByName(rows(o, "o_custkey", "o", at_o, F.lit(1), F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")))
     told = told.unionByName(rows(l, "o_custkey", "l", at_l, (F.col("l_orderkey") + 1) * ORDER, F.col("l_quantity").cast("int"), F.col("l_returnflag"), F.col("l_partkey")))
-    told = told.repartition(max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // PART)), "doc_id")
+    told = by_document(spark, sf_dir, told)
     at, up = F.col("at"), F.col("up")
 
     def node(pre: Column, end: Column, level: int, parent: Column, kind: str, name: str | None, value: str) -> Column:

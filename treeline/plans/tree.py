@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.functions import xpath as fx
-from treeline.nodetable import LINE, LINE_KEYS, ORDER, ORDER_TREE_SQL, order_tree, whole_order_tree
+from treeline.nodetable import LINE, LINE_KEYS, ORDER, ORDER_TREE_SQL, by_document, order_tree, whole_order_tree
 from treeline.operators import nodes as ops
 from treeline.plans.xpath import XPath
 from treeline.registry import registry
@@ -107,7 +107,8 @@ UNION ALL SELECT doc_id, (k + 1) * {ORDER}, path FROM o
 UNION ALL SELECT doc_id, (k + 1) * {ORDER} + rn * {LINE}, path || '/lineitem' || CASE WHEN n > 1 THEN '[' || rn || ']' ELSE '' END FROM l JOIN o USING (k)""")
 def n17_node_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each element's path, with places only where siblings share the name."""
-    return ops.node_paths(order_tree(spark, sf_dir), levels=3)
+    elements = order_tree(spark, sf_dir).where("kind = 'element'").select("doc_id", "pre", "parent", "kind", "name", "level")
+    return ops.node_paths(by_document(spark, sf_dir, elements), levels=3)
 
 
 @registry.add("n18_element_children", f"""{WITH}
