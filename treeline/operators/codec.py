@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -42,6 +44,38 @@ def decompressed(data: Column, container: str = "zlib") -> Column:
     return unpack(data)
 
 
+#: Texts of a batch that are made Python objects at a time.
+SLICE = 64
+
+
+def round_trips(df: DataFrame, id_column: str, data_column: str, containers: list[str], level: int = 9) -> DataFrame:
+    """The id, ``n_bytes``, and for each container ``<container>_md5`` of what comes out of it and ``<container>_bytes``, its size.
+
+    A text goes into its containers and out again on its own, so beside the batch that
+    it is given a worker holds one text's containers. Of a null text all is null.
+    """
+    schema = pa.schema([(id_column, pa.int64()), ("n_bytes", pa.int64()), *[x for c in containers for x in ((f"{c}_md5", pa.string()), (f"{c}_bytes", pa.int64()))]])
+
+    def one(key: int | None, data: bytes | None) -> tuple:
+        if data is None:
+            return key, None, *[None] * (2 * len(containers))
+        told: list = []
+        for bits in map(WINDOW_BITS.__getitem__, containers):
+            c = zlib.compressobj(level, zlib.DEFLATED, bits)
+            held = c.compress(data) + c.flush()
+            told += [hashlib.md5(zlib.decompress(held, bits)).hexdigest(), len(held)]
+        return key, len(data), *told
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(key, data) for k in range(0, batch.num_rows, SLICE) for key, data in zip(*(c.to_pylist() for c in batch.slice(k, SLICE).columns), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    ddl = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema)
+    return df.select(F.col(id_column).cast("long"), F.col(data_column).cast("binary")).mapInArrow(run, ddl)
+
+
 def adler32(data: Column) -> Column:
     @pandas_udf("long")
     def check(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

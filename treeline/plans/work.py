@@ -387,10 +387,9 @@ def c08_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c01_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each container gives back what went in, read as digests of what comes out; ``halved`` tells that a text of over 1,000 bytes takes at most 60 % of them."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    packed = d.select("*", *[codec.compressed(F.col("b"), kind).alias(kind) for kind in ("zlib", "gzip", "deflate")])
-    back = lambda kind: F.md5(codec.decompressed(F.col(kind), kind))
-    long = F.octet_length("b") > 1000
-    return packed.select("doc_id", back("zlib").alias("zlib_md5"), back("gzip").alias("gzip_md5"), back("deflate").alias("raw_md5"), F.octet_length("b").cast("long").alias("n_bytes"), (long & (F.octet_length("zlib") < 0.6 * F.octet_length("b"))).alias("halved"))
+    back = codec.round_trips(d, "doc_id", "b", ["zlib", "gzip", "deflate"])
+    halved = (F.col("n_bytes") > 1000) & (F.col("zlib_bytes") < 0.6 * F.col("n_bytes"))
+    return back.select("doc_id", "zlib_md5", "gzip_md5", F.col("deflate_md5").alias("raw_md5"), "n_bytes", halved.alias("halved"))
 
 
 @registry.add("c04_code_lengths", "SELECT * FROM (VALUES (0, 1, 0), (1, 2, 2), (2, 3, 6), (3, 3, 7)) v(symbol, length, code)")
