@@ -248,3 +248,35 @@ def test_constraints_find_their_nodes_once(spark, small):
     assert len(held) == 3
     # Scopes, selected nodes, fields: the table is joined with itself twice, whatever the number of fields.
     assert all(plan(df).count("FileScan parquet") <= 9 for df in held)
+
+
+def test_texts_are_round_tripped_one_at_a_time(spark, small):
+    import hashlib
+
+    from treeline.operators import codec
+
+    p = plan(registry.queries()["c01_round_trip"](spark, small))
+    assert "ArrowEvalPython" not in p and p.count("MapInArrow") == 1
+    rows = [(1, b""), (2, b"ab" * 900), (3, None), (None, b"\xff\0")] + [(k, bytes([k % 256]) * k) for k in range(10, 200)]
+    got = {r.k: tuple(r)[1:] for r in codec.round_trips(spark.createDataFrame(rows, "k long, data binary").coalesce(1), "k", "data", ["gzip", "deflate"]).collect()}
+    assert {k: (v[0], v[1], v[3]) for k, v in got.items()} == {k: (None,) * 3 if b is None else (len(b), *[hashlib.md5(b).hexdigest()] * 2) for k, b in rows}
+    assert got[3] == (None,) * 5 and got[2][2] - got[2][4] == 18  # what a gzip member has around its deflated bytes
+
+
+def test_a_reader_makes_few_documents_python_objects_at_a_time(spark):
+    from unittest import mock
+
+    import pyarrow as pa
+
+    from treeline.sources import markup
+
+    held, runs = [], []
+    real = markup.values
+    with mock.patch.object(markup, "values", side_effect=lambda c: held.append(len(c)) or real(c)):
+        frame = mock.MagicMock()
+        frame.mapInArrow.side_effect = lambda run, ddl: runs.append(run) or mock.MagicMock()
+        with mock.patch.object(markup, "dealt", return_value=frame):
+            markup.html_nodes(spark.range(1).selectExpr("id AS page_id", "'' AS html"))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["<p>x" * 50] * 1000)], names=["page_id", "html"])
+        out = list(runs[0](iter([batch])))
+    assert max(held) <= 64 and sum(b.num_rows for b in out) == 1000 * (1 + 3 + 100 - 1)
