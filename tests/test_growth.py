@@ -280,3 +280,18 @@ def test_a_reader_makes_few_documents_python_objects_at_a_time(spark):
         batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["<p>x" * 50] * 1000)], names=["page_id", "html"])
         out = list(runs[0](iter([batch])))
     assert max(held) <= 64 and sum(b.num_rows for b in out) == 1000 * (1 + 3 + 100 - 1)
+
+
+def test_paths_from_the_top_need_no_dropping_of_repeats(spark, small):
+    from treeline import nodetable
+    from treeline.plans.xpath import XPath
+
+    x = XPath(nodetable.order_tree(spark, small), id_attribute="part")
+    # Orders alone, read and filtered; nothing is shuffled.
+    assert "Exchange" not in plan(x.select("//order")) and "Aggregate" not in plan(x.select("/customer/order"))
+    for path in ("//order/..", "//order/ancestor::*", "//lineitem/following::order", "//order/@status/../preceding-sibling::*", "//lineitem/../lineitem"):
+        got = x.select(path)
+        assert got.count() == got.select("doc_id", "pre").distinct().count() > 0
+    # Only elements have ids: attributes and texts aren't joined to be found.
+    found = plan(x.select("id(//lineitem[1]/@part)"))
+    assert found.count("FileScan parquet") <= 12

@@ -440,11 +440,14 @@ class XPath:
 
     def select(self, expression: str, context: DataFrame | None = None) -> DataFrame:
         """The distinct nodes that a node-set expression finds in each document (or below each context node)."""
-        scope = Scope(context if context is not None else self.roots(), top=context is None)
-        got = self.compile(self.parsed(expression), scope)
+        scope, expr = Scope(context if context is not None else self.roots(), top=context is None), self.parsed(expression)
+        got = self.compile(expr, scope)
         if got.kind != "set":
             raise XPathError(f"{expression!r} is no node-set")
-        return got.nodes.select(*NODE).dropDuplicates(["doc_id", "pre"])
+        found = got.nodes.select(*NODE)
+        # Steps drop their repeats for each origin, and from the top a document has one; namespaces are found from each element anew.
+        once = scope.top and isinstance(expr, Path) and expr.start == "root" and bool(expr.steps) and all(s.axis != "namespace" for s in expr.steps)
+        return found if once else found.dropDuplicates(["doc_id", "pre"])
 
     def value(self, expression: str, kind: str = "string", context: DataFrame | None = None) -> DataFrame:
         """``doc_id, pre, result`` for each context node (each document): the expression cast to ``kind``."""
@@ -684,7 +687,7 @@ class XPath:
             wanted = scope.df.select("doc_id", F.col("pre").alias("o"), F.explode(F.split(fx.normalize_space(self.string(v, scope)), " ")).alias("token"))
         ids = self.nodes.where((F.col("kind") == "attr") & (F.col("name") == self.id_attribute)).select(F.col("doc_id"), F.col("value").alias("token"), F.col("parent").alias("at"))
         found = wanted.distinct().join(ids, ["doc_id", "token"]).select("doc_id", "o", F.col("at").alias("pre")).distinct()
-        return found.join(self.nodes, ["doc_id", "pre"]).select("o", *NODE)
+        return found.join(self.nodes.where("kind = 'element'"), ["doc_id", "pre"]).select("o", *NODE)
 
     # paths
 
