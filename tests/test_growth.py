@@ -295,3 +295,16 @@ def test_paths_from_the_top_need_no_dropping_of_repeats(spark, small):
     # Only elements have ids: attributes and texts aren't joined to be found.
     found = plan(x.select("id(//lineitem[1]/@part)"))
     assert found.count("FileScan parquet") <= 12
+
+
+def test_closure_takes_no_round_a_step(spark):
+    from unittest import mock
+
+    from treeline.operators import graph
+
+    for way in (1, -1):
+        edges = spark.range(1, 200).selectExpr(f"{way} * id AS src", f"{way} * (id - 1) AS dst")
+        with mock.patch.object(graph, "settle", side_effect=graph.settle) as settled:
+            got = {tuple(r) for r in graph.closure(edges).collect()}
+        assert got == {(way * a, way * b) for a in range(200) for b in range(a)} and settled.call_count <= 2
+    assert graph.closure(edges.limit(0)).collect() == []

@@ -1,103 +1,226 @@
 """Graphs as edge tables: layers, closure, strongly connected components, failure propagation.
 
-Each is a loop of equi-joins with a reliable checkpoint a round; rounds are
-bounded by the longest path, and nothing is collected but a count.
+Layers and closure number the nodes in the order of their keys and write the edges
+down by number, once; what is told of nodes is held by number (a depth, a row of
+bits), and the edges go by in their order. The others are loops of equi-joins with a
+reliable checkpoint a round. Nothing is collected but counts.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from treeline.session import settle
+from treeline.session import settle, stored, written
 
-#: Dependencies that one task of :func:`layers` holds.
+#: Dependencies of unsettled nodes that the task of :func:`layers` holds.
 BLOCK = 1_000_000
+#: Bytes of the bits that a task of :func:`closure` holds, and pairs that it hands on at a time.
+BITS, PAIRS = 32 << 20, 1 << 18
+#: Bytes of a group of edges in a file; a group is read whole.
+GROUP = 16 << 20
+
+
+def numbered(nodes: DataFrame) -> tuple[DataFrame, str, int]:
+    """``node, number`` of distinct nodes, numbered from 0 in the order of their keys, a null first; the folder of ``node, place`` in that order; how many."""
+    folder = stored(settle(nodes).orderBy("node").select("node", F.monotonically_increasing_id().alias("place")))
+    placed = nodes.sparkSession.read.schema(StructType([nodes.schema["node"], *nodes.sparkSession.range(0).toDF("place").schema])).parquet(folder)
+    part, at = F.expr("shiftright(place, 33)"), F.expr("place & 8589934591")
+    before, total = [0], 0
+    for p, n in sorted(map(tuple, placed.groupBy(part).count().collect())):
+        before += [total] * (p + 1 - len(before))
+        before[p] = total
+        total += n
+    return placed.select("node", (F.element_at(F.lit(before).cast("array<long>"), (part + 1).cast("int")) + at).cast("int").alias("number")), folder, total
+
+
+def by_number(steps: DataFrame, size: int) -> str:
+    """The folder of ``s, d``, numbers of nodes below ``size``, in the order of ``s``."""
+    spark = steps.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = steps.repartitionById(parts, F.expr(f"cast(cast(s as long) * {parts} div {max(1, size)} as int)"))
+    return stored(dealt.sortWithinPartitions("s"), **{"parquet.block.size": GROUP})
+
+
+def files(folder: str) -> list[tuple[pafs.FileSystem, str]]:
+    """The files of a folder in their order."""
+    store, root = pafs.FileSystem.from_uri(folder)
+    names = sorted(f.path for f in store.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet"))
+    return [(store, name) for name in names]
+
+
+def keys_of(folder: str) -> pa.Array:
+    """All nodes in the order of their numbers."""
+    found = pa.concat_tables([pq.read_table(name, filesystem=store) for store, name in files(folder)]).sort_by("place")
+    return found["node"].combine_chunks()
+
+
+def steps_of(folder: str, down: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Each node that has steps, by number, and where they lead; from the greatest number down if asked."""
+    turn = slice(None, None, -1 if down else 1)
+    last, held = None, []
+    for store, name in files(folder)[turn]:
+        with store.open_input_file(name) as source:
+            f = pq.ParquetFile(source)
+            for k in range(f.num_row_groups)[turn]:
+                t = f.read_row_group(k, columns=["s", "d"])
+                s, d = (t[c].to_numpy() for c in ("s", "d"))
+                if not len(s):
+                    continue
+                ends = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
+                for a, b in [*zip(ends, ends[1:])][turn]:
+                    if (node := int(s[a])) != last:
+                        if held:
+                            yield last, held[0] if len(held) == 1 else np.concatenate(held)
+                        last, held = node, []
+                    held.append(d[a:b])
+    if held:
+        yield last, held[0] if len(held) == 1 else np.concatenate(held)
+
+
+def reached(folder: str, size: int, low: int, high: int) -> np.ndarray:
+    """A row of bits a node: which of the nodes from ``low`` to below ``high`` it reaches.
+
+    Edges go by in turns up and down the numbers, and a node takes what its next nodes
+    have so far; where all lead the same way one turn does, else they go on until one changes nothing.
+    """
+    bits, some, down = np.zeros((size, -(-(high - low) // 64)), np.uint64), np.zeros(size + 1, bool), False
+    while True:
+        changed = back = False
+        for s, to in steps_of(folder, down):
+            back = back or bool((to < s).any() if down else (to > s).any())
+            here = to[(to >= low) & (to < high)] - low
+            through = to[some[to]]
+            if not len(here) and not len(through):
+                continue
+            row = np.bitwise_or.reduce(bits[through], axis=0) if len(through) else np.zeros(bits.shape[1], np.uint64)
+            if len(here):
+                own = np.zeros(64 * len(row), np.uint8)
+                own[here] = 1
+                row |= np.packbits(own, bitorder="little").view(np.uint64)
+            if (row & ~bits[s]).any():
+                bits[s] |= row
+                some[s] = changed = True
+        if not (changed and back):
+            return bits
+        down = not down
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs ``(src, dst)`` with a path, semi-naive: each round extends only what the last one found.
+    """All pairs ``(src, dst)`` with a path.
 
-    Nodes get numbers in the order of their keys. What a node reaches is a row per
-    block of 64 numbers with a bit for each of them, and a round meets blocks with
-    blocks: paths that lead from a node to a block through one other block are one row
-    before they are shuffled, and no pair is written before the result.
+    Nodes get numbers in the order of their keys, and each task finds for all nodes which
+    of its own range of numbers they reach, as bits: at most ``BITS`` bytes of them or 64
+    bits a node. The edges are read from files a group at a time, so no pair meets a join
+    or is written before the result.
     """
-    edges = settle(edges.select("src", "dst").distinct())
-    found = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    nodes = settle(found.orderBy("node").select("node", F.monotonically_increasing_id().alias("number")))
+    spark = edges.sparkSession
+    edges = written(edges.select("src", "dst"))
+    nodes, keys, size = numbered(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     number = lambda side: nodes.select(F.col("node").alias(f"{side}_node"), F.col("number").alias(side))
+    # A null is at the end of paths, as no join finds it, but never inside one: there it is a node of its own, without steps.
     steps = edges.join(number("s"), F.col("src").eqNullSafe(F.col("s_node"))).join(number("d"), F.col("dst").eqNullSafe(F.col("d_node")))
-    bit = F.expr("shiftleft(1L, cast(d % 64 as int))")
-    steps = settle(steps.groupBy("s", F.col("src").isNull().alias("blank"), F.expr("d div 64").alias("block")).agg(F.bit_or(bit).alias("bits")))
-    # A null is at the end of paths, as no join finds it, but never inside one.
-    step = steps.where("not blank").select(F.expr("s div 64").alias("via"), F.expr("cast(s % 64 as int)").alias("place"), F.col("block").alias("to"), F.col("bits").alias("more"))
-    known = steps.select("s", "block", "bits", F.col("bits").alias("fresh"))
-    while not (last := known.where("fresh <> 0")).isEmpty():
-        offered = last.join(step.hint("merge"), F.expr("block = via and getbit(fresh, place) = 1")).groupBy("s", F.col("to").alias("block")).agg(F.bit_or("more").alias("more"))
-        met = known.select("s", "block", "bits").join(offered.hint("merge"), ["s", "block"], "full").withColumns({"bits": F.coalesce("bits", F.lit(0)), "more": F.coalesce("more", F.lit(0))})
-        known = settle(met.select("s", "block", F.expr("bits | more").alias("bits"), F.expr("more & ~bits").alias("fresh")))
-    blocks = nodes.groupBy(F.expr("number div 64").alias("block")).agg(F.collect_list(F.struct(F.expr("cast(number % 64 as int)").alias("place"), "node")).alias("held"))
-    pairs = known.select("s", "block", "bits").join(blocks.hint("merge"), "block").join(nodes.hint("merge"), F.col("s") == F.col("number"))
-    return pairs.select(F.col("node").alias("src"), F.expr("explode(transform(filter(held, x -> getbit(bits, x.place) = 1), x -> x.node))").alias("dst"))
-
-
-def ready(work: pa.Table) -> pa.Table:
-    """``node, depth`` of all nodes of a block whose dependencies are settled before or inside it; ``work(block, node, dst, depth)`` has a row per dependency, one without ``dst`` for none."""
-    waits, depths, users = {}, {}, {}
-    for node, dst, depth in zip(*(work[c].to_pylist() for c in ("node", "dst", "depth")), strict=True):
-        waits.setdefault(node, 0)
-        depths.setdefault(node, 0)
-        if depth is not None:
-            depths[node] = max(depths[node], depth + 1)
-        elif dst is not None:
-            waits[node] += 1
-            users.setdefault(dst, []).append(node)
-    done = [node for node, n in waits.items() if n == 0]
+    folder = by_number(steps.select("s", F.when(F.col("dst").isNull(), size).otherwise(F.col("d")).alias("d")), size)
+    wide = max(64, min(BITS * 8 // max(1, size), -(-(size + 1) // spark.sparkContext.defaultParallelism)) // 64 * 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for low in (x * wide for b in batches for x in b.column(0).to_pylist()):
+            high = min(low + wide, size + 1)
+            bits = reached(folder, size, low, high)
+            nodes = keys_of(keys)
+            nodes = pa.concat_arrays([nodes, pa.nulls(1, nodes.type)])
+            rows = max(1, PAIRS // wide)
+            for a in range(0, size, rows):
+                s, d = np.nonzero(np.unpackbits(bits[a : a + rows].view(np.uint8), axis=1, bitorder="little"))
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(s + a)), nodes.take(pa.array(d + low))], names=["src", "dst"])
+
+    tiles = -(-(size + 1) // wide)
+    return spark.range(0, tiles, 1, tiles).mapInArrow(run, StructType([StructField("src", edges.schema["src"].dataType), StructField("dst", edges.schema["dst"].dataType)]))
+
+
+def ready(held: list[tuple[int, np.ndarray]], depths: np.ndarray) -> int:
+    """Settle, in ``depths``, those of the nodes held whose steps lead to settled nodes or to others of them that get settled; returns how many."""
+    waits, users, done = {}, {}, []
+    for node, to in held:
+        open_ = set(to[depths[to] < 0].tolist())
+        waits[node] = len(open_)
+        for d in open_:
+            users.setdefault(d, []).append(node)
+        if not open_:
+            done.append(node)
+    steps = dict(held)
     for node in done:
+        depths[node] = depths[steps[node]].max() + 1
         for user in users.get(node, ()):
-            depths[user] = max(depths[user], depths[node] + 1)
             waits[user] -= 1
             if waits[user] == 0:
                 done.append(user)
-    return pa.table({"node": pa.array(done, work["node"].type), "depth": pa.array([depths[n] for n in done], pa.int32())})
+    return len(done)
+
+
+def settled(folder: str, depths: np.ndarray) -> None:
+    """Depths of all nodes that no cycle holds back, in place: -1 where not known yet, 0 for nodes without steps.
+
+    Edges go by in turns up and down the numbers. What isn't settled as it goes by is
+    held, up to ``BLOCK`` steps, and settled among itself; the next turn reads it again if that wasn't all.
+    """
+    down = False
+    while True:
+        held, steps, whole, found = [], 0, True, 0
+        for s, to in steps_of(folder, down):
+            if depths[s] >= 0:
+                continue
+            below = depths[to]
+            if below.min() >= 0:
+                depths[s] = below.max() + 1
+                found += 1
+                continue
+            if held and steps + len(to) > BLOCK:
+                found += ready(held, depths)
+                held, steps, whole = [], 0, False
+            held.append((s, to))
+            steps += len(to)
+        found += ready(held, depths)
+        if whole or not found:
+            return
+        down = not down
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, depth``: a node lies one above its deepest dependency (``src`` depends on ``dst``); what a cycle holds back shares the layer after the last.
 
-    Nodes are dealt into blocks of about ``BLOCK`` dependencies by ranges of their
-    keys. A round settles all that a block can settle by itself, so a deep graph
-    doesn't take a round a layer, and where dependencies lead one way along the keys
-    the rounds are no more than the blocks; neither changes the result.
+    A layer needs the ones below it, so one task reads the dependencies, sorted before by
+    many, and holds four bytes a node and a group of dependencies; where these lead to
+    lower keys it reads them once, else in turns up and down, whatever the depth.
     """
-    nodes = settle(nodes.select("node").distinct())
-    edges = edges.where("src <> dst").select("src", "dst").distinct()
-    edges = settle(edges.join(nodes, edges.dst == nodes.node, "left_semi").join(nodes, edges.src == nodes.node, "left_semi"))
-    schema = StructType([nodes.schema["node"], StructField("depth", IntegerType())])
+    spark = nodes.sparkSession
+    nodes, _, size = numbered(nodes.select("node").distinct())
+    number = lambda side, to: nodes.select(F.col("node").alias(side), F.col("number").alias(to))
+    folder = by_number(edges.where("src <> dst").join(number("src", "s"), "src").join(number("dst", "d"), "dst").select("s", "d"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if block := list(batches):
-            yield from ready(pa.Table.from_batches(block)).to_batches()
+        for _ in batches:
+            depths = np.zeros(size, np.int32)
+            for store, name in files(folder):
+                with store.open_input_file(name) as source:
+                    for b in pq.ParquetFile(source).iter_batches(columns=["s"]):
+                        depths[b.column(0).to_numpy()] = -1
+            settled(folder, depths)
+            depths[depths < 0] = depths.max(initial=-1) + 1
+            for a in range(0, size, PAIRS):
+                part = depths[a : a + PAIRS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part)], names=["number", "depth"])
 
-    left, done = nodes, None
-    while True:
-        work = left.join(edges, left.node == edges.src, "left").select("node", "dst")
-        known = settle(work.select("*", F.lit(None).cast("int").alias("depth")) if done is None else work.join(done.select(F.col("node").alias("dst"), "depth"), "dst", "left").select("node", "dst", "depth"))
-        blocks = -(-known.count() // BLOCK) or 1
-        found = settle(known.repartitionByRange(blocks, "node").mapInArrow(run, schema))
-        last = found.isEmpty()
-        done = found if done is None else done if last else settle(done.unionByName(found))
-        left = settle(left.join(found.select(F.col("node").alias("n")), F.col("node").eqNullSafe(F.col("n")), "left_anti"))
-        if last or blocks == 1 or left.isEmpty():
-            break
-    deepest = done.agg(F.coalesce(F.max("depth") + 1, F.lit(0)).alias("depth"))
-    return done.unionByName(left.crossJoin(F.broadcast(deepest)))
+    depths = spark.range(0, 1, 1, 1).mapInArrow(run, StructType([StructField("number", IntegerType()), StructField("depth", IntegerType())]))
+    return depths.join(nodes, "number").select("node", "depth")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -20,10 +20,11 @@ DAG_SQL = "dag AS (SELECT DISTINCT a.l_suppkey AS src, max(b.l_suppkey) AS dst F
 
 
 def dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    # The next lower supplier of the same part.
+    """Dependencies of suppliers; one is named by each of its parts, as what is made of them takes it once."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey is not null")
+    # The next lower supplier of the same part; of rows of one supplier only the first has it.
     before = F.lag("l_suppkey").over(Window.partitionBy("l_partkey").orderBy("l_suppkey"))
-    return pairs.select(F.col("l_suppkey").alias("src"), before.alias("dst")).where("dst is not null").distinct()
+    return pairs.select(F.col("l_suppkey").alias("src"), before.alias("dst")).where("dst < src")
 
 
 @registry.add("g03_closure", f"WITH RECURSIVE {DAG_SQL}, r AS (SELECT src, dst FROM dag UNION SELECT r.src, d.dst FROM r JOIN dag d ON d.src = r.dst) SELECT src, dst FROM r")

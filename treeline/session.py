@@ -77,12 +77,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows written down in compressed columns below :func:`shared_dir`, for large tables that are read several times."""
+def stored(df: DataFrame, **options: int) -> str:
+    """The folder below :func:`shared_dir` to which the rows are written in compressed columns, a file a partition in their order."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written down (:func:`stored`) and read from there, for large tables that are read several times."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
 
 
 def values(column: pa.Array) -> list:
