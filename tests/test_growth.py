@@ -308,3 +308,39 @@ def test_closure_takes_no_round_a_step(spark):
             got = {tuple(r) for r in graph.closure(edges).collect()}
         assert got == {(way * a, way * b) for a in range(200) for b in range(a)} and settled.call_count <= 2
     assert graph.closure(edges.limit(0)).collect() == []
+
+
+def test_layers_read_dependencies_in_turns_and_settle_what_is_held(spark, monkeypatch):
+    """Both directions along the keys, cycles, and less room than dependencies that wait."""
+    import random
+    from unittest import mock
+
+    import numpy as np
+
+    from treeline.operators import graph
+
+    draw = random.Random(5)
+    rank = list(range(120))
+    draw.shuffle(rank)
+    edges = [(a, b) for a in range(120) for b in draw.sample(range(120), 4) if rank[b] < rank[a]]
+    below = {a: [b for x, b in edges if x == a] for a in range(120)}
+    want = {}
+    for a in sorted(range(120), key=rank.__getitem__):
+        want[a] = max((want[b] + 1 for b in below[a]), default=0)
+    ring = [*edges, (200, 201), (201, 200), (202, 201), (None, 3), (4, None), (5, 5), (6, 999)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(120), 200, 201, 202, None]], "node long")
+    with mock.patch.object(graph, "settle", side_effect=graph.settle) as calls:
+        got = {r.node: r.depth for r in graph.layers(nodes, spark.createDataFrame(ring, "src long, dst long")).collect()}
+    assert got == want | {None: 0} | dict.fromkeys((200, 201, 202), max(want.values()) + 1) and calls.call_count <= 2
+    monkeypatch.setattr(graph, "BLOCK", 9)
+    folder = graph.by_number(spark.createDataFrame([e for e in edges], "s int, d int"), 120)
+    depths = np.array([-1 if below[a] else 0 for a in range(120)], np.int32)
+    graph.settled(folder, depths)
+    assert depths.tolist() == [want[a] for a in range(120)]
+
+
+def test_parts_without_a_key_are_no_dependency(spark, tmp_path):
+    from treeline.plans import work
+
+    spark.createDataFrame([(None, 1), (None, 2), (7, 3), (7, 3), (7, 1), (7, None), (8, 5)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in work.dag(spark, str(tmp_path)).collect()} == {(3, 1)}
