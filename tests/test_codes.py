@@ -138,3 +138,23 @@ def test_entities_come_back():
         assert markup.decode_entities(markup.encode_entities(text)) == text
     assert markup.decode_entities("&amp;lt; &nosuch; &#55296; &#x110000; &copy &Eacute;&#0;") == "&lt; &nosuch; &#55296; &#x110000; &copy É&#0;"
     assert markup.encode_entities("é→\x80") == "&eacute;&rarr;&#128;"
+
+
+def test_many_stretches_are_counted_together():
+    """What arrays tell of many stretches is what each tells alone, and texts cut together are cut as alone, without counting one by one."""
+    import random
+    from unittest import mock
+
+    rng = random.Random(11)
+    texts = [b"", b"a", b"ab" * 300, bytes(rng.randrange(256) for _ in range(700)), bytes(rng.choice(b"abcdefg") for _ in range(600)), bytes(min(255, int(rng.expovariate(0.2))) for _ in range(900)), b"0123456789" * 3 + b"17.1-URGENT;23.5-LOW;40.2-HIGHCustomer#000000001"]
+    texts.append(b"".join(bytes([k]) * (1 << min(k, 11)) for k in range(14)))  # lengths of steep codes
+    stores = [deflate.parsed(t, lz.search(t)) for t in texts] + [[(k, 0) for k in range(22) for _ in range(round(1.6 ** min(k, 17)))]]
+    for store in stores:
+        together, alone = deflate.Stretches(store), deflate.Stretches(store)
+        spots = [tuple(sorted(rng.choices(range(len(store) + 1), k=2))) for _ in range(40)] + [(0, len(store))]
+        deflate.hold([(together, spots)])
+        assert together.held == {x: alone.least(*x) for x in spots}
+        assert all(n == deflate.Stretches(store).dynamic(*x) for x, n in together.told.items())
+    with mock.patch.object(deflate, "lengths_of", side_effect=AssertionError):
+        cuts = deflate.splits([deflate.Stretches(s) for s in stores[:7]])
+    assert cuts == [deflate.split(s) for s in stores[:7]]
