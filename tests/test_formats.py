@@ -282,3 +282,30 @@ def test_shell(spark):
     s = Shell(n, 1)
     said = [s.run(x) for x in ("ls", "cd a", "ls", "cat b", "cat b/@k", "xpath b = 'y'", "grep y", "cd b", "cd b[2]", "pwd", "ls", "cd ..", "cd /", "cd", "pwd", "xpath ///", "du")]
     assert said == ["a", "", "b\nb\nc", '<b k="1">x</b>\n<b>y<!-- c --></b>', "1", "true", "y", "b is several nodes", "", "/a/b", "#text\n#comment", "", "", "", "/", said[15], "a 1\n  b 2\n  c 1"] and said[15].startswith("error")
+
+
+def test_node_sets_are_told_where_documents_are_parsed(spark):
+    """As by a path over the node table, texts are dealt out but no row of theirs is shuffled, joined or written down."""
+    import pytest
+
+    from treeline.operators import c14n
+    from treeline.plans.xpath import XPath
+    from treeline.sources import markup
+
+    texts = [
+        '<o xmlns:u="urn:u" xmlns="urn:d" a="1" xml:lang="en"><c xmlns="" y="2" x="1">p&#13;<!-- d --><u:f k="1"/><c x="3"><d x="4"><![CDATA[q]]></d></c></c><u:f>r</u:f><?i t?></o>',
+        "<c/>", "<a><b/></a>", '<c xmlns="urn:d"><c xmlns="" x="1"/></c>', "<u><c>t<u/></c></u>",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = markup.xml_nodes(df)
+    for path in ("//c | //c//node() | //c/@x | //u:f", "/c", "//u:f", "//node()", "//c/text()", "//d | //c/@y"):
+        got = c14n.canonicalize(df, path=path, namespaces={"u": "urn:u"})
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("Exchange") == 1
+        want = c14n.canonicalize_nodes(n, XPath(n, namespaces={"u": "urn:u"}).select(path))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), path
+    for path in ("//c[1]", "//c/..", "c", "//*"):
+        with pytest.raises(ValueError):
+            c14n.canonicalize(df, path=path)
+    bad = spark.createDataFrame([(1, "<c>"), (2, None)], "doc_id long, text string")
+    assert {r.canonical for r in c14n.canonicalize(bad, path="//c").collect()} == {None}

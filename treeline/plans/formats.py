@@ -192,9 +192,7 @@ def k06_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("k06_node_set", """SELECT o_orderkey AS doc_id, '<c xmlns:b="urn:b" xmlns:u="urn:u" x="1" xml:lang="en">' || o_orderpriority || '&#xD;<u:f></u:f></c>' AS canonical FROM orders""")
 def k06_node_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node-set: the subtree of c without the attribute y; what is in scope above it is said on it."""
-    n = written(markup.xml_nodes(namespaced(spark, sf_dir)))
-    x = XPath(n, namespaces={"u": "urn:u"})
-    return c14n.canonicalize_nodes(n, x.select("//c | //c//node() | //c/@x | //u:f"))
+    return c14n.canonicalize(namespaced(spark, sf_dir), path="//c | //c//node() | //c/@x | //u:f", namespaces={"u": "urn:u"})
 
 
 # ---- HTML, outlines, inner text -----------------------------------------------------------------------------------
