@@ -344,3 +344,18 @@ def test_parts_without_a_key_are_no_dependency(spark, tmp_path):
 
     spark.createDataFrame([(None, 1), (None, 2), (7, 3), (7, 3), (7, 1), (7, None), (8, 5)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {tuple(r) for r in work.dag(spark, str(tmp_path)).collect()} == {(3, 1)}
+
+
+def test_rows_that_told_their_place_are_not_sorted_among_children(spark):
+    """Of a sound document each row goes on once, a number that is there twice goes on at its own place too."""
+    from treeline.operators import consistency
+    from treeline.sources import markup
+
+    n = markup.xml_nodes(spark.createDataFrame([(1, "<a b='1' c='2'><d>x</d><e/></a>")], "doc_id long, text string")).localCheckpoint()
+    twice = n.unionByName(n.where("name = 'e'"))
+    assert consistency.faults(n).count() == 0
+    assert {r.fault for r in consistency.faults(twice).collect()} == {"number twice", "overlaps its sibling"}
+    lines = consistency.faults(n)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [k for k, line in enumerate(lines) if "Window [" in line]
+    kept = [k for k, line in enumerate(lines) if "Filter" in line and "same#" in line and "child#" in line]
+    assert kept and any(windows[0] < k < windows[-1] for k in kept)

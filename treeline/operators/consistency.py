@@ -32,6 +32,8 @@ def faults(nodes: DataFrame) -> DataFrame:
     holds = lambda c: F.when(F.col("place").isNotNull(), F.min(F.when(~F.col("child"), F.col(c))).over(place))
     sides = own.withColumn("side", F.explode(F.array(side("pre", False), side("parent", True)))).select("*", "side.*").drop("side")
     sides = sides.withColumns({"same": F.count_if(~F.col("child")).over(place), "p_end": holds("end"), "p_level": holds("level"), "p_kind": holds("kind")})
+    # At its own place a row has told what it is; it goes on only if its number is there twice.
+    sides = sides.where(F.col("child") | (F.col("same") > 1))
     siblings = Window.partitionBy("doc_id", "parent", "child").orderBy("pre", "end")
     before = F.col("kind").isin(*BEFORE)
     # Windows over a parent's children take no notice of the rows at their own places.
